@@ -1,0 +1,5 @@
+"""Nothing stateful lives here: the covered work has no stream, watermark or state.
+
+The column functions in ``pairloom.functions`` hold no action, sort or aggregate, so they
+apply unchanged to a frame from ``spark.readStream`` (see ``tests/test_streaming.py``).
+"""
