@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,14 @@ def as_double(vec: Column) -> Column:
     return vec.cast("array<double>")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where ``use`` loops over elements.
+
+    A column put into a lambda body would be evaluated again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def dot(left: Column, right: Column) -> Column:
     """Plain dot product; no division by norms."""
     products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))
@@ -21,13 +31,12 @@ def norm(vec: Column) -> Column:
 
 
 def scale(vec: Column, factor: Column) -> Column:
-    return F.transform(vec, lambda x: x * factor)
+    return bind(factor, lambda f: F.transform(vec, lambda x: x * f))
 
 
 def l2_normalize(vec: Column) -> Column:
     """v / |v|; a zero vector stays as it is."""
-    size = norm(vec)
-    return F.when(size > 0, F.transform(vec, lambda x: x / size)).otherwise(vec)
+    return bind(norm(vec), lambda size: F.when(size > 0, F.transform(vec, lambda x: x / size)).otherwise(vec))
 
 
 def add(left: Column, right: Column) -> Column:

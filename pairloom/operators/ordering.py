@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import HASH_BITS, draw60
+from ..session import materialize
 
 # 65,536 hash buckets: the offset table stays near one megabyte at any data size.
 _HASH_BUCKET_BITS = 16
@@ -125,7 +126,8 @@ def order_statistics(
     only those buckets are sorted. A group with a third of all rows still spreads over the buckets.
     """
     groups = list(groups)
-    cells = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_c"))
+    # Read three times below (bounds, counts, chosen buckets), so it is written once.
+    cells = materialize(df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_c")))
     cut = value_bucket(cells, value)
     sizes = cut.groupBy(*groups, "_b").agg(F.sum("_c").alias("_bc"))
     by_group = Window.partitionBy(*groups)

@@ -97,11 +97,11 @@ def bootstrap_median_ci(
     slots = (
         indexed.select(*groups, F.col(idx).alias("_j"))
         .join(sizes, groups)
-        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-        .withColumn(idx, draw60(seed, "bootstrap", *[F.col(g) for g in groups], F.col("_b"), F.col("_j")) % F.col("_n"))
+        .withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+        .withColumn(idx, draw60(seed, "bootstrap", *[F.col(g) for g in groups], F.col("sample_no"), F.col("_j")) % F.col("_n"))
     )
     drawn = slots.join(indexed, [*groups, idx])
-    medians = linear_percentiles(drawn, [*groups, "_b"], value, {"_median": 0.5}).drop("n")
+    medians = linear_percentiles(drawn, [*groups, "sample_no"], value, {"_median": 0.5}).drop("n")
     tail = (1.0 - confidence) / 2.0
     bounds = linear_percentiles(medians, groups, "_median", {"ci_low": tail, "ci_high": 1.0 - tail})
     return bounds.withColumnRenamed("n", "samples")

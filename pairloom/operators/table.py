@@ -18,7 +18,7 @@ from ..functions.hashing import hash60, unit_draw
 from ..functions.text import words
 from ..session import ship_package
 from .hashed import list_array, unit_rows
-from .layout import BROADCAST_LIMIT_BYTES, broadcast_within
+from .layout import BROADCAST_LIMIT_BYTES, broadcast_within, computed_once
 
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -44,32 +44,40 @@ class ModelConfig:
 
 def token_id(token: Column, vocab_size: int) -> Column:
     """Bucket of a token by its ASCII letters and digits; none left means unknown."""
-    bare = F.lower(F.regexp_replace(token, "[^A-Za-z0-9]++", ""))
-    return F.when(bare == "", F.lit(UNKNOWN_ID).cast("bigint")).otherwise(hash60(bare) % (vocab_size - 2) + 2)
+
+    def bucket(bare: Column) -> Column:
+        return F.when(bare == "", F.lit(UNKNOWN_ID).cast("bigint")).otherwise(hash60(bare) % (vocab_size - 2) + 2)
+
+    return V.bind(F.lower(F.regexp_replace(token, "[^A-Za-z0-9]++", "")), bucket)
 
 
 def model_tokens(text: Column, max_seq_len: int) -> Column:
     return F.slice(words(text), 1, max_seq_len)
 
 
+def text_ids(text: Column, config: ModelConfig) -> Column:
+    """Array of the token ids of a text."""
+    return F.transform(model_tokens(text, config.max_seq_len), lambda t: token_id(t, config.vocab_size))
+
+
 def token_ids(df: DataFrame, text: str, config: ModelConfig) -> DataFrame:
     """One row per token position with its id."""
     others = [c for c in df.columns if c != text]
-    tokens = df.select(*others, F.posexplode(model_tokens(F.col(text), config.max_seq_len)).alias("position", "token"))
-    return tokens.withColumn("token_id", token_id(F.col("token"), config.vocab_size))
+    rows = computed_once(df, _ids=text_ids(F.col(text), config))
+    return rows.select(*others, F.posexplode("_ids").alias("position", "token_id"))
 
 
 def token_counts(df: DataFrame, keys: Sequence[str], text: str, config: ModelConfig) -> DataFrame:
-    """(keys, token_id, count) rows.
+    """(keys, length, token_id, count) rows.
 
-    The texts are placed by their keys before they are split into tokens, so the token rows are
-    counted, joined and pooled where they arise; only the raw text moves.
+    The texts are placed by their first key before they are split into tokens, so the token rows are
+    counted, joined and pooled where they arise; only the raw text moves. The first key must spread
+    the rows.
     """
-    placed = df.select(*keys, text).repartition(*keys)
-    tokens = placed.select(*keys, F.explode(model_tokens(F.col(text), config.max_seq_len)).alias("token"))
-    return tokens.groupBy(*keys, token_id(F.col("token"), config.vocab_size).alias("token_id")).agg(
-        F.count("*").alias("count")
-    )
+    placed = df.select(*keys, text).repartition(keys[0])
+    rows = computed_once(placed, _ids=text_ids(F.col(text), config)).select(*keys, "_ids")
+    tokens = rows.select(*keys, F.size("_ids").alias("length"), F.explode("_ids").alias("token_id"))
+    return tokens.groupBy(*keys, "length", "token_id").agg(F.count("*").alias("count"))
 
 
 def init_token_table(spark: SparkSession, config: ModelConfig, seed: int) -> DataFrame:
@@ -157,8 +165,7 @@ def embed_batches(df: DataFrame, text: str, table: DataFrame, config: ModelConfi
     shared = spark.sparkContext.broadcast(table_matrix(table, config))
     normalize = config.normalize
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
-    tokens = model_tokens(F.col(text), config.max_seq_len)
-    ids = F.transform(tokens, lambda t: token_id(t, config.vocab_size))
+    ids = text_ids(F.col(text), config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value

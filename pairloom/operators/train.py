@@ -18,7 +18,7 @@ from ..session import materialize
 from .negatives import draw_rejecting, index_pool
 from .ordering import hash_index
 from .pairs import pool_of_pairs
-from .table import ModelConfig, lookup, model_tokens, pooled, token_id
+from .table import ModelConfig, lookup, pooled, token_counts
 
 ROLES = ("anchor", "positive", "negative")
 
@@ -33,14 +33,10 @@ class TrainOptions:
 
 
 def _role_tokens(triplets: DataFrame, config: ModelConfig) -> DataFrame:
-    """(tid, role, token_id, count, length) rows, placed by tid."""
+    """(tid, role, length, token_id, count) rows, placed by tid."""
     roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("text")) for r in ROLES]))
-    texts = triplets.repartition("tid").select("tid", roles.alias("r")).select("tid", "r.role", "r.text")
-    tokens = texts.select("tid", "role", model_tokens(F.col("text"), config.max_seq_len).alias("_t"))
-    spread = tokens.select("tid", "role", F.size("_t").alias("length"), F.explode("_t").alias("token"))
-    return spread.groupBy("tid", "role", "length", token_id(F.col("token"), config.vocab_size).alias("token_id")).agg(
-        F.count("*").alias("count")
-    )
+    texts = triplets.select("tid", roles.alias("r")).select("tid", "r.role", "r.text")
+    return token_counts(texts, ["tid", "role"], "text", config)
 
 
 def _forward(tokens: DataFrame, table: DataFrame, config: ModelConfig) -> DataFrame:
@@ -80,13 +76,18 @@ def gradients_of(triplets: DataFrame, vectors: DataFrame, config: ModelConfig, l
     Inactive triplets leave before anything is expanded; the sum per token combines on the map side,
     so a word found in most texts is no hot key.
     """
+    active = vectors.where(F.col("loss") > 0).select("tid", "a", "p", "n")
     a, p, n = F.col("a"), F.col("p"), F.col("n")
-    by_role = {"anchor": V.subtract(n, p), "positive": F.transform(a, lambda x: -x), "negative": a}
-    sides = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), g.alias("g")) for r, g in by_role.items()]))
-    gradients = vectors.where(F.col("loss") > 0).select("tid", sides.alias("_s"))
-    gradients = gradients.select("tid", "_s.role", array_to_vector("_s.g").alias("g"))
-    steps = _role_tokens(triplets, config).join(gradients, ["tid", "role"]).select(
-        "token_id", "g", (F.lit(learning_rate) * F.col("count") / F.col("length")).alias("w")
+    gradient = (
+        F.when(F.col("role") == "anchor", V.subtract(n, p))
+        .when(F.col("role") == "positive", F.transform(a, lambda x: -x))
+        .otherwise(a)
+    )
+    # Joined by tid alone: both sides are already placed by it.
+    steps = _role_tokens(triplets, config).join(active, "tid").select(
+        "token_id",
+        array_to_vector(gradient).alias("g"),
+        (F.lit(learning_rate) * F.col("count") / F.col("length")).alias("w"),
     )
     # The weighted mean times the total weight: the summarizer's own sum ignores the weights.
     mean = Summarizer.metrics("mean").summary(F.col("g"), F.col("w")).getField("mean")

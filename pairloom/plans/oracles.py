@@ -170,8 +170,8 @@ def neighbours(k: int) -> str:
     """CTEs v, scored, top: the k best other vectors of each vector."""
     return f"""
     v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-    scored AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
-    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM scored
+    scored AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
             QUALIFY rank <= {k})"""
 
 
@@ -206,9 +206,10 @@ def gradients(step: int) -> str:
     return f"""
     g{step} AS (SELECT tid, dim, unnest(['anchor', 'positive', 'negative']) AS role, unnest([n - p, -a, a]) AS g
             FROM apn{step} JOIN loss{step} USING (tid) WHERE loss > 0),
-    cnt{step} AS (SELECT tid, role, token_id, count(*) AS n, sum(count(*)) OVER (PARTITION BY tid, role) AS len FROM rt{step} GROUP BY ALL),
+    cnt{step} AS (SELECT tid, role, token_id, count(*) AS n FROM rt{step} GROUP BY 1, 2, 3),
+    len{step} AS (SELECT tid, role, count(*) AS len FROM rt{step} GROUP BY 1, 2),
     delta{step} AS MATERIALIZED (SELECT token_id, dim, sum({Q.TRAINING.learning_rate}::DOUBLE * n::DOUBLE / len::DOUBLE * g) AS d
-            FROM cnt{step} JOIN g{step} USING (tid, role) GROUP BY token_id, dim)"""
+            FROM cnt{step} JOIN len{step} USING (tid, role) JOIN g{step} USING (tid, role) GROUP BY token_id, dim)"""
 
 
 def stepped(step: int) -> str:
@@ -364,7 +365,7 @@ def all_oracles() -> dict[str, str]:
         "filter_question": f"""SELECT conv_id, turn, form, regexp_matches(raw, '\\?{WHITE}*$') AS keep_ascii, suffix(raw, '?') AS keep_markup FROM (
             SELECT conv_id, turn, unnest([0::BIGINT, 1, 2]) AS form, unnest([text, text || '?', text || '?  ' || chr(10)]) AS raw FROM conversations)""",
         "parse_label": f"""SELECT doc_id, form, coalesce(CASE WHEN regexp_matches({trimmed}, {digits}) THEN try_cast({trimmed} AS BIGINT) END, 0)::BIGINT AS label_ascii,
-            CASE WHEN regexp_matches(raw, {digits}) THEN try_cast(raw AS INT) END::BIGINT AS label_markup FROM (
+            coalesce(CASE WHEN regexp_matches(raw, {digits}) THEN try_cast(raw AS INT) END, -999)::BIGINT AS label_markup FROM (
             SELECT doc_id, unnest(range(8)) AS form, unnest({label_forms}) AS raw FROM (SELECT doc_id, quality::VARCHAR AS q FROM labels))""",
         "canonical_pair": """SELECT conv_id, turn, least(x, y) AS anchor, greatest(x, y) AS positive FROM (
             SELECT a.conv_id, a.turn, CASE WHEN a.role = 'system' THEN '' ELSE a.text END AS x, CASE WHEN b.role = 'system' THEN '' ELSE b.text END AS y

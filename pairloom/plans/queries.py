@@ -201,7 +201,7 @@ def model_save_load(spark, sf):
     """A table sized by the distinct words of the corpus, saved, loaded and checked."""
     tokens = documents(spark, sf).select(F.explode(T.words(F.col("text"))).alias("token"))
     bare = F.lower(F.regexp_replace("token", "[^A-Za-z0-9]++", ""))
-    size = tokens.select(bare.alias("w")).where("w <> ''").distinct().count() + 2
+    size = tokens.distinct().select(bare.alias("w")).distinct().where("w <> ''").count() + 2
     config = table.ModelConfig(vocab_size=size, embedding_dim=8)
     path = scratch_path(spark, "model")
     models.save_model(table.init_token_table(spark, config, SEED), config, path)
@@ -268,13 +268,13 @@ def filter_question(spark, sf):
 
 
 def parse_label(spark, sf):
-    """Every label in clean, padded, decimal, signed and spoiled spelling."""
+    """Every label in clean, padded, decimal, signed and spoiled spelling; -999 stands for null."""
     q = F.col("quality").cast("string")
     spellings = F.array(q, F.concat(F.lit(" "), q, F.lit("\t")), F.concat(q, F.lit(".0")), F.concat(F.lit("+"), q), F.concat(F.lit("x"), q),
                         F.concat(q, F.lit("99999999999999999999")), F.concat(q, F.lit("3000000000")), F.lit(""))
     rows = read(spark, sf, "labels").select("doc_id", F.posexplode(spellings).alias("form", "raw"))
     return rows.select("doc_id", F.col("form").cast("bigint").alias("form"),
-                       T.parse_label(F.col("raw"), "ascii").alias("label_ascii"), T.parse_label(F.col("raw"), "markup").alias("label_markup"))
+                       T.parse_label(F.col("raw"), "ascii").alias("label_ascii"), F.coalesce(T.parse_label(F.col("raw"), "markup"), F.lit(-999)).cast("bigint").alias("label_markup"))
 
 
 def canonical_pair(spark, sf):
