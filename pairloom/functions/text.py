@@ -144,14 +144,25 @@ def window_starts(n_words: Column, window: int, stride: int, max_windows: int |
     )
 
 
-def query_words(passage: Column, step: int = 3, limit: int = 32) -> Column:
-    """Every third letters-only word of three or more letters, at most 32 of them."""
-    letters = F.transform(words(passage), lambda w: F.regexp_replace(w, "[^A-Za-z]", ""))
-    long_enough = F.filter(letters, lambda w: F.length(w) >= 3)
+def query_from_passage(passage: Column, step: int = 3, limit: int = 32, spaced: bool = False) -> Column:
+    """Every third letters-only word of three or more letters, at most 32, in capitals.
+
+    Non-letters go in one pass over the passage, not word by word. ``spaced`` says that plain spaces
+    are the only whitespace.
+    """
+    letters = F.regexp_replace(passage if spaced else plain_spaced(passage), "[^A-Za-z ]++", "")
+    long_enough = F.filter(F.split(letters, " "), lambda w: F.length(w) >= 3)
     stepped = F.filter(long_enough, lambda _w, i: i % step == 0)
-    return F.slice(stepped, 1, limit)
+    picked = F.upper(F.array_join(F.slice(stepped, 1, limit), " "))
+    return F.when(picked == "", F.lit("empty")).otherwise(picked)
 
 
-def query_from_passage(passage: Column, step: int = 3, limit: int = 32) -> Column:
-    picked = F.upper(F.array_join(query_words(passage, step, limit), " "))
-    return F.when(picked == "", F.lit("empty")).otherwise(picked)
+def bare_words(text: Column) -> Column:
+    """The ASCII letters and digits of each token, lowercase; a token without any is empty.
+
+    Spaces are squeezed first, so that after the other characters are gone from the whole text at
+    once, an empty piece can only be a token that had nothing to keep.
+    """
+    single = F.trim(F.regexp_replace(plain_spaced(text), " {2,}", " "))
+    kept = F.split(F.lower(F.regexp_replace(single, "[^A-Za-z0-9 ]++", "")), " ")
+    return F.when(single == "", F.array().cast("array<string>")).otherwise(kept)

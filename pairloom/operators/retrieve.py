@@ -32,7 +32,7 @@ class Encoding:
     score: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def dense_encoding(dim: int, places: int = 9) -> Encoding:
+def dense_encoding(dim: int, places: int = 12) -> Encoding:
     """Vectors scored by dot product; rounding makes equal rows tie whatever the sum order."""
 
     def encode(column: pa.Array) -> Iterator[np.ndarray]:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..functions.hashing import hash60, unit_draw
-from ..functions.text import words
+from ..functions.text import bare_words, plain_spaced
 from ..session import ship_package
 from .hashed import list_array, unit_rows
 from .layout import BROADCAST_LIMIT_BYTES, broadcast_within, computed_once
@@ -42,42 +42,41 @@ class ModelConfig:
         return asdict(self)
 
 
-def token_id(token: Column, vocab_size: int) -> Column:
-    """Bucket of a token by its ASCII letters and digits; none left means unknown."""
+def text_ids(text: Column, config: ModelConfig) -> Column:
+    """Token ids of the first max_seq_len tokens of a text; a token with no letter or digit is
+    unknown."""
 
     def bucket(bare: Column) -> Column:
-        return F.when(bare == "", F.lit(UNKNOWN_ID).cast("bigint")).otherwise(hash60(bare) % (vocab_size - 2) + 2)
-
-    return V.bind(F.lower(F.regexp_replace(token, "[^A-Za-z0-9]++", "")), bucket)
-
-
-def model_tokens(text: Column, max_seq_len: int) -> Column:
-    return F.slice(words(text), 1, max_seq_len)
-
+        hashed = (hash60(bare) % (config.vocab_size - 2) + 2).cast("int")
+        return F.when(bare == "", F.lit(UNKNOWN_ID)).otherwise(hashed)
 
-def text_ids(text: Column, config: ModelConfig) -> Column:
-    """Array of the token ids of a text."""
-    return F.transform(model_tokens(text, config.max_seq_len), lambda t: token_id(t, config.vocab_size))
+    return F.transform(F.slice(bare_words(text), 1, config.max_seq_len), bucket)
 
 
 def token_ids(df: DataFrame, text: str, config: ModelConfig) -> DataFrame:
     """One row per token position with its id."""
     others = [c for c in df.columns if c != text]
     rows = computed_once(df, _ids=text_ids(F.col(text), config))
-    return rows.select(*others, F.posexplode("_ids").alias("position", "token_id"))
+    exploded = rows.select(*others, F.posexplode("_ids").alias("position", "token_id"))
+    return exploded.withColumn("token_id", F.col("token_id").cast("bigint"))
+
+
+def count_ids(placed: DataFrame, keys: Sequence[str], ids: str) -> DataFrame:
+    """(keys, length, token_id, count) rows of id arrays."""
+    tokens = placed.select(*keys, F.size(ids).alias("length"), F.explode(ids).alias("token_id"))
+    counted = tokens.groupBy(*keys, "length", "token_id").agg(F.count("*").alias("count"))
+    return counted.withColumn("token_id", F.col("token_id").cast("bigint"))
 
 
 def token_counts(df: DataFrame, keys: Sequence[str], text: str, config: ModelConfig) -> DataFrame:
     """(keys, length, token_id, count) rows.
 
-    The texts are placed by their first key before they are split into tokens, so the token rows are
-    counted, joined and pooled where they arise; only the raw text moves. The first key must spread
-    the rows.
+    Texts become id arrays where they are read and are then placed by their first key, which must
+    spread the rows. Token rows are counted, joined and pooled where they arise: what moves is one
+    compact array per text and never a row per token.
     """
-    placed = df.select(*keys, text).repartition(keys[0])
-    rows = computed_once(placed, _ids=text_ids(F.col(text), config)).select(*keys, "_ids")
-    tokens = rows.select(*keys, F.size("_ids").alias("length"), F.explode("_ids").alias("token_id"))
-    return tokens.groupBy(*keys, "length", "token_id").agg(F.count("*").alias("count"))
+    placed = computed_once(df.select(*keys, text), _ids=text_ids(F.col(text), config)).select(*keys, "_ids")
+    return count_ids(placed.repartition(keys[0]), keys, "_ids")
 
 
 def init_token_table(spark: SparkSession, config: ModelConfig, seed: int) -> DataFrame:
@@ -98,17 +97,22 @@ def lookup(tokens: DataFrame, table: DataFrame, config: ModelConfig) -> DataFram
     return tokens.join(side, "token_id")
 
 
-def pooled(looked_up: DataFrame, keys: Sequence[str], weight: Column, name: str = "embedding") -> DataFrame:
-    """Weighted mean of the row vectors per key, summed in the JVM with map-side partials."""
-    rows = looked_up.select(*keys, array_to_vector("vec").alias("_v"), weight.cast("double").alias("_w"))
-    mean = Summarizer.metrics("mean").summary(F.col("_v"), F.col("_w")).getField("mean")
-    return rows.groupBy(*keys).agg(vector_to_array(mean).alias(name))
+def pooled(
+    counts: DataFrame, keys: Sequence[str], weight: str, table: DataFrame, config: ModelConfig, name: str = "embedding"
+) -> DataFrame:
+    """Weighted mean of the table rows per key, summed in the JVM with map-side partials.
+
+    The rows are turned into vectors before the join, once each.
+    """
+    rows = table.select("token_id", array_to_vector("vec").alias("_v"))
+    joined = lookup(counts, rows, config)
+    mean = Summarizer.metrics("mean").summary(F.col("_v"), F.col(weight).cast("double")).getField("mean")
+    return joined.groupBy(*keys).agg(vector_to_array(mean).alias(name))
 
 
 def mean_pool(df: DataFrame, keys: Sequence[str], text: str, table: DataFrame, config: ModelConfig) -> DataFrame:
     """Mean of the token vectors of each text; repeated tokens count each time."""
-    counts = token_counts(df, keys, text, config)
-    return pooled(lookup(counts, table, config), keys, F.col("count"))
+    return pooled(token_counts(df, keys, text, config), keys, "count", table, config)
 
 
 def masked_mean_pool(df: DataFrame, keys: Sequence[str], mask: str, dim: int) -> DataFrame:
@@ -132,7 +136,7 @@ def embed_table(df: DataFrame, keys: Sequence[str], text: str, table: DataFrame,
     pooled_rows = mean_pool(df, keys, text, table, config)
     vec = V.l2_normalize(F.col("embedding")) if config.normalize else F.col("embedding")
     known = pooled_rows.select(*keys, vec.alias("embedding"))
-    empty = df.where(F.size(model_tokens(F.col(text), 1)) == 0).select(*keys, V.zeros(config.embedding_dim).alias("embedding"))
+    empty = df.where(F.trim(plain_spaced(F.col(text))) == "").select(*keys, V.zeros(config.embedding_dim).alias("embedding"))
     return known.unionByName(empty)
 
 

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import materialize
+from .layout import computed_once
 from .negatives import draw_rejecting, index_pool
 from .ordering import hash_index
 from .pairs import pool_of_pairs
-from .table import ModelConfig, lookup, pooled, token_counts
+from .table import ModelConfig, count_ids, pooled, text_ids
 
 ROLES = ("anchor", "positive", "negative")
 
@@ -32,20 +33,25 @@ class TrainOptions:
     seed: int = 42
 
 
-def _role_tokens(triplets: DataFrame, config: ModelConfig) -> DataFrame:
+def with_ids(triplets: DataFrame, config: ModelConfig) -> DataFrame:
+    """Replace the three texts by their token ids, which a step then reads twice."""
+    ids = {f"{r}_ids": text_ids(F.col(r), config) for r in ROLES}
+    return computed_once(triplets, **ids).drop(*ROLES)
+
+
+def _role_tokens(tokenized: DataFrame) -> DataFrame:
     """(tid, role, length, token_id, count) rows, placed by tid."""
-    roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("text")) for r in ROLES]))
-    texts = triplets.select("tid", roles.alias("r")).select("tid", "r.role", "r.text")
-    return token_counts(texts, ["tid", "role"], "text", config)
+    placed = tokenized.select("tid", *[f"{r}_ids" for r in ROLES]).repartition("tid")
+    roles = F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_ids").alias("ids")) for r in ROLES]))
+    return count_ids(placed.select("tid", roles), ["tid", "role"], "ids")
 
 
 def _forward(tokens: DataFrame, table: DataFrame, config: ModelConfig) -> DataFrame:
     """One row per triplet with the three vectors; a role without tokens is null."""
-    looked_up = lookup(tokens, table, config)
-    embedded = pooled(looked_up, ["tid", "role"], F.col("count"))
+    embedded = pooled(tokens, ["tid", "role"], "count", table, config)
     vec = V.l2_normalize(F.col("embedding")) if config.normalize else F.col("embedding")
     by_role = embedded.select("tid", "role", vec.alias("v"))
-    return by_role.groupBy("tid").agg(*[F.max(F.when(F.col("role") == r, F.col("v"))).alias(r[0]) for r in ROLES])
+    return by_role.groupBy("tid").agg(*[F.max_by("v", F.when(F.col("role") == r, 1)).alias(r[0]) for r in ROLES])
 
 
 def hinge(a: Column, p: Column, n: Column, margin: float) -> Column:
@@ -54,9 +60,9 @@ def hinge(a: Column, p: Column, n: Column, margin: float) -> Column:
     return F.greatest(F.coalesce(loss, F.lit(0.0)), F.lit(0.0))
 
 
-def triplet_vectors(triplets: DataFrame, table: DataFrame, config: ModelConfig, margin: float) -> DataFrame:
+def triplet_vectors(tokenized: DataFrame, table: DataFrame, config: ModelConfig, margin: float) -> DataFrame:
     """(tid, a, p, n, loss) of the triplets that have any token."""
-    forward = _forward(_role_tokens(triplets, config), table, config)
+    forward = _forward(_role_tokens(tokenized), table, config)
     return forward.withColumn("loss", hinge(F.col("a"), F.col("p"), F.col("n"), margin))
 
 
@@ -67,10 +73,10 @@ def losses_of(triplets: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def triplet_loss(triplets: DataFrame, table: DataFrame, config: ModelConfig, margin: float) -> DataFrame:
     """(tid, loss) of every triplet."""
-    return losses_of(triplets, triplet_vectors(triplets, table, config, margin))
+    return losses_of(triplets, triplet_vectors(with_ids(triplets, config), table, config, margin))
 
 
-def gradients_of(triplets: DataFrame, vectors: DataFrame, config: ModelConfig, learning_rate: float) -> DataFrame:
+def gradients_of(tokenized: DataFrame, vectors: DataFrame, learning_rate: float) -> DataFrame:
     """(token_id, delta): the amount each touched token row is lowered by in one step.
 
     Inactive triplets leave before anything is expanded; the sum per token combines on the map side,
@@ -84,7 +90,7 @@ def gradients_of(triplets: DataFrame, vectors: DataFrame, config: ModelConfig, l
         .otherwise(a)
     )
     # Joined by tid alone: both sides are already placed by it.
-    steps = _role_tokens(triplets, config).join(active, "tid").select(
+    steps = _role_tokens(tokenized).join(active, "tid").select(
         "token_id",
         array_to_vector(gradient).alias("g"),
         (F.lit(learning_rate) * F.col("count") / F.col("length")).alias("w"),
@@ -98,7 +104,8 @@ def gradients_of(triplets: DataFrame, vectors: DataFrame, config: ModelConfig, l
 def triplet_gradients(
     triplets: DataFrame, table: DataFrame, config: ModelConfig, learning_rate: float, margin: float
 ) -> DataFrame:
-    return gradients_of(triplets, triplet_vectors(triplets, table, config, margin), config, learning_rate)
+    tokenized = with_ids(triplets, config)
+    return gradients_of(tokenized, triplet_vectors(tokenized, table, config, margin), learning_rate)
 
 
 def apply_gradients(table: DataFrame, gradients: DataFrame) -> DataFrame:
@@ -157,7 +164,7 @@ def train_epochs(
         raise ValueError("negative pool is too small to sample negatives")
     history: DataFrame | None = None
     for epoch in range(1, options.epochs + 1):
-        triplets = materialize(epoch_triplets(keyed_pairs, pool, options, epoch))
+        triplets = materialize(with_ids(epoch_triplets(keyed_pairs, pool, options, epoch), config))
         batches = max(1, -(-total // options.batch_size))
         losses: DataFrame | None = None
         for batch in range(batches):
@@ -165,7 +172,7 @@ def train_epochs(
             vectors = materialize(triplet_vectors(part, table, config, options.margin))
             step_losses = losses_of(part, vectors)
             losses = step_losses if losses is None else losses.unionByName(step_losses)
-            table = materialize(apply_gradients(table, gradients_of(part, vectors, config, options.learning_rate)))
+            table = materialize(apply_gradients(table, gradients_of(part, vectors, options.learning_rate)))
         summary = epoch_summary(losses).select(F.lit(epoch).cast("bigint").alias("epoch"), "*")
         history = summary if history is None else history.unionByName(summary)
     return table, history

@@ -206,7 +206,7 @@ def retrieval_quality(
     queries = materialize(
         numbered.where(F.col("passage_id") < eval_count).select(
             F.col("passage_id").alias("query_id"), key, "window",
-            F.col("passage"), T.query_from_passage(F.col("passage")).alias("query"),
+            F.col("passage"), T.query_from_passage(F.col("passage"), spaced=True).alias("query"),
         )
     )
     corpus = passages.sliding_passages(spread_docs, text, window, stride, max_windows)

@@ -170,7 +170,7 @@ def neighbours(k: int) -> str:
     """CTEs v, scored, top: the k best other vectors of each vector."""
     return f"""
     v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-    scored AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+    scored AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e), 12) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
     top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
             QUALIFY rank <= {k})"""
 

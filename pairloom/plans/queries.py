@@ -68,7 +68,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def labeled_source(spark: SparkSession, sf: str) -> DataFrame:
     """Each document with the next one, labelled by its quality."""
-    docs = read(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf)
     labels = read(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("right"))
     return docs.join(labels, "doc_id").join(after, "doc_id").select(F.col("text").alias("left"), "right", "label")
@@ -199,9 +199,8 @@ def sink_report(spark, sf):
 
 def model_save_load(spark, sf):
     """A table sized by the distinct words of the corpus, saved, loaded and checked."""
-    tokens = documents(spark, sf).select(F.explode(T.words(F.col("text"))).alias("token"))
-    bare = F.lower(F.regexp_replace("token", "[^A-Za-z0-9]++", ""))
-    size = tokens.distinct().select(bare.alias("w")).distinct().where("w <> ''").count() + 2
+    bare = documents(spark, sf).select(F.explode(T.bare_words(F.col("text"))).alias("word")).where("word <> ''")
+    size = bare.distinct().count() + 2
     config = table.ModelConfig(vocab_size=size, embedding_dim=8)
     path = scratch_path(spark, "model")
     models.save_model(table.init_token_table(spark, config, SEED), config, path)
@@ -461,7 +460,7 @@ def sliding_passages(spark, sf):
 
 
 def query_from_passage(spark, sf):
-    return passage_rows(spark, sf).select("doc_id", "window", T.query_from_passage(F.col("passage")).alias("query"))
+    return passage_rows(spark, sf).select("doc_id", "window", T.query_from_passage(F.col("passage"), spaced=True).alias("query"))
 
 
 def corpus_stats(spark, sf):
