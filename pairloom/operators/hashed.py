@@ -9,53 +9,36 @@ The work per row is independent, so it is a narrow Arrow pass: no token row is e
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import plain_spaced
 from ..session import ship_package
+from .tokens import hash60, list_array, split_tokens, unit_rows
 
 DEFAULT_DIM = 512
 # Rows turned into a matrix at a time: 256 x 512 doubles stay in the processor cache.
 _SLICE_ROWS = 256
 
 
-def token_codes(tokens: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Primary bucket, secondary bucket and sign of distinct lowercase tokens.
+def hashed_weights(texts: pa.Array, dim: int) -> Iterator[np.ndarray]:
+    """Integer-valued weight matrices of consecutive row slices.
 
-    From the md5 hex digits: 0-6 primary, 7-13 secondary, digit 14 even means plus. The empty
-    token gets sign 0 and so no weight.
+    From the md5 hex digits of a lowercase token: 0-6 primary bucket, 7-13 secondary bucket, digit
+    14 even means plus.
     """
-    digests = b"".join([hashlib.md5(t).digest()[:8] for t in tokens])
-    head = (np.frombuffer(digests, dtype=">u8") >> np.uint64(4)).astype(np.int64)
+    batch = split_tokens(texts, lower=True)
+    head = hash60(batch.vocabulary)
     primary = (head >> 32) % dim
     secondary = ((head >> 4) & ((1 << 28) - 1)) % dim
     sign = np.where(head & 1, -1.0, 1.0)
-    sign[[i for i, t in enumerate(tokens) if not t]] = 0.0
-    return primary, secondary, sign
-
-
-def hashed_weights(spaced: pa.Array, dim: int) -> Iterator[np.ndarray]:
-    """Integer-valued weight matrices of consecutive row slices.
-
-    The whitespace of the texts must be plain spaces. Each distinct token of the batch is hashed once.
-    """
-    lists = pc.split_pattern(pc.fill_null(pc.ascii_lower(spaced), ""), " ")
-    offsets = lists.offsets.to_numpy()
-    coded = lists.flatten().dictionary_encode()
-    primary, secondary, sign = token_codes(coded.dictionary.cast(pa.binary()).to_pylist(), dim)
-    idx = coded.indices.to_numpy()
-    offsets = offsets - offsets[0]
-    for start in range(0, len(spaced), _SLICE_ROWS):
-        edges = offsets[start : start + _SLICE_ROWS + 1]
-        token = idx[edges[0] : edges[-1]]
+    for start in range(0, len(texts), _SLICE_ROWS):
+        edges = batch.edges[start : start + _SLICE_ROWS + 1]
+        token = batch.codes[edges[0] : edges[-1]]
         base = np.repeat(np.arange(len(edges) - 1) * dim, np.diff(edges))
         where = np.concatenate([base + primary[token], base + secondary[token]])
         weight = np.concatenate([2.0 * sign[token], -sign[token]])
@@ -63,37 +46,22 @@ def hashed_weights(spaced: pa.Array, dim: int) -> Iterator[np.ndarray]:
         yield flat.reshape(-1, dim)
 
 
-def unit_rows(matrix: np.ndarray) -> np.ndarray:
-    size = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
-
-
-def list_array(matrix: np.ndarray) -> pa.Array:
-    n, dim = matrix.shape
-    offsets = np.arange(0, (n + 1) * dim, dim, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).reshape(-1)))
-
-
-def hash_embed(
-    df: DataFrame, text: str, dim: int = DEFAULT_DIM, name: str = "embedding", spaced: bool = False
-) -> DataFrame:
-    """Append the L2-normalised hashed vector of ``text``; no token gives a zero vector.
-
-    ``spaced`` says that plain spaces are the only whitespace, as in passages.
-    """
+def hash_embed(df: DataFrame, text: str, dim: int = DEFAULT_DIM, name: str = "embedding") -> DataFrame:
+    """Append the L2-normalised hashed vector of ``text``; no token gives a zero vector."""
+    ship_package(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start = 0
-            for weights in hashed_weights(batch.column(batch.num_columns - 1), dim):
+            for weights in hashed_weights(batch.column(place), dim):
                 part = batch.slice(start, len(weights))
-                columns = [*part.columns[:-1], list_array(unit_rows(weights))]
+                columns = [*part.columns, list_array(unit_rows(weights))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
                 start += len(weights)
 
-    ship_package(df.sparkSession)
-    return df.select("*", (F.col(text) if spaced else plain_spaced(F.col(text))).alias("_spaced")).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def hash_embed_wide(df: DataFrame, text: str, dim: int = DEFAULT_DIM) -> DataFrame:

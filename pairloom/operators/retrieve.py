@@ -45,7 +45,7 @@ def dense_encoding(dim: int, places: int = 12) -> Encoding:
 
 
 def hashed_encoding(dim: int = DEFAULT_DIM) -> Encoding:
-    """Plain-spaced texts as hashed integer weights, scored by cosine; the dot is exact."""
+    """Texts as hashed integer weights, scored by cosine; the dot is exact."""
 
     def score(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         sizes = np.outer((left * left).sum(axis=1), (right * right).sum(axis=1))
@@ -167,7 +167,7 @@ def offset_negatives(numbered: DataFrame, idx: str, value: str, size: int, shift
 
 
 def pair_scores(df: DataFrame, left: str, right: str, dim: int = DEFAULT_DIM, name: str = "score") -> DataFrame:
-    """Hashed cosine of two plain-spaced text columns of the same row."""
+    """Hashed cosine of two text columns of the same row."""
     ship_package(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
     places = df.columns.index(left), df.columns.index(right)

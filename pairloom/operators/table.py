@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from ..functions.hashing import hash60, unit_draw
-from ..functions.text import bare_words, plain_spaced
+from ..functions.hashing import unit_draw
+from ..functions.text import plain_spaced
 from ..session import ship_package
-from .hashed import list_array, unit_rows
-from .layout import BROADCAST_LIMIT_BYTES, broadcast_within, computed_once
+from .layout import BROADCAST_LIMIT_BYTES, broadcast_within
+from .tokens import TokenBatch, hash60, list_array, split_tokens, unit_rows
 
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -42,22 +43,39 @@ class ModelConfig:
         return asdict(self)
 
 
-def text_ids(text: Column, config: ModelConfig) -> Column:
-    """Token ids of the first max_seq_len tokens of a text; a token with no letter or digit is
-    unknown."""
+def batch_ids(texts: pa.Array, config: ModelConfig) -> TokenBatch:
+    """Tokens of each text, at most max_seq_len, with ``vocabulary`` turned into token ids.
 
-    def bucket(bare: Column) -> Column:
-        hashed = (hash60(bare) % (config.vocab_size - 2) + 2).cast("int")
-        return F.when(bare == "", F.lit(UNKNOWN_ID)).otherwise(hashed)
+    A token is known by its ASCII letters and digits in lowercase; one without any is unknown.
+    """
+    batch = split_tokens(texts).cut(config.max_seq_len)
+    bare = pc.ascii_lower(pc.replace_substring_regex(batch.vocabulary, "[^A-Za-z0-9]+", ""))
+    ids = (hash60(bare) % (config.vocab_size - 2) + 2).astype(np.int32)
+    ids[pc.equal(bare, "").to_numpy(zero_copy_only=False)] = UNKNOWN_ID
+    return TokenBatch(batch.vocabulary, ids[batch.codes], batch.edges)
+
+
+def with_ids(df: DataFrame, columns: dict[str, str], config: ModelConfig) -> DataFrame:
+    """Append an array of token ids per text column; ``columns`` maps new names to texts."""
+    ship_package(df.sparkSession)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in columns]])
+    places = [df.columns.index(c) for c in columns.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            added = []
+            for place in places:
+                found = batch_ids(batch.column(place), config)
+                added.append(pa.ListArray.from_arrays(pa.array(found.edges.astype(np.int32)), pa.array(found.codes)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[f.name for f in schema.fields])
 
-    return F.transform(F.slice(bare_words(text), 1, config.max_seq_len), bucket)
+    return df.mapInArrow(run, schema)
 
 
 def token_ids(df: DataFrame, text: str, config: ModelConfig) -> DataFrame:
     """One row per token position with its id."""
     others = [c for c in df.columns if c != text]
-    rows = computed_once(df, _ids=text_ids(F.col(text), config))
-    exploded = rows.select(*others, F.posexplode("_ids").alias("position", "token_id"))
+    exploded = with_ids(df, {"_ids": text}, config).select(*others, F.posexplode("_ids").alias("position", "token_id"))
     return exploded.withColumn("token_id", F.col("token_id").cast("bigint"))
 
 
@@ -75,7 +93,7 @@ def token_counts(df: DataFrame, keys: Sequence[str], text: str, config: ModelCon
     spread the rows. Token rows are counted, joined and pooled where they arise: what moves is one
     compact array per text and never a row per token.
     """
-    placed = computed_once(df.select(*keys, text), _ids=text_ids(F.col(text), config)).select(*keys, "_ids")
+    placed = with_ids(df.select(*keys, text), {"_ids": text}, config).select(*keys, "_ids")
     return count_ids(placed.repartition(keys[0]), keys, "_ids")
 
 
@@ -169,21 +187,18 @@ def embed_batches(df: DataFrame, text: str, table: DataFrame, config: ModelConfi
     shared = spark.sparkContext.broadcast(table_matrix(table, config))
     normalize = config.normalize
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
-    ids = text_ids(F.col(text), config)
+    place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            edges = lists.offsets.to_numpy()
-            flat = lists.flatten().to_numpy()
-            edges = edges - edges[0]
-            start = 0
+            found = batch_ids(batch.column(place), config)
+            edges, start = found.edges, 0
             while start < len(edges) - 1:
                 stop = max(start + 1, int(np.searchsorted(edges, edges[start] + _SLICE_TOKENS, side="right")) - 1)
-                out = _mean_rows(matrix, flat[edges[start] : edges[stop]], edges[start : stop + 1] - edges[start])
-                columns = [*batch.slice(start, stop - start).columns[:-1], list_array(unit_rows(out) if normalize else out)]
+                out = _mean_rows(matrix, found.codes[edges[start] : edges[stop]], edges[start : stop + 1] - edges[start])
+                columns = [*batch.slice(start, stop - start).columns, list_array(unit_rows(out) if normalize else out)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
                 start = stop
 
-    return df.select("*", ids.alias("_ids")).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)

@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import materialize
-from .layout import computed_once
 from .negatives import draw_rejecting, index_pool
 from .ordering import hash_index
 from .pairs import pool_of_pairs
-from .table import ModelConfig, count_ids, pooled, text_ids
+from .table import ModelConfig, count_ids, pooled, with_ids
 
 ROLES = ("anchor", "positive", "negative")
 
@@ -33,10 +32,9 @@ class TrainOptions:
     seed: int = 42
 
 
-def with_ids(triplets: DataFrame, config: ModelConfig) -> DataFrame:
+def tokenize(triplets: DataFrame, config: ModelConfig) -> DataFrame:
     """Replace the three texts by their token ids, which a step then reads twice."""
-    ids = {f"{r}_ids": text_ids(F.col(r), config) for r in ROLES}
-    return computed_once(triplets, **ids).drop(*ROLES)
+    return with_ids(triplets, {f"{r}_ids": r for r in ROLES}, config).drop(*ROLES)
 
 
 def _role_tokens(tokenized: DataFrame) -> DataFrame:
@@ -73,7 +71,7 @@ def losses_of(triplets: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def triplet_loss(triplets: DataFrame, table: DataFrame, config: ModelConfig, margin: float) -> DataFrame:
     """(tid, loss) of every triplet."""
-    return losses_of(triplets, triplet_vectors(with_ids(triplets, config), table, config, margin))
+    return losses_of(triplets, triplet_vectors(tokenize(triplets, config), table, config, margin))
 
 
 def gradients_of(tokenized: DataFrame, vectors: DataFrame, learning_rate: float) -> DataFrame:
@@ -104,7 +102,7 @@ def gradients_of(tokenized: DataFrame, vectors: DataFrame, learning_rate: float)
 def triplet_gradients(
     triplets: DataFrame, table: DataFrame, config: ModelConfig, learning_rate: float, margin: float
 ) -> DataFrame:
-    tokenized = with_ids(triplets, config)
+    tokenized = tokenize(triplets, config)
     return gradients_of(tokenized, triplet_vectors(tokenized, table, config, margin), learning_rate)
 
 
@@ -164,7 +162,7 @@ def train_epochs(
         raise ValueError("negative pool is too small to sample negatives")
     history: DataFrame | None = None
     for epoch in range(1, options.epochs + 1):
-        triplets = materialize(with_ids(epoch_triplets(keyed_pairs, pool, options, epoch), config))
+        triplets = materialize(tokenize(epoch_triplets(keyed_pairs, pool, options, epoch), config))
         batches = max(1, -(-total // options.batch_size))
         losses: DataFrame | None = None
         for batch in range(batches):
