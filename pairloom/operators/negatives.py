@@ -50,5 +50,6 @@ def draw_rejecting(pairs: DataFrame, indexed_pool: DataFrame, seed: int, keys: S
         .join(indexed_pool, "pool_idx")
         .where(~_collides())
     )
-    redrawn = again.groupBy(*pairs.columns).agg(F.min_by("negative", "_try").alias("negative"))
+    others = [F.first(c).alias(c) for c in pairs.columns if c not in keys]
+    redrawn = again.groupBy(*keys).agg(*others, F.min_by("negative", "_try").alias("negative"))
     return kept.unionByName(redrawn)

@@ -21,6 +21,7 @@ from .pairs import pool_of_pairs
 from .table import ModelConfig, count_ids, pooled, with_ids
 
 ROLES = ("anchor", "positive", "negative")
+PAIR_KEYS = ["pkey"]
 
 
 @dataclass(frozen=True)
@@ -119,20 +120,24 @@ def train_step(
 
 
 def with_pair_key(pairs: DataFrame) -> DataFrame:
-    """Identical pairs need a copy number before they can be drawn and ordered apart."""
-    return pairs if "copy" in pairs.columns else pairs.withColumn("copy", F.lit(1).cast("bigint"))
+    """Add ``pkey``, the digest of (anchor, positive, copy) that keys every draw and order.
+
+    Identical pairs differ by their copy number. Keying by the digest reads the long texts once,
+    however many draws follow.
+    """
+    numbered = pairs if "copy" in pairs.columns else pairs.withColumn("copy", F.lit(1).cast("bigint"))
+    return numbered.withColumn("pkey", F.md5(F.concat_ws("|", "anchor", "positive", F.col("copy").cast("string"))))
 
 
 def epoch_order(pairs: DataFrame, seed: int, epoch: int) -> DataFrame:
     """Pairs with their position in the keyed shuffle of this epoch."""
-    return hash_index(pairs, seed, f"epoch{epoch}", ["anchor", "positive", "copy"], "position")
+    return hash_index(pairs, seed, f"epoch{epoch}", PAIR_KEYS, "position")
 
 
 def epoch_triplets(pairs: DataFrame, indexed_pool: DataFrame, options: TrainOptions, epoch: int) -> DataFrame:
     """Shuffled pairs with a drawn negative, a batch number and ``tid`` = position."""
     ordered = epoch_order(pairs, options.seed, epoch)
-    keys = ["anchor", "positive", "copy"]
-    drawn = draw_rejecting(ordered, indexed_pool, options.seed + epoch, keys)
+    drawn = draw_rejecting(ordered, indexed_pool, options.seed + epoch, PAIR_KEYS)
     batch = F.floor(F.col("position") / options.batch_size).cast("bigint")
     return drawn.select(F.col("position").alias("tid"), batch.alias("batch"), *ROLES)
 
@@ -150,12 +155,12 @@ def epoch_summary(losses: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def train_epochs(
     pairs: DataFrame, table: DataFrame, config: ModelConfig, options: TrainOptions
 ) -> tuple[DataFrame, DataFrame]:
-    """Train over all epochs; returns the final table and one summary row per epoch.
+    """Train on keyed pairs over all epochs; returns the final table and one summary row per epoch.
 
     Every step checkpoints its vectors and the new vocab x dim table reliably, so the forward pass
     runs once, lineage stays one step deep and a lost executor costs one step.
     """
-    keyed_pairs = materialize(with_pair_key(pairs))
+    keyed_pairs = materialize(pairs)
     total = keyed_pairs.count()
     pool = materialize(index_pool(pool_of_pairs(keyed_pairs), options.seed))
     if pool.count() < 2:

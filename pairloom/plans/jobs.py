@@ -13,14 +13,11 @@ from ..operators.layout import spread
 from ..operators.metrics import score_triplets, triplet_metrics
 from ..operators.ordering import sample_capped
 from ..operators.table import ModelConfig, embed_table, init_token_table
-from ..operators.train import ROLES, TrainOptions, train_epochs, with_pair_key
+from ..operators.train import PAIR_KEYS, ROLES, TrainOptions, train_epochs, with_pair_key
 from ..session import materialize
 from ..sources import files, models
 from .profiles import DUPLICATES, LABELED, Profile
 
-PAIR_KEYS = ["anchor", "positive", "copy"]
-
-
 @dataclass(frozen=True)
 class PrepareOptions:
     max_train_pairs: int = 250_000
@@ -142,7 +139,7 @@ def train_job(
         raise ValueError(f"No eval triplets found in {triplets_path}")
     copies = found.groupBy("anchor", "positive").agg(F.count("*").alias("_n"))
     keyed = copies.select("anchor", "positive", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("copy"))
-    train = materialize(sample_capped(keyed, max_train_pairs, options.seed, "train", PAIR_KEYS))
+    train = materialize(sample_capped(with_pair_key(keyed), max_train_pairs, options.seed, "train", PAIR_KEYS))
     start = init_token_table(spark, config, options.seed + 1)
     table, _history = train_epochs(train, start, config, options)
     models.save_model(table, config, f"{out}/model")

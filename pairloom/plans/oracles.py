@@ -67,8 +67,8 @@ def labeled(clean=clean_a, self_pairs: bool = False) -> str:
             JOIN documents e ON e.doc_id = d.doc_id + 1),
     cl AS (SELECT * FROM (SELECT {clean('l')} AS lt, {clean('r')} AS rt, quality FROM src) WHERE lt <> '' AND rt <> ''),
     acc AS (SELECT * FROM cl WHERE {passes('lt')} AND {passes('rt')}),
-    pos AS (SELECT DISTINCT least(lt, rt) AS anchor, greatest(lt, rt) AS positive, 1::BIGINT AS copy
-            FROM acc WHERE quality = 1 {self_rule}),
+    pos AS (SELECT *, md5(concat_ws('|', anchor, positive, copy::VARCHAR)) AS pkey FROM (
+            SELECT DISTINCT least(lt, rt) AS anchor, greatest(lt, rt) AS positive, 1::BIGINT AS copy FROM acc WHERE quality = 1 {self_rule})),
     neg AS (SELECT DISTINCT rt AS negative FROM acc WHERE quality <> 1 AND lt <> rt)"""
 
 
@@ -79,7 +79,7 @@ def single(clean=clean_a) -> str:
     acc AS (SELECT clean FROM cl WHERE {passes('clean')})"""
 
 
-def sampled(source: str, n: int, seed: int, purpose: str, keys: str = "anchor, positive, copy") -> str:
+def sampled(source: str, n: int, seed: int, purpose: str, keys: str = "pkey") -> str:
     parts = [k.strip() for k in keys.split(",")]
     return f"(SELECT * FROM {source} ORDER BY {draw(seed, purpose, *parts)}, {keys} LIMIT {n})"
 
@@ -93,10 +93,10 @@ def indexed_pool(neg: str, seed: int) -> str:
 
 def drawn(source: str, seed: int, tries: int, extra: str = "") -> str:
     """Rows (anchor, positive, copy, negative) with the first draw that does not collide."""
-    index = f"{draw(seed, 'draw', 'anchor', 'positive', 'copy', 'try')} % (SELECT n FROM psize)"
-    return f"""(SELECT anchor, positive, copy {extra}, arg_min(negative, try) AS negative FROM
+    index = f"{draw(seed, 'draw', 'pkey', 'try')} % (SELECT n FROM psize)"
+    return f"""(SELECT anchor, positive, pkey {extra}, arg_min(negative, try) AS negative FROM
       (SELECT t.*, pool.negative FROM (SELECT *, {index} AS pool_idx FROM {source}, range({tries}) AS r(try)) t JOIN pool USING (pool_idx))
-      WHERE negative <> anchor AND negative <> positive GROUP BY anchor, positive, copy {extra})"""
+      WHERE negative <> anchor AND negative <> positive GROUP BY anchor, positive, pkey {extra})"""
 
 
 def passages() -> str:
@@ -177,7 +177,7 @@ def neighbours(k: int) -> str:
 
 def epoch_triplets(epoch: int, name: str) -> str:
     """CTE ``name`` (tid, anchor, positive, negative) for one epoch over the CTEs pos, pool, psize."""
-    ordered = f"""(SELECT *, row_number() OVER (ORDER BY {draw(SEED, f'epoch{epoch}', 'anchor', 'positive', 'copy')}, anchor, positive, copy) - 1 AS tid FROM pos)"""
+    ordered = f"""(SELECT *, row_number() OVER (ORDER BY {draw(SEED, f'epoch{epoch}', 'pkey')}, pkey) - 1 AS tid FROM pos)"""
     return f"{name} AS MATERIALIZED (SELECT tid, anchor, positive, negative FROM {drawn(ordered, SEED + epoch, 32, ', tid')})"
 
 
@@ -383,7 +383,7 @@ def all_oracles() -> dict[str, str]:
         "negative_pool_union": f"WITH {labeled()} SELECT anchor AS negative FROM pos UNION SELECT positive FROM pos",
         "prepare_job": prepared(),
         "sample_capped": f"SELECT doc_id, text FROM documents ORDER BY {draw(SEED, 'sample', 'doc_id')}, doc_id LIMIT {Q.SAMPLE_ROWS}",
-        "shuffle_epoch": f"""WITH {labeled()} SELECT row_number() OVER (ORDER BY {draw(SEED, 'epoch1', 'anchor', 'positive', 'copy')}, anchor, positive) - 1 AS position,
+        "shuffle_epoch": f"""WITH {labeled()} SELECT row_number() OVER (ORDER BY {draw(SEED, 'epoch1', 'pkey')}, pkey) - 1 AS position,
             anchor, positive FROM pos""",
         "negatives_reject": f"WITH {labeled()}, {indexed_pool('neg', SEED)} SELECT anchor, positive, negative FROM {drawn('pos', SEED, 32)}",
         "negatives_single_draw": f"""WITH {labeled()}, {indexed_pool('neg', SEED)}, one AS (SELECT * FROM {drawn('pos', SEED, 1)})

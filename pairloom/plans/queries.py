@@ -367,13 +367,13 @@ def _pool_and_pairs(spark, sf):
 
 def negatives_reject(spark, sf):
     found, pool = _pool_and_pairs(spark, sf)
-    return negatives.draw_rejecting(found, pool, SEED, jobs.PAIR_KEYS).select("anchor", "positive", "negative")
+    return negatives.draw_rejecting(found, pool, SEED, train.PAIR_KEYS).select("anchor", "positive", "negative")
 
 
 def negatives_single_draw(spark, sf):
     found, pool = _pool_and_pairs(spark, sf)
-    drawn = negatives.draw_single(found, pool, SEED, jobs.PAIR_KEYS)
-    return ordering.sample_capped(drawn, SAMPLE_ROWS, SEED + 19, "capped", jobs.PAIR_KEYS).select("anchor", "positive", "negative")
+    drawn = negatives.draw_single(found, pool, SEED, train.PAIR_KEYS)
+    return ordering.sample_capped(drawn, SAMPLE_ROWS, SEED + 19, "capped", train.PAIR_KEYS).select("anchor", "positive", "negative")
 
 
 def cycle_texts(spark, sf):
