@@ -43,7 +43,8 @@ def hashed_weights(texts: pa.Array, dim: int) -> Iterator[np.ndarray]:
         where = np.concatenate([base + primary[token], base + secondary[token]])
         weight = np.concatenate([2.0 * sign[token], -sign[token]])
         flat = np.bincount(where, weights=weight, minlength=(len(edges) - 1) * dim)
-        yield flat.reshape(-1, dim)
+        # An empty count comes back as integers.
+        yield flat.astype(np.float64, copy=False).reshape(-1, dim)
 
 
 def hash_embed(df: DataFrame, text: str, dim: int = DEFAULT_DIM, name: str = "embedding") -> DataFrame:

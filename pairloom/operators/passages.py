@@ -43,14 +43,27 @@ def count_windows(
     return sized.select(key, F.size("_starts").cast("bigint").alias("n_windows"))
 
 
-def first_texts(sizes: DataFrame, key: str, passages_needed: int) -> DataFrame:
-    """The first texts in key order, with the passage number of their first window.
-
-    Each has a window, so as many texts as passages are needed always suffice.
+def leading_passages(
+    df: DataFrame, key: str, text: str, needed: int, window: int = WINDOW, stride: int = STRIDE, max_windows: int | None = None
+) -> tuple[DataFrame, int]:
+    """Numbered passages of the first texts, at least ``needed`` of them or all there are.
+
+    Only the key column is scanned whole; texts are read up to a key bound that prunes row groups.
+    Texts too short for a window make it look further. The returned count is the corpus size if it
+    is below ``needed``.
     """
-    earlier = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    head = sizes.orderBy(key).limit(max(passages_needed, 1))
-    return head.select(key, F.coalesce(F.sum("n_windows").over(earlier), F.lit(0)).alias("first_id"))
+    take = max(needed, 1)
+    while True:
+        first_keys = df.select(key).orderBy(key).limit(take)
+        bound = first_keys.agg(F.count("*").alias("n"), F.max(key).alias("last")).first()
+        head = df.select(key, text).where(F.col(key) <= bound["last"]) if bound["n"] else df.select(key, text).limit(0)
+        rows = sliding_passages(head, text, window, stride, max_windows)
+        position = F.row_number().over(Window.orderBy(key, "window")) - 1
+        numbered = materialize(rows.select(position.cast("bigint").alias("passage_id"), key, "window", "passage"))
+        found = numbered.count()
+        if found >= needed or bound["n"] < take:
+            return numbered, found
+        take *= 4
 
 
 def number_passages(

@@ -185,21 +185,14 @@ def retrieval_quality(
 
     Passages are ordered by (key, window). The corpus is scanned once, narrowly: passages are cut,
     hashed and scored in the task that reads them, and only each task's best row per query is
-    shuffled. The numbering that queries and offset negatives need touches the first texts only.
+    shuffled. Queries and offset negatives come from the first texts alone; the corpus size matters
+    only where the offset wraps around, which is where those first texts are the whole corpus.
     """
     spread_docs = spread(docs.select(key, text))
-    sizes = materialize(
-        passages.count_windows(spread_docs, key, text, window, stride, max_windows).where(F.col("n_windows") > 0)
-    )
-    total = sizes.agg(F.sum("n_windows")).first()[0] or 0
-    eval_count = min(query_count, total)
-    head = passages.first_texts(sizes, key, query_count + shift)
-    head_docs = docs.select(key, text).join(F.broadcast(head), key)
-    numbered = materialize(
-        passages.sliding_passages(head_docs, text, window, stride, max_windows).select(
-            (F.col("first_id") + F.col("window")).alias("passage_id"), key, "window", "passage"
-        ).where(F.col("passage_id") < max(query_count + shift, 1))
-    )
+    needed = query_count + shift
+    numbered, available = passages.leading_passages(docs, key, text, needed, window, stride, max_windows)
+    eval_count = min(query_count, available)
+    wrap = available if available < needed else needed + 1
     queries = materialize(
         numbered.where(F.col("passage_id") < eval_count).select(
             F.col("passage_id").alias("query_id"), key, "window",
@@ -218,7 +211,7 @@ def retrieval_quality(
     )
     other = numbered.select(F.col("passage_id").alias("negative_id"), F.col("passage").alias("negative"))
     sides = (
-        queries.withColumn("negative_id", F.pmod(F.col("query_id") + shift, F.lit(max(total, 1))))
+        queries.withColumn("negative_id", F.pmod(F.col("query_id") + shift, F.lit(max(wrap, 1))))
         .join(other, "negative_id")
         .select("query", "passage", "negative")
     )

@@ -85,8 +85,7 @@ def read_corpus(spark: SparkSession, path: str, record_sep: str | None = None) -
 
     A whole file is one text; with ``record_sep`` a file holds many, so large files still split.
     """
-    reader = spark.read.option("wholetext", "true") if record_sep is None else spark.read.option("lineSep", record_sep)
-    lines = reader.text(path)
+    lines = spark.read.text(path, wholetext=True) if record_sep is None else spark.read.text(path, lineSep=record_sep)
     return lines.select(strip_wrapper(normalize_newlines(F.col("value"))).alias("text"))
 
 

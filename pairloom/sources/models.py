@@ -36,7 +36,7 @@ def check_model(table: DataFrame, config: ModelConfig) -> DataFrame:
 
 def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, ModelConfig]:
     """Table and configuration; a bad configuration or a table of another size raises."""
-    text = spark.read.option("wholetext", "true").text(f"{path}/config").first()[0]
+    text = spark.read.text(f"{path}/config", wholetext=True).first()[0]
     config = ModelConfig(**json.loads(text))
     table = spark.read.parquet(f"{path}/token_embeddings")
     found = check_model(table, config).first()
