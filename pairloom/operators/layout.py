@@ -15,7 +15,8 @@ def spread(df: DataFrame) -> DataFrame:
     passes through without any shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
+    # Counted in the JVM: a large table's file names must not travel to Python.
+    files = len(df._jdf.inputFiles())
     return df.repartition(cores) if 0 < files < cores else df
 
 

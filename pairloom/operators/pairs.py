@@ -26,9 +26,14 @@ def clean_pairs(df: DataFrame, left: str, right: str, label: str, variant: str =
     return cleaned.where((F.col("l_text") != "") & (F.col("r_text") != "")).select("l_text", "r_text", "l_label")
 
 
+def pairs_accepted(min_chars: int, min_words: int, disallow: Iterable[str] = ()) -> Column:
+    """Both sides pass the text filters."""
+    left, right = [T.passes_filters(F.col(c), min_chars, min_words, disallow) for c in ("l_text", "r_text")]
+    return left & right
+
+
 def filter_pairs(cleaned: DataFrame, min_chars: int, min_words: int, disallow: Iterable[str] = ()) -> DataFrame:
-    ok = [T.passes_filters(F.col(c), min_chars, min_words, disallow) for c in ("l_text", "r_text")]
-    return cleaned.where(ok[0] & ok[1])
+    return cleaned.where(pairs_accepted(min_chars, min_words, disallow))
 
 
 def labeled_positives(accepted: DataFrame, positive_label: int = 1, variant: str = "ascii") -> DataFrame:
@@ -53,30 +58,33 @@ def clean_texts(df: DataFrame, text: str, variant: str = "ascii") -> DataFrame:
     return cleaned.where(F.col("clean") != "")
 
 
-def filter_texts(
-    cleaned: DataFrame,
-    min_chars: int,
-    min_words: int,
-    disallow: Iterable[str] = (),
-    question_mark: bool = False,
-    variant: str = "ascii",
-) -> DataFrame:
-    ok: Column = T.passes_filters(F.col("clean"), min_chars, min_words, disallow)
-    if question_mark:
-        ok = ok & T.asks_question(F.col("raw"), variant)
-    return cleaned.where(ok)
+def texts_accepted(
+    min_chars: int, min_words: int, disallow: Iterable[str] = (), question_mark: bool = False, variant: str = "ascii"
+) -> Column:
+    """The cleaned text passes the filters and, if asked for, the raw text is a question."""
+    ok = T.passes_filters(F.col("clean"), min_chars, min_words, disallow)
+    return ok & T.asks_question(F.col("raw"), variant) if question_mark else ok
 
 
-def duplicate_pairs(accepted: DataFrame) -> DataFrame:
+def filter_texts(cleaned: DataFrame, *settings, **named) -> DataFrame:
+    return cleaned.where(texts_accepted(*settings, **named))
+
+
+def text_counts(accepted: DataFrame) -> DataFrame:
+    """(clean, n): counting combines on the map side, so a text that fills a third of the rows
+    reaches its reducer as one row per task."""
+    return accepted.groupBy("clean").agg(F.count("*").alias("n"))
+
+
+def repeat_pairs(counts: DataFrame) -> DataFrame:
     """(t, t) once for every repeat of a text beyond the first, numbered by ``copy``.
 
-    Counting combines on the map side, so a text that fills a third of the rows reaches its reducer
-    as one row per task. Its many copies are then emitted from slices spread over the cluster.
+    The many copies of a hot text are emitted from slices spread over the cluster.
     """
-    counts = accepted.groupBy("clean").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    few = counts.where(F.col("n") <= COPY_SLICE).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
+    counts = counts.where(F.col("n") > 1)
+    few = counts.where(F.col("n") <= COPY_SLICE).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n") - 1)))
     slices = counts.where(F.col("n") > COPY_SLICE).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 2) / COPY_SLICE)))
+        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 2) / COPY_SLICE)))
     )
     first = F.col("_slice") * COPY_SLICE + 1
     many = (
@@ -88,11 +96,43 @@ def duplicate_pairs(accepted: DataFrame) -> DataFrame:
     return both.select(F.col("clean").alias("anchor"), F.col("clean").alias("positive"), "copy")
 
 
-def duplicate_pairs_distinct(accepted: DataFrame) -> DataFrame:
+def repeat_pairs_distinct(counts: DataFrame) -> DataFrame:
     """One (t, t) per repeated text: what pairing each row with its next equal one and removing
     repeats leaves, without sorting any group."""
-    counts = accepted.groupBy("clean").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    return counts.select(F.col("clean").alias("anchor"), F.col("clean").alias("positive"))
+    return counts.where(F.col("n") > 1).select(F.col("clean").alias("anchor"), F.col("clean").alias("positive"))
+
+
+def duplicate_pairs(accepted: DataFrame) -> DataFrame:
+    return repeat_pairs(text_counts(accepted))
+
+
+def duplicate_pairs_distinct(accepted: DataFrame) -> DataFrame:
+    return repeat_pairs_distinct(text_counts(accepted))
+
+
+def labeled_groups(cleaned: DataFrame, accept: Column, positive_label: int, variant: str) -> DataFrame:
+    """(kind, anchor, positive, n) of all cleaned rows in one pass and one shuffle.
+
+    Kind ``pair`` holds the distinct canonical pairs, ``pool`` the distinct right texts of the other
+    rows as ``positive``, ``rest`` counts what neither takes.
+    """
+    left, right, label = F.col("l_text"), F.col("r_text"), F.col("l_label")
+    differs = left != right
+    is_pair = accept & (label == positive_label) & (differs if variant == "ascii" else F.lit(True))
+    is_pool = accept & (label != positive_label) & differs
+    kind = F.when(is_pair, "pair").when(is_pool, "pool").otherwise("rest")
+    low, high = T.canonical_pair(left, right)
+    anchor = F.when(F.col("kind") == "pair", low)
+    positive = F.when(F.col("kind") == "pair", high).when(F.col("kind") == "pool", right)
+    keyed = cleaned.withColumn("kind", kind).select("kind", anchor.alias("anchor"), positive.alias("positive"))
+    return keyed.groupBy("kind", "anchor", "positive").agg(F.count("*").alias("n"))
+
+
+def text_groups(cleaned: DataFrame, accept: Column) -> DataFrame:
+    """(kind, clean, n): accepted texts with their counts, and the count of the rest."""
+    ok = F.coalesce(accept, F.lit(False))
+    keyed = cleaned.select(F.when(ok, "text").otherwise("rest").alias("kind"), F.when(ok, F.col("clean")).alias("clean"))
+    return keyed.groupBy("kind", "clean").agg(F.count("*").alias("n"))
 
 
 def text_pool(accepted: DataFrame) -> DataFrame:

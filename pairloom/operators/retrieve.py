@@ -21,6 +21,8 @@ from .hashed import DEFAULT_DIM, hashed_weights
 
 HELD_BLOCK_BYTES = 64 << 20
 _DENSE_SLICE = 1024
+# Scores held at a time in a task: 2M doubles are 16 MB.
+_SCORE_CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -55,20 +57,46 @@ def hashed_encoding(dim: int = DEFAULT_DIM) -> Encoding:
     return Encoding(dim, lambda column: hashed_weights(column, dim), score)
 
 
-def _best(query: np.ndarray, score: np.ndarray, keys: list[np.ndarray], k: int) -> np.ndarray:
-    """Positions of the k best per query: highest score, then smallest keys."""
-    order = np.lexsort((*reversed(keys), -score, query))
-    sorted_query = query[order]
-    first = np.searchsorted(sorted_query, sorted_query)
-    return order[np.arange(len(order)) - first < k]
+class _Best:
+    """The k best rows per query seen so far: highest score, then smallest keys.
 
+    Candidates below a query's current k-th score are dropped at once; the rest wait in a buffer that
+    is sorted only when it has grown well beyond the kept rows.
+    """
 
-def _candidates(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of every score at or above its row's k-th best."""
-    if scores.shape[1] > k:
-        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        return np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-    return np.nonzero(scores > -np.inf)
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.floor = np.full(queries, -np.inf)
+        self.parts: list[list[np.ndarray]] = []
+        self.waiting = 0
+        self.limit = max(2 * queries * k, 1 << 16)
+
+    def add(self, first: int, scores: np.ndarray, keys: list[np.ndarray]) -> None:
+        """Score matrix of the queries from ``first`` on against rows with these keys."""
+        k, width = self.k, scores.shape[1]
+        floor = self.floor[first : first + len(scores)]
+        if width > k:
+            floor = np.maximum(floor, np.partition(scores, width - k, axis=1)[:, width - k])
+        row, col = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        self.parts.append([first + row, scores[row, col], *[c[col] for c in keys]])
+        self.waiting += len(row)
+        if self.waiting > self.limit:
+            self.prune()
+
+    def prune(self) -> list[np.ndarray]:
+        """Keep and return (query, score, keys...) of the k best per query."""
+        if not self.parts:
+            return []
+        query, score, *keys = [np.concatenate(c) for c in zip(*self.parts)]
+        order = np.lexsort((*reversed(keys), -score, query))
+        placed = query[order]
+        rank = np.arange(len(order)) - np.searchsorted(placed, placed)
+        order, rank = order[rank < self.k], rank[rank < self.k]
+        last = order[rank == self.k - 1]
+        self.floor[query[last]] = score[last]
+        kept = [c[order] for c in (query, score, *keys)]
+        self.parts, self.waiting = [kept], len(order)
+        return kept
 
 
 def _blocks(df: DataFrame, keys: Sequence[str], payload: str, coding: Encoding):
@@ -126,35 +154,36 @@ def top_k(
 
 
 def _scan(shared, coding: Encoding, k: int, held_queries: bool, skip_self: bool, names: list[str]):
-    def emit(query, score, keys) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(query), *[pa.array(c) for c in keys], pa.array(score)], names=names)
+    def emit(query_ids, kept) -> Iterator[pa.RecordBatch]:
+        if kept:
+            query, score, *keys = kept
+            columns = [pa.array(c) for c in (query_ids[query], *keys, score)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block_keys, block = shared.value
-        best = None
+        best = _Best(len(block), k) if held_queries else None
         for batch in batches:
             row_keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
             start = 0
             for matrix in coding.encode(batch.column(batch.num_columns - 1)):
                 here = [c[start : start + len(matrix)] for c in row_keys]
                 start += len(matrix)
-                scores = coding.score(block, matrix) if held_queries else coding.score(matrix, block)
-                query_ids, others = (block_keys[0], here) if held_queries else (here[0], block_keys)
-                if skip_self:
-                    scores[query_ids[:, None] == others[0][None, :]] = -np.inf
-                row, col = _candidates(scores, k)
-                query, score, keys = query_ids[row], scores[row, col], [c[col] for c in others]
-                if held_queries and best is not None:
-                    query, score = np.concatenate([best[0], query]), np.concatenate([best[1], score])
-                    keys = [np.concatenate(pair) for pair in zip(best[2], keys)]
-                top = _best(query, score, keys, k)
-                picked = query[top], score[top], [c[top] for c in keys]
-                if held_queries:
-                    best = picked
-                else:
-                    yield emit(*picked)
+                local = best or _Best(len(matrix), k)
+                step = max(1, _SCORE_CELLS // len(matrix))
+                for first in range(0, len(block), step):
+                    part = slice(first, first + step)
+                    if held_queries:
+                        scores, ids, keys = coding.score(block[part], matrix), block_keys[0][part], here
+                    else:
+                        scores, ids, keys = coding.score(matrix, block[part]), here[0], [c[part] for c in block_keys]
+                    if skip_self:
+                        scores[ids[:, None] == keys[0][None, :]] = -np.inf
+                    local.add(first if held_queries else 0, scores, keys)
+                if best is None:
+                    yield from emit(here[0], local.prune())
         if best is not None:
-            yield emit(*best)
+            yield from emit(block_keys[0], best.prune())
 
     return run
 

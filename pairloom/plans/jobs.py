@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,27 +31,41 @@ class PrepareOptions:
 
 @dataclass(frozen=True)
 class Mined:
+    """Positive pairs and negative pool, both derived from one grouped pass over the source."""
+
+    groups: DataFrame
     positives: DataFrame
     pool: DataFrame
-    cleaned: DataFrame
+
+    def counts(self) -> DataFrame:
+        """Rows left after cleaning, before and after the filters."""
+        kept = F.when(F.col("kind") != "rest", F.col("n")).otherwise(0)
+        return self.groups.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows_after_cleaning"), F.coalesce(F.sum(kept), F.lit(0)).alias("accepted_rows")
+        )
 
 
-def mine(source: DataFrame, profile: Profile, min_chars: int, min_words: int, variant: str = "ascii") -> Mined:
-    """Positive pairs, negative pool and the cleaned rows of one source frame."""
+def mine(
+    source: DataFrame, profile: Profile, min_chars: int, min_words: int, variant: str = "ascii", keep: Callable = lambda df: df
+) -> Mined:
+    """Clean, filter and group one source frame; ``keep`` may write the groups out, since positives,
+    pool and counts all read them and cleaning is the costly part."""
     if profile.kind == LABELED:
         cleaned = pairs.clean_pairs(
             source, profile.column("left"), profile.column("right"), profile.column("label"), variant
         )
-        accepted = pairs.filter_pairs(cleaned, min_chars, min_words, profile.disallow)
-        positives = with_pair_key(pairs.labeled_positives(accepted, profile.positive_label, variant))
-        return Mined(positives, pairs.labeled_negatives(accepted, profile.positive_label), cleaned)
+        accept = pairs.pairs_accepted(min_chars, min_words, profile.disallow)
+        groups = keep(pairs.labeled_groups(cleaned, accept, profile.positive_label, variant))
+        positives = groups.where(F.col("kind") == "pair").select("anchor", "positive")
+        pool = groups.where(F.col("kind") == "pool").select(F.col("positive").alias("negative"))
+        return Mined(groups, with_pair_key(positives), pool)
     if profile.kind == DUPLICATES:
         cleaned = pairs.clean_texts(source, profile.column("text"), variant)
-        accepted = pairs.filter_texts(
-            cleaned, min_chars, min_words, profile.disallow, profile.question_mark, variant
-        )
-        found = pairs.duplicate_pairs(accepted) if variant == "ascii" else pairs.duplicate_pairs_distinct(accepted)
-        return Mined(with_pair_key(found), pairs.text_pool(accepted), cleaned)
+        accept = pairs.texts_accepted(min_chars, min_words, profile.disallow, profile.question_mark, variant)
+        groups = keep(pairs.text_groups(cleaned, accept))
+        counts = groups.where(F.col("kind") == "text").select("clean", "n")
+        found = pairs.repeat_pairs(counts) if variant == "ascii" else pairs.repeat_pairs_distinct(counts)
+        return Mined(groups, with_pair_key(found), counts.select(F.col("clean").alias("negative")))
     raise ValueError(f"Unsupported profile kind '{profile.kind}' in profile '{profile.name}'")
 
 
@@ -64,10 +79,11 @@ def eval_triplets(train_pairs: DataFrame, pool: DataFrame, options: PrepareOptio
     return sample_capped(drawn, options.max_eval_triplets, options.seed + 19, "capped", PAIR_KEYS)
 
 
-def counts_row(spark: SparkSession, fixed: dict[str, Column], counted: dict[str, DataFrame]) -> DataFrame:
-    """One report row: settings next to the row counts of frames."""
-    counts = [df.select(F.count("*")).scalar().alias(k) for k, df in counted.items()]
-    return spark.range(1).select(*[v.alias(k) for k, v in fixed.items()], *counts)
+def counts_row(spark: SparkSession, fixed: dict, mined: Mined, frames: dict[str, DataFrame]) -> DataFrame:
+    """One report row: settings next to the row counts of the mining and of further frames."""
+    counts = [df.select(F.count("*")).scalar().alias(k) for k, df in frames.items()]
+    settings = [F.lit(v).cast("bigint" if isinstance(v, int) else "string").alias(k) for k, v in fixed.items()]
+    return mined.counts().select(*settings, "rows_after_cleaning", "accepted_rows", *counts)
 
 
 def prepare_job(
@@ -75,11 +91,11 @@ def prepare_job(
 ) -> DataFrame:
     """Write train_pairs, eval_triplets and metadata below ``out``; returns the metadata row.
 
-    Mined frames are checkpointed, since each feeds several outputs and cleaning is the costly part.
+    The source is read and cleaned once; everything else works on the grouped texts it leaves.
     """
     min_chars, min_words = profile.thresholds(options.min_chars, options.min_words, options.variant)
-    mined = mine(spread(source), profile, min_chars, min_words, options.variant)
-    positives, pool = materialize(mined.positives), materialize(mined.pool)
+    mined = mine(spread(source), profile, min_chars, min_words, options.variant, materialize)
+    positives, pool = mined.positives, mined.pool
     if positives.isEmpty():
         raise ValueError("No positive pairs produced; cannot build contrastive data")
     if pool.isEmpty():
@@ -101,14 +117,8 @@ def prepare_job(
         "min_words": min_words,
         "seed": options.seed,
     }
-    counted = {
-        "rows_after_cleaning": mined.cleaned,
-        "positive_pairs": positives,
-        "negative_pool_size": pool,
-        "train_pairs": train,
-        "eval_triplets": triplets,
-    }
-    row = counts_row(spark, {k: F.lit(v) for k, v in fixed.items()}, counted)
+    frames = {"positive_pairs": positives, "negative_pool_size": pool, "train_pairs": train, "eval_triplets": triplets}
+    row = counts_row(spark, fixed, mined, frames)
     files.write_report(row, f"{out}/metadata")
     return files.read_report(spark, f"{out}/metadata", row.schema)
 

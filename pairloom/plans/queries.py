@@ -176,18 +176,9 @@ def sink_triplets(spark, sf):
 
 
 def _duplicate_counts(spark, sf) -> DataFrame:
-    accepted = accepted_texts(spark, sf)
-    mined = jobs.mine(documents(spark, sf), DUPLICATE_PROFILE, MIN_CHARS, MIN_WORDS)
-    return jobs.counts_row(
-        spark,
-        {"min_chars": F.lit(MIN_CHARS).cast("bigint"), "min_words": F.lit(MIN_WORDS).cast("bigint"), "seed": F.lit(SEED).cast("bigint")},
-        {
-            "rows_after_cleaning": mined.cleaned,
-            "accepted_rows": accepted,
-            "positive_pairs": mined.positives,
-            "negative_pool_size": mined.pool,
-        },
-    )
+    mined = jobs.mine(documents(spark, sf), DUPLICATE_PROFILE, MIN_CHARS, MIN_WORDS, keep=materialize)
+    settings = {"min_chars": MIN_CHARS, "min_words": MIN_WORDS, "seed": SEED}
+    return jobs.counts_row(spark, settings, mined, {"positive_pairs": mined.positives, "negative_pool_size": mined.pool})
 
 
 def sink_report(spark, sf):
