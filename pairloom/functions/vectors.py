@@ -36,7 +36,11 @@ def scale(vec: Column, factor: Column) -> Column:
 
 def l2_normalize(vec: Column) -> Column:
     """v / |v|; a zero vector stays as it is."""
-    return bind(norm(vec), lambda size: F.when(size > 0, F.transform(vec, lambda x: x / size)).otherwise(vec))
+
+    def divide(v: Column) -> Column:
+        return bind(norm(v), lambda size: F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v))
+
+    return bind(vec, divide)
 
 
 def add(left: Column, right: Column) -> Column:

@@ -25,7 +25,7 @@ PAD_ID = 0
 UNKNOWN_ID = 1
 INIT_SCALE = 0.05
 # Token rows gathered at a time in batch scoring: 4,096 x 512 doubles are 16 MB.
-_SLICE_TOKENS = 4096
+SLICE_TOKENS = 4096
 
 
 @dataclass(frozen=True)
@@ -158,11 +158,14 @@ def embed_table(df: DataFrame, keys: Sequence[str], text: str, table: DataFrame,
     return known.unionByName(empty)
 
 
+def fits_broadcast(config: ModelConfig) -> bool:
+    return config.vocab_size * config.embedding_dim * 8 <= BROADCAST_LIMIT_BYTES
+
+
 def table_matrix(table: DataFrame, config: ModelConfig) -> np.ndarray:
     """The table as one matrix for batch scoring; refused beyond the broadcast limit."""
-    size = config.vocab_size * config.embedding_dim * 8
-    if size > BROADCAST_LIMIT_BYTES:
-        raise ValueError(f"token table of {size} bytes is too large to broadcast; use embed_table")
+    if not fits_broadcast(config):
+        raise ValueError(f"token table is too large to broadcast: {config}; use embed_table")
     rows = table.select("token_id", "vec").toArrow().combine_chunks()
     matrix = np.zeros((config.vocab_size, config.embedding_dim))
     vecs = rows.column("vec").combine_chunks()
@@ -171,7 +174,7 @@ def table_matrix(table: DataFrame, config: ModelConfig) -> np.ndarray:
     return matrix
 
 
-def _mean_rows(matrix: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def mean_rows(matrix: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
     counts = np.diff(edges)
     out = np.zeros((len(counts), matrix.shape[1]))
     filled = counts > 0
@@ -195,8 +198,8 @@ def embed_batches(df: DataFrame, text: str, table: DataFrame, config: ModelConfi
             found = batch_ids(batch.column(place), config)
             edges, start = found.edges, 0
             while start < len(edges) - 1:
-                stop = max(start + 1, int(np.searchsorted(edges, edges[start] + _SLICE_TOKENS, side="right")) - 1)
-                out = _mean_rows(matrix, found.codes[edges[start] : edges[stop]], edges[start : stop + 1] - edges[start])
+                stop = max(start + 1, int(np.searchsorted(edges, edges[start] + SLICE_TOKENS, side="right")) - 1)
+                out = mean_rows(matrix, found.codes[edges[start] : edges[stop]], edges[start : stop + 1] - edges[start])
                 columns = [*batch.slice(start, stop - start).columns, list_array(unit_rows(out) if normalize else out)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
                 start = stop

@@ -2,23 +2,31 @@
 
 A step reads the old table, sums the updates of all active triplets of the batch per token and
 writes the new table. With one triplet per batch it is the sequential update rule.
+
+While the table is small enough to broadcast, a step is one narrow pass: every task embeds its
+triplets, and hands on their losses and one summed update per token it touched. Only those sums are
+shuffled. A larger table takes the relational way, a shuffled join of token rows with the table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import materialize
+from ..session import materialize, ship_package
 from .negatives import draw_rejecting, index_pool
 from .ordering import hash_index
 from .pairs import pool_of_pairs
-from .table import ModelConfig, count_ids, pooled, with_ids
+from .table import SLICE_TOKENS, ModelConfig, count_ids, fits_broadcast, mean_rows, pooled, table_matrix, with_ids
+from .tokens import list_array, unit_rows
 
 ROLES = ("anchor", "positive", "negative")
 PAIR_KEYS = ["pkey"]
@@ -70,9 +78,110 @@ def losses_of(triplets: DataFrame, vectors: DataFrame) -> DataFrame:
     return losses.select("tid", F.coalesce("loss", F.lit(0.0)).alias("loss"))
 
 
+@dataclass(frozen=True)
+class Step:
+    """Losses (tid, loss) and summed updates (token_id, delta) of one batch."""
+
+    losses: DataFrame
+    updates: DataFrame
+
+
+def run_step(
+    tokenized: DataFrame, table: DataFrame, config: ModelConfig, learning_rate: float, margin: float, keep: Callable = lambda df: df
+) -> Step:
+    """One forward and backward pass; ``keep`` may write its result, which losses and updates share."""
+    if fits_broadcast(config):
+        both = keep(_narrow_pass(tokenized, table, config, learning_rate, margin))
+        sums = both.where(F.col("token_id").isNotNull()).select("token_id", array_to_vector("delta").alias("_v"))
+        updates = sums.groupBy("token_id").agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("delta"))
+        return Step(both.where(F.col("tid").isNotNull()).select("tid", "loss"), updates)
+    vectors = keep(triplet_vectors(tokenized, table, config, margin))
+    return Step(losses_of(tokenized, vectors), gradients_of(tokenized, vectors, learning_rate))
+
+
+def _narrow_pass(
+    tokenized: DataFrame, table: DataFrame, config: ModelConfig, learning_rate: float, margin: float
+) -> DataFrame:
+    """Rows (tid, loss) for triplets and (token_id, delta) for each task's summed updates."""
+    spark = tokenized.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(table_matrix(table, config))
+    normalize = config.normalize
+    columns = ["tid", *[f"{r}_ids" for r in ROLES]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = shared.value
+        total, touched = np.zeros_like(matrix), np.zeros(len(matrix), dtype=bool)
+        for batch in batches:
+            roles = [RoleTokens.of(batch.column(i)) for i in (1, 2, 3)]
+            losses = np.zeros(batch.num_rows)
+            start = 0
+            while start < batch.num_rows:
+                stop = min(r.stop_after(start) for r in roles)
+                parts = [r.rows(start, stop) for r in roles]
+                a, p, n = [mean_rows(matrix, ids, edges) for ids, edges in parts]
+                if normalize:
+                    a, p, n = unit_rows(a), unit_rows(p), unit_rows(n)
+                filled = np.all([np.diff(edges) > 0 for _ids, edges in parts], axis=0)
+                loss = np.where(filled, margin - (a * p).sum(axis=1) + (a * n).sum(axis=1), 0.0)
+                losses[start:stop] = np.maximum(loss, 0.0)
+                for (ids, edges), gradient in zip(parts, (n - p, -a, a)):
+                    _spread_updates(total, touched, ids, edges, gradient, loss > 0, learning_rate)
+                start = stop
+            yield _step_rows(batch.column(0), pa.array(losses), None, None)
+        used = np.flatnonzero(touched)
+        if len(used):
+            yield _step_rows(None, None, pa.array(used), list_array(total[used]))
+
+    return tokenized.select(*columns).mapInArrow(run, "tid bigint, loss double, token_id bigint, delta array<double>")
+
+
+@dataclass(frozen=True)
+class RoleTokens:
+    """Token ids of one role: ``ids[edges[i]:edges[i + 1]]`` belong to row i."""
+
+    ids: np.ndarray
+    edges: np.ndarray
+
+    @staticmethod
+    def of(column: pa.ListArray) -> RoleTokens:
+        edges = column.offsets.to_numpy().astype(np.int64)
+        return RoleTokens(column.flatten().to_numpy(), edges - edges[0])
+
+    def stop_after(self, start: int) -> int:
+        """End of the run of rows from ``start`` whose tokens fit one slice; at least one row."""
+        within = int(np.searchsorted(self.edges, self.edges[start] + SLICE_TOKENS, side="right")) - 1
+        return max(start + 1, within)
+
+    def rows(self, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        edges = self.edges[start : stop + 1]
+        return self.ids[edges[0] : edges[-1]], edges - edges[0]
+
+
+def _spread_updates(total, touched, ids, edges, gradient, active, learning_rate) -> None:
+    """Add each active row's gradient x rate / length to all its token occurrences."""
+    counts = np.diff(edges)
+    row = np.repeat(np.arange(len(counts)), counts)
+    live = active[row]
+    row, ids = row[live], ids[live]
+    if len(ids) == 0:
+        return
+    used, place = np.unique(ids, return_inverse=True)
+    share = np.bincount(place * len(counts) + row, weights=learning_rate / counts[row], minlength=len(used) * len(counts))
+    total[used] += share.reshape(len(used), len(counts)) @ gradient
+    touched[used] = True
+
+
+def _step_rows(tid, loss, token_id, delta) -> pa.RecordBatch:
+    size = len(tid if tid is not None else token_id)
+    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
+    columns = [pa.nulls(size, t) if c is None else c for c, t in zip((tid, loss, token_id, delta), kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=["tid", "loss", "token_id", "delta"])
+
+
 def triplet_loss(triplets: DataFrame, table: DataFrame, config: ModelConfig, margin: float) -> DataFrame:
     """(tid, loss) of every triplet."""
-    return losses_of(triplets, triplet_vectors(tokenize(triplets, config), table, config, margin))
+    return run_step(tokenize(triplets, config), table, config, 0.0, margin).losses
 
 
 def gradients_of(tokenized: DataFrame, vectors: DataFrame, learning_rate: float) -> DataFrame:
@@ -103,8 +212,7 @@ def gradients_of(tokenized: DataFrame, vectors: DataFrame, learning_rate: float)
 def triplet_gradients(
     triplets: DataFrame, table: DataFrame, config: ModelConfig, learning_rate: float, margin: float
 ) -> DataFrame:
-    tokenized = tokenize(triplets, config)
-    return gradients_of(tokenized, triplet_vectors(tokenized, table, config, margin), learning_rate)
+    return run_step(tokenize(triplets, config), table, config, learning_rate, margin).updates
 
 
 def apply_gradients(table: DataFrame, gradients: DataFrame) -> DataFrame:
@@ -157,8 +265,8 @@ def train_epochs(
 ) -> tuple[DataFrame, DataFrame]:
     """Train on keyed pairs over all epochs; returns the final table and one summary row per epoch.
 
-    Every step checkpoints its vectors and the new vocab x dim table reliably, so the forward pass
-    runs once, lineage stays one step deep and a lost executor costs one step.
+    Every step checkpoints its pass and the new vocab x dim table reliably, so the pass runs once,
+    lineage stays one step deep and a lost executor costs one step.
     """
     keyed_pairs = materialize(pairs)
     total = keyed_pairs.count()
@@ -172,10 +280,9 @@ def train_epochs(
         losses: DataFrame | None = None
         for batch in range(batches):
             part = triplets.where(F.col("batch") == batch)
-            vectors = materialize(triplet_vectors(part, table, config, options.margin))
-            step_losses = losses_of(part, vectors)
-            losses = step_losses if losses is None else losses.unionByName(step_losses)
-            table = materialize(apply_gradients(table, gradients_of(part, vectors, options.learning_rate)))
+            step = run_step(part, table, config, options.learning_rate, options.margin, materialize)
+            losses = step.losses if losses is None else losses.unionByName(step.losses)
+            table = materialize(apply_gradients(table, step.updates))
         summary = epoch_summary(losses).select(F.lit(epoch).cast("bigint").alias("epoch"), "*")
         history = summary if history is None else history.unionByName(summary)
     return table, history

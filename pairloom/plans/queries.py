@@ -54,7 +54,7 @@ def r6(c, name: str):
 
 def long_vector(df: DataFrame, keys: list[str], column: str = "embedding", sparse: bool = False) -> DataFrame:
     """(keys, dim, value) rows rounded to 6 places."""
-    rows = df.select(*keys, F.posexplode(column).alias("dim", "_x"))
+    rows = computed_once(df.select(*keys, column), _vec=F.col(column)).select(*keys, F.posexplode("_vec").alias("dim", "_x"))
     rows = rows.where(F.col("_x") != 0) if sparse else rows
     return rows.select(*keys, F.col("dim").cast("bigint").alias("dim"), r6(F.col("_x"), "value"))
 
@@ -347,13 +347,12 @@ def sample_capped(spark, sf):
 
 
 def shuffle_epoch(spark, sf):
-    return train.epoch_order(labeled_pairs(spark, sf), SEED, 1).select("position", "anchor", "positive")
+    return train.epoch_order(materialize(labeled_pairs(spark, sf)), SEED, 1).select("position", "anchor", "positive")
 
 
 def _pool_and_pairs(spark, sf):
-    accepted = materialize(labeled_accepted(spark, sf))
-    pool = negatives.index_pool(pairs.labeled_negatives(accepted), SEED)
-    return train.with_pair_key(pairs.labeled_positives(accepted)), pool
+    mined = jobs.mine(labeled_source(spark, sf), LABELED_PROFILE, MIN_CHARS, MIN_WORDS, keep=materialize)
+    return mined.positives, negatives.index_pool(mined.pool, SEED)
 
 
 def negatives_reject(spark, sf):

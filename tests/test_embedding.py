@@ -139,6 +139,30 @@ def test_training_in_batches_of_one_is_the_sequential_rule(spark):
     assert table.table_matrix(final, config) == pytest.approx(weights, abs=1e-9)
 
 
+def test_narrow_and_relational_steps_agree(spark, monkeypatch):
+    config = table.ModelConfig(vocab_size=30, embedding_dim=5, max_seq_len=20)
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 40, rng.integers(0, 12)))
+    rows = [(i, text(), text(), text()) for i in range(50)]
+    triplets = spark.createDataFrame(rows, "tid long, anchor string, positive string, negative string")
+    start = materialize(table.init_token_table(spark, config, 4))
+
+    def outcome():
+        step = train.run_step(train.tokenize(triplets, config), start, config, 0.3, 0.5)
+        losses = {r["tid"]: r["loss"] for r in step.losses.collect()}
+        return losses, {r["token_id"]: r["delta"] for r in step.updates.collect()}
+
+    monkeypatch.setattr(train, "SLICE_TOKENS", 25)
+    narrow = outcome()
+    monkeypatch.setattr(train, "fits_broadcast", lambda _config: False)
+    relational = outcome()
+    assert narrow[0].keys() == relational[0].keys() and narrow[1].keys() == relational[1].keys()
+    assert any(narrow[0].values()) and not all(narrow[0].values())
+    for one, two in zip(narrow, relational):
+        for key in one:
+            assert one[key] == pytest.approx(two[key], abs=1e-12)
+
+
 def test_hard_triplet_has_loss_and_empty_text_has_none(spark):
     config = table.ModelConfig(vocab_size=128, embedding_dim=32, max_seq_len=16)
     rows = [(0, "what is rust ownership", "best chocolate cake recipe", "what is rust ownership"), (1, " ", "a b", "c d"), (2, " ", " ", " ")]
