@@ -13,7 +13,7 @@ from ..operators import hashed, negatives, pairs, passages, retrieve
 from ..operators.layout import spread
 from ..operators.metrics import score_triplets, triplet_metrics
 from ..operators.ordering import sample_capped
-from ..operators.table import ModelConfig, embed_table, init_token_table
+from ..operators.table import ModelConfig, embed_batches, embed_table, fits_broadcast, init_token_table
 from ..operators.train import PAIR_KEYS, ROLES, TrainOptions, train_epochs, with_pair_key
 from ..session import materialize
 from ..sources import files, models
@@ -124,7 +124,17 @@ def prepare_job(
 
 
 def evaluate_model(triplets: DataFrame, table: DataFrame, config: ModelConfig) -> DataFrame:
-    """Triplet metrics of a token table; equal triplets are embedded once and weighted."""
+    """Triplet metrics of a token table.
+
+    A table that fits a broadcast embeds the triplets in place. With a larger one equal triplets are
+    embedded once through the relational lookup and weighted.
+    """
+    if fits_broadcast(config):
+        vectors = triplets.select(*ROLES)
+        for role in ROLES:
+            vectors = embed_batches(vectors, role, table, config, f"{role}_vec")
+        named = vectors.select(*[F.col(f"{r}_vec").alias(r) for r in ROLES])
+        return triplet_metrics(score_triplets(named))
     key = F.sha2(F.concat_ws("\x00", *ROLES), 256)
     distinct = triplets.groupBy(*ROLES).agg(F.count("*").alias("copies")).withColumn("tid", key)
     sides = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("text")) for r in ROLES]))

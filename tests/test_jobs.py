@@ -100,6 +100,16 @@ def test_full_job_and_reuse_of_its_model(spark, tmp_path):
     assert first["mean_margin"] == pytest.approx(first["mean_positive_similarity"] - first["mean_negative_similarity"])
 
 
+def test_both_ways_of_evaluating_a_model_agree(spark, monkeypatch):
+    config = table.ModelConfig(vocab_size=64, embedding_dim=8, max_seq_len=16)
+    start = table.init_token_table(spark, config, 3)
+    rows = [("a b", "b c", "x y")] * 3 + [("q r", "s", "t u"), (" ", "b", "c")]
+    triplets = spark.createDataFrame(rows, "anchor string, positive string, negative string")
+    narrow = tuple(jobs.evaluate_model(triplets, start, config).first())
+    monkeypatch.setattr(jobs, "fits_broadcast", lambda _config: False)
+    assert tuple(jobs.evaluate_model(triplets, start, config).first()) == pytest.approx(narrow, abs=1e-12)
+
+
 def test_retrieval_quality_on_a_tiny_corpus_wraps_around(spark):
     words = [f"{c}{d}word" for c in "abcdefghij" for d in "klmnopqrst"]
     docs = spark.createDataFrame([(i, " ".join(words[i * 20 : i * 20 + 20])) for i in range(5)] + [(9, "short")], "id long, body string")
