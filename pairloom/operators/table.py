@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..functions.hashing import unit_draw
-from ..functions.text import plain_spaced
+from ..functions.text import NOT_WHITE
 from ..session import ship_package
 from .layout import BROADCAST_LIMIT_BYTES, broadcast_within
 from .tokens import TokenBatch, hash60, list_array, split_tokens, unit_rows
@@ -24,6 +24,8 @@ from .tokens import TokenBatch, hash60, list_array, split_tokens, unit_rows
 PAD_ID = 0
 UNKNOWN_ID = 1
 INIT_SCALE = 0.05
+# Up to this many dimensions a sum per dimension stays within generated code.
+_PLAIN_SUM_DIMS = 64
 # Token rows gathered at a time in batch scoring: 4,096 x 512 doubles are 16 MB.
 SLICE_TOKENS = 4096
 
@@ -120,8 +122,14 @@ def pooled(
 ) -> DataFrame:
     """Weighted mean of the table rows per key, summed in the JVM with map-side partials.
 
-    The rows are turned into vectors before the join, once each.
+    Few dimensions are plain sums in generated code; many use the vector summarizer, with the rows
+    turned into vectors before the join, once each.
     """
+    if config.embedding_dim <= _PLAIN_SUM_DIMS:
+        joined = lookup(counts, table.select("token_id", "vec"), config)
+        sums = [F.sum(F.col("vec")[i] * F.col(weight)).alias(f"_s{i}") for i in range(config.embedding_dim)]
+        totals = joined.groupBy(*keys).agg(F.sum(F.col(weight)).alias("_w"), *sums)
+        return totals.select(*keys, F.array(*[F.col(f"_s{i}") / F.col("_w") for i in range(config.embedding_dim)]).alias(name))
     rows = table.select("token_id", array_to_vector("vec").alias("_v"))
     joined = lookup(counts, rows, config)
     mean = Summarizer.metrics("mean").summary(F.col("_v"), F.col(weight).cast("double")).getField("mean")
@@ -154,7 +162,7 @@ def embed_table(df: DataFrame, keys: Sequence[str], text: str, table: DataFrame,
     pooled_rows = mean_pool(df, keys, text, table, config)
     vec = V.l2_normalize(F.col("embedding")) if config.normalize else F.col("embedding")
     known = pooled_rows.select(*keys, vec.alias("embedding"))
-    empty = df.where(F.trim(plain_spaced(F.col(text))) == "").select(*keys, V.zeros(config.embedding_dim).alias("embedding"))
+    empty = df.where(~F.col(text).rlike(NOT_WHITE)).select(*keys, V.zeros(config.embedding_dim).alias("embedding"))
     return known.unionByName(empty)
 
 

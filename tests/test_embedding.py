@@ -42,7 +42,9 @@ def test_normalize_and_masked_pool(spark):
     assert got[1].tolist() == [3.0, 4.0] and got[2].tolist() == [0.0, 0.0]
 
 
-def test_batch_scoring_equals_relational_embedding(spark):
+@pytest.mark.parametrize("plain_dims", [64, 1])
+def test_batch_scoring_equals_relational_embedding(spark, monkeypatch, plain_dims):
+    monkeypatch.setattr(table, "_PLAIN_SUM_DIMS", plain_dims)
     texts = ["what is rust ownership", "", "--- !!!", "a a a b", "w " * 40, "x y​z"]
     start = materialize(table.init_token_table(spark, SMALL, 19))
     relational = embeddings(table.embed_table(frame(spark, texts), ["id"], "text", start, SMALL))
