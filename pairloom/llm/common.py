@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,17 @@ def batches(records: Iterable[pa.RecordBatch], text: str = "text", target: int =
         yield pa.Table.from_batches(held)
 
 
+def packed_table(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table.combine_chunks())
+    return zstandard.compress(sink.getvalue(), 3)
+
+
+def unpacked_table(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
+
+
 def _cuts(lengths: np.ndarray, target: int, size: int) -> Iterator[int]:
     """Row counts at which the running size reaches the target, and the end."""
     for i, n in enumerate(lengths, start=1):

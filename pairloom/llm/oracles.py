@@ -43,4 +43,41 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed,
 FROM w LEFT JOIN r USING (doc_id)
 """
 
-SQL = {"op3_ngram_jaccard_join": OP3, "op5_exact_dedup": OP5, "op8_substring_dedup": OP8}
+
+
+def _op1() -> str:
+    """The rounds of the walk unrolled; every step rounds down to whole numbers as the query does."""
+    from . import url_filter as u
+
+    fits = []
+    for verdict, rule in sorted(u.RULES, key=lambda r: (-len(r[1]), r[1])):
+        domain, _, rest = rule.partition("/")
+        fits.append((f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '/{rest}')", rule, verdict))
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
+    url = "'^.*?://([^/?#]*)([^?#]*)'"
+    fold = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
+    link = u.LINK.replace("'", "''")
+    parts = [f"""
+WITH p AS MATERIALIZED (
+  SELECT page_id, {fold(f"coalesce(regexp_extract(url, {url}, 1, 's'), '')")} AS host, coalesce(regexp_extract(url, {url}, 2, 's'), '') AS path, html FROM pages),
+j AS MATERIALIZED (SELECT page_id, host, path, {case(1)} AS rule, {case(2)} AS by_rule FROM p),
+h AS MATERIALIZED (SELECT host, count(*) AS n, count(*) FILTER (by_rule = 'allow') AS allowed, count(*) FILTER (by_rule = 'block') AS blocked FROM j GROUP BY host),
+l AS (SELECT host AS src, {fold("unnest(list_distinct(regexp_extract_all(html, '" + link + "', 1)))")} AS dst FROM p),
+l2 AS (SELECT src, dst, count(*) AS w FROM l WHERE src <> '' AND src <> dst GROUP BY src, dst),
+t AS (SELECT c.src, c.dst, 1 AS w FROM (SELECT host AS src, regexp_extract(host, '^[^.]+\\.(.+)$', 1) AS dst FROM h WHERE host <> '') c JOIN h ON h.host = c.dst WHERE h.host <> ''),
+e AS (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT * FROM l2 UNION ALL SELECT * FROM t UNION ALL SELECT dst, src, w FROM t) GROUP BY src, dst),
+f0 AS (SELECT 'trust' AS walk, src, dst, w FROM e UNION ALL SELECT 'distrust', dst, src, w FROM e),
+f AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY walk, src) AS total FROM f0),
+s0 AS (SELECT host, CASE WHEN allowed > 0 AND blocked = 0 THEN 'trust' WHEN 2 * blocked >= n THEN 'distrust' END AS walk FROM h WHERE host <> ''),
+m0 AS MATERIALIZED (SELECT walk, host, floor({u.TOTAL_MASS!r} / count(*) OVER (PARTITION BY walk)) AS mass FROM s0 WHERE walk IS NOT NULL)"""]
+    for k in range(1, u.ROUNDS + 1):
+        parts.append(f"""m{k} AS MATERIALIZED (SELECT walk, host, sum(mass) AS mass FROM (
+  SELECT f.walk, f.dst AS host, floor(floor(m.mass * f.w / f.total) * {u.DAMPING!r}::DOUBLE) AS mass FROM f JOIN m{k - 1} m ON m.walk = f.walk AND m.host = f.src
+  UNION ALL SELECT walk, host, floor(mass * (1 - {u.DAMPING!r}::DOUBLE)) FROM m0) GROUP BY walk, host)""")
+    parts.append(f"x AS (SELECT host, sum(CASE WHEN walk = 'trust' THEN mass ELSE 0 END) AS trust, sum(CASE WHEN walk = 'distrust' THEN mass ELSE 0 END) AS distrust FROM m{u.ROUNDS} GROUP BY host)")
+    return ",\n".join(parts) + """
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN x USING (host)
+"""
+
+
+SQL = {"op1_url_filter": _op1(), "op3_ngram_jaccard_join": OP3, "op5_exact_dedup": OP5, "op8_substring_dedup": OP8}

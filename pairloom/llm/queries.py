@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, ngram_join, oracles, pieces, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, licenses, ngram_join, oracles, pieces, pseudonyms, quality_lm, substring_dedup, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Only links values between the documents of this table; a real run passes its own secret.
+PSEUDONYM_KEY = b"pairloom documents"
+
+
+def op1_url_filter(spark, sf):
+    return url_filter.verdicts(table(spark, sf, "pages")).drop("trust", "distrust")
+
+
+def op2_quality_classifier(spark, sf):
+    """Trusted text is what the labels call good."""
+    return quality_lm.judged(table(spark, sf, "documents"), table(spark, sf, "labels").where("quality = 1"))
+
+
 def op3_ngram_jaccard_join(spark, sf):
     return ngram_join.near_groups(table(spark, sf, "documents")).drop("text_sha256", "n_texts")
 
@@ -38,6 +51,15 @@ def op8_substring_dedup(spark, sf):
     return substring_dedup.duplicate_spans(table(spark, sf, "documents")).drop("factors")
 
 
+def op9_pseudonyms(spark, sf):
+    return pseudonyms.report(table(spark, sf, "documents"), PSEUDONYM_KEY)
+
+
+def op10_license_scan(spark, sf):
+    """One row per confirmed notice."""
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 def pipeline(spark, sf):
     import corpus_pipeline
 

@@ -130,11 +130,8 @@ def packed(window: int):
     def run(records) -> Iterator[pa.RecordBatch]:
         for table in common.batches(records):
             batch = Batch(table, window)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.records.schema) as out:
-                out.write_table(batch.records.combine_chunks())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.name], pa.binary()), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary())], names=["batch", "packed"]
+                [pa.array([batch.name], pa.binary()), pa.array([common.packed_table(batch.records)], pa.binary())], names=["batch", "packed"]
             )
 
     return run
@@ -159,7 +156,7 @@ def parse(blocks: int, window: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for blob in left.column("packed").to_pylist():
-            records = pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
+            records = common.unpacked_table(blob)
             batch = Batch(records, window)
             _block, order, borders = batch.by_block(blocks)
             source = np.full(len(batch.keys), common.NO_ID, dtype=np.int64)
