@@ -54,15 +54,19 @@ def keep_rows(docs: DataFrame, decided: DataFrame, text_sha256: Column) -> DataF
 
     Only what goes, or stands for several rows, is written and joined; its size lets Spark choose the join.
     """
+    own = "__"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
     gone = written(
-        decided.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-        .agg(F.min("kept").alias("__kept"), F.count("*").alias("__n"))
-        .where("not __kept or __n > 1"),
+        decided.groupBy(F.col("doc_id").alias(f"{own}id"), F.col("text_sha256").alias(f"{own}sha"))
+        .agg(F.min("kept").alias(f"{own}kept"), F.count("*").alias(f"{own}n"))
+        .where(f"not {own}kept or {own}n > 1"),
         "decided",
     )
-    marked = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (text_sha256 == F.col("__sha")), "left")
-    single = marked.where("__sha is null").select(docs.columns)
-    repeated = marked.where("__kept and __n > 1").dropDuplicates(["__id", "__sha"]).select(docs.columns)
+    marked = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col(f"{own}id")) & (text_sha256 == F.col(f"{own}sha")), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = marked.where(f"{own}sha is null").select(columns)
+    repeated = marked.where(f"{own}kept and {own}n > 1").dropDuplicates([f"{own}id", f"{own}sha"]).select(columns)
     return single.unionByName(repeated)
 
 

@@ -54,8 +54,8 @@ TEMPLATES = {
     ),
 }
 CUE = re.compile(r"licen[cs]|copyright|redistribut|permission is|free software|warrant|spdx", re.IGNORECASE)
-REACH = 1500
-LEAST_SHARE, MOST_CHANGED = 0.5, 0.15
+REACH = 600
+LEAST_SHARE, MOST_CHANGED = 0.25, 0.15
 _WORD = re.compile(r"[\w.+-]*\w")
 
 

@@ -26,7 +26,7 @@ from . import common
 WINDOW, STRIDE = 32, 24
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 600, 900, 4000
 FOLDS = 5
-EPOCHS, DOCS_PER_STEP, RATE = 4, 32, 0.012
+EPOCHS, LEAST_STEPS, DOCS_PER_STEP, RATE = 4, 200, 32, 0.012
 HIDDEN, CHAR_DIM, WORD_DIM, ATTENTION = 8, 8, 12, 8
 SEGMENT = 32
 LENGTH_BANDS = (4, 8, 16)
@@ -222,6 +222,7 @@ def train(texts: list[str], labels: list[int], prior: float, epochs: int = EPOCH
     weight = np.where(y > 0, prior / share, (1 - prior) / (1 - share))
     rng = np.random.default_rng(seed)
     m, v, t = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(texts) // DOCS_PER_STEP)))
     steps = epochs * -(-len(texts) // DOCS_PER_STEP)
     for _ in range(epochs):
         shuffled = rng.permutation(len(texts))
