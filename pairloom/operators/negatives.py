@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import draw60
 from .ordering import hash_index
 
-MAX_TRIES = 32
-
 
 def index_pool(pool: DataFrame, seed: int, column: str = "negative") -> DataFrame:
     """Distinct pool texts with a dense index in keyed-hash order."""
@@ -34,22 +32,25 @@ def draw_single(pairs: DataFrame, indexed_pool: DataFrame, seed: int, keys: Sequ
 
 
 def draw_rejecting(pairs: DataFrame, indexed_pool: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:
-    """First of up to 32 draws that is neither anchor nor positive; none drops the row.
+    """A uniform draw that is neither anchor nor positive; a row is dropped only if the pool holds nothing else.
 
-    The pool is distinct, so at most two entries can collide with a pair: nearly all rows are done
-    after one equi-join on a uniform index, and only the rest expand to the other tries.
+    Nearly all rows are done after one equi-join on a uniform index. Only those that collide look up which
+    entries are forbidden to them, at most two, and draw among the others by stepping over those.
     """
     size = indexed_pool.select(F.count("*")).scalar()
     first = pairs.withColumn("pool_idx", _draw_index(size, seed, keys, F.lit(0))).join(indexed_pool, "pool_idx")
     kept = first.where(~_collides()).drop("pool_idx")
-    again = (
-        first.where(_collides())
-        .drop("pool_idx", "negative")
-        .withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(MAX_TRIES - 1))))
-        .withColumn("pool_idx", _draw_index(size, seed, keys, F.col("_try")))
-        .join(indexed_pool, "pool_idx")
-        .where(~_collides())
-    )
-    others = [F.first(c).alias(c) for c in pairs.columns if c not in keys]
-    redrawn = again.groupBy(*keys).agg(*others, F.min_by("negative", "_try").alias("negative"))
-    return kept.unionByName(redrawn)
+    again = first.where(_collides()).drop("pool_idx", "negative")
+    for role in ("anchor", "positive"):
+        at = indexed_pool.select(F.col("negative").alias(role), F.col("pool_idx").alias(f"_at_{role}"))
+        again = again.join(at, role, "left")
+    same = F.col("_at_anchor") == F.col("_at_positive")
+    low = F.least("_at_anchor", "_at_positive")
+    high = F.when(F.col("_at_anchor").isNotNull() & F.col("_at_positive").isNotNull() & ~same, F.greatest("_at_anchor", "_at_positive"))
+    room = size - F.when(high.isNotNull(), 2).otherwise(1)
+    drawn = again.select("*", low.alias("_low"), high.alias("_high"), room.alias("_room")).where(F.col("_room") > 0)
+    step = drawn.withColumn("pool_idx", _draw_index(F.col("_room"), seed, keys, F.lit(1)))
+    step = step.withColumn("pool_idx", F.col("pool_idx") + F.when(F.col("pool_idx") >= F.col("_low"), 1).otherwise(0))
+    step = step.withColumn("pool_idx", F.col("pool_idx") + F.when(F.col("pool_idx") >= F.col("_high"), 1).otherwise(0))
+    redrawn = step.join(indexed_pool, "pool_idx").select(*pairs.columns, "negative")
+    return kept.select(*pairs.columns, "negative").unionByName(redrawn)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw60
@@ -89,10 +89,12 @@ def bootstrap_median_ci(
 ) -> DataFrame:
     """Confidence interval of the median from keyed resamples with replacement.
 
-    ``indexed`` numbers the n values of each group from 0. Draw j of sample b is the value at
-    hash(group, b, j) mod n: an equi-join on a uniform index. One value gives (v, v).
+    ``idx`` orders the n values of a group and may have gaps; they are numbered from 0 here. Draw j of sample b is the
+    value at hash(group, b, j) mod n: an equi-join on a uniform index. One value gives (v, v).
     """
     groups = list(groups)
+    numbered = F.row_number().over(Window.partitionBy(*groups).orderBy(idx, value)).cast("bigint") - 1
+    indexed = indexed.select(*groups, numbered.alias(idx), value)
     sizes = indexed.groupBy(*groups).agg(F.count("*").alias("_n"))
     slots = (
         indexed.select(*groups, F.col(idx).alias("_j"))

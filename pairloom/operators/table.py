@@ -34,12 +34,12 @@ SLICE_TOKENS = 4096
 class ModelConfig:
     vocab_size: int = 8192
     embedding_dim: int = 512
-    max_seq_len: int = 64
+    max_seq_len: int | None = 64
     normalize: bool = True
 
     def __post_init__(self) -> None:
-        if self.vocab_size <= 2 or self.embedding_dim <= 0 or self.max_seq_len <= 0:
-            raise ValueError(f"vocab_size must be > 2, the other sizes > 0: {self}")
+        if self.vocab_size <= 2 or self.embedding_dim <= 0 or (self.max_seq_len is not None and self.max_seq_len <= 0):
+            raise ValueError(f"vocab_size must be > 2, the other sizes > 0 (max_seq_len None: whole texts): {self}")
 
     def as_dict(self) -> dict:
         return asdict(self)
@@ -158,11 +158,14 @@ def masked_mean_pool(df: DataFrame, keys: Sequence[str], mask: str, dim: int) ->
 
 
 def embed_table(df: DataFrame, keys: Sequence[str], text: str, table: DataFrame, config: ModelConfig) -> DataFrame:
-    """Mean-pooled and, if configured, normalised vector per key; a text without tokens is zero."""
+    """Mean-pooled and, if configured, normalised vector per key; a null text or one without tokens is zero.
+
+    ``keys`` must be unique: rows that share a key are pooled as one text.
+    """
     pooled_rows = mean_pool(df, keys, text, table, config)
     vec = V.l2_normalize(F.col("embedding")) if config.normalize else F.col("embedding")
     known = pooled_rows.select(*keys, vec.alias("embedding"))
-    empty = df.where(~F.col(text).rlike(NOT_WHITE)).select(*keys, V.zeros(config.embedding_dim).alias("embedding"))
+    empty = df.where(~F.coalesce(F.col(text), F.lit("")).rlike(NOT_WHITE)).select(*keys, V.zeros(config.embedding_dim).alias("embedding"))
     return known.unionByName(empty)
 
 
@@ -171,9 +174,7 @@ def fits_broadcast(config: ModelConfig) -> bool:
 
 
 def table_matrix(table: DataFrame, config: ModelConfig) -> np.ndarray:
-    """The table as one matrix for batch scoring; refused beyond the broadcast limit."""
-    if not fits_broadcast(config):
-        raise ValueError(f"token table is too large to broadcast: {config}; use embed_table")
+    """The table as one matrix for batch scoring; callers check ``fits_broadcast``."""
     rows = table.select("token_id", "vec").toArrow().combine_chunks()
     matrix = np.zeros((config.vocab_size, config.embedding_dim))
     vecs = rows.column("vec").combine_chunks()
@@ -183,8 +184,15 @@ def table_matrix(table: DataFrame, config: ModelConfig) -> np.ndarray:
 
 
 def mean_rows(matrix: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Mean of the rows ``ids[edges[i]:edges[i + 1]]``; a text longer than a slice is counted first, so no text gathers a row per token."""
     counts = np.diff(edges)
     out = np.zeros((len(counts), matrix.shape[1]))
+    if len(counts) == 1 and counts[0] > SLICE_TOKENS:
+        used, times = np.unique(ids, return_counts=True)
+        for start in range(0, len(used), SLICE_TOKENS):
+            part = slice(start, start + SLICE_TOKENS)
+            out[0] += times[part] @ matrix[used[part]]
+        return out / counts[0]
     filled = counts > 0
     if filled.any():
         out[filled] = np.add.reduceat(matrix[ids], edges[:-1][filled], axis=0) / counts[filled, None]
@@ -192,7 +200,17 @@ def mean_rows(matrix: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> np.ndar
 
 
 def embed_batches(df: DataFrame, text: str, table: DataFrame, config: ModelConfig, name: str = "embedding") -> DataFrame:
-    """Score texts in Arrow batches against a loaded model: one vector per row, order kept, no shuffle."""
+    """One vector per row of a loaded model.
+
+    While the table fits a broadcast, texts are scored in Arrow batches without a shuffle. Beyond it each distinct text
+    is embedded once through the relational lookup and joined back.
+    """
+    if not fits_broadcast(config):
+        key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+        distinct = df.select(key.alias("_text_key"), F.col(text).alias("_text")).dropDuplicates(["_text_key"])
+        vectors = embed_table(distinct, ["_text_key"], "_text", table, config).withColumnRenamed("embedding", "_vector")
+        joined = df.withColumn("_text_key", key).join(vectors, "_text_key")
+        return joined.select(*[F.col(c) for c in df.columns], F.col("_vector").alias(name))
     spark = df.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(table_matrix(table, config))

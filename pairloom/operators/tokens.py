@@ -26,10 +26,10 @@ class TokenBatch:
     codes: np.ndarray
     edges: np.ndarray
 
-    def cut(self, limit: int) -> TokenBatch:
-        """The first ``limit`` tokens of every text."""
+    def cut(self, limit: int | None) -> TokenBatch:
+        """The first ``limit`` tokens of every text; None keeps all."""
         counts = np.diff(self.edges)
-        if len(counts) == 0 or counts.max() <= limit:
+        if limit is None or len(counts) == 0 or counts.max() <= limit:
             return self
         place = np.arange(len(self.codes)) - np.repeat(self.edges[:-1], counts)
         edges = np.concatenate([[0], np.cumsum(np.minimum(counts, limit))])

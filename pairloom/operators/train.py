@@ -230,11 +230,12 @@ def train_step(
 def with_pair_key(pairs: DataFrame) -> DataFrame:
     """Add ``pkey``, the digest of (anchor, positive, copy) that keys every draw and order.
 
-    Identical pairs differ by their copy number. Keying by the digest reads the long texts once,
+    Identical pairs differ by their copy number; lengths before the texts keep pairs apart whose texts hold the separator. Keying by the digest reads the long texts once,
     however many draws follow.
     """
     numbered = pairs if "copy" in pairs.columns else pairs.withColumn("copy", F.lit(1).cast("bigint"))
-    return numbered.withColumn("pkey", F.md5(F.concat_ws("|", "anchor", "positive", F.col("copy").cast("string"))))
+    sized = [F.concat_ws("|", F.length(c).cast("string"), F.col(c)) for c in ("anchor", "positive")]
+    return numbered.withColumn("pkey", F.md5(F.concat_ws("|", *sized, F.col("copy").cast("string"))))
 
 
 def epoch_order(pairs: DataFrame, seed: int, epoch: int) -> DataFrame:
@@ -272,7 +273,7 @@ def train_epochs(
     total = keyed_pairs.count()
     pool = materialize(index_pool(pool_of_pairs(keyed_pairs), options.seed))
     if pool.count() < 2:
-        raise ValueError("negative pool is too small to sample negatives")
+        raise ValueError("fewer than two texts to draw negatives from")
     history: DataFrame | None = None
     for epoch in range(1, options.epochs + 1):
         triplets = materialize(tokenize(epoch_triplets(keyed_pairs, pool, options, epoch), config))

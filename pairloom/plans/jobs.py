@@ -21,8 +21,9 @@ from .profiles import DUPLICATES, LABELED, Profile
 
 @dataclass(frozen=True)
 class PrepareOptions:
-    max_train_pairs: int = 250_000
-    max_eval_triplets: int = 5_000
+    # 0 keeps all rows.
+    max_train_pairs: int = 0
+    max_eval_triplets: int = 0
     min_chars: int | None = None
     min_words: int | None = None
     seed: int = 42
@@ -66,7 +67,7 @@ def mine(
         counts = groups.where(F.col("kind") == "text").select("clean", "n")
         found = pairs.repeat_pairs(counts) if variant == "ascii" else pairs.repeat_pairs_distinct(counts)
         return Mined(groups, with_pair_key(found), counts.select(F.col("clean").alias("negative")))
-    raise ValueError(f"Unsupported profile kind '{profile.kind}' in profile '{profile.name}'")
+    raise ValueError(f"profile {profile.name}: unknown kind {profile.kind}")
 
 
 def eval_triplets(train_pairs: DataFrame, pool: DataFrame, options: PrepareOptions) -> DataFrame:
@@ -97,13 +98,13 @@ def prepare_job(
     mined = mine(spread(source), profile, min_chars, min_words, options.variant, materialize)
     positives, pool = mined.positives, mined.pool
     if positives.isEmpty():
-        raise ValueError("No positive pairs produced; cannot build contrastive data")
+        raise ValueError("the source has no positive pair left after cleaning")
     if pool.isEmpty():
-        raise ValueError("No negatives produced; cannot build eval triplets")
+        raise ValueError("the source leaves no text to draw negatives from")
     train = materialize(sample_capped(positives, options.max_train_pairs, options.seed, "train", PAIR_KEYS))
     triplets = materialize(eval_triplets(train, pool, options))
     if triplets.isEmpty():
-        raise ValueError("Failed to sample non-colliding negatives for eval triplets")
+        raise ValueError("every evaluation pair uses up the negative pool")
     files.write_pairs(train, f"{out}/train_pairs")
     files.write_triplets(triplets, f"{out}/eval_triplets")
     fixed = {
@@ -153,10 +154,10 @@ def train_job(
     """Train on written pairs, save the model and return its report row with the triplet metrics."""
     found = files.read_pairs(spark, pairs_path)
     if found.isEmpty():
-        raise ValueError(f"No train pairs found in {pairs_path}")
+        raise ValueError(f"{pairs_path} holds no pairs")
     triplets = files.read_triplets(spark, triplets_path)
     if triplets.isEmpty():
-        raise ValueError(f"No eval triplets found in {triplets_path}")
+        raise ValueError(f"{triplets_path} holds no triplets")
     copies = found.groupBy("anchor", "positive").agg(F.count("*").alias("_n"))
     keyed = copies.select("anchor", "positive", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("copy"))
     train = materialize(sample_capped(with_pair_key(keyed), max_train_pairs, options.seed, "train", PAIR_KEYS))

@@ -67,7 +67,7 @@ def labeled(clean=clean_a, self_pairs: bool = False) -> str:
             JOIN documents e ON e.doc_id = d.doc_id + 1),
     cl AS (SELECT * FROM (SELECT {clean('l')} AS lt, {clean('r')} AS rt, quality FROM src) WHERE lt <> '' AND rt <> ''),
     acc AS (SELECT * FROM cl WHERE {passes('lt')} AND {passes('rt')}),
-    pos AS (SELECT *, md5(concat_ws('|', anchor, positive, copy::VARCHAR)) AS pkey FROM (
+    pos AS (SELECT *, md5(concat_ws('|', length(anchor)::VARCHAR, anchor, length(positive)::VARCHAR, positive, copy::VARCHAR)) AS pkey FROM (
             SELECT DISTINCT least(lt, rt) AS anchor, greatest(lt, rt) AS positive, 1::BIGINT AS copy FROM acc WHERE quality = 1 {self_rule})),
     neg AS (SELECT DISTINCT rt AS negative FROM acc WHERE quality <> 1 AND lt <> rt)"""
 
@@ -81,7 +81,7 @@ def single(clean=clean_a) -> str:
 
 def sampled(source: str, n: int, seed: int, purpose: str, keys: str = "pkey") -> str:
     parts = [k.strip() for k in keys.split(",")]
-    return f"(SELECT * FROM {source} ORDER BY {draw(seed, purpose, *parts)}, {keys} LIMIT {n})"
+    return f"(SELECT * FROM {source} ORDER BY {draw(seed, purpose, *parts)}, {keys}{f' LIMIT {n}' if n > 0 else ''})"
 
 
 def indexed_pool(neg: str, seed: int) -> str:
@@ -91,12 +91,27 @@ def indexed_pool(neg: str, seed: int) -> str:
     psize AS (SELECT count(*) AS n FROM pool)"""
 
 
-def drawn(source: str, seed: int, tries: int, extra: str = "") -> str:
-    """Rows (anchor, positive, copy, negative) with the first draw that does not collide."""
-    index = f"{draw(seed, 'draw', 'pkey', 'try')} % (SELECT n FROM psize)"
-    return f"""(SELECT anchor, positive, pkey {extra}, arg_min(negative, try) AS negative FROM
-      (SELECT t.*, pool.negative FROM (SELECT *, {index} AS pool_idx FROM {source}, range({tries}) AS r(try)) t JOIN pool USING (pool_idx))
-      WHERE negative <> anchor AND negative <> positive GROUP BY anchor, positive, pkey {extra})"""
+def drawn_once(source: str, seed: int) -> str:
+    index = f"{draw(seed, 'draw', 'pkey', '0')} % (SELECT n FROM psize)"
+    return f"""(SELECT t.anchor, t.positive, t.pkey, pool.negative FROM (SELECT *, {index} AS pool_idx FROM {source}) t JOIN pool USING (pool_idx)
+      WHERE pool.negative <> t.anchor AND pool.negative <> t.positive)"""
+
+
+def drawn(source: str, seed: int, extra: str = "") -> str:
+    """Rows (anchor, positive, copy, negative): the first draw, or if it collides one among the entries that are not forbidden."""
+    first, second = (draw(seed, "draw", "pkey", k) for k in ("0", "1"))
+    n = "(SELECT n FROM psize)"
+    bad = "(o.negative = o.anchor OR o.negative = o.positive)"
+    room = "CASE WHEN high IS NULL THEN 1 ELSE 2 END"
+    return f"""(WITH o AS MATERIALIZED (SELECT t.*, pool.negative FROM (SELECT *, {first} % {n} AS pool_idx FROM {source}) t JOIN pool USING (pool_idx)),
+      c AS (SELECT o.* EXCLUDE (negative, pool_idx), least(coalesce(x.pool_idx, y.pool_idx), coalesce(y.pool_idx, x.pool_idx)) AS low,
+              CASE WHEN x.pool_idx <> y.pool_idx THEN greatest(x.pool_idx, y.pool_idx) END AS high
+            FROM o LEFT JOIN pool x ON x.negative = o.anchor LEFT JOIN pool y ON y.negative = o.positive WHERE {bad}),
+      d AS (SELECT *, {second} % ({n} - {room}) AS i0 FROM c WHERE {n} > {room}),
+      e AS (SELECT *, i0 + CASE WHEN i0 >= low THEN 1 ELSE 0 END AS i1 FROM d),
+      f AS (SELECT *, i1 + CASE WHEN i1 >= high THEN 1 ELSE 0 END AS i2 FROM e)
+      SELECT anchor, positive, pkey {extra}, negative FROM o WHERE NOT {bad}
+      UNION ALL SELECT f.anchor, f.positive, f.pkey {extra}, pool.negative FROM f JOIN pool ON pool.pool_idx = f.i2)"""
 
 
 def passages() -> str:
@@ -178,7 +193,7 @@ def neighbours(k: int) -> str:
 def epoch_triplets(epoch: int, name: str) -> str:
     """CTE ``name`` (tid, anchor, positive, negative) for one epoch over the CTEs pos, pool, psize."""
     ordered = f"""(SELECT *, row_number() OVER (ORDER BY {draw(SEED, f'epoch{epoch}', 'pkey')}, pkey) - 1 AS tid FROM pos)"""
-    return f"{name} AS MATERIALIZED (SELECT tid, anchor, positive, negative FROM {drawn(ordered, SEED + epoch, 32, ', tid')})"
+    return f"{name} AS MATERIALIZED (SELECT tid, anchor, positive, negative FROM {drawn(ordered, SEED + epoch, ', tid')})"
 
 
 def training_start() -> str:
@@ -254,7 +269,7 @@ def prepared() -> str:
     return f"""WITH {labeled()}, {indexed_pool('neg', SEED)},
         train AS (SELECT * FROM {sampled('pos', o.max_train_pairs, SEED, 'train')}),
         chosen AS (SELECT * FROM {sampled('train', o.max_eval_triplets, SEED + 7, 'triplet')}),
-        ev AS (SELECT * FROM {drawn('chosen', SEED + 11, 32)})
+        ev AS (SELECT * FROM {drawn('chosen', SEED + 11)})
         SELECT 'train' AS output, anchor, positive, NULL::VARCHAR AS negative FROM train
         UNION ALL SELECT 'eval', anchor, positive, negative FROM ev
         UNION ALL SELECT 'metadata', concat_ws('|', (SELECT count(*) FROM cl), (SELECT count(*) FROM pos)),
@@ -299,7 +314,8 @@ def rank_loss() -> str:
 
 def bootstrap() -> str:
     tail = 0.025
-    return f"""WITH m AS (SELECT event_type, event_id % {Q.REPEATS} AS rep, avg(value) AS v FROM events GROUP BY 1, 2),
+    return f"""WITH m0 AS (SELECT event_type, event_id % {Q.REPEATS} AS rep, avg(value) AS v FROM events WHERE event_id % {Q.REPEATS} <> 2 GROUP BY 1, 2),
+        m AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY rep) - 1 AS rep, v FROM m0),
         s AS (SELECT event_type, count(*) AS n FROM m GROUP BY 1),
         slots AS (SELECT m.event_type, b, {draw(SEED, 'bootstrap', 'm.event_type', 'b', 'rep')} % n AS rep FROM m JOIN s USING (event_type), range(3000) AS r(b)),
         med AS (SELECT event_type, b, quantile_cont(v, 0.5::DOUBLE) AS v FROM slots JOIN m USING (event_type, rep) GROUP BY 1, 2)
@@ -344,12 +360,13 @@ def all_oracles() -> dict[str, str]:
     langs = "SELECT DISTINCT unnest([lang, lang || '_missing']) AS task_name FROM documents"
     return {
         "src_csv_text": "SELECT page_id::VARCHAR AS page_id, url, html FROM pages",
-        "src_discover": "SELECT 'lang=' || min(lang) AS folder, count(*) AS rows FROM documents WHERE lang = (SELECT min(lang) FROM documents)",
+        "src_discover": """SELECT 'lang=' || min(lang) AS folder, true AS same_for_unknown_name,
+            count(*) FILTER (lang = (SELECT min(lang) FROM documents)) AS rows, count(*) AS all_rows, sum(doc_id)::BIGINT AS all_ids FROM documents""",
         "src_corpus_text": f"SELECT {no_line_ends} AS text FROM documents WHERE text NOT LIKE '%{WRAPPER_END}%'",
         "src_pairs": turns(1),
         "src_triplets": turns(2),
         "sink_pairs": f"WITH {labeled()} SELECT anchor, positive FROM pos",
-        "sink_triplets": f"WITH {labeled()}, {indexed_pool('neg', SEED)} SELECT anchor, positive, negative FROM {drawn('pos', SEED, 32)}",
+        "sink_triplets": f"WITH {labeled()}, {indexed_pool('neg', SEED)} SELECT anchor, positive, negative FROM {drawn('pos', SEED)}",
         "sink_report": duplicate_counts(),
         "prep_stats": duplicate_counts(),
         "model_save_load": f"""WITH v AS (SELECT count(DISTINCT w) + 2 AS n FROM (SELECT {bare('t')} AS w FROM (SELECT unnest({words('text')}) AS t FROM documents)) WHERE w <> '')
@@ -385,9 +402,8 @@ def all_oracles() -> dict[str, str]:
         "sample_capped": f"SELECT doc_id, text FROM documents ORDER BY {draw(SEED, 'sample', 'doc_id')}, doc_id LIMIT {Q.SAMPLE_ROWS}",
         "shuffle_epoch": f"""WITH {labeled()} SELECT row_number() OVER (ORDER BY {draw(SEED, 'epoch1', 'pkey')}, pkey) - 1 AS position,
             anchor, positive FROM pos""",
-        "negatives_reject": f"WITH {labeled()}, {indexed_pool('neg', SEED)} SELECT anchor, positive, negative FROM {drawn('pos', SEED, 32)}",
-        "negatives_single_draw": f"""WITH {labeled()}, {indexed_pool('neg', SEED)}, one AS (SELECT * FROM {drawn('pos', SEED, 1)})
-            SELECT anchor, positive, negative FROM {sampled('one', Q.SAMPLE_ROWS, SEED + 19, 'capped')}""",
+        "negatives_reject": f"WITH {labeled()}, {indexed_pool('neg', SEED)} SELECT anchor, positive, negative FROM {drawn('pos', SEED)}",
+        "negatives_single_draw": f"WITH {labeled()}, {indexed_pool('neg', SEED)} SELECT anchor, positive, negative FROM {drawn_once('pos', SEED)}",
         "cycle_texts": f"""WITH d AS (SELECT {position} AS idx, count(*) OVER () AS n, doc_id, text FROM documents)
             SELECT position, doc_id, text FROM range((SELECT count(*) * 5 // 2 FROM documents)) AS r(position) JOIN d ON idx = position % n""",
         "synth_texts": f"""SELECT doc_id, seq_len, array_to_string(list_transform(range(1, seq_len + 1), lambda i: {pool30}[{synth_draw} % {len(WORD_POOL)} + 1]), ' ') AS text

@@ -20,7 +20,8 @@ IR_SCHEMA = (
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV file, read from its first record only."""
-    row = _csv_reader(spark).option("header", "false").csv(path).limit(1).collect()
+    # Without partition folders, whose values would count as fields.
+    row = _csv_reader(spark).option("header", "false").option("recursiveFileLookup", "true").csv(path).limit(1).collect()
     return [v or "" for v in row[0]] if row else []
 
 
@@ -38,15 +39,20 @@ def _csv_reader(spark: SparkSession):
 def read_csv_text(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """CSV with a header as all-string rows; ragged rows allowed, a missing field is empty.
 
-    Names match exactly and case-sensitively, the first of equal names wins; an unknown name raises.
+    Names match exactly and case-sensitively, the first of equal names wins; an unknown name raises. Files of one
+    path must agree in their header: one with other names or another order raises when it is read. A multi-line
+    file is read by one task, so large inputs need many files.
     """
     header = csv_header(spark, path)
     wanted = list(columns) if columns is not None else header
     for name in wanted:
         if name not in header:
-            raise ValueError(f"column '{name}' not found in CSV headers")
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
-    raw = _csv_reader(spark).option("header", "true").option("enforceSchema", "true").schema(schema).csv(path)
+            raise ValueError(f"{path} has no column {name!r}")
+    # Headers can be compared file by file only where the names tell columns apart.
+    plain = all(header) and len({n.lower() for n in header}) == len(header)
+    schema = T.StructType([T.StructField(n if plain else f"_c{i}", T.StringType()) for i, n in enumerate(header)])
+    raw = _csv_reader(spark).option("header", "true").option("enforceSchema", str(not plain).lower()).schema(schema).csv(path)
+    raw = raw.select(*[F.col(f"`{f.name}`").alias(f"_c{i}") for i, f in enumerate(schema.fields)])
     return raw.select(*[F.coalesce(F.col(f"_c{header.index(n)}"), F.lit("")).alias(n) for n in wanted])
 
 
@@ -62,22 +68,18 @@ def write_csv_text(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
 
 
 def discover_csv(spark: SparkSession, root: str, csv_name: str | None = None) -> str:
-    """First sorted path named ``csv_name`` below ``root``, else the first sorted ``.csv``.
+    """First path, by its parts, named ``csv_name`` below ``root``, else the first that ends in ``.csv``.
 
     Only the listing is read; no file content is.
     """
-    for pattern in ([csv_name] if csv_name else []) + ["*.csv"]:
-        found = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", pattern)
-            .load(root)
-            .agg(F.min("path"))
-            .first()[0]
-        )
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    for wanted in ([name == csv_name] if csv_name else []) + [name.endswith(".csv")]:
+        found = listing.where(wanted).agg(F.min_by("path", parts)).first()[0]
         if found:
             return found
-    raise FileNotFoundError(f"no CSV file found under {root}")
+    raise FileNotFoundError(f"{root} holds no CSV file")
 
 
 def read_corpus(spark: SparkSession, path: str, record_sep: str | None = None) -> DataFrame:

@@ -21,6 +21,7 @@ def check_model(table: DataFrame, config: ModelConfig) -> DataFrame:
     """One row: rows, cells and whether their shape fits the configuration."""
     shape = table.agg(
         F.count("*").alias("token_rows"),
+        F.count_distinct("token_id").alias("ids"),
         F.sum(F.size("vec")).alias("cells"),
         F.count_if(F.size("vec") != config.embedding_dim).alias("misshapen"),
         F.count_if((F.col("token_id") < 0) | (F.col("token_id") >= config.vocab_size)).alias("out_of_range"),
@@ -28,6 +29,7 @@ def check_model(table: DataFrame, config: ModelConfig) -> DataFrame:
     fits = (
         (F.col("cells") == config.vocab_size * config.embedding_dim)
         & (F.col("token_rows") == config.vocab_size)
+        & (F.col("ids") == config.vocab_size)
         & (F.col("misshapen") == 0)
         & (F.col("out_of_range") == 0)
     )
