@@ -1,8 +1,11 @@
 """Exact top-k retrieval by blocked matrix products inside tasks.
 
-The smaller side travels to the tasks in blocks of bounded size; the larger side is read once per
-block and never shuffled. Each task keeps the k best per query, so what is shuffled is queries x k
-rows per task and never a row per pair.
+A held side that fits one bounded block travels to the tasks that read the other side. A larger one is cut into
+numbered blocks on the executors, as the other side is, and every block meets every other in a task of its own; nothing
+of it passes through the driver and the plan does not grow with the data. Either way a task keeps the k best per query, so
+what is merged is queries x k rows per task and never a row per pair.
+
+Rows without a payload, and vectors of another size or with a null inside, are no candidates and have no answers.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +34,7 @@ class Encoding:
 
     dim: int
     encode: Callable[[pa.Array], Iterator[np.ndarray]]
+    accepts: Callable[[Column], Column]
     score: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -43,7 +47,10 @@ def dense_encoding(dim: int, places: int = 12) -> Encoding:
         for start in range(0, len(matrix), _DENSE_SLICE):
             yield matrix[start : start + _DENSE_SLICE]
 
-    return Encoding(dim, encode, lambda left, right: np.round(left @ right.T, places))
+    def accepts(payload: Column) -> Column:
+        return payload.isNotNull() & (F.size(payload) == dim) & ~F.exists(payload, lambda x: x.isNull())
+
+    return Encoding(dim, encode, accepts, lambda left, right: np.round(left @ right.T, places))
 
 
 def hashed_encoding(dim: int = DEFAULT_DIM) -> Encoding:
@@ -54,7 +61,7 @@ def hashed_encoding(dim: int = DEFAULT_DIM) -> Encoding:
         dots = left @ right.T
         return np.divide(dots, np.sqrt(sizes), out=np.zeros_like(dots), where=sizes > 0)
 
-    return Encoding(dim, lambda column: hashed_weights(column, dim), score)
+    return Encoding(dim, lambda column: hashed_weights(column, dim), lambda payload: payload.isNotNull(), score)
 
 
 class _Best:
@@ -99,19 +106,43 @@ class _Best:
         return kept
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], payload: str, coding: Encoding):
-    """Yield (keys, matrix) of the held side, each block within ``HELD_BLOCK_BYTES``."""
-    rows = df.count()
-    parts = max(1, -(-rows * coding.dim * 8 // HELD_BLOCK_BYTES))
-    for part in range(parts):
-        share = df if parts == 1 else df.where(F.pmod(F.xxhash64(*keys), F.lit(parts)) == part)
-        table = share.select(*keys, payload).toArrow().combine_chunks()
-        if table.num_rows == 0:
-            continue
-        column = table.column(payload).combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        matrix = np.concatenate(list(coding.encode(column)))
-        yield [table.column(c).to_numpy().astype(np.int64) for c in keys], matrix
+@dataclass(frozen=True)
+class _Held:
+    """A block of the held side, as a broadcast would hand it over."""
+
+    value: tuple[list[np.ndarray], np.ndarray]
+
+
+def _block(table: pa.Table, keys: Sequence[str], payload: str, coding: Encoding) -> tuple[list[np.ndarray], np.ndarray]:
+    """(keys, matrix) of one block."""
+    column = table.column(payload).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    parts = list(coding.encode(column)) if len(column) else []
+    matrix = np.concatenate(parts) if parts else np.zeros((0, coding.dim))
+    return [table.column(c).to_numpy().astype(np.int64) for c in keys], matrix
+
+
+def _parts(rows: int, coding: Encoding) -> int:
+    return max(1, -(-rows * coding.dim * 8 // HELD_BLOCK_BYTES))
+
+
+def _block_pairs(held, held_keys, held_parts, stream, stream_keys, payload, coding, scan, schema) -> DataFrame:
+    """Score every block of one side against every block of the other, each pair in one task."""
+    parts = _parts(stream.count(), coding)
+    number = lambda keys, n: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = held.withColumn("_held", number(held_keys, held_parts)).withColumn("_stream", every(parts))
+    right = stream.withColumn("_stream", number(stream_keys, parts)).withColumn("_held", every(held_parts))
+
+    def run(block: pa.Table, rows: pa.Table) -> pa.Table:
+        found = []
+        if block.num_rows and rows.num_rows:
+            task = scan(_Held(_block(block, held_keys, payload, coding)))
+            found = list(task(rows.select([*stream_keys, payload]).combine_chunks().to_batches()))
+        return pa.Table.from_batches(found) if found else pa.table({f.name: pa.array([], pa.float64() if f.name == "score" else pa.int64()) for f in schema.fields})
+
+    on = ["_held", "_stream"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, schema)
 
 
 def top_k(
@@ -133,21 +164,22 @@ def top_k(
     corpus_keys = list(corpus_keys)
     names = [query_key, *corpus_keys, "score"]
     schema = T.StructType([T.StructField(n, T.LongType()) for n in names[:-1]] + [T.StructField("score", T.DoubleType())])
-    held, stream, held_keys = (
-        (queries, corpus.select(*corpus_keys, payload), [query_key])
-        if hold == "queries"
-        else (corpus, queries.select(query_key, payload), corpus_keys)
-    )
+    queries, corpus = (df.where(coding.accepts(F.col(payload))) for df in (queries, corpus))
+    sides = {"queries": (queries, [query_key]), "corpus": (corpus, corpus_keys)}
+    (held, held_keys), (stream, stream_keys) = sides[hold], sides["corpus" if hold == "queries" else "queries"]
+    held, stream = held.select(*held_keys, payload), stream.select(*stream_keys, payload)
     spark = queries.sparkSession
     ship_package(spark)
-    found = None
-    for block_keys, block in _blocks(held, held_keys, payload, coding):
-        shared = spark.sparkContext.broadcast((block_keys, block))
-        run = _scan(shared, coding, k, hold == "queries", skip_self, names)
-        scanned = stream.mapInArrow(run, schema)
-        found = scanned if found is None else found.unionByName(scanned)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+
+    def scan(block):
+        return _scan(block, coding, k, hold == "queries", skip_self, names)
+
+    parts = _parts(held.count(), coding)
+    if parts == 1:
+        block = _block(held.toArrow().combine_chunks(), held_keys, payload, coding)
+        found = stream.mapInArrow(scan(spark.sparkContext.broadcast(block)), schema) if len(block[1]) else spark.createDataFrame([], schema)
+    else:
+        found = _block_pairs(held, held_keys, parts, stream, stream_keys, payload, coding, scan, schema)
     best = Window.partitionBy(query_key).orderBy(F.desc("score"), *corpus_keys)
     ranked = found.withColumn("rank", F.row_number().over(best).cast("bigint"))
     return ranked.where(F.col("rank") <= k)

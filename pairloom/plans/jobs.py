@@ -177,7 +177,7 @@ def train_job(
     return files.read_report(spark, f"{out}/metrics", report.schema)
 
 
-def full_job(
+def pipeline_job(
     spark: SparkSession,
     source: DataFrame,
     profile: Profile,

@@ -277,6 +277,23 @@ def prepared() -> str:
           concat_ws('|', (SELECT count(*) FROM ev), {Q.MIN_CHARS}, {Q.MIN_WORDS}, {SEED})"""
 
 
+def chained() -> str:
+    """Prepare, one full-batch epoch from the training start table, and the metrics of the drawn triplets."""
+    roles = "(SELECT tid, unnest(['anchor', 'positive', 'negative']) AS role, unnest([anchor, positive, negative]) AS text FROM ev)"
+    emb = unit(pooled("et", "tid, role", "table2"), "tid, role")
+    return f"""WITH {labeled()},
+        ev AS MATERIALIZED (WITH {indexed_pool('neg', SEED)} SELECT row_number() OVER (ORDER BY pkey) AS tid, anchor, positive, negative FROM {drawn('pos', SEED + 11)}),
+        union_pool AS (SELECT DISTINCT unnest([anchor, positive]) AS negative FROM pos), {indexed_pool('union_pool', SEED)},
+        {epoch_triplets(1, 'trip1')}, table1 AS MATERIALIZED (SELECT * FROM {base_table(SEED + 1)}),
+        {forward(1)}, {gradients(1)}, {stepped(1)},
+        et AS MATERIALIZED (SELECT * FROM {token_rows(roles, 'tid, role', 'text', Q.MODEL.vocab_size)}),
+        ee AS MATERIALIZED (SELECT * FROM {emb}),
+        w AS (SELECT tid, dim, max(x) FILTER (role = 'anchor') AS a, max(x) FILTER (role = 'positive') AS p, max(x) FILTER (role = 'negative') AS n FROM ee GROUP BY tid, dim),
+        s AS (SELECT tid, coalesce(sum(a * p), 0) AS p, coalesce(sum(a * n), 0) AS n FROM w GROUP BY tid)
+        SELECT {r6('avg((p > n)::INT)', 'triplet_accuracy')}, {r6('avg(p)', 'mean_positive_similarity')}, {r6('avg(n)', 'mean_negative_similarity')},
+          {r6('avg(p) - avg(n)', 'mean_margin')} FROM s"""
+
+
 def quality() -> str:
     rows = lambda src, i, t: hashed_rows(src, i, t, Q.HASH_DIM)
     return f"""WITH {numbered()},
@@ -444,6 +461,7 @@ def all_oracles() -> dict[str, str]:
             SELECT 1::BIGINT AS epoch, {SUMMARY} FROM loss1 UNION ALL SELECT 2, {SUMMARY} FROM loss2""",
         "epoch_summary": f"{pick} SELECT {SUMMARY} FROM loss1",
         "inbatch_rank_loss": rank_loss(),
+        "pipeline_job": chained(),
         "triplet_metrics": f"""WITH s AS (SELECT list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS p, list_dot_product(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS n
               FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2)
             SELECT {r6('avg((p > n)::INT)', 'triplet_accuracy')}, {r6('avg(p)', 'mean_positive_similarity')}, {r6('avg(n)', 'mean_negative_similarity')},

@@ -88,11 +88,11 @@ def test_duplicate_profile_and_errors(spark, tmp_path):
         jobs.prepare_job(spark, asked.distinct().limit(1), TEXTS, str(tmp_path / "e"), jobs.PrepareOptions())
 
 
-def test_full_job_and_reuse_of_its_model(spark, tmp_path):
+def test_pipeline_job_and_reuse_of_its_model(spark, tmp_path):
     config = table.ModelConfig(vocab_size=64, embedding_dim=8, max_seq_len=16)
     prepare = jobs.PrepareOptions(max_train_pairs=12, max_eval_triplets=5, seed=1)
-    first = jobs.full_job(spark, labeled(spark), PAIRS, str(tmp_path / "one"), config, prepare, train.TrainOptions(epochs=1)).first()
-    again = jobs.full_job(
+    first = jobs.pipeline_job(spark, labeled(spark), PAIRS, str(tmp_path / "one"), config, prepare, train.TrainOptions(epochs=1)).first()
+    again = jobs.pipeline_job(
         spark, labeled(spark), PAIRS, str(tmp_path / "two"), config, prepare, train.TrainOptions(), True, str(tmp_path / "one" / "model")
     ).first()
     assert tuple(first) == pytest.approx(tuple(again), abs=1e-9)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
-from pairloom.operators import negatives, stats, table, train
+from pairloom.operators import negatives, retrieve, stats, table, train
 from pairloom.sources import files, models
 
 CONFIG = table.ModelConfig(vocab_size=40, embedding_dim=4, max_seq_len=None)
@@ -73,3 +74,19 @@ def test_files_are_ordered_by_path_parts_and_names_are_no_patterns(spark, tmp_pa
     assert files.discover_csv(spark, str(tmp_path), "[ax]*.csv").endswith("/a/b.csv")
     with pytest.raises(FileNotFoundError):
         files.discover_csv(spark, str(tmp_path / "a"), "none.csv") if (tmp_path / "a" / "b.csv").unlink() is None else None
+
+
+@pytest.mark.parametrize("hold", ["queries", "corpus"])
+@pytest.mark.parametrize("block", [1 << 26, 4 * 8 * 7])
+def test_retrieval_skips_broken_vectors_in_any_number_of_blocks(spark, monkeypatch, hold, block):
+    monkeypatch.setattr(retrieve, "HELD_BLOCK_BYTES", block)
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(40)]
+    broken = [(50, None), (51, [1.0]), (52, [1.0, None, 0.0, 9.0])]
+    corpus = spark.createDataFrame(rows + broken, "id bigint, v array<double>")
+    got = retrieve.top_k(corpus.withColumnRenamed("id", "q"), "q", corpus, ["id"], "v", retrieve.dense_encoding(4), 3, hold, skip_self=True)
+    want = []
+    for q, a in rows:
+        best = sorted((-float(np.dot(a, b)), i) for i, b in rows if i != q)[:3]
+        want += [(q, i, -s) for s, i in best]
+    assert sorted((r["q"], r["id"], r["score"]) for r in got.collect()) == sorted(want)
