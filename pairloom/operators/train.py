@@ -17,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import materialize, ship_package
+from ..session import materialize, scratch_path, ship_package
 from .negatives import draw_rejecting, index_pool
 from .ordering import hash_index
 from .pairs import pool_of_pairs
@@ -29,6 +30,8 @@ from .table import SLICE_TOKENS, ModelConfig, count_ids, fits_broadcast, mean_ro
 from .tokens import list_array, unit_rows
 
 ROLES = ("anchor", "positive", "negative")
+# Files a batch is spread over when it is written.
+BATCH_FILES = 64
 PAIR_KEYS = ["pkey"]
 
 
@@ -84,6 +87,12 @@ class Step:
 
     losses: DataFrame
     updates: DataFrame
+    held: Broadcast | None = None
+
+    def release(self) -> None:
+        """Drop the table copies of this step, once its result is kept."""
+        if self.held is not None:
+            self.held.destroy()
 
 
 def run_step(
@@ -91,21 +100,21 @@ def run_step(
 ) -> Step:
     """One forward and backward pass; ``keep`` may write its result, which losses and updates share."""
     if fits_broadcast(config):
-        both = keep(_narrow_pass(tokenized, table, config, learning_rate, margin))
+        shared = tokenized.sparkSession.sparkContext.broadcast(table_matrix(table, config))
+        both = keep(_narrow_pass(tokenized, shared, config, learning_rate, margin))
         sums = both.where(F.col("token_id").isNotNull()).select("token_id", array_to_vector("delta").alias("_v"))
         updates = sums.groupBy("token_id").agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("delta"))
-        return Step(both.where(F.col("tid").isNotNull()).select("tid", "loss"), updates)
+        return Step(both.where(F.col("tid").isNotNull()).select("tid", "loss"), updates, shared)
     vectors = keep(triplet_vectors(tokenized, table, config, margin))
     return Step(losses_of(tokenized, vectors), gradients_of(tokenized, vectors, learning_rate))
 
 
 def _narrow_pass(
-    tokenized: DataFrame, table: DataFrame, config: ModelConfig, learning_rate: float, margin: float
+    tokenized: DataFrame, shared: Broadcast, config: ModelConfig, learning_rate: float, margin: float
 ) -> DataFrame:
     """Rows (tid, loss) for triplets and (token_id, delta) for each task's summed updates."""
     spark = tokenized.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(table_matrix(table, config))
     normalize = config.normalize
     columns = ["tid", *[f"{r}_ids" for r in ROLES]]
 
@@ -266,26 +275,29 @@ def train_epochs(
 ) -> tuple[DataFrame, DataFrame]:
     """Train on keyed pairs over all epochs; returns the final table and one summary row per epoch.
 
-    Every step checkpoints its pass and the new vocab x dim table reliably, so the pass runs once,
-    lineage stays one step deep and a lost executor costs one step.
+    An epoch's tokenised triplets are written in a folder per batch and a step reads its own folder only. Every
+    step keeps its pass and the new vocab x dim table reliably, so the pass runs once, lineage stays one step deep and a lost
+    executor costs one step. Losses are appended to a table, so plans do not grow with the batches.
     """
     keyed_pairs = materialize(pairs)
     total = keyed_pairs.count()
     pool = materialize(index_pool(pool_of_pairs(keyed_pairs), options.seed))
     if pool.count() < 2:
         raise ValueError("fewer than two texts to draw negatives from")
-    history: DataFrame | None = None
+    spark = pairs.sparkSession
+    losses_path = scratch_path(spark, "losses")
     for epoch in range(1, options.epochs + 1):
-        triplets = materialize(tokenize(epoch_triplets(keyed_pairs, pool, options, epoch), config))
-        batches = max(1, -(-total // options.batch_size))
-        losses: DataFrame | None = None
-        for batch in range(batches):
-            part = triplets.where(F.col("batch") == batch)
+        triplets = tokenize(epoch_triplets(keyed_pairs, pool, options, epoch), config)
+        path = scratch_path(spark, "triplets")
+        triplets.repartition("batch", F.pmod("tid", F.lit(BATCH_FILES))).write.partitionBy("batch").parquet(path)
+        schema = triplets.drop("batch").schema
+        for batch in range(max(1, -(-total // options.batch_size))):
+            part = spark.read.schema(schema).parquet(f"{path}/batch={batch}")
             step = run_step(part, table, config, options.learning_rate, options.margin, materialize)
-            losses = step.losses if losses is None else losses.unionByName(step.losses)
+            step.losses.select(F.lit(epoch).cast("bigint").alias("epoch"), "tid", "loss").write.mode("append").parquet(losses_path)
             table = materialize(apply_gradients(table, step.updates))
-        summary = epoch_summary(losses).select(F.lit(epoch).cast("bigint").alias("epoch"), "*")
-        history = summary if history is None else history.unionByName(summary)
+            step.release()
+    history = epoch_summary(spark.read.schema("epoch bigint, tid bigint, loss double").parquet(losses_path), ("epoch",))
     return table, history
 
 

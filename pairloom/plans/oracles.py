@@ -6,7 +6,6 @@ named as in the registry and share no code path with the Spark operators.
 
 from __future__ import annotations
 
-from ..functions.synthetic import WORD_POOL
 from ..functions.text import WHITE, WRAPPER_END
 from . import queries as Q
 
@@ -277,6 +276,22 @@ def prepared() -> str:
           concat_ws('|', (SELECT count(*) FROM ev), {Q.MIN_CHARS}, {Q.MIN_WORDS}, {SEED})"""
 
 
+def mini_batches(epochs: int = 2, steps: int = 6) -> str:
+    """Every step of every epoch in a chain; ``steps`` covers the pairs of the tables this is checked on."""
+    parts, k = [], 0
+    for epoch in range(1, epochs + 1):
+        parts.append(epoch_triplets(epoch, f"epoch{epoch}"))
+        for batch in range(steps):
+            k += 1
+            parts.append(f"trip{k} AS MATERIALIZED (SELECT * FROM epoch{epoch} WHERE tid // {Q.BATCH_ROWS} = {batch})")
+            parts += [forward(k), gradients(k), stepped(k)]
+    lost = " UNION ALL ".join(f"SELECT {1 + (n - 1) // steps}::BIGINT AS epoch, loss FROM loss{n}" for n in range(1, k + 1))
+    return f"""WITH {labeled()},
+        union_pool AS (SELECT DISTINCT unnest([anchor, positive]) AS negative FROM pos), {indexed_pool('union_pool', SEED)},
+        table1 AS MATERIALIZED (SELECT * FROM {base_table()}), {", ".join(parts)}
+        SELECT epoch, {SUMMARY} FROM ({lost}) GROUP BY epoch"""
+
+
 def chained() -> str:
     """Prepare, one full-batch epoch from the training start table, and the metrics of the drawn triplets."""
     roles = "(SELECT tid, unnest(['anchor', 'positive', 'negative']) AS role, unnest([anchor, positive, negative]) AS text FROM ev)"
@@ -367,7 +382,6 @@ def all_oracles() -> dict[str, str]:
     embed = f"{with_cells} SELECT doc_id, dim, {vec} FROM {embedded}"
     numbered_words = f"len({words('text')})"
     position = "row_number() OVER (ORDER BY doc_id) - 1"
-    pool30 = "[" + ", ".join(f"'{w}'" for w in WORD_POOL) + "]"
     synth_draw = h60(f"concat_ws('|', ({SEED} + seq_len * 101)::VARCHAR, 'synth', doc_id::VARCHAR, i::VARCHAR)")
     wide = ", ".join(r6(f"coalesce(max(v) FILTER (dim = {i}), 0)", f"emb_{i}") for i in range(Q.WIDE_DIM))
     label_forms = "[q, ' ' || q || chr(9), q || '.0', '+' || q, 'x' || q, q || '99999999999999999999', q || '3000000000', '']"
@@ -423,8 +437,10 @@ def all_oracles() -> dict[str, str]:
         "negatives_single_draw": f"WITH {labeled()}, {indexed_pool('neg', SEED)} SELECT anchor, positive, negative FROM {drawn_once('pos', SEED)}",
         "cycle_texts": f"""WITH d AS (SELECT {position} AS idx, count(*) OVER () AS n, doc_id, text FROM documents)
             SELECT position, doc_id, text FROM range((SELECT count(*) * 5 // 2 FROM documents)) AS r(position) JOIN d ON idx = position % n""",
-        "synth_texts": f"""SELECT doc_id, seq_len, array_to_string(list_transform(range(1, seq_len + 1), lambda i: {pool30}[{synth_draw} % {len(WORD_POOL)} + 1]), ' ') AS text
-            FROM (SELECT doc_id, {numbered_words}::BIGINT AS seq_len FROM documents)""",
+        "synth_texts": f"""WITH b AS (SELECT list(w ORDER BY {h60('w')}, w) AS p FROM (SELECT * FROM (SELECT DISTINCT unnest({words('text')}) AS w FROM documents)
+              ORDER BY {h60('w')}, w LIMIT {Q.POOL_WORDS}))
+            SELECT doc_id, seq_len, array_to_string(list_transform(range(1, seq_len + 1), lambda i: p[{synth_draw} % len(p) + 1]), ' ') AS text
+            FROM (SELECT doc_id, {numbered_words}::BIGINT AS seq_len FROM documents), b""",
         "chunk_rows": f"SELECT doc_id, position, (position // {Q.BATCH_ROWS})::BIGINT AS batch FROM (SELECT doc_id, {position} AS position FROM documents)",
         "token_ids": f"SELECT doc_id, position, token_id FROM {doc_tokens(Q.WIDE_VOCAB.vocab_size)}",
         "hash_embed": f"""WITH w AS MATERIALIZED (SELECT * FROM {hashed_rows('documents', 'doc_id', 'text', Q.HASH_DIM)}), s AS (SELECT doc_id, sqrt(sum(w * w)::DOUBLE) AS s FROM w GROUP BY 1)
@@ -457,8 +473,7 @@ def all_oracles() -> dict[str, str]:
         "triplet_loss": f"{pick} SELECT tid, {r6('coalesce(loss, 0)', 'loss')} FROM trip1 LEFT JOIN loss1 USING (tid)",
         "triplet_gradients": f"{pick}, {gradients(1)} SELECT token_id, dim, {r6('d', 'value')} FROM delta1",
         "train_step": f"{pick}, {gradients(1)}, {stepped(1)} SELECT token_id, dim, {vec} FROM table2",
-        "train_epochs": f"""{pick}, {gradients(1)}, {stepped(1)}, {epoch_triplets(2, 'trip2')}, {forward(2)}
-            SELECT 1::BIGINT AS epoch, {SUMMARY} FROM loss1 UNION ALL SELECT 2, {SUMMARY} FROM loss2""",
+        "train_epochs": mini_batches(),
         "epoch_summary": f"{pick} SELECT {SUMMARY} FROM loss1",
         "inbatch_rank_loss": rank_loss(),
         "pipeline_job": chained(),

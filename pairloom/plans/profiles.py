@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +17,6 @@ DUPLICATES = "single_text_duplicate_mining"
 STANDARD_PROFILES = {
     "quora_pairs": {
         "kind": LABELED,
-        "dataset_ref": "quora/question-pairs-dataset",
         "csv_name": "train.csv",
         "columns": {"left": "question1", "right": "question2", "label": "is_duplicate"},
         "filters": {"min_chars": 12, "min_words": 3, "disallow_values": ["removed by reddit", "removed", "deleted"]},
@@ -25,7 +24,6 @@ STANDARD_PROFILES = {
     },
     "kaggle_questions_million": {
         "kind": DUPLICATES,
-        "dataset_ref": "pavellexyr/one-million-reddit-questions",
         "csv_name": "one-million-reddit-questions.csv",
         "columns": {"text": "title"},
         "filters": {
@@ -43,7 +41,6 @@ STANDARD_PROFILES = {
 class Profile:
     name: str
     kind: str
-    dataset_ref: str | None = None
     csv_name: str | None = None
     columns: dict[str, str] = field(default_factory=dict)
     filters: dict = field(default_factory=dict)
@@ -51,7 +48,7 @@ class Profile:
 
     def column(self, role: str) -> str:
         if not self.columns.get(role):
-            raise ValueError(f"profile '{self.name}' missing columns.{role}")
+            raise ValueError(f"profile {self.name} names no column for {role}")
         return self.columns[role]
 
     @property
@@ -75,20 +72,16 @@ class Profile:
 
 
 def parse_profiles(text: str) -> dict[str, Profile]:
-    """Profiles of a JSON document ``{"profiles": {name: {...}}}``."""
+    """Profiles of a JSON document ``{"profiles": {name: {...}}}``; other fields are left out."""
+    known = {f.name for f in fields(Profile)}
     found = json.loads(text)["profiles"]
-    return {name: Profile(**{"name": name, **body}) for name, body in sorted(found.items())}
+    return {name: Profile(**{"name": name, **{k: v for k, v in body.items() if k in known}}) for name, body in sorted(found.items())}
 
 
 def standard_profiles() -> dict[str, Profile]:
     return {name: Profile(name=name, **body) for name, body in STANDARD_PROFILES.items()}
 
 
-def list_profiles(profiles: dict[str, Profile]) -> list[tuple[str, str, str]]:
-    """(name, kind, dataset reference or ``-``) of each profile in name order."""
-    return [(n, p.kind, p.dataset_ref or "-") for n, p in sorted(profiles.items())]
-
-
 def effective_threshold(override: Column, profile: Column, default: int, variant: str = "ascii") -> Column:
     """The same rule over columns."""
     given = override if variant == "ascii" else F.nullif(override, F.lit(0))

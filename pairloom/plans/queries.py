@@ -38,6 +38,7 @@ HASH_DIM = hashed.DEFAULT_DIM
 WIDE_DIM = 8
 QUERY_COUNT = 48
 BATCH_ROWS = 64
+POOL_WORDS = 30
 LOSS_BATCH = 16
 SAMPLE_ROWS = 100
 REPEATS = 5
@@ -377,10 +378,13 @@ def cycle_texts(spark, sf):
 
 
 def synth_texts(spark, sf):
-    """A synthetic text as long as each document."""
-    sized = documents(spark, sf).select("doc_id", F.size(T.words(F.col("text"))).alias("seq_len"))
-    text = synthetic.synthetic_text(F.col("doc_id"), F.col("seq_len"), SEED)
-    return sized.select("doc_id", F.col("seq_len").cast("bigint").alias("seq_len"), text.alias("text"))
+    """A synthetic text as long as each document, from words of the corpus."""
+    docs = documents(spark, sf)
+    sized = docs.select("doc_id", F.size(T.words(F.col("text"))).alias("seq_len"))
+    # A scalar stands in a column of its own: it may not appear inside a lambda.
+    pool = synthetic.word_pool(docs.select(F.explode(T.words(F.col("text"))).alias("word")), "word", POOL_WORDS)
+    text = synthetic.synthetic_text(F.col("doc_id"), F.col("seq_len"), SEED, F.col("_pool"))
+    return sized.withColumn("_pool", pool).select("doc_id", F.col("seq_len").cast("bigint").alias("seq_len"), text.alias("text"))
 
 
 def chunk_rows(spark, sf):
@@ -515,7 +519,8 @@ def train_step(spark, sf):
 
 
 def train_epochs(spark, sf):
-    _table, history = train.train_epochs(labeled_pairs(spark, sf), token_table(spark), MODEL, TRAINING)
+    """Two epochs of mini-batches; each step starts from the table the last one left."""
+    _table, history = train.train_epochs(labeled_pairs(spark, sf), token_table(spark), MODEL, replace(TRAINING, batch_size=BATCH_ROWS))
     return history.select("epoch", "steps", "active_steps", r6(F.col("mean_active_loss"), "mean_active_loss"))
 
 
