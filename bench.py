@@ -49,7 +49,7 @@ def main() -> None:
     best = float("inf")
     for _ in range(3):
         start = time.time()
-        drain(hashed.hash_embed(passages, "passage"))
+        drain(hashed.hash_embed(passages, "passage", keep=[]))
         best = min(best, time.time() - start)
     passages.unpersist()
     print(json.dumps({

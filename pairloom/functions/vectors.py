@@ -57,7 +57,7 @@ def zeros(dim: int) -> Column:
 
 def rounded(value: Column, places: int = 6) -> Column:
     """Rounded double without a negative zero."""
-    return F.round(value, places) + F.lit(0.0)
+    return F.round(value.cast("double"), places) + F.lit(0.0)
 
 
 def rounded_vector(vec: Column, places: int = 6) -> Column:

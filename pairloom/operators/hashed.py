@@ -9,7 +9,7 @@ The work per row is independent, so it is a narrow Arrow pass: no token row is e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ from .tokens import hash60, list_array, split_tokens, unit_rows
 DEFAULT_DIM = 512
 # Rows turned into a matrix at a time: 256 x 512 doubles stay in the processor cache.
 _SLICE_ROWS = 256
+_KNOWN_WORDS = 300_000
 
 
 def hashed_weights(texts: pa.Array, dim: int) -> Iterator[np.ndarray]:
@@ -32,7 +33,7 @@ def hashed_weights(texts: pa.Array, dim: int) -> Iterator[np.ndarray]:
     14 even means plus.
     """
     batch = split_tokens(texts, lower=True)
-    head = hash60(batch.vocabulary)
+    head = _heads.of(batch.vocabulary)
     primary = (head >> 32) % dim
     secondary = ((head >> 4) & ((1 << 28) - 1)) % dim
     sign = np.where(head & 1, -1.0, 1.0)
@@ -47,10 +48,35 @@ def hashed_weights(texts: pa.Array, dim: int) -> Iterator[np.ndarray]:
         yield flat.astype(np.float64, copy=False).reshape(-1, dim)
 
 
-def hash_embed(df: DataFrame, text: str, dim: int = DEFAULT_DIM, name: str = "embedding") -> DataFrame:
-    """Append the L2-normalised hashed vector of ``text``; no token gives a zero vector."""
+class _Heads:
+    """Hashes of the words a Python worker has met, so that frequent words are hashed once; bounded."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def of(self, vocabulary: pa.Array) -> np.ndarray:
+        tokens = vocabulary.to_pylist()
+        fresh = [t for t in tokens if t not in self.known]
+        if len(self.known) + len(fresh) > _KNOWN_WORDS:
+            self.known.clear()
+            fresh = tokens
+        self.known.update(zip(fresh, hash60(pa.array(fresh, pa.string())).tolist()))
+        return np.array([self.known[t] for t in tokens], dtype=np.int64)
+
+
+_heads = _Heads()
+
+
+def hash_embed(df: DataFrame, text: str, dim: int = DEFAULT_DIM, name: str = "embedding", keep: Sequence[str] | None = None) -> DataFrame:
+    """Append the L2-normalised hashed vector of ``text``; no token gives a zero vector.
+
+    ``keep`` names the columns that come back, all by default: a text nobody reads again need not travel.
+    """
     ship_package(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    kept = df.columns if keep is None else list(keep)
+    # Only what is kept, and the text, goes to Python.
+    df = df.select(*kept, *([] if text in kept else [text]))
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(name, T.ArrayType(T.FloatType()))])
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +84,7 @@ def hash_embed(df: DataFrame, text: str, dim: int = DEFAULT_DIM, name: str = "em
             start = 0
             for weights in hashed_weights(batch.column(place), dim):
                 part = batch.slice(start, len(weights))
-                columns = [*part.columns, list_array(unit_rows(weights))]
+                columns = [*part.columns[: len(kept)], list_array(unit_rows(weights).astype(np.float32))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
                 start += len(weights)
 

@@ -444,9 +444,9 @@ def all_oracles() -> dict[str, str]:
         "chunk_rows": f"SELECT doc_id, position, (position // {Q.BATCH_ROWS})::BIGINT AS batch FROM (SELECT doc_id, {position} AS position FROM documents)",
         "token_ids": f"SELECT doc_id, position, token_id FROM {doc_tokens(Q.WIDE_VOCAB.vocab_size)}",
         "hash_embed": f"""WITH w AS MATERIALIZED (SELECT * FROM {hashed_rows('documents', 'doc_id', 'text', Q.HASH_DIM)}), s AS (SELECT doc_id, sqrt(sum(w * w)::DOUBLE) AS s FROM w GROUP BY 1)
-            SELECT doc_id, dim, {r6('w::DOUBLE / s', 'value')} FROM w JOIN s USING (doc_id)""",
+            SELECT doc_id, dim, {r6('(w::DOUBLE / s)::FLOAT', 'value')} FROM w JOIN s USING (doc_id)""",
         "hash_embed_wide": f"""WITH c AS (SELECT conv_id * 1000000 + turn AS id, text FROM conversations), w AS MATERIALIZED (SELECT * FROM {hashed_rows('c', 'id', 'text', Q.WIDE_DIM)}),
-            v AS (SELECT id, dim, w::DOUBLE / sqrt((sum(w * w) OVER (PARTITION BY id))::DOUBLE) AS v FROM w)
+            v AS (SELECT id, dim, (w::DOUBLE / sqrt((sum(w * w) OVER (PARTITION BY id))::DOUBLE))::FLOAT AS v FROM w)
             SELECT text, {wide} FROM c LEFT JOIN v USING (id) GROUP BY id, text""",
         "l2_normalize": f"""WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE * label AS x FROM embeddings)
             SELECT vec_id, dim, {vec} FROM {unit('x', 'vec_id')}""",

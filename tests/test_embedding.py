@@ -25,7 +25,7 @@ def test_hash_embedding_contract(spark):
     assert all(len(v) == 512 for v in got.values())
     assert np.array_equal(got[0], got[1])
     assert not got[2].any() and not got[3].any()
-    assert np.linalg.norm(got[4]) == pytest.approx(1.0, abs=1e-12)
+    assert np.linalg.norm(got[4]) == pytest.approx(1.0, abs=1e-6)
 
 
 def test_wide_frame_shape(spark):
