@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import window_starts, words
@@ -48,22 +48,27 @@ def leading_passages(
 ) -> tuple[DataFrame, int]:
     """Numbered passages of the first texts, at least ``needed`` of them or all there are.
 
-    Only the key column is scanned whole; texts are read up to a key bound that prunes row groups.
-    Texts too short for a window make it look further. The returned count is the corpus size if it
-    is below ``needed``.
+    Window counts alone decide which texts are first: of the keys with a window the ``needed`` smallest are taken, once, and
+    only their texts are cut. The returned count is the corpus size if it is below ``needed``.
     """
-    take = max(needed, 1)
-    while True:
-        first_keys = df.select(key).orderBy(key).limit(take)
-        bound = first_keys.agg(F.count("*").alias("n"), F.max(key).alias("last")).first()
-        head = df.select(key, text).where(F.col(key) <= bound["last"]) if bound["n"] else df.select(key, text).limit(0)
-        rows = sliding_passages(head, text, window, stride, max_windows)
-        position = F.row_number().over(Window.orderBy(key, "window")) - 1
-        numbered = materialize(rows.select(position.cast("bigint").alias("passage_id"), key, "window", "passage"))
-        found = numbered.count()
-        if found >= needed or bound["n"] < take:
-            return numbered, found
-        take *= 4
+    sizes = count_windows(df, key, text, window, stride, max_windows).where(F.col("n_windows") > 0)
+    first = materialize(sizes.orderBy(key).limit(max(needed, 1)))
+    bound = first.agg(F.max(key).alias("last")).first()["last"]
+    head = df.select(key, text).where(F.col(key) <= bound) if bound is not None else df.select(key, text).limit(0)
+    offsets = prefix_offsets(first, key, "n_windows", "first_id")
+    rows = sliding_passages(head, text, window, stride, max_windows).join(F.broadcast(offsets.select(key, "first_id")), key)
+    numbered = materialize(rows.select((F.col("first_id") + F.col("window")).alias("passage_id"), key, "window", "passage"))
+    return numbered, first.agg(F.sum("n_windows")).first()[0] or 0
+
+
+def number_windows(
+    df: DataFrame, key: str, text: str, window: int = WINDOW, stride: int = STRIDE, max_windows: int | None = None
+) -> tuple[DataFrame, int]:
+    """(passage_id, key, window) of every passage, without the texts, and how many there are."""
+    sizes = materialize(count_windows(df, key, text, window, stride, max_windows).where(F.col("n_windows") > 0))
+    offsets = prefix_offsets(sizes, key, "n_windows", "first_id")
+    ids = offsets.select(key, "first_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_windows") - 1)).alias("window"))
+    return ids.select((F.col("first_id") + F.col("window")).alias("passage_id"), key, "window"), sizes.agg(F.sum("n_windows")).first()[0] or 0
 
 
 def number_passages(

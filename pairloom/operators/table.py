@@ -137,20 +137,19 @@ def pooled(
 
 
 def mean_pool(df: DataFrame, keys: Sequence[str], text: str, table: DataFrame, config: ModelConfig) -> DataFrame:
-    """Mean of the token vectors of each text; repeated tokens count each time."""
+    """Mean of the token vectors of each text; repeated tokens count each time and a text without tokens gives no row."""
     return pooled(token_counts(df, keys, text, config), keys, "count", table, config)
 
 
-def masked_mean_pool(df: DataFrame, keys: Sequence[str], mask: str, dim: int) -> DataFrame:
-    """Mean over the rows with mask > 0; a key with none gives a zero vector.
+def masked_mean_pool(df: DataFrame, keys: Sequence[str], mask: str, dim: int, count: str | None = None) -> DataFrame:
+    """Mean over the rows with mask > 0, each counted ``count`` times; a key with none gives a zero vector.
 
     Masked rows keep their key but carry a zero vector and weight 0, so no second pass is needed.
     """
-    use = F.when(F.col(mask) > 0, 1.0).otherwise(0.0)
+    use = F.when(F.col(mask) > 0, F.col(count).cast("double") if count else F.lit(1.0)).otherwise(0.0)
     live = df.withColumn("_live", use)
-    sums = live.select(
-        *keys, "_live", array_to_vector(F.when(F.col("_live") > 0, F.col("vec")).otherwise(V.zeros(dim))).alias("_v")
-    )
+    weighted = V.scale(F.col("vec"), F.col("_live")) if count else F.col("vec")
+    sums = live.select(*keys, "_live", array_to_vector(F.when(F.col("_live") > 0, weighted).otherwise(V.zeros(dim))).alias("_v"))
     total = vector_to_array(Summarizer.sum(F.col("_v")))
     found = sums.groupBy(*keys).agg(total.alias("_sum"), F.sum("_live").alias("_n"))
     mean = F.when(F.col("_n") > 0, V.scale(F.col("_sum"), 1.0 / F.col("_n"))).otherwise(F.col("_sum"))

@@ -428,10 +428,10 @@ def mean_pool(spark, sf):
 
 def masked_mean_pool(spark, sf):
     """Token vectors of each document, unknown tokens masked out."""
-    docs = documents(spark, sf).repartition("doc_id")
-    rows = table.lookup(table.token_ids(docs, "text", MODEL), token_table(spark), MODEL)
+    counts = table.token_counts(documents(spark, sf), ["doc_id"], "text", MODEL)
+    rows = table.lookup(counts, token_table(spark), MODEL)
     masked = rows.withColumn("mask", F.when(F.col("token_id") == table.UNKNOWN_ID, 0).otherwise(1))
-    return long_vector(table.masked_mean_pool(masked, ["doc_id"], "mask", MODEL.embedding_dim), ["doc_id"])
+    return long_vector(table.masked_mean_pool(masked, ["doc_id"], "mask", MODEL.embedding_dim, "count"), ["doc_id"])
 
 
 def init_token_table(spark, sf):
@@ -493,9 +493,12 @@ def retrieve_topk(spark, sf):
 
 
 def offset_negative(spark, sf):
-    numbered = passages.number_passages(documents(spark, sf), "doc_id", "text")
-    total = passages.count_windows(documents(spark, sf), "doc_id", "text").agg(F.sum("n_windows")).first()[0] or 1
-    return retrieve.offset_negatives(numbered, "passage_id", "passage", total).select("passage_id", "negative_idx", "negative")
+    ids, total = passages.number_windows(documents(spark, sf), "doc_id", "text")
+    places = ids.select("passage_id", F.struct("doc_id", "window").alias("at"))
+    paired = retrieve.offset_negatives(places, "passage_id", "at", max(total, 1))
+    wanted = paired.select("passage_id", "negative_idx", "negative.*")
+    texts = passages.sliding_passages(documents(spark, sf), "text")
+    return wanted.join(texts, ["doc_id", "window"]).select("passage_id", "negative_idx", F.col("passage").alias("negative"))
 
 
 # --- training --------------------------------------------------------------------------------
@@ -534,9 +537,10 @@ def inbatch_rank_loss(spark, sf):
     asked = talk.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("ask"))
     replies = talk.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
     found = asked.join(replies, ["conv_id", "turn"])
-    both = table.embed_batches(table.embed_batches(found, "ask", token_table(spark), MODEL, "a"), "reply", token_table(spark), MODEL, "p")
-    batched = train.loss_batches(both.select("conv_id", "turn", "a", "p"), SEED, ["conv_id", "turn"], LOSS_BATCH)
-    return train.inbatch_rank_loss(batched).select("batch", "size", r6(F.col("loss"), "loss"))
+    # Numbered first: numbering reads its input twice, and embedding should run once.
+    batched = train.loss_batches(found, SEED, ["conv_id", "turn"], LOSS_BATCH).select("batch", "ask", "reply")
+    both = table.embed_batches(table.embed_batches(batched, "ask", token_table(spark), MODEL, "a"), "reply", token_table(spark), MODEL, "p")
+    return train.inbatch_rank_loss(both.select("batch", "a", "p")).select("batch", "size", r6(F.col("loss"), "loss"))
 
 
 # --- evaluation ------------------------------------------------------------------------------
