@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import hashed, negatives, pairs, passages, retrieve
+from ..operators import hashed, negatives, pairs, passages, retrieve, stats
 from ..operators.layout import spread
 from ..operators.metrics import score_triplets, triplet_metrics
 from ..operators.ordering import sample_capped
@@ -162,7 +162,7 @@ def train_job(
     keyed = copies.select("anchor", "positive", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("copy"))
     train = materialize(sample_capped(with_pair_key(keyed), max_train_pairs, options.seed, "train", PAIR_KEYS))
     start = init_token_table(spark, config, options.seed + 1)
-    table, _history = train_epochs(train, start, config, options)
+    table, history = train_epochs(train, start, config, options)
     models.save_model(table, config, f"{out}/model")
     metrics = evaluate_model(triplets, table, config)
     report = metrics.select(
@@ -172,6 +172,7 @@ def train_job(
         *[F.lit(getattr(options, k)).alias(k) for k in ("epochs", "learning_rate", "margin", "seed")],
         *[F.lit(getattr(config, k)).alias(k) for k in ("vocab_size", "embedding_dim", "max_seq_len")],
         F.struct(*metrics.columns).alias("metrics"),
+        history.agg(F.array_sort(F.collect_list(F.struct("epoch", "steps", "active_steps", "mean_active_loss")))).scalar().alias("history"),
     )
     files.write_report(report, f"{out}/metrics")
     return files.read_report(spark, f"{out}/metrics", report.schema)
@@ -198,6 +199,25 @@ def pipeline_job(
     return evaluate_model(files.read_triplets(spark, f"{out}/data/eval_triplets"), table, loaded)
 
 
+def benchmark_report(
+    spark: SparkSession, docs: DataFrame, key: str, text: str, samples: DataFrame, value: str, batches: DataFrame, items: str, elapsed_s: str, out: str, query_count: int = 32
+) -> DataFrame:
+    """One report of a benchmark run: the passages it used, throughput and latency as measured, and retrieval quality.
+
+    ``samples`` holds one measured time a row and ``batches`` one measured batch a row; timing itself is the caller's.
+    """
+    one = F.lit("all").alias("run")
+    parts = {
+        "dataset": passages.corpus_stats(passages.sliding_passages(spread(docs.select(key, text)), text)),
+        "throughput": stats.throughput(batches.select(one, items, elapsed_s), ["run"], items, elapsed_s).drop("run"),
+        "latency": stats.latency_nearest_rank(samples.select(one, value), ["run"], value).drop("run"),
+        "quality": retrieval_quality(docs, key, text, query_count),
+    }
+    row = spark.range(1).select(*[df.select(F.struct(*df.columns)).scalar().alias(name) for name, df in parts.items()])
+    files.write_report(row, out)
+    return files.read_report(spark, out, row.schema)
+
+
 def retrieval_quality(
     docs: DataFrame, key: str, text: str, query_count: int = 32, window: int = passages.WINDOW, stride: int = passages.STRIDE,
     max_windows: int | None = None, dim: int = hashed.DEFAULT_DIM, shift: int = 23,

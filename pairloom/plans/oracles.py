@@ -477,6 +477,13 @@ def all_oracles() -> dict[str, str]:
         "epoch_summary": f"{pick} SELECT {SUMMARY} FROM loss1",
         "inbatch_rank_loss": rank_loss(),
         "pipeline_job": chained(),
+        "benchmark_report": f"""WITH c AS (WITH {passages()} SELECT count(*)::BIGINT AS passage_count, {r6('avg(strlen(passage))', 'mean_bytes')},
+              {r6(f'avg(len({words("passage")}))', 'mean_words')} FROM win),
+            b AS (SELECT count(*) AS items, sum(value) / 1000.0::DOUBLE AS el FROM events GROUP BY event_type, user_id),
+            t AS (SELECT sum(items)::BIGINT AS items, {r6('sum(items) / greatest(sum(el), 2.220446049250313e-16::DOUBLE)', 'per_second')} FROM b),
+            e AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS rn, count(*) OVER () AS n FROM events),
+            l AS (SELECT any_value(n) AS n, {percentile_columns('nearest')} FROM e), q AS ({quality()})
+            SELECT passage_count, items, n, eval_count, mean_bytes, mean_words, per_second, p50_us, p95_us, p99_us, top1_accuracy, separation FROM c, t, l, q""",
         "triplet_metrics": f"""WITH s AS (SELECT list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS p, list_dot_product(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS n
               FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2)
             SELECT {r6('avg((p > n)::INT)', 'triplet_accuracy')}, {r6('avg(p)', 'mean_positive_similarity')}, {r6('avg(n)', 'mean_negative_similarity')},

@@ -618,6 +618,18 @@ def length_stats(spark, sf):
     return found.select("lang", r6(F.col("mean_words"), "mean_words"), "min_words", "max_words")
 
 
+def benchmark_report(spark, sf):
+    """Event values stand for measured times, a user's events of one type for a batch."""
+    events = read(spark, sf, "events")
+    batches = events.groupBy("event_type", "user_id").agg(F.count("*").alias("items"), (F.sum("value") / 1000.0).alias("elapsed_s"))
+    found = jobs.benchmark_report(
+        spark, read(spark, sf, "documents"), "doc_id", "text", events, "value", batches, "items", "elapsed_s", scratch_path(spark, "benchmark"), QUERY_COUNT
+    )
+    whole = [F.col(c) for c in ("dataset.passage_count", "throughput.items", "latency.n", "quality.eval_count")]
+    real = "dataset.mean_bytes dataset.mean_words throughput.per_second latency.p50_us latency.p95_us latency.p99_us quality.top1_accuracy quality.separation".split()
+    return found.select(*whole, *[r6(F.col(c), c.split(".")[1]) for c in real])
+
+
 def pipeline_job(spark, sf):
     options = replace(TRAINING, epochs=1)
     found = jobs.pipeline_job(
@@ -636,7 +648,7 @@ KEYS = (
     "query_from_passage corpus_stats token_lookup retrieve_top1 retrieve_topk offset_negative triplet_loss "
     "triplet_gradients train_step train_epochs epoch_summary inbatch_rank_loss triplet_metrics retrieval_quality "
     "ir_metrics leaderboard latency_nearest_rank latency_linear throughput repeat_summary bootstrap_median_ci length_stats "
-    "pipeline_job"
+    "benchmark_report pipeline_job"
 ).split()
 
 
