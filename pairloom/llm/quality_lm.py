@@ -270,8 +270,8 @@ def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> D
     scores = common.written(scored(docs, trusted), "lm-scores")
     limits = common.written(thresholds(scores, quantile), "lm-limits")
     own = limits.where("not every").select(F.col("lang").alias("of_lang"), F.col("limit").alias("own"))
-    every = limits.where("every").agg(F.max("limit").alias("all"))
-    placed = scores.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("of_lang")), "left").join(F.broadcast(every))
-    limit = F.coalesce("own", "all")
+    every = limits.where("every").select(F.max("limit")).scalar()
+    placed = scores.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("of_lang")), "left")
+    limit = F.coalesce(F.col("own"), every)
     step = F.round(F.col("bits") * SCALE) / SCALE
     return placed.select("doc_id", "lang", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), limit).alias("limit"), F.coalesce(F.col("bits").isNotNull() & (limit.isNull() | (step <= limit)), F.lit(False)).alias("kept"))
