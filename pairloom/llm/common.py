@@ -16,6 +16,8 @@ from ..session import scratch_path, ship_package
 # Text bytes that a task handles at once; bounds its memory, not what it covers.
 BATCH_BYTES = 8 << 20
 SMALL_SIDE_BYTES = 32 << 20
+# 20,000 links are about 1 MB.
+FEW_LINKS = 20_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -52,7 +54,7 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 def keep_rows(docs: DataFrame, decided: DataFrame, text_sha256: Column) -> DataFrame:
     """Rows of ``docs``, all columns, that ``decided(doc_id, text_sha256, kept)`` keeps; of rows equal in id and text one stays.
 
-    Only what goes, or stands for several rows, is written and joined; its size lets Spark choose the join.
+    Only what goes, or stands for several rows, is written and joined; while it is small the texts stay where they are.
     """
     own = "__"
     while any(c.lower().startswith(own) for c in docs.columns):
@@ -63,7 +65,8 @@ def keep_rows(docs: DataFrame, decided: DataFrame, text_sha256: Column) -> DataF
         .where(f"not {own}kept or {own}n > 1"),
         "decided",
     )
-    marked = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col(f"{own}id")) & (text_sha256 == F.col(f"{own}sha")), "left")
+    few = gone.count() * 120 <= SMALL_SIDE_BYTES
+    marked = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col(f"{own}id")) & (text_sha256 == F.col(f"{own}sha")), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     single = marked.where(f"{own}sha is null").select(columns)
     repeated = marked.where(f"{own}kept and {own}n > 1").dropDuplicates([f"{own}id", f"{own}sha"]).select(columns)
@@ -237,19 +240,21 @@ def components(links: DataFrame) -> DataFrame:
     a hub may hold any share of the links. Each round is written to the shared folder.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
+    count, mark = edges.count(), None
     while True:
+        # Few links are one partition, and then no step of a round has to move them.
+        edges = edges.coalesce(1) if count <= FEW_LINKS else edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(1) if count <= FEW_LINKS else both
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a")
-        edges = written(
-            small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "links"
-        )
+        tied = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b")
+        edges = written((tied.coalesce(1) if count <= FEW_LINKS else tied).distinct(), "links")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if tuple(now) == mark:
             break
-        mark = tuple(now)
+        mark, count = tuple(now), max(count, now["n"])
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
