@@ -1,18 +1,18 @@
 """Jaccard join on word 5-grams by T-occurrence search.
 
 A document is the set of its 5-word shingles; equal sets are one node. A partner of a node with n shingles shares at
-least T = ceil(0.8 n) of them. The work runs in four steps, none of which lists all pairs of a group:
+least T = ceil(0.8 n) of them. The work runs in three steps, none of which lists all pairs of a group:
 
 1. Inverted lists. Each bounded batch deals its shingles, packed, to parts by hash. A part finds those that
    several nodes hold; the others have lists of length one and can support no link. Nodes with fewer than T shared
    shingles are done.
-2. Hubs. Ordered by list length, a node's first c - T + l lists are its short ones (c shared shingles, l = 3 hits
-   wanted), and linked nodes meet in l of them. Every node is first compared with the hub it meets most often.
-3. T-occurrence search. Nodes that are already connected need no further proof, so each list is searched only by nodes
-   outside its most frequent component: their short lists are heap-merged and counted (DivideSkip), whatever the
-   size of that component.
-4. Probes. For candidates with enough hits the long lists are never read: the candidate's sorted shingles are binary-probed
-   with the query's, which gives the exact overlap.
+2. Hubs. Ordered by list length, a node's first c - T + 1 lists are its short ones (c shared shingles), and linked nodes meet
+   in one of them. Every node is compared with the hub, the least unusual node of a list, that it meets most often.
+3. T-occurrence search (DivideSkip). What a hub connects needs no further proof. A node in a short list whose most frequent
+   component is another one visits that component, so two linked nodes that are still apart meet where one of them lives or both
+   visit. A task holds a bounded chunk of such a block as inverted lists: the short lists of a visitor are merged and counted, and
+   members that occur often enough there are probed for in the long lists by binary search until they cannot reach the overlap any more, which
+   gives the exact overlap. One link is enough for a visitor and a component.
 
 Connected components of hub and search links are the classes. Shingles are told apart by 48 bits within a part, so two
 sets of a thousand shingles would disagree about one of them once in ten million pairs.
@@ -25,7 +25,6 @@ id and a text are one node and ``drop_near_duplicates`` keeps one of them.
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +36,12 @@ from . import common
 
 SHINGLE = 5
 PERCENT = 80
-HITS = 3
+HITS = 1
 PART_SHINGLES = 4_000_000
 BUCKET_NODES = 20_000
-LIST_CHUNK = 1024
+ASIDE_HITS = 3
+CHUNK_BYTES = 4 << 20
+CHUNK_QUERIES = 2000
 _KEY_BYTES = 6
 
 
@@ -195,10 +196,10 @@ def candidates(group: pa.Table) -> pa.Table:
         least = int(needed(n))
         hits = min(HITS, least)
         mine = keys[a : a + c]
-        out.append((nodes[node].tobytes(), n, hits, mine[: c - least + hits].view(np.int64), np.sort(mine).tobytes()))
+        out.append((nodes[node].tobytes(), n, n - c, mine[: c - least + hits].view(np.int64), np.sort(mine).tobytes()))
     cols = list(zip(*out)) or [[] for _ in range(5)]
     types = [pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-    return pa.table([pa.array(list(c), t) for c, t in zip(cols, types)], names=["node", "n", "hits", "short", "shared"])
+    return pa.table([pa.array(list(c), t) for c, t in zip(cols, types)], names=["node", "n", "alone", "short", "shared"])
 
 
 def probe(records) -> Iterator[pa.RecordBatch]:
@@ -213,54 +214,126 @@ def probe(records) -> Iterator[pa.RecordBatch]:
         yield record.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    side = {k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("shared").alias(f"shared_{k}")) for k in "ab"}
-    return common.map_arrow(pairs.select("a", "b").join(side["a"], "a").join(side["b"], "b"), probe, "a binary, b binary")
+def with_sets(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Add the size and the shared shingles of the node in ``key``. The sets stay where they are while the rows are few."""
+    side = nodes.select(F.col("node").alias(key), F.col("n").alias(f"n_{key}"), F.col("shared").alias(f"shared_{key}"))
+    few = rows.count() * 100 <= common.SMALL_SIDE_BYTES
+    return side.join(F.broadcast(rows) if few else rows, key)
 
 
-def _near_in_size(x: str, y: str):
-    return (100 * F.least(F.col(x), F.col(y)) >= PERCENT * F.greatest(F.col(x), F.col(y)))
+def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked."""
+    pairs = common.written(pairs.select("a", "b"), "pairs")
+    hubs = common.written(with_sets(pairs.select("b").distinct(), nodes, "b"), "hubs")
+    return common.map_arrow(with_sets(pairs, nodes, "a").join(hubs, "b"), probe, "a binary, b binary")
 
 
 def hub_pairs(short: DataFrame) -> DataFrame:
-    """(a, b): each node with the hub, the least node of a list, that it meets most often."""
-    hubs = short.groupBy("token").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    met = short.join(hubs, "token").where("node <> hub.node").withColumn("hub_n", F.col("hub.n")).where(_near_in_size("n", "hub_n"))
+    """(a, b): each node with the hub of a list that it meets most often.
+
+    A hub is the node of the list with the fewest shingles of its own, which of copies with changes is the one nearest to all.
+    """
+    hubs = short.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    met = short.join(hubs, "token").where("node <> hub.node").withColumn("hub_n", F.col("hub.n"))
+    met = met.where(100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n"))
     times = met.groupBy("node", F.col("hub.node").alias("b")).count()
     return times.groupBy("node").agg(F.max(F.struct("count", "b")).alias("best")).select(F.col("node").alias("a"), F.col("best.b").alias("b"))
 
 
-def heap_merge(group: pa.Table) -> pa.Table:
-    """T-occurrence search of one query node over its short lists: (a, b, hits) with a < b."""
-    query, size, own = (group.column(c)[0].as_py() for c in ("query", "query_n", "query_component"))
-    lists = []
-    for main, entries in zip(group.column("main").to_pylist(), group.column("entries").to_pylist()):
-        # Two nodes outside the main component search each other; the smaller one counts the list.
-        lists.append([e["node"] for e in entries if e["component"] != own and (e["component"] == main or e["node"] > query) and 100 * min(e["n"], size) >= PERCENT * max(e["n"], size)])
-    out: dict[bytes, int] = {}
-    for node in heapq.merge(*lists):
-        out[node] = out.get(node, 0) + 1
-    return pa.table(
-        [pa.array([min(query, b) for b in out], pa.binary()), pa.array([max(query, b) for b in out], pa.binary()), pa.array(list(out.values()), pa.int64())],
-        names=["a", "b", "hits"],
+def visits(short: DataFrame, placed: DataFrame) -> DataFrame:
+    """(node, component, block): nodes and the other components that are the most frequent ones of their short lists."""
+    entries = short.select("token", "node").join(placed.select("node", "component"), "node")
+    per = entries.groupBy("token", "component").count()
+    mixed = per.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("count", "component")).alias("top")).where("k > 1")
+    met = entries.join(mixed.select("token", F.col("top.component").alias("block")), "token")
+    return met.where("component <> block").select("node", "component", "block").distinct()
+
+
+class Index:
+    """Inverted lists over the sets of some members; list entries are in the order of the members."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        flat = np.concatenate(sets)
+        member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.member, self.sizes = flat[order], member[order], sizes
+
+    def search(self, asked: np.ndarray, size: int, skip: np.ndarray) -> np.ndarray:
+        """DivideSkip: members linked to a set of ``size`` shingles, of which the shared ones are asked.
+
+        The longest lists are set aside, so many that a result must still be in ``ASIDE_HITS`` of the others. Those are merged
+        and counted; what is left is looked up in the long lists, the shorter ones first.
+        """
+        low, high = np.searchsorted(self.keys, asked, "left"), np.searchsorted(self.keys, asked, "right")
+        order = np.argsort(high - low, kind="stable")
+        order = order[(high - low)[order] > 0]
+        low, high = low[order], high[order]
+        # Overlap that makes a link with each member: 100 o >= PERCENT (a + b - o).
+        wanted = -(-PERCENT * (size + self.sizes) // (100 + PERCENT))
+        aside = max(0, min(len(low), int(needed(size)) - ASIDE_HITS))
+        split = len(low) - aside
+        if not split:
+            return np.zeros(0, np.int64)
+        merged = np.concatenate([self.member[a:b] for a, b in zip(low[:split], high[:split])])
+        found, hits = np.unique(merged, return_counts=True)
+        alive = (hits + aside >= wanted[found]) & ~skip[found]
+        found, hits = found[alive], hits[alive]
+        for k in range(split, len(low)):
+            if not len(found):
+                break
+            entries = self.member[low[k] : high[k]]
+            at = np.minimum(np.searchsorted(entries, found), len(entries) - 1)
+            hits = hits + (entries[at] == found)
+            alive = hits + (len(low) - k - 1) >= wanted[found]
+            found, hits = found[alive], hits[alive]
+        return found[hits >= wanted[found]]
+
+
+def search(group: pa.Table) -> pa.Table:
+    """Some chunks of blocks: for each visitor one linked member of each other component."""
+    rows = {c: group.column(c).to_pylist() for c in ("block", "chunk", "turn", "asks", "node", "component", "n_node", "shared_node")}
+    tasks: dict[tuple, tuple[list[int], list[int]]] = {}
+    for i, key in enumerate(zip(rows["block"], rows["chunk"], rows["turn"])):
+        tasks.setdefault(key, ([], []))[rows["asks"][i]].append(i)
+    found = set()
+    for members, queries in tasks.values():
+        if not members or not queries:
+            continue
+        members.sort(key=lambda i: rows["node"][i])
+        index = Index([np.frombuffer(rows["shared_node"][i], np.uint64) for i in members], np.array([rows["n_node"][i] for i in members]))
+        components, number = np.unique(np.array([rows["component"][i] for i in members], dtype="V16"), return_inverse=True)
+        known = {c.tobytes(): k for k, c in enumerate(components)}
+        for i in queries:
+            own = known.get(rows["component"][i], -1)
+            hits = index.search(np.frombuffer(rows["shared_node"][i], np.uint64), rows["n_node"][i], number == own)
+            for m in hits[np.unique(number[hits], return_index=True)[1]].tolist():
+                found.add((rows["node"][i], rows["node"][members[m]]))
+    a, b = zip(*sorted(found)) if found else ((), ())
+    return pa.table([pa.array(list(a), pa.binary()), pa.array(list(b), pa.binary())], names=["a", "b"])
+
+
+def search_links(nodes: DataFrame, visiting: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b): links between nodes of different components.
+
+    A block is a component and its visitors. It is dealt to chunks of bounded bytes and its visitors to turns of bounded number; a
+    task holds a few (chunk, turn) pairs.
+    """
+    guests = visiting.select("block", "node", "component")
+    homes = placed.join(visiting.select(F.col("block").alias("component")).distinct(), "component").select(F.col("component").alias("block"), "node", "component")
+    people = common.written(homes.unionByName(guests).join(placed.select("node", "n"), "node"), "block-members")
+    sizes = people.groupBy("block").agg(F.sum("n").alias("shingles"), F.count_if(F.col("component") != F.col("block")).alias("guests"))
+    chunks = common.written(
+        sizes.select("block", F.ceil(8 * F.col("shingles") / CHUNK_BYTES).cast("int").alias("chunks"), F.ceil(F.col("guests") / CHUNK_QUERIES).cast("int").alias("turns")), "block-chunks"
     )
-
-
-def search_pairs(short: DataFrame, connected: DataFrame) -> DataFrame:
-    """(a, b): nodes of different components that meet in enough short lists."""
-    placed = short.join(connected, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per = placed.groupBy("token", "component").count()
-    mixed = per.groupBy("token").agg(F.count("*").alias("k"), F.sum("count").alias("m"), F.max(F.struct("count", "component")).alias("top")).where("k > 1")
-    mixed = common.written(mixed.select("token", "m", F.col("top.component").alias("main")), "mixed-lists")
-    met = placed.join(mixed, "token")
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / LIST_CHUNK))
-    lists = met.groupBy("token", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("node", "n", "component"))).alias("entries"))
-    queries = met.where("component <> main").select("token", "main", F.col("node").alias("query"), F.col("n").alias("query_n"), F.col("component").alias("query_component"))
-    found = queries.join(lists.drop("chunk"), "token").groupBy("query").applyInArrow(heap_merge, "a binary, b binary, hits bigint")
-    wanted = {k: short.select(F.col("node").alias(k), F.col("hits").alias(f"hits_{k}")).distinct() for k in "ab"}
-    counted = found.groupBy("a", "b").agg(F.sum("hits").alias("met"))
-    return counted.join(wanted["a"], "a").join(wanted["b"], "b").where(F.col("met") >= F.least("hits_a", "hits_b")).select("a", "b")
+    total = chunks.agg(F.sum(F.col("chunks") * F.col("turns")).alias("t")).first()["t"] or 0
+    cut = people.join(chunks, "block")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    members = cut.select("block", "node", "component", part("chunks").alias("chunk"), every("turns").alias("turn"), F.lit(0).alias("asks"))
+    queries = cut.where("component <> block").select("block", "node", "component", every("chunks").alias("chunk"), part("turns").alias("turn"), F.lit(1).alias("asks"))
+    rows = common.written(members.unionByName(queries), "block-rows")
+    bucket = F.pmod(F.xxhash64("block", "chunk", "turn"), F.lit(common.parts_for(total, 8)))
+    return with_sets(rows, nodes, "node").groupBy(bucket.alias("bucket")).applyInArrow(search, "a binary, b binary")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -272,12 +345,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     dealt = common.map_arrow(source.select("text"), dealt_sets(parts), "part int, names binary, sizes binary, counts binary, keys binary")
     shared = dealt.groupBy("part").applyInArrow(shared_shingles(buckets), "bucket int, part int, names binary, sizes binary, counts binary, keys binary, lengths binary")
     nodes = common.written(
-        shared.groupBy("bucket").applyInArrow(candidates, "node binary, n int, hits int, short array<bigint>, shared binary"), "nodes"
+        shared.groupBy("bucket").applyInArrow(candidates, "node binary, n int, alone int, short array<bigint>, shared binary"), "nodes"
     )
-    short = nodes.select("node", "n", "hits", F.explode("short").alias("token"))
-    hub_links = common.written(verified(hub_pairs(short), nodes), "hub-links")
-    connected = common.components(hub_links)
-    links = hub_links.unionByName(verified(search_pairs(short, connected), nodes))
+    short = nodes.select("node", "n", "alone", F.explode("short").alias("token"))
+    connected = common.components(verified(hub_pairs(short), nodes))
+    placed = common.written(nodes.select("node", "n").join(connected, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    visiting = common.written(visits(short, placed), "visits")
+    links = connected.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(search_links(nodes, visiting, placed))
     classes = common.components(links)
     least = named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     inside = least.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
