@@ -82,9 +82,9 @@ def test_duplicate_profile_and_errors(spark, tmp_path):
     assert mined.positives.count() == 3 and mined.pool.count() == 2
     markup = jobs.mine(asked, TEXTS, 3, 1, "markup")
     assert markup.positives.count() == 1
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="unknown kind"):
         jobs.mine(asked, Profile("x", "other"), 3, 1)
-    with pytest.raises(ValueError, match="No positive"):
+    with pytest.raises(ValueError, match="no positive pair"):
         jobs.prepare_job(spark, asked.distinct().limit(1), TEXTS, str(tmp_path / "e"), jobs.PrepareOptions())
 
 
