@@ -2,7 +2,7 @@
 
 Blocks of text around cue words are compressed alone and with each template as a zstandard raw dictionary: the more of a template a
 block repeats, the more bytes the dictionary saves. The templates are ranked by the share of their own compressed size that is
-saved, and the best are confirmed by the words themselves: the template must align with the block with few words different.
+saved, and the best are confirmed by the words themselves: the template must align with the block with few words different; words once taken count for no other template.
 
 Defined cases: null and empty texts and texts without a cue give no row; repeated rows give their rows each time; equal savings are
 ranked by template name.
@@ -55,7 +55,7 @@ TEMPLATES = {
 }
 CUE = re.compile(r"licen[cs]|copyright|redistribut|permission is|free software|warrant|spdx", re.IGNORECASE)
 REACH = 600
-LEAST_SHARE, MOST_CHANGED = 0.25, 0.15
+LEAST_SHARE, MOST_CHANGED = 0.12, 0.15
 _WORD = re.compile(r"[\w.+-]*\w")
 
 
@@ -115,15 +115,16 @@ def notices(text: str | None, templates: list[Template]) -> list[tuple[str, int,
         raw = " ".join(words).encode()
         alone = len(plain.compress(raw))
         ranked = sorted(((alone - len(t.coder.compress(raw))) / t.alone, t.name, t) for t in templates)[::-1]
-        taken: list[tuple[int, int]] = []
         for share, name, template in ranked:
             if share < LEAST_SHARE:
                 continue
-            changed, first, last = aligned(template.words, words)
-            if changed > MOST_CHANGED * len(template.words) or any(a < last and first < b for a, b in taken):
-                continue
-            taken.append((first, last))
-            out.append((name, round(share * template.alone), float(share), changed, found[first][1], found[last - 1][2]))
+            while True:
+                changed, first, last = aligned(template.words, words)
+                if changed > MOST_CHANGED * len(template.words):
+                    break
+                out.append((name, round(share * template.alone), float(share), changed, found[first][1], found[last - 1][2]))
+                # A block may hold a notice again; words that are taken match nothing more.
+                words[first:last] = [""] * (last - first)
     return out
 
 

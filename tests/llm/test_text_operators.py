@@ -134,6 +134,8 @@ def test_licenses_are_found_by_their_words(spark):
     assert best.get(50) == "MIT" and not {51, 52, 53, 54} & set(best)
     one = next(r for r in got if r.doc_id == 50)
     assert one.words_changed > 0 and dict(rows)[50][one.start : one.stop].startswith("Permission")
+    twice = licenses.notices("Released under the MIT License. word word Released under the MIT License.", licenses.compile_templates(licenses.TEMPLATES))
+    assert [(n[0], n[4], n[5]) for n in sorted(twice, key=lambda n: n[4])] == [("MIT notice", 0, 30), ("MIT notice", 42, 72)]
     assert licenses.scan(frame(spark, [], SCHEMA)).count() == 0
 
 
