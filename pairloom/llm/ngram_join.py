@@ -14,7 +14,11 @@ least T = ceil(0.8 n) of them. The work runs in three steps, none of which lists
    members that occur often enough there are probed for in the long lists by binary search until they cannot reach the overlap any more, which
    gives the exact overlap. One link is enough for a visitor and a component.
 
-Connected components of hub and search links are the classes. Shingles are told apart by 48 bits within a part, so two
+Connected components of hub and search links are the classes. A link joins members of one class, so ``linked_groups`` counts the links
+of every document by searching each class in itself, the pairs inside the components of step 2 among them. A class is cut into cells of
+two bounded parts; a cell gives numbers of links and no pairs.
+
+Shingles are told apart by 48 bits within a part, so two
 sets of a thousand shingles would disagree about one of them once in ten million pairs.
 
 Defined cases: null, empty and blank texts have the empty set, link with nothing and keep their own id; a text of fewer
@@ -42,6 +46,7 @@ BUCKET_NODES = 20_000
 ASIDE_HITS = 3
 CHUNK_BYTES = 4 << 20
 CHUNK_QUERIES = 2000
+CELL_BYTES = 1 << 20
 _KEY_BYTES = 6
 
 
@@ -336,8 +341,54 @@ def search_links(nodes: DataFrame, visiting: DataFrame, placed: DataFrame) -> Da
     return with_sets(rows, nodes, "node").groupBy(bucket.alias("bucket")).applyInArrow(search, "a binary, b binary")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_texts (nodes in its class), text_sha256."""
+def cell_links(group: pa.Table) -> pa.Table:
+    """Some cells of classes: how many rows each node is linked with there, those of its own set left out.
+
+    A cell holds two parts of a class, or one part alone, which is searched in itself.
+    """
+    rows = {c: group.column(c).to_pylist() for c in ("block", "low", "high", "part", "node", "weight", "n_node", "shared_node")}
+    cells: dict[tuple, tuple[list[int], list[int]]] = {}
+    for i, key in enumerate(zip(rows["block"], rows["low"], rows["high"])):
+        cells.setdefault(key, ([], []))[rows["part"][i] != key[1]].append(i)
+    weight, links = np.array(rows["weight"], np.int64), np.zeros(len(group), np.int64)
+    for (_block, low, high), (members, others) in cells.items():
+        alone = low == high
+        if not members or not (alone or others):
+            continue
+        members = np.array(members)
+        index = Index([np.frombuffer(rows["shared_node"][i], np.uint64) for i in members], np.array([rows["n_node"][i] for i in members]))
+        skip = np.zeros(len(members), dtype=bool)
+        for at, i in enumerate(members.tolist() if alone else others):
+            skip[at % len(members)] = alone
+            hits = members[index.search(np.frombuffer(rows["shared_node"][i], np.uint64), rows["n_node"][i], skip)]
+            skip[at % len(members)] = False
+            links[i] += weight[hits].sum()
+            if not alone:
+                links[hits] += weight[i]
+    return pa.table([group.column("node"), pa.array(links)], names=["node", "links"])
+
+
+def node_links(nodes: DataFrame, placed: DataFrame, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """(node, links): the rows of other sets that are linked with each node; ``placed`` has node, component and rows.
+
+    A class of p parts is p (p + 1) / 2 cells and each node lies in p of them, so every pair of nodes meets in one cell.
+    """
+    people = common.written(nodes.select("node", "n").join(placed, "node").select("node", F.col("component").alias("block"), "n", F.col("rows").alias("weight")), "class-members")
+    sizes = people.groupBy("block").agg(F.sum("n").alias("shingles"), F.count("*").alias("m")).where("m > 1")
+    parts = common.written(sizes.select("block", "shingles", F.ceil(8 * F.col("shingles") / cell_bytes).cast("int").alias("parts")), "class-parts")
+    total = parts.agg(F.sum(8 * F.col("shingles") * F.col("parts")).alias("b")).first()["b"] or 0
+    dealt = people.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = common.written(
+        dealt.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "weight"), "class-cells"
+    )
+    bucket = F.pmod(F.xxhash64("block", "low", "high"), F.lit(common.parts_for(total, 2 * cell_bytes)))
+    found = with_sets(rows, nodes, "node").groupBy(bucket.alias("bucket")).applyInArrow(cell_links, "node binary, links bigint")
+    return found.groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _grouped(docs: DataFrame):
+    """(rows of ``near_groups`` with their nodes, nodes with their sets, distinct sets with class and rows)."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     named = common.written(common.map_arrow(source, named_sets, "doc_id bigint, n_shingles bigint, node binary, text_sha256 string"), "sets")
     totals = named.agg(F.sum("n_shingles").alias("s"), F.count("*").alias("d")).first()
@@ -355,12 +406,26 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = common.components(links)
     least = named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     inside = least.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    totals = inside.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n_texts"), F.sum("rows").alias("rows")).where("rows > 1")
-    placed = common.written(inside.select("node", "component").join(totals, "component").select("node", "component_id", "n_texts"), "classes")
-    return named.join(placed, "node", "left").select(
+    totals = inside.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n_texts"), F.sum("rows").alias("all_rows")).where("all_rows > 1")
+    placed = common.written(inside.select("node", "component", "rows").join(totals, "component").select("node", "component", "rows", "component_id", "n_texts"), "classes")
+    groups = named.join(placed.select("node", "component_id", "n_texts"), "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_texts").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_texts", F.lit(1)).cast("bigint").alias("n_texts"), "text_sha256",
+        F.coalesce("n_texts", F.lit(1)).cast("bigint").alias("n_texts"), "text_sha256", "node",
     )
+    return groups, nodes, placed
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_texts (nodes in its class), text_sha256."""
+    return _grouped(docs)[0].drop("node")
+
+
+def linked_groups(docs: DataFrame, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """The rows of ``near_groups`` and ``n_links``, the number of other rows that each is linked with."""
+    groups, nodes, placed = _grouped(docs)
+    inside = placed.select("node", "component", "rows")
+    links = inside.join(node_links(nodes, inside, cell_bytes), "node", "left").select("node", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return groups.join(links, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("bigint")).drop("node")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -23,6 +23,12 @@ r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON
 SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
 """
 
+# The same with the links of each document counted.
+OP3_LINKS = OP3.replace(
+    "SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2",
+    "SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, (SELECT count(*) FROM e WHERE e.a = n.doc_id) AS n_links FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2",
+)
+
 OP5 = f"""
 WITH t AS (SELECT doc_id, sha256({_FOLDED}) AS text_sha256, {_FOLDED} AS folded FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
@@ -80,4 +86,4 @@ SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust,
 """
 
 
-SQL = {"op1_url_filter": _op1(), "op3_ngram_jaccard_join": OP3, "op5_exact_dedup": OP5, "op8_substring_dedup": OP8}
+SQL = {"op1_url_filter": _op1(), "op3_ngram_jaccard_join": OP3, "op3_ngram_jaccard_links": OP3_LINKS, "op5_exact_dedup": OP5, "op8_substring_dedup": OP8}

@@ -29,6 +29,11 @@ def op3_ngram_jaccard_join(spark, sf):
     return ngram_join.near_groups(table(spark, sf, "documents")).drop("text_sha256", "n_texts")
 
 
+def op3_ngram_jaccard_links(spark, sf):
+    """The join with each document's number of links."""
+    return ngram_join.linked_groups(table(spark, sf, "documents")).drop("text_sha256", "n_texts")
+
+
 def op4_benchmark_decontamination(spark, sf):
     """One row per document and item that it holds."""
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

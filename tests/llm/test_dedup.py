@@ -81,6 +81,27 @@ def test_near_groups_equal_all_pairs(spark):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == near_plain(rows)
 
 
+def test_links_of_near_copies_are_all_counted(spark):
+    rng = np.random.default_rng(15)
+    base, line = prose(rng, 150), prose(rng, 200, 10_000).split()
+    rows = []
+    for i in range(90):
+        words = base.split()
+        for _ in range(rng.integers(0, 5)):
+            words[rng.integers(len(words))] = f"v{rng.integers(10_000)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + k, " ".join(line[6 * k : 6 * k + 100])) for k in range(12)]
+    rows += [(300, rows[0][1]), (301, rows[0][1]), (302, None), (303, ""), (304, "one"), (304, "one"), (None, base)]
+    sets = []
+    for _i, t in rows:
+        w = WORD.findall(fold(t))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    want = [sum(1 for b, y in enumerate(sets) if a != b and x and y and 100 * len(x & y) >= 80 * len(x | y)) for a, x in enumerate(sets)]
+    for cell in (1 << 20, 20_000):
+        got = ngram_join.linked_groups(with_clashes(frame(spark, rows), "n_links", "weight"), cell)
+        assert sorted(((r.doc_id, r.n_links) for r in got.collect()), key=str) == sorted(((i, n) for (i, _t), n in zip(rows, want)), key=str)
+
+
 def test_near_stage_keeps_one_of_each_class(spark):
     rng = np.random.default_rng(6)
     base = prose(rng, 80)
