@@ -118,15 +118,15 @@ class Finder:
         return out
 
 
-_FINDERS: dict[int, Finder] = {}
+_FINDERS: list[tuple[list, float, Finder]] = []
 
 
 def _finder(shared, rate: float) -> Finder:
+    """The finder of a block. The items are kept with it, as a worker that drops them could give their id to another block."""
     value = shared.value
-    if id(value) not in _FINDERS:
-        _FINDERS.clear()
-        _FINDERS[id(value)] = Finder(value, rate)
-    return _FINDERS[id(value)]
+    if not _FINDERS or _FINDERS[0][0] is not value or _FINDERS[0][1] != rate:
+        _FINDERS[:] = [(value, rate, Finder(value, rate))]
+    return _FINDERS[0][2]
 
 
 def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS):

@@ -55,6 +55,23 @@ def test_leaks_equal_all_comparisons(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_each_block_is_searched_with_its_own_items():
+    class Block:
+        """Made anew at each reading, as by a worker that has dropped it."""
+
+        def __init__(self, k):
+            self.k = k
+
+        @property
+        def value(self):
+            return [(self.k, f"item {self.k}")]
+
+    assert [decontaminate._finder(Block(k), 0.08).items[0].item_id for k in range(200)] == list(range(200))
+    rows = Block(1).value
+    shared = type("Shared", (), {"value": rows})
+    assert decontaminate._finder(shared, 0.08) is decontaminate._finder(shared, 0.08)
+
+
 @pytest.fixture(scope="module")
 def machine():
     return pieces.load()
