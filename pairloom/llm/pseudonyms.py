@@ -6,7 +6,10 @@ date another date written the same way. A permutation gives equal values equal p
 different values different ones, and the holder of the key can undo it. Separators and the text around stay.
 
 Defined cases: null stays null and counts nothing; text without a valid value stays as it is; of overlapping
-finds the leftmost counts; what looks like a value but fails its validation is left alone.
+finds the leftmost counts; what looks like a value but fails its validation is left alone. Where the longest find fails, its shorter
+ends at borders of digit groups are tried from the same start, the longest first, so a card number is found before its expiry or
+CVV. A number whose neighbour makes the longer find valid by chance is permuted, and undone, as that longer one; if only the
+pseudonym makes it valid, undoing reads it otherwise.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ _PATTERNS = {
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
 }
 _FINDER = re.compile("|".join(f"(?P<{k}>{_PATTERNS[k]})" for k in KINDS))
+_ALONE = {k: re.compile(_PATTERNS[k]) for k in ("iban", "phone", "card")}
+_BORDER = re.compile(r"(?<=\w)[ .-]")
 _HINT = re.compile(r"[0-9@]")
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _DIGITS, _LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
@@ -198,6 +203,14 @@ class Pseudonyms:
             self.known[at] = getattr(self, kind)(text)
         return self.known[at]
 
+    def _shorter(self, text: str, kind: str, start: int, end: int) -> tuple[str | None, int]:
+        """(pseudonym, end) of the longest valid find from ``start`` that ends before a separator of a failed one."""
+        if kind in _ALONE:
+            for stop in [m.start() for m in _BORDER.finditer(text, start, end)][::-1]:
+                if _ALONE[kind].fullmatch(text, start, stop) and (new := self._of(kind, text[start:stop])) is not None:
+                    return new, stop
+        return None, end
+
     def replace(self, text: str | None) -> tuple[str | None, dict[str, int]]:
         """(text with pseudonyms, valid finds of each kind)."""
         if not text or not _HINT.search(text):
@@ -205,14 +218,16 @@ class Pseudonyms:
         counts: dict[str, int] = {}
         parts, at, start = [], 0, 0
         while found := _FINDER.search(text, start):
-            new = self._of(found.lastgroup, found.group())
+            new, end = self._of(found.lastgroup, found.group()), found.end()
+            if new is None:
+                new, end = self._shorter(text, found.lastgroup, found.start(), end)
             if new is None:
                 # Another kind may begin one character later.
                 start = found.start() + 1
                 continue
             counts[found.lastgroup] = counts.get(found.lastgroup, 0) + 1
             parts += [text[at : found.start()], new]
-            at = start = found.end()
+            at = start = end
         return "".join([*parts, text[at:]]), counts
 
 

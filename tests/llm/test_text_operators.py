@@ -131,6 +131,17 @@ def test_invalid_values_stay(text):
     assert pseudonyms.Pseudonyms(b"k").replace(text) == (text, {})
 
 
+@pytest.mark.parametrize("value", ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "BE68 5390 0754 7034"])
+@pytest.mark.parametrize("tail", [" 12/26", " 123", "-123", " EUR"])
+def test_values_before_more_digits_are_found(value, tail):
+    made = pseudonyms.Pseudonyms(b"k")
+    if value[0] == "4" and tail[1:].isdigit():
+        assert made.card(value + tail) is None
+    kind = "card" if value[0] == "4" else "iban"
+    new, counts = made.replace(f"a {value}{tail} b")
+    assert new == f"a {getattr(made, kind)(value)}{tail} b" and counts == {kind: 1}
+
+
 def test_pseudonym_rows(spark):
     docs = with_clashes(frame(spark, ["a 97.51.17.173", None, "", "b 97.51.17.173 " + "x" * 100_000]), "found", "text_sha256")
     got = sorted(pseudonyms.report(docs, b"k").collect())
