@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,19 +90,43 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def aligned(template: list[str], words: list[str]) -> tuple[int, int, int]:
-    """(words that differ, first, last) of the best alignment of the template inside the block."""
-    matcher = difflib.SequenceMatcher(None, words, template, autojunk=False)
-    spans = [m for m in matcher.get_matching_blocks() if m.size]
-    if not spans:
-        return len(template), 0, 0
-    core = max(spans, key=lambda m: m.size)
-    low, top = max(0, core.a - core.b - 3), min(len(words), core.a - core.b + len(template) + 3)
-    matcher = difflib.SequenceMatcher(None, words[low:top], template, autojunk=False)
-    spans = [m for m in matcher.get_matching_blocks() if m.size]
-    same = sum(m.size for m in spans)
-    first, last = low + spans[0].a, low + spans[-1].a + spans[-1].size
-    return max(len(template), last - first) - same, first, last
+def runs(template: list[str], words: list[str], least: int) -> list[tuple[int, int, int]]:
+    """(words, place in the block, place in the template) of all longest common runs of at least ``least`` words, long ones first."""
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(template):
+        places.setdefault(w, []).append(j)
+    out, before = [], {}
+    for i, w in enumerate([*words, ""]):
+        now = {j: before.get(j - 1, 0) + 1 for j in places.get(w, ())}
+        out += [(n, i - n, j + 1 - n) for j, n in before.items() if n >= least and j + 1 not in now]
+        before = now
+    return sorted(out, key=lambda r: (-r[0], r[1], r[2]))
+
+
+def aligned(template: list[str], words: list[str]) -> tuple[int, int, int] | None:
+    """(words that differ, first, last) of an alignment of the template inside the block with few enough of them.
+
+    With c words of the template changed and c words put in between, what is left stands in 2 c + 1 runs, so each run that can be the longest
+    one of such an alignment is tried as its core. Places where too few words of the template stand are passed over.
+    """
+    limit = int(MOST_CHANGED * len(template))
+    wanted, tried = Counter(template), set()
+    for _size, a, b in runs(template, words, -(-(len(template) - limit) // (2 * limit + 1))):
+        for slack in sorted({3, max(3, limit)}):
+            low, top = max(0, a - b - slack), min(len(words), a - b + len(template) + slack)
+            if (low, top) in tried:
+                continue
+            tried.add((low, top))
+            if (wanted & Counter(words[low:top])).total() < len(template) - limit:
+                continue
+            matcher = difflib.SequenceMatcher(None, words[low:top], template, autojunk=False)
+            spans = [m for m in matcher.get_matching_blocks() if m.size]
+            same = sum(m.size for m in spans)
+            first, last = low + spans[0].a, low + spans[-1].a + spans[-1].size
+            changed = max(len(template), last - first) - same
+            if changed <= limit:
+                return changed, first, last
+    return None
 
 
 def notices(text: str | None, templates: list[Template]) -> list[tuple[str, int, float, int, int, int]]:
@@ -118,10 +143,8 @@ def notices(text: str | None, templates: list[Template]) -> list[tuple[str, int,
         for share, name, template in ranked:
             if share < LEAST_SHARE:
                 continue
-            while True:
-                changed, first, last = aligned(template.words, words)
-                if changed > MOST_CHANGED * len(template.words):
-                    break
+            while (place := aligned(template.words, words)) is not None:
+                changed, first, last = place
                 out.append((name, round(share * template.alone), float(share), changed, found[first][1], found[last - 1][2]))
                 # A block may hold a notice again; words that are taken match nothing more.
                 words[first:last] = [""] * (last - first)

@@ -167,6 +167,16 @@ def test_licenses_are_found_by_their_words(spark):
     assert licenses.scan(frame(spark, [], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["MIT", "Apache-2.0 header", "GPL-3.0 header"])
+def test_a_changed_notice_is_found_behind_a_fragment(name):
+    compiled = licenses.compile_templates(licenses.TEMPLATES)
+    words = next(t.words for t in compiled if t.name == name)
+    notice = [f"other{k}" if k % 9 == 4 else w for k, w in enumerate(words)]
+    text = " ".join([*words[:20], *["calm"] * 30, *notice, *["calm"] * 30, *words[-20:]])
+    found = [n for n in licenses.notices(text, compiled) if n[0] == name]
+    assert [(n[3], text[n[4] : n[5]]) for n in found] == [(sum(a != b for a, b in zip(words, notice)), " ".join(notice))]
+
+
 def test_network_gradient_equals_differences():
     net = toxicity.train(["good day to you all", "bad awful day"] * 4, [0, 1] * 4, 0.5, epochs=1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
