@@ -1,11 +1,11 @@
-"""Repeated passages by relative Lempel-Ziv parsing against the whole corpus.
+"""Repeated passages by an exact join of window fingerprints with the whole corpus.
 
 The reference is every document, indexed in blocks: the fingerprints of all 13-word windows are dealt to blocks by an
-independent hash, and each block keeps for a fingerprint the smallest document that holds it. A task parses
-a bounded batch of documents: it asks the blocks for its distinct windows (packed, each once a batch, with
-document boundaries as counts), and from the answers factors each document greedily. A factor goes on while
-the next window is copied from the same reference document; factors of at least 13 words are copies, and the windows
-that straddle the border of two factors have been asked for themselves. The words of copies go, the rest stays.
+independent hash, and each block keeps for a fingerprint the smallest document that holds it. A task asks the blocks for
+the distinct windows of a bounded batch (packed, each once a batch, with document boundaries as counts). The words of windows that a
+smaller document holds go, the rest stays; that needs no parse. This is no relative Lempel-Ziv parse: no positions in a source are
+kept and nothing is extended greedily. ``factors`` are runs of copied windows with the same smallest holder, so a run may join places
+that are apart there, and one copy may be several overlapping runs.
 
 A block's number and the 64 bits inside it come from independent hashes; with blocks growing in number
 with the corpus, chance agreement does not grow with it.
@@ -138,9 +138,9 @@ def packed(window: int):
 
 
 def factors(sources: np.ndarray, at: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Greedy parse of one document: (start word, words, source id) of its copied factors.
+    """(start word, words, source id) of the runs of copied windows of one document.
 
-    ``sources`` has the reference document of each window in ``at``. A factor takes windows while they follow each other in one source.
+    ``sources`` has the smallest holder of each window in ``at``. A run takes windows while they follow each other and share it; places in the source are not compared.
     """
     out = []
     if len(at):
