@@ -50,6 +50,73 @@ FROM w LEFT JOIN r USING (doc_id)
 """
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = f"""
+WITH f AS MATERIALIZED (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+d AS MATERIALIZED (
+  SELECT f.part,
+    [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text),
+     regexp_matches(text, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY text)] AS fails,
+    coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+  FROM f LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+c AS MATERIALIZED (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS MATERIALIZED (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS fs FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT fs, array_to_string(list_transform(fs, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, unnest(range(1, 6)) AS step FROM o),
+r AS MATERIALIZED (
+  SELECT part, filter_order, step, fs[step] AS f,
+    sum(n) FILTER (NOT fails[fs[step]] AND NOT earlier) AS kept, sum(n) FILTER (fails[fs[step]] AND NOT earlier) AS removed,
+    sum(n) FILTER (fails[fs[step]] AND earlier) AS redundant,
+    sum(n) FILTER (fails[fs[step]] AND len(list_filter(fails, lambda b: b)) = 1) AS unique_fails,
+    sum(good) FILTER (fails[fs[step]] AND NOT earlier) AS good_lost, sum(toxic) FILTER (fails[fs[step]] AND NOT earlier) AS toxic_lost
+  FROM (SELECT *, len(list_filter(fs[:step - 1], lambda i: fails[i])) > 0 AS earlier FROM c, s) GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  sum(coalesce(removed, 0)) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM r
+"""
+
+OP13 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') AS ts FROM documents),
+s AS (SELECT count(*) FILTER (len(ts) > 0) AS docs, sum(len(ts))::BIGINT AS terms FROM d),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM benchmark),
+t AS MATERIALIZED (
+  SELECT doc_id, term, count(*) AS tf, 50 + (50 * n * docs) // terms AS m
+  FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) SEMI JOIN q USING (term), s GROUP BY doc_id, term, n, docs, terms),
+w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN t USING (term) JOIN w USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 50
+"""
+
+
+def op12(hostile: str) -> str:
+    """Digests of the given turns; only the written length depends on the template."""
+    import re
+
+    from .chat_format import Template
+
+    t = Template()
+    places = "|".join(re.escape(s[0]) + r"\\*" + re.escape(s[1:]) for s in t.signs())
+    signs = " ".join(f"WHEN '{role}' THEN {len(a + b)}" for role, (a, b) in t.roles.items())
+    known = ", ".join(f"'{r}'" for r in t.roles)
+    escapes = lambda c: f"len({c}) + len(regexp_extract_all({c}, '{places}'))"
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{hostile}'), (-1, 1, 'assistant', '{hostile}'))),
+s AS (
+  SELECT *, CASE WHEN role IN ({known}) THEN CASE role {signs} END ELSE {len(''.join(t.named))} + {escapes('role')} END + {escapes('text')} AS written FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  (coalesce(sum(len(text)) FILTER (role = 'assistant'), 0))::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  ({len(t.start)} + sum(written))::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
 
 def _op1() -> str:
     """The rounds of the walk unrolled; every step rounds down to whole numbers as the query does."""
@@ -86,4 +153,7 @@ SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust,
 """
 
 
-SQL = {"op1_url_filter": _op1(), "op3_ngram_jaccard_join": OP3, "op3_ngram_jaccard_links": OP3_LINKS, "op5_exact_dedup": OP5, "op8_substring_dedup": OP8}
+SQL = {
+    "op1_url_filter": _op1(), "op3_ngram_jaccard_join": OP3, "op3_ngram_jaccard_links": OP3_LINKS, "op5_exact_dedup": OP5, "op8_substring_dedup": OP8,
+    "op11_filter_audit": OP11, "op13_lexical_search": OP13,
+}
