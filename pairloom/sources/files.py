@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_newlines, strip_wrapper
+from . import csv_ranges
 
 # One result record per task file; only the first test split entry is used.
 _SCORES = "main_score double, ndcg_at_10 double, map_at_10 double, recall_at_10 double, mrr_at_10 double"
@@ -25,23 +26,24 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return [v or "" for v in row[0]] if row else []
 
 
+_CSV_OPTIONS = {
+    "multiLine": "true", "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1",
+}
+
+
 def _csv_reader(spark: SparkSession):
-    return (
-        spark.read.option("multiLine", "true")
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("ignoreLeadingWhiteSpace", "false")
-        .option("ignoreTrailingWhiteSpace", "false")
-        .option("maxCharsPerColumn", "-1")
-    )
+    return spark.read.options(**_CSV_OPTIONS)
 
 
-def read_csv_text(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, columns: Sequence[str] | None = None, ranged: bool = True) -> DataFrame:
     """CSV with a header as all-string rows; ragged rows allowed, a missing field is empty.
 
     Names match exactly and case-sensitively, the first of equal names wins; an unknown name raises. Files of one
-    path must agree in their header: one with other names or another order raises when it is read. A multi-line
-    file is read by one task, so large inputs need many files.
+    path must agree in their header: one with other names or another order raises when it is read.
+
+    Files are read by ranges (``csv_ranges``), in parallel although quoted fields may hold line ends, and such line ends come back as they are. Without
+    ``ranged`` Spark's own multi-line reader takes a file whole in one task: one pass less for many small files, but in a file
+    whose records end with a carriage return and a line feed it turns those inside quotes into line feeds.
     """
     header = csv_header(spark, path)
     wanted = list(columns) if columns is not None else header
@@ -50,12 +52,30 @@ def read_csv_text(spark: SparkSession, path: str, columns: Sequence[str] | None
             raise ValueError(f"{path} has no column {name!r}")
     # Headers can be compared file by file only where the names tell columns apart.
     plain = all(header) and len({n.lower() for n in header}) == len(header)
-    schema = T.StructType([T.StructField(n if plain else f"_c{i}", T.StringType()) for i, n in enumerate(header)])
-    raw = _csv_reader(spark).option("header", "true").option("enforceSchema", str(not plain).lower()).schema(schema).csv(path)
-    raw = raw.select(*[F.col(f"`{f.name}`").alias(f"_c{i}") for i, f in enumerate(schema.fields)])
+    if ranged:
+        raw = _parsed_ranges(spark, path, header, plain)
+    else:
+        schema = T.StructType([T.StructField(n if plain else f"_c{i}", T.StringType()) for i, n in enumerate(header)])
+        raw = _csv_reader(spark).option("header", "true").option("enforceSchema", str(not plain).lower()).schema(schema).csv(path)
+        raw = raw.select(*[F.col(f"`{f.name}`").alias(f"_c{i}") for i, f in enumerate(schema.fields)])
     return raw.select(*[F.coalesce(F.col(f"_c{header.index(n)}"), F.lit("")).alias(n) for n in wanted])
 
 
+def _parsed_ranges(spark: SparkSession, path: str, header: list[str], plain: bool) -> DataFrame:
+    """Columns _c0, _c1, ... of the records cut by ranges, parsed as the whole-file reader does."""
+    schema = ", ".join(f"_c{i} string" for i in range(len(header)))
+    records = csv_ranges.csv_records(spark, path)
+    # Records are whole; a named line end keeps the parser from guessing one inside quotes.
+    row = F.from_csv("record", schema, {**_CSV_OPTIONS, "lineSep": "\n"}).alias("row")
+    parsed = records.select("start", "seq", row).select("start", "seq", "row.*")
+    first = (F.col("start") == 0) & (F.col("seq") == 0)
+    same = F.lit(True)
+    for i, name in enumerate(header if plain else []):
+        same = same & F.col(f"_c{i}").eqNullSafe(F.lit(name))
+    refuse = F.raise_error(f"a file below {path} has another header than {header}").cast("boolean")
+    return parsed.where(F.when(first, F.when(same, False).otherwise(refuse)).otherwise(True)).drop("start", "seq")
+
+
 def write_csv_text(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     writer = (
         df.write.option("header", "true")
