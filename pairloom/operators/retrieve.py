@@ -1,9 +1,8 @@
 """Exact top-k retrieval by blocked matrix products inside tasks.
 
-A held side that fits one bounded block travels to the tasks that read the other side. A larger one is cut into
-numbered blocks on the executors, as the other side is, and every block meets every other in a task of its own; nothing
-of it passes through the driver and the plan does not grow with the data. Either way a task keeps the k best per query, so
-what is merged is queries x k rows per task and never a row per pair.
+A held side that fits one bounded block travels to the tasks that read the other side. With a larger one the corpus is clustered
+(``vector_index``) and queries meet only the clusters whose bound reaches their k-th score; nothing of it passes through the driver. Either way a
+task keeps the k best per query, so what is merged is queries x k rows per task and never a row per pair.
 
 Rows without a payload, and vectors of another size or with a null inside, are no candidates and have no answers.
 """
@@ -21,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..session import ship_package
 from .hashed import DEFAULT_DIM, hashed_weights
+from .tokens import unit_rows
 
 HELD_BLOCK_BYTES = 64 << 20
 _DENSE_SLICE = 1024
@@ -36,6 +36,11 @@ class Encoding:
     encode: Callable[[pa.Array], Iterator[np.ndarray]]
     accepts: Callable[[Column], Column]
     score: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    # What makes a score the dot product of two rows, up to rounding.
+    scaled: Callable[[np.ndarray], np.ndarray] = lambda matrix: matrix
+
+    def points(self, column: pa.Array) -> Iterator[np.ndarray]:
+        return (self.scaled(matrix) for matrix in self.encode(column))
 
 
 def dense_encoding(dim: int, places: int = 12) -> Encoding:
@@ -61,7 +66,7 @@ def hashed_encoding(dim: int = DEFAULT_DIM) -> Encoding:
         dots = left @ right.T
         return np.divide(dots, np.sqrt(sizes), out=np.zeros_like(dots), where=sizes > 0)
 
-    return Encoding(dim, lambda column: hashed_weights(column, dim), lambda payload: payload.isNotNull(), score)
+    return Encoding(dim, lambda column: hashed_weights(column, dim), lambda payload: payload.isNotNull(), score, unit_rows)
 
 
 class _Best:
@@ -126,23 +131,36 @@ def _parts(rows: int, coding: Encoding) -> int:
     return max(1, -(-rows * coding.dim * 8 // HELD_BLOCK_BYTES))
 
 
-def _block_pairs(held, held_keys, held_parts, stream, stream_keys, payload, coding, scan, schema) -> DataFrame:
-    """Score every block of one side against every block of the other, each pair in one task."""
-    parts = _parts(stream.count(), coding)
-    number = lambda keys, n: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = held.withColumn("_held", number(held_keys, held_parts)).withColumn("_stream", every(parts))
-    right = stream.withColumn("_stream", number(stream_keys, parts)).withColumn("_held", every(held_parts))
+def payload_matrix(table: pa.Table, payload: str, coding: Encoding) -> np.ndarray:
+    """The rows of a bounded table as points."""
+    column = table.column(payload).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return np.concatenate(list(coding.points(column)))
+
+
+def best_rows(query_key: str, corpus_keys: Sequence[str], payload: str, coding: Encoding, k: int, skip_self: bool):
+    """(cogroup function, its schema): the k best rows of the right group for each query of the left one."""
+    names = [query_key, *corpus_keys, "score"]
+    schema = _found_schema(names)
 
     def run(block: pa.Table, rows: pa.Table) -> pa.Table:
         found = []
         if block.num_rows and rows.num_rows:
-            task = scan(_Held(_block(block, held_keys, payload, coding)))
-            found = list(task(rows.select([*stream_keys, payload]).combine_chunks().to_batches()))
+            task = _scan(_Held(_block(block, [query_key], payload, coding)), coding, k, True, skip_self, names)
+            found = list(task(rows.select([*corpus_keys, payload]).combine_chunks().to_batches()))
         return pa.Table.from_batches(found) if found else pa.table({f.name: pa.array([], pa.float64() if f.name == "score" else pa.int64()) for f in schema.fields})
 
-    on = ["_held", "_stream"]
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, schema)
+    return run, schema
+
+
+def _found_schema(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.LongType()) for n in names[:-1]] + [T.StructField("score", T.DoubleType())])
+
+
+def merged(found: DataFrame, query_key: str, corpus_keys: Sequence[str], k: int) -> DataFrame:
+    """The k best of all that tasks have found, with their ``rank``."""
+    best = Window.partitionBy(query_key).orderBy(F.desc("score"), *corpus_keys)
+    return found.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
 
 
 def top_k(
@@ -163,26 +181,21 @@ def top_k(
     """
     corpus_keys = list(corpus_keys)
     names = [query_key, *corpus_keys, "score"]
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in names[:-1]] + [T.StructField("score", T.DoubleType())])
     queries, corpus = (df.where(coding.accepts(F.col(payload))) for df in (queries, corpus))
     sides = {"queries": (queries, [query_key]), "corpus": (corpus, corpus_keys)}
     (held, held_keys), (stream, stream_keys) = sides[hold], sides["corpus" if hold == "queries" else "queries"]
     held, stream = held.select(*held_keys, payload), stream.select(*stream_keys, payload)
     spark = queries.sparkSession
     ship_package(spark)
-
-    def scan(block):
-        return _scan(block, coding, k, hold == "queries", skip_self, names)
-
-    parts = _parts(held.count(), coding)
-    if parts == 1:
-        block = _block(held.toArrow().combine_chunks(), held_keys, payload, coding)
-        found = stream.mapInArrow(scan(spark.sparkContext.broadcast(block)), schema) if len(block[1]) else spark.createDataFrame([], schema)
-    else:
-        found = _block_pairs(held, held_keys, parts, stream, stream_keys, payload, coding, scan, schema)
-    best = Window.partitionBy(query_key).orderBy(F.desc("score"), *corpus_keys)
-    ranked = found.withColumn("rank", F.row_number().over(best).cast("bigint"))
-    return ranked.where(F.col("rank") <= k)
+    if _parts(held.count(), coding) > 1:
+        from . import vector_index
+
+        return vector_index.search(vector_index.build(corpus, corpus_keys, payload, coding), queries, query_key, k, skip_self)
+    block = _block(held.toArrow().combine_chunks(), held_keys, payload, coding)
+    scan = _scan(spark.sparkContext.broadcast(block), coding, k, hold == "queries", skip_self, names)
+    schema = _found_schema(names)
+    found = stream.mapInArrow(scan, schema) if len(block[1]) else spark.createDataFrame([], schema)
+    return merged(found, query_key, corpus_keys, k)
 
 
 def _scan(shared, coding: Encoding, k: int, held_queries: bool, skip_self: bool, names: list[str]):

@@ -391,6 +391,7 @@ def all_oracles() -> dict[str, str]:
     langs = "SELECT DISTINCT unnest([lang, lang || '_missing']) AS task_name FROM documents"
     return {
         "src_csv_text": "SELECT page_id::VARCHAR AS page_id, url, html FROM pages",
+        "src_csv_text_ranges": "SELECT doc_id::VARCHAR AS doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents",
         "src_discover": """SELECT 'lang=' || min(lang) AS folder, true AS same_for_unknown_name,
             count(*) FILTER (lang = (SELECT min(lang) FROM documents)) AS rows, count(*) AS all_rows, sum(doc_id)::BIGINT AS all_ids FROM documents""",
         "src_corpus_text": f"SELECT {no_line_ends} AS text FROM documents WHERE text NOT LIKE '%{WRAPPER_END}%'",
@@ -467,7 +468,7 @@ def all_oracles() -> dict[str, str]:
             SELECT doc_id, position, token_id, {r6('a.x', '"first"')}, {r6('b.x', '"last"')} FROM t JOIN (SELECT * FROM cells WHERE dim = 0) a USING (token_id)
             JOIN (SELECT * FROM cells WHERE dim = {Q.MODEL.embedding_dim - 1}) b USING (token_id)""",
         "retrieve_top1": f"WITH {neighbours(1)} SELECT query_id, vec_id AS best_id, {r6('score', 'score')} FROM top",
-        "retrieve_topk": f"WITH {neighbours(10)} SELECT query_id, rank, vec_id, {r6('score', 'score')} FROM top",
+        **dict.fromkeys(["retrieve_topk", "retrieve_topk_indexed"], f"WITH {neighbours(10)} SELECT query_id, rank, vec_id, {r6('score', 'score')} FROM top"),
         "offset_negative": f"""WITH {numbered()}, n AS (SELECT count(*) AS n FROM num)
             SELECT a.passage_id, b.passage_id AS negative_idx, b.passage AS negative FROM num a, n JOIN num b ON b.passage_id = (a.passage_id + 23) % n""",
         "triplet_loss": f"{pick} SELECT tid, {r6('coalesce(loss, 0)', 'loss')} FROM trip1 LEFT JOIN loss1 USING (tid)",

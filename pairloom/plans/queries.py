@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import synthetic, text as T, vectors as V
-from ..operators import hashed, metrics, negatives, ordering, pairs, passages, retrieve, stats, table, train
+from ..operators import hashed, metrics, negatives, ordering, pairs, passages, retrieve, stats, table, train, vector_index
 from ..operators.layout import computed_once, spread
 from ..session import materialize, scratch_path
 from ..sources import files, models
@@ -492,6 +492,21 @@ def retrieve_topk(spark, sf):
     return _neighbours(spark, sf, 10).select("query_id", "rank", "vec_id", r6(F.col("score"), "score"))
 
 
+def retrieve_topk_indexed(spark, sf):
+    """The same neighbours through the clustered index."""
+    rows = spread(read(spark, sf, "embeddings").select("vec_id", "embedding"))
+    index = vector_index.build(rows, ["vec_id"], "embedding", retrieve.dense_encoding(64), seed=SEED)
+    found = vector_index.search(index, rows.withColumnRenamed("vec_id", "query_id"), "query_id", 10, skip_self=True)
+    return found.select("query_id", "rank", "vec_id", r6(F.col("score"), "score"))
+
+
+def src_csv_text_ranges(spark, sf):
+    """Texts with line ends, read by ranges of the files."""
+    path = scratch_path(spark, "csv")
+    files.write_csv_text(read(spark, sf, "documents").select("doc_id", "lang", "text"), path)
+    return files.read_csv_text(spark, path, ["doc_id", "lang", "text"])
+
+
 def offset_negative(spark, sf):
     ids, total = passages.number_windows(documents(spark, sf), "doc_id", "text")
     places = ids.select("passage_id", F.struct("doc_id", "window").alias("at"))
@@ -639,13 +654,13 @@ def pipeline_job(spark, sf):
 
 
 KEYS = (
-    "src_csv_text src_discover src_corpus_text src_pairs src_triplets sink_pairs sink_triplets sink_report model_save_load "
+    "src_csv_text src_csv_text_ranges src_discover src_corpus_text src_pairs src_triplets sink_pairs sink_triplets sink_report model_save_load "
     "src_ir_results clean_ascii clean_markup filter_text filter_question parse_label canonical_pair effective_thresholds "
     "mine_labeled_positives mine_labeled_positives_markup mine_labeled_negatives mine_duplicates mine_duplicates_distinct "
     "negative_pool_texts negative_pool_union prep_stats prepare_job sample_capped shuffle_epoch negatives_reject "
     "negatives_single_draw cycle_texts synth_texts chunk_rows token_ids hash_embed hash_embed_wide l2_normalize "
     "dot_similarity mean_pool masked_mean_pool init_token_table embed_table embed_batch_udf sliding_passages "
-    "query_from_passage corpus_stats token_lookup retrieve_top1 retrieve_topk offset_negative triplet_loss "
+    "query_from_passage corpus_stats token_lookup retrieve_top1 retrieve_topk retrieve_topk_indexed offset_negative triplet_loss "
     "triplet_gradients train_step train_epochs epoch_summary inbatch_rank_loss triplet_metrics retrieval_quality "
     "ir_metrics leaderboard latency_nearest_rank latency_linear throughput repeat_summary bootstrap_median_ci length_stats "
     "benchmark_report pipeline_job"
