@@ -116,6 +116,14 @@ def prefix_offsets(df: DataFrame, key: str, weight: str | None = None, name: str
     )
 
 
+def bucket_offsets(cut: DataFrame, groups: Sequence[str], count: str) -> DataFrame:
+    """(groups, _b, _bc, _before, n): rows in each bucket, before it and in the whole group; at most 4,096 buckets a group."""
+    sizes = cut.groupBy(*groups, "_b").agg(F.sum(count).alias("_bc"))
+    by_group = Window.partitionBy(*groups)
+    earlier = by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(*groups, "_b", "_bc", F.coalesce(F.sum("_bc").over(earlier), F.lit(0)).alias("_before"), F.sum("_bc").over(by_group).alias("n"))
+
+
 def order_statistics(
     df: DataFrame, groups: Sequence[str], value: str, ranks: dict[str, Column]
 ) -> DataFrame:
@@ -129,16 +137,7 @@ def order_statistics(
     # Read three times below (bounds, counts, chosen buckets), so it is written once.
     cells = materialize(df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_c")))
     cut = value_bucket(cells, value)
-    sizes = cut.groupBy(*groups, "_b").agg(F.sum("_c").alias("_bc"))
-    by_group = Window.partitionBy(*groups)
-    earlier = by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.select(
-        *groups,
-        "_b",
-        "_bc",
-        F.coalesce(F.sum("_bc").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_bc").over(by_group).alias("n"),
-    )
+    placed = bucket_offsets(cut, groups, "_c")
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), r.cast("bigint").alias("_rank")) for k, r in ranks.items()]))
     hits = (
         placed.withColumn("_pick", wanted)

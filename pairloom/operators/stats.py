@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw60
+from ..session import written
 from .ordering import order_statistics
+from .resample import median_positions, values_at
 
 PERCENTS = (50, 95, 99)
 # Guards against division by zero; the double machine epsilon.
@@ -84,26 +85,17 @@ def repeat_summary(repeats: DataFrame, groups: Sequence[str], repeat: str, metri
     )
 
 
-def bootstrap_median_ci(
-    indexed: DataFrame, groups: Sequence[str], idx: str, value: str, samples: int = 3000, confidence: float = 0.95, seed: int = 0
-) -> DataFrame:
-    """Confidence interval of the median from keyed resamples with replacement.
+def bootstrap_median_ci(rows: DataFrame, groups: Sequence[str], value: str, samples: int = 3000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """Confidence interval of the median of each group's values from keyed resamples with replacement.
 
-    ``idx`` orders the n values of a group and may have gaps; they are numbered from 0 here. Draw j of sample b is the
-    value at hash(group, b, j) mod n: an equi-join on a uniform index. One value gives (v, v).
+    The resamples are never formed: ``resample`` splits their draws over the sorted values by keyed binomial numbers down to the median. Nulls are
+    no values; one value gives (v, v).
     """
     groups = list(groups)
-    numbered = F.row_number().over(Window.partitionBy(*groups).orderBy(idx, value)).cast("bigint") - 1
-    indexed = indexed.select(*groups, numbered.alias(idx), value)
-    sizes = indexed.groupBy(*groups).agg(F.count("*").alias("_n"))
-    slots = (
-        indexed.select(*groups, F.col(idx).alias("_j"))
-        .join(sizes, groups)
-        .withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-        .withColumn(idx, draw60(seed, "bootstrap", *[F.col(g) for g in groups], F.col("sample_no"), F.col("_j")) % F.col("_n"))
-    )
-    drawn = slots.join(indexed, [*groups, idx])
-    medians = linear_percentiles(drawn, [*groups, "sample_no"], value, {"_median": 0.5}).drop("n")
+    cells = written(rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_c")), "cells")
+    sizes = cells.groupBy(*groups).agg(F.sum("_c").alias("_n"))
+    wanted = written(median_positions(sizes, groups, "_n", samples, seed, "bootstrap"), "positions")
+    medians = values_at(cells, groups, value, "_c", wanted, "position").groupBy(*groups, "sample_no").agg(F.avg(value).alias("_median"))
     tail = (1.0 - confidence) / 2.0
     bounds = linear_percentiles(medians, groups, "_median", {"ci_low": tail, "ci_high": 1.0 - tail})
     return bounds.withColumnRenamed("n", "samples")

@@ -345,12 +345,21 @@ def rank_loss() -> str:
 
 
 def bootstrap() -> str:
+    """Each sample's draws split over halves of the sorted values by the quantile of a binomial, spelled out as sums of its masses."""
     tail = 0.025
-    return f"""WITH m0 AS (SELECT event_type, event_id % {Q.REPEATS} AS rep, avg(value) AS v FROM events WHERE event_id % {Q.REPEATS} <> 2 GROUP BY 1, 2),
-        m AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY rep) - 1 AS rep, v FROM m0),
+    mass = "exp(lgamma(c + 1) - lgamma(i + 1) - lgamma(c - i + 1) + i * ln(p) + (c - i) * ln(1 - p))"
+    below = f"list_sum(list_transform(range(0, j + 1), lambda i: {mass}))"
+    return f"""WITH RECURSIVE m AS (SELECT event_type, event_id % {Q.REPEATS} AS rep, avg(value) AS v FROM events WHERE event_id % {Q.REPEATS} <> 2 GROUP BY 1, 2),
+        vals AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY v) - 1 AS pos, v FROM m),
         s AS (SELECT event_type, count(*) AS n FROM m GROUP BY 1),
-        slots AS (SELECT m.event_type, b, {draw(SEED, 'bootstrap', 'm.event_type', 'b', 'rep')} % n AS rep FROM m JOIN s USING (event_type), range(3000) AS r(b)),
-        med AS (SELECT event_type, b, quantile_cont(v, 0.5::DOUBLE) AS v FROM slots JOIN m USING (event_type, rep) GROUP BY 1, 2)
+        walk(event_type, b, side, lo, hi, c, r) AS (
+          SELECT event_type, b, side, 0::BIGINT, n, n, (n - 1 + side) // 2 FROM s, range(3000) AS x(b), range(2) AS y(side)
+          UNION ALL
+          SELECT event_type, b, side, CASE WHEN r < k THEN lo ELSE mid END, CASE WHEN r < k THEN mid ELSE hi END, CASE WHEN r < k THEN k ELSE c - k END, CASE WHEN r < k THEN r ELSE r - k END
+          FROM (SELECT *, least(c, len(list_filter(range(0, c + 1), lambda j: {below} <= u))) AS k
+            FROM (SELECT *, (lo + hi) // 2 AS mid, ((lo + hi) // 2 - lo) / (hi - lo)::DOUBLE AS p, {draw(SEED, 'bootstrap', 'event_type', 'b', 'lo', 'hi')} / {1 << 60}::DOUBLE AS u
+              FROM walk WHERE hi - lo > 1))),
+        med AS (SELECT event_type, b, avg(v) AS v FROM walk JOIN vals USING (event_type) WHERE hi - lo = 1 AND pos = lo GROUP BY 1, 2)
         SELECT event_type, count(*)::BIGINT AS samples, {r6(f'quantile_cont(v, {tail}::DOUBLE)', 'ci_low')}, {r6(f'quantile_cont(v, {1 - tail}::DOUBLE)', 'ci_high')}
         FROM med GROUP BY event_type"""
 

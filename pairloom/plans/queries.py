@@ -622,8 +622,8 @@ def repeat_summary(spark, sf):
 
 
 def bootstrap_median_ci(spark, sf):
-    """One repeat is left out, so the repeats' own numbers have a gap."""
-    found = stats.bootstrap_median_ci(repeat_metrics(spark, sf).where("repeat <> 2"), ["event_type"], "repeat", "mean_us", 3000, 0.95, SEED)
+    """Of an even number of repeats, so that a median lies between two values."""
+    found = stats.bootstrap_median_ci(repeat_metrics(spark, sf).where("repeat <> 2"), ["event_type"], "mean_us", 3000, 0.95, SEED)
     return found.select("event_type", "samples", r6(F.col("ci_low"), "ci_low"), r6(F.col("ci_high"), "ci_high"))
 
 

@@ -46,7 +46,7 @@ def test_draws_find_what_the_pool_holds(spark, pool, pairs):
 
 def test_bootstrap_numbers_repeats_with_gaps(spark):
     rows = spark.createDataFrame([("g", k, float(k)) for k in (0, 1, 3)], "g string, k bigint, v double")
-    found = stats.bootstrap_median_ci(rows, ["g"], "k", "v", 300, 0.95, 5).first()
+    found = stats.bootstrap_median_ci(rows, ["g"], "v", 300, 0.95, 5).first()
     assert found["samples"] == 300 and found["ci_high"] == 3.0
 
 
