@@ -5,9 +5,9 @@ number that its length gives. So documents of equal m are a stratum, and inside
 equal tf: an impact is computed once per run and added to all its documents. A stratum knows the largest tf of each term, which bounds what a
 document in it can score for an item.
 
-Building: the lengths give N, L and m; texts are dealt by ranges of m (a stratum of any size is spread over tasks by a second, hashed key), and each task turns
-its sorted texts into chunks of one stratum and at most ``CHUNK_BYTES`` of text. Terms are kept as strings, so nothing rests on fingerprints.
-The index is written to the shared folder.
+Building: one pass over the texts writes each document's length, distinct terms and their tf; the lengths give N, L and m. These rows are dealt by ranges of m of
+equal bytes (a stratum of any size goes over several), and each task turns its sorted rows into chunks of one stratum and at most ``CHUNK_BYTES`` of
+terms. Terms are kept as strings, so nothing rests on fingerprints. The index is written to the shared folder.
 
 Searching: items come in blocks of bounded size. One pass over the terms of the chunks gives df, a second the chunks with the highest bounds for each item; these are visited first
 and their k-th score is a floor. The last pass goes through all chunks, in each task again by descending bound, and leaves out a chunk for an item if its
@@ -31,11 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import common
 
 TOP = 50
-CHUNK_BYTES = 8 << 20
-# Text dealt to one task of the build.
+CHUNK_BYTES = 4 << 20
+SEPARATOR = "\n"
+# Terms and counts dealt to one task of the build.
 SHARD_BYTES = 32 << 20
 # Terms of items searched at once, and chunks visited first for an item.
 BLOCK_TERMS = 100_000
@@ -46,6 +48,7 @@ _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # The bytes of a term, ASCII letters and digits and all of other characters.
 _IN_TERM = np.zeros(256, dtype=bool)
 _IN_TERM[0x30:0x3A] = _IN_TERM[0x41:0x5B] = _IN_TERM[0x61:0x7B] = _IN_TERM[0x80:] = True
+_COUNTED = "doc_id bigint, n bigint, terms string, tf binary"
 _CHUNK = "m bigint, chunk string, terms array<string>, df array<int>, max_tf array<bigint>, docs binary, run_term binary, run_tf binary, run_size binary, postings binary"
 _FOUND = "item int, doc_id bigint, score bigint"
 
@@ -79,18 +82,65 @@ def impact(tf: np.ndarray, m: np.ndarray | int) -> np.ndarray:
 
 def build(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> Index:
     """The index of all documents that hold a term, written to the shared folder."""
-    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.regexp_count("text", F.lit(_TERM)).cast("bigint").alias("n")).where("n > 0")
-    total = counted.agg(F.count("*").alias("d"), F.sum("n").alias("t"), F.sum(F.octet_length("text")).alias("b")).first()
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+    def count(records) -> Iterator[pa.RecordBatch]:
+        for batch in common.batches(records, target=chunk_bytes):
+            yield _counted(batch)
+
+    counted = common.written(common.map_arrow(source, count, _COUNTED), "terms")
+    total = counted.agg(F.count("*").alias("d"), F.sum("n").alias("t")).first()
     corpus = Corpus(total["d"], total["t"] or 0)
-    shards = common.parts_for(total["b"] or 0, shard_bytes)
-    # Rows of one length, however many, are spread by the second key.
-    dealt = counted.select("doc_id", "text", corpus.normaliser("n").alias("m")).repartitionByRange(shards, "m", F.xxhash64("doc_id", "text")).sortWithinPartitions("m")
+    weighed = counted.withColumn("m", corpus.normaliser("n")).drop("n").withColumn("bytes", F.octet_length("tf") + F.octet_length("terms"))
+    dealt = _dealt(weighed, shard_bytes).select("doc_id", "m", "terms", "tf")
 
     def run(records) -> Iterator[pa.RecordBatch]:
-        for batch in common.batches(records, target=chunk_bytes):
+        for batch in common.batches(records, text="terms", target=chunk_bytes):
             yield _chunks(batch)
 
-    return Index(corpus, common.written(common.map_arrow(dealt, run, _CHUNK), "strata"))
+    return Index(corpus, _written(common.map_arrow(dealt, run, _CHUNK)))
+
+
+def _dealt(rows: DataFrame, shard_bytes: int) -> DataFrame:
+    """Rows sorted by m, a partition for each ``shard_bytes`` of them.
+
+    The bytes of each m, a table of as many rows as there are strata, say at which shard a stratum begins and over how many it
+    goes; a row's place among those is hashed. Long texts are few rows of many bytes, so rows are no measure.
+    """
+    sizes = common.written(rows.groupBy("m").agg(F.sum("bytes").alias("b")), "sizes")
+    strata, total = sizes.agg(F.count("*"), F.sum("b")).first()
+    before = F.coalesce(F.sum("b").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first, last = F.expr(f"(before div {shard_bytes}L)"), F.expr(f"((before + b - 1) div {shard_bytes}L)")
+    places = sizes.withColumn("before", before).select("m", first.alias("first"), (last - first + 1).alias("over"))
+    placed = common.small_join(rows, places, ["m"], strata, 64, "inner")
+    shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "terms"), F.col("over"))
+    return placed.withColumn("shard", shard.cast("int")).repartitionById(common.parts_for(total or 0, shard_bytes), "shard").sortWithinPartitions("shard", "m")
+
+
+def _written(chunks: DataFrame) -> DataFrame:
+    """The index as a table whose row groups are small: a reader holds one at a time, and a chunk may be large."""
+    path = scratch_path(chunks.sparkSession, "strata")
+    sizes = {"parquet.block.size": 2 * CHUNK_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    chunks.write.options(**sizes).parquet(path)
+    return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
+
+
+def _counted(batch: pa.Table) -> pa.RecordBatch:
+    """Length, distinct terms and their tf of each text that has any."""
+    terms, lengths = _tokens(*common.text_buffer(batch.column("text")))
+    coded = terms.dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    pairs, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + coded.indices.to_numpy(), return_counts=True)
+    held = np.flatnonzero(lengths)
+    borders = np.append(np.searchsorted(pairs // size, held), len(pairs))
+    lists = pa.LargeListArray.from_arrays(pa.array(borders), coded.dictionary.take(pa.array(pairs % size)))
+    ids = batch.column("doc_id").combine_chunks().cast(pa.int64()).take(pa.array(held))
+    joined = pc.binary_join(lists, pa.scalar(SEPARATOR, pa.large_string())).cast(pa.string())
+    return pa.RecordBatch.from_arrays([ids, pa.array(lengths[held], pa.int64()), joined, _packed(tf.astype(np.int32), borders)], names=["doc_id", "n", "terms", "tf"])
+
+
+def _packed(values: np.ndarray, borders: np.ndarray) -> pa.Array:
+    return pa.array([values[a:b].tobytes() for a, b in zip(borders, borders[1:])], pa.binary())
 
 
 def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -113,12 +163,10 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
 def _chunks(batch: pa.Table) -> pa.RecordBatch:
     """One row per stratum of a batch sorted by m; a term's postings stand by falling tf."""
     ids, m = common.ids_of(batch.column("doc_id")), batch.column("m").to_numpy().astype(np.int64)
-    terms, lengths = _tokens(*common.text_buffer(batch.column("text")))
+    terms, lengths = _tokens(*common.text_buffer(batch.column("terms")))
     coded = terms.dictionary_encode()
-    codes, size = coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
-    # One entry per document and term, in the order of documents.
-    pairs, tf = np.unique(np.repeat(np.arange(len(ids)), lengths) * size + codes, return_counts=True)
-    doc, code = pairs // size, pairs % size
+    code, size = coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
+    doc, tf = np.repeat(np.arange(len(ids)), lengths), np.frombuffer(b"".join(batch.column("tf").to_pylist()), np.int32)
     new = np.concatenate([[True], np.diff(m) != 0])
     stratum = (np.cumsum(new) - 1)[doc]
     first_doc = np.flatnonzero(new)
@@ -135,15 +183,14 @@ def _chunks(batch: pa.Table) -> pa.RecordBatch:
     local_term = (np.cumsum(term_new) - 1)[run_at] - by_term[stratum[run_at]]
     run_size, run_tf = np.diff(np.append(run_at, len(tf))).astype(np.int32), tf[run_at]
     doc_edges = np.append(first_doc, len(ids))
-    packed = lambda values, borders: pa.array([values[a:b].tobytes() for a, b in zip(borders, borders[1:])], pa.binary())
     lists = lambda values: pa.ListArray.from_arrays(pa.array(by_term, pa.int32()), values)
-    held, postings = packed(ids, doc_edges), packed(local_doc, by_posting)
+    held, postings = _packed(ids, doc_edges), _packed(local_doc, by_posting)
     names = [hashlib.blake2b(b"%d " % k + a.as_py() + p.as_py(), digest_size=12).hexdigest() for k, a, p in zip(m[first_doc], held, postings)]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(m[first_doc]), pa.array(names), lists(coded.dictionary.take(pa.array(code[term_at])).cast(pa.string())),
             lists(pa.array(np.diff(np.append(term_at, len(tf))), pa.int32())), lists(pa.array(tf[term_at])), held,
-            packed(local_term.astype(np.int32), by_run), packed(run_tf, by_run), packed(run_size, by_run), postings,
+            _packed(local_term.astype(np.int32), by_run), _packed(run_tf, by_run), _packed(run_size, by_run), postings,
         ],
         names=[c.split()[0] for c in _CHUNK.split(", ")],
     )
