@@ -22,6 +22,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,17 @@ class Template:
         return self.places("+").sub(lambda m: m.group()[:-1], text)
 
 
+def _spelled(tokenizer) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary.
+
+    Such a vocabulary writes a byte as a character: those that print in Latin-1 as themselves, the others by the characters from 256 on.
+    """
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    names = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
+    return [bytes(byte_of[c] for c in name) for name in names]
+
+
 class Coder:
     """A vocabulary with the template's signs as ids above it."""
 
@@ -87,6 +99,7 @@ class Coder:
         self.size = self.tokenizer.get_vocab_size()
         self.id_of = {s: self.size + i for i, s in enumerate(template.signs())}
         self.opens = {self.id_of[a]: role for role, (a, _b) in template.roles.items()}
+        self.spelled = _spelled(self.tokenizer)
 
     def encode(self, contents: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(contents, add_special_tokens=False)]
@@ -95,8 +108,8 @@ class Coder:
         """The content of one segment, as it was before escaping."""
         return self.template.unescape(self.written(ids))
 
-    def written(self, ids) -> str:
-        return self.tokenizer.decode([int(i) for i in ids], skip_special_tokens=False) if len(ids) else ""
+    def written(self, ids: Iterable[int]) -> str:
+        return b"".join(map(self.spelled.__getitem__, ids)).decode()
 
     def segments(self, role: str, text: str) -> list[tuple[str | None, str | None, bool]]:
         """(sign, content, learned) of one turn; each has a sign or a content."""
@@ -115,7 +128,7 @@ class Coder:
         ends = np.cumsum(lengths)
         starts = ends - lengths
         total = int(ends[-1]) if len(ends) else 0
-        ids = np.fromiter((i for p in pieces for i in p), dtype=np.int32, count=total)
+        ids = np.fromiter(chain.from_iterable(pieces), dtype=np.int32, count=total)
         learned = np.array([l for _s, _c, l in segments], dtype=np.int64)
         steps = np.zeros(total + 1, dtype=np.int64)
         np.add.at(steps, starts, learned)
@@ -251,23 +264,33 @@ def formatted(
 # --- reading ---------------------------------------------------------------------------------
 
 
+def _parts_of(records: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(conv_id, ids, loss, chars) of each part, ids and loss as arrays."""
+    for record in records:
+        column = lambda c: record.column(record.schema.get_field_index(c))  # noqa: B023, E731
+        borders = column("ids").offsets.to_numpy()
+        ids, loss = column("ids").flatten().to_numpy(), column("loss").flatten().to_numpy(zero_copy_only=False)
+        borders = borders - borders[0]
+        for conversation, chars, a, b in zip(column("conv_id").to_pylist(), column("chars").to_pylist(), borders, borders[1:]):
+            yield conversation, ids[a:b], loss[a:b], chars
+
+
 def _turns(coder: Coder, parts: Iterator[tuple]) -> Iterator[tuple]:
     """(conv_id, event, value, learned) of the sorted parts: ``begin`` of a conversation, its ``turn``s as (role, text), and ``chars`` of each part.
 
-    Only ids and mask are looked at. At most one turn is held.
+    Only ids and mask are looked at. ``learned`` is the text under the mask. At most one turn is held.
     """
     t = coder.template
     text_id, close_named = (coder.id_of[s] for s in t.named[1:])
     closes = {coder.id_of[b] for _a, b in t.roles.values()} | {close_named}
     running, role, held, masks = None, None, [], []
-    for conversation, _part, ids, loss, chars in parts:
+    for conversation, ids, loss, chars in parts:
         if running != (conversation,):
             if role is not None or held:
                 raise ValueError(f"conversation {running} ends inside a turn")
             running = (conversation,)
-            yield conversation, "begin", None, False
-        yield conversation, "chars", chars, False
-        ids, loss = np.asarray(ids, dtype=np.int64), np.asarray(loss, dtype=bool)
+            yield conversation, "begin", None, ""
+        yield conversation, "chars", chars, ""
         at = 0
         for sign in [*np.flatnonzero(ids >= coder.size).tolist(), len(ids)]:
             if sign > at:
@@ -275,19 +298,23 @@ def _turns(coder: Coder, parts: Iterator[tuple]) -> Iterator[tuple]:
                 masks.append(loss[at:sign])
             if sign < len(ids):
                 kind = int(ids[sign])
-                content = lambda: np.concatenate(held) if held else np.zeros(0, np.int64)  # noqa: B023, E731
                 if kind in coder.opens:
                     role = coder.opens[kind]
                 elif kind == text_id:
-                    role, held, masks = coder.decode(content()), [], []
+                    role, held, masks = coder.decode(_joined(held)), [], []
                 elif kind in closes:
+                    content = coder.decode(_joined(held))
                     mask = np.concatenate(masks) if masks else np.zeros(0, bool)
-                    learned = [coder.decode(run[keep]) for run, keep in [(content(), mask)] if keep.any()]
-                    yield conversation, "turn", (role, coder.decode(content())), "".join(learned)
+                    learned = content if mask.all() and len(mask) else (coder.decode(np.concatenate(held)[mask].tolist()) if mask.any() else "")
+                    yield conversation, "turn", (role, content), learned
                     role, held, masks = None, [], []
             at = sign + 1
 
 
+def _joined(pieces: list[np.ndarray]) -> list[int]:
+    return [i for p in pieces for i in p.tolist()]
+
+
 def _sorted_parts(parts: DataFrame) -> DataFrame:
     return parts.select("conv_id", "part", "ids", "loss", "chars").repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
@@ -301,7 +328,7 @@ def turns_of(parts: DataFrame, vocabulary_path: str = DEFAULT_VOCABULARY, templa
         names = ["conv_id", "position", "role", "text", "loss"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), types)], names=names)
-        for conversation, event, value, learned in _turns(_coder(shared), _rows(records, ["conv_id", "part", "ids", "loss", "chars"])):
+        for conversation, event, value, learned in _turns(_coder(shared), _parts_of(records)):
             if event == "begin":
                 position = 0
             elif event == "turn":
@@ -329,7 +356,7 @@ def read_back(parts: DataFrame, vocabulary_path: str = DEFAULT_VOCABULARY, templ
             rows = [(c, n, turns.hexdigest(), chars, loss.hexdigest(), written) for c, n, turns, chars, loss, written in done]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=names)
 
-        for conversation, event, value, learned in _turns(_coder(shared), _rows(records, ["conv_id", "part", "ids", "loss", "chars"])):
+        for conversation, event, value, learned in _turns(_coder(shared), _parts_of(records)):
             if event == "begin":
                 if len(done) >= 10_000:
                     yield batch()

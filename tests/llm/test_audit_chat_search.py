@@ -154,14 +154,14 @@ def test_segments_are_encoded_alone_and_signs_are_reserved(spark):
     want = chat_plain(rows)
     for conv, group in chat_format.formatted(spark.createDataFrame(rows, CHAT)).toPandas().groupby("conv_id", dropna=False):
         ids = [i for part in group.sort_values("part").ids for i in part]
-        shown = "".join(coder.written([i]) if i < coder.size and False else "" for i in [])
-        run = []
+        shown, run = "", []
         for i in [*ids, None]:
             if i is not None and i < coder.size:
                 run.append(i)
                 continue
             shown += coder.written(run) + (chat_format.Template().signs()[i - coder.size] if i is not None else "")
             if run:
+                assert coder.written(run) == coder.tokenizer.decode(run, skip_special_tokens=False)
                 assert run == coder.tokenizer.encode(coder.written(run), add_special_tokens=False).ids
             run = []
         assert shown == want[None if conv != conv else conv][-1]
