@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from ..session import scratch_path
 from . import common
 
 TOP = 50
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 SEPARATOR = "\n"
 # Terms and counts dealt to one task of the build.
 SHARD_BYTES = 32 << 20
@@ -49,7 +50,9 @@ _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _IN_TERM = np.zeros(256, dtype=bool)
 _IN_TERM[0x30:0x3A] = _IN_TERM[0x41:0x5B] = _IN_TERM[0x61:0x7B] = _IN_TERM[0x80:] = True
 _COUNTED = "doc_id bigint, n bigint, terms string, tf binary"
-_CHUNK = "m bigint, chunk string, terms array<string>, df array<int>, max_tf array<bigint>, docs binary, run_term binary, run_tf binary, run_size binary, postings binary"
+# ``heads`` holds the terms with their df and largest tf, ``body`` documents, runs and postings, both compressed.
+_CHUNK = "m bigint, chunk string, size int, heads binary, body binary"
+_HEADS, _BODY = (np.uint8, np.int32, np.int32), (np.int64, np.int32, np.int32, np.int32, np.int32)
 _FOUND = "item int, doc_id bigint, score bigint"
 
 
@@ -120,7 +123,7 @@ def _dealt(rows: DataFrame, shard_bytes: int) -> DataFrame:
 def _written(chunks: DataFrame) -> DataFrame:
     """The index as a table whose row groups are small: a reader holds one at a time, and a chunk may be large."""
     path = scratch_path(chunks.sparkSession, "strata")
-    sizes = {"parquet.block.size": 2 * CHUNK_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    sizes = {"parquet.block.size": 4 * CHUNK_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
     chunks.write.options(**sizes).parquet(path)
     return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
 
@@ -182,18 +185,32 @@ def _chunks(batch: pa.Table) -> pa.RecordBatch:
     local_doc = (doc - first_doc[stratum]).astype(np.int32)
     local_term = (np.cumsum(term_new) - 1)[run_at] - by_term[stratum[run_at]]
     run_size, run_tf = np.diff(np.append(run_at, len(tf))).astype(np.int32), tf[run_at]
-    doc_edges = np.append(first_doc, len(ids))
-    lists = lambda values: pa.ListArray.from_arrays(pa.array(by_term, pa.int32()), values)
-    held, postings = _packed(ids, doc_edges), _packed(local_doc, by_posting)
-    names = [hashlib.blake2b(b"%d " % k + a.as_py() + p.as_py(), digest_size=12).hexdigest() for k, a, p in zip(m[first_doc], held, postings)]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(m[first_doc]), pa.array(names), lists(coded.dictionary.take(pa.array(code[term_at])).cast(pa.string())),
-            lists(pa.array(np.diff(np.append(term_at, len(tf))), pa.int32())), lists(pa.array(tf[term_at])), held,
-            _packed(local_term.astype(np.int32), by_run), _packed(run_tf, by_run), _packed(run_size, by_run), postings,
-        ],
-        names=[c.split()[0] for c in _CHUNK.split(", ")],
-    )
+    doc_edges, sizes = np.append(first_doc, len(ids)), np.diff(np.append(term_at, len(tf))).astype(np.int32)
+    spelled, most = coded.dictionary.take(pa.array(code[term_at])), tf[term_at].astype(np.int32)
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(by_term, pa.int64()), spelled), pa.scalar(SEPARATOR, pa.large_string()))
+    heads, bodies, names = [], [], []
+    for k in range(len(first_doc)):
+        t, r, p, d = (slice(edges[k], edges[k + 1]) for edges in (by_term, by_run, by_posting, doc_edges))
+        raw, _offsets = common.text_buffer(joined.slice(k, 1))
+        heads.append(_sealed(raw, sizes[t], most[t]))
+        bodies.append(_sealed(ids[d], local_term[r].astype(np.int32), run_tf[r].astype(np.int32), run_size[r], local_doc[p]))
+        names.append(hashlib.blake2b(bodies[-1] + heads[-1], digest_size=12).hexdigest())
+    columns = [pa.array(m[first_doc]), pa.array(names), pa.array(np.diff(doc_edges), pa.int32()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _CHUNK.split(", ")])
+
+
+def _sealed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value; their sizes stand in front."""
+    parts = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    return zstandard.compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts), 1)
+
+
+def _unsealed(blob: bytes, kinds: tuple) -> list[np.ndarray]:
+    raw, out, at = zstandard.decompress(blob), [], 8 * len(kinds)
+    for size, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds):
+        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
 
 
 # --- searching -------------------------------------------------------------------------------
@@ -219,14 +236,14 @@ class Queries:
     def found(self, terms: pa.Array) -> np.ndarray:
         """The number of each term, -1 where no item has it."""
         if self._known is None:
-            self._known = pa.array(self.terms, pa.string())
-        return pc.index_in(terms.cast(pa.string()), value_set=self._known).fill_null(-1).to_numpy().astype(np.int64)
+            self._known = pa.array(self.terms, pa.large_string())
+        return pc.index_in(terms, value_set=self._known).fill_null(-1).to_numpy().astype(np.int64)
 
     def bounds(self, numbers: np.ndarray, max_tf: np.ndarray, m: int) -> np.ndarray:
         """What a document of the chunk can score at most, for each item."""
         most = np.zeros(len(self.terms), dtype=np.int64)
         known = numbers >= 0
-        most[numbers[known]] = self.weights[numbers[known]] * impact(max_tf[known], m)
+        most[numbers[known]] = self.weights[numbers[known]] * impact(max_tf[known].astype(np.int64), m)
         return np.add.reduceat(most[self.flat], self.starts)
 
 
@@ -235,8 +252,7 @@ class Chunk:
     m: int
     docs: np.ndarray
     numbers: np.ndarray
-    row: tuple
-    bounds: np.ndarray
+    row: list[np.ndarray]
 
     def scores(self, queries: Queries, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(documents, scores by item and document) of some documents at a time, for the items ``wanted``."""
@@ -246,7 +262,7 @@ class Chunk:
         needed[np.concatenate([queries.flat[queries.starts[i] : queries.ends[i]] for i in wanted])] = True
         runs = needed[number]
         # One impact per run, whatever the number of its documents.
-        values = queries.weights[number[runs]] * impact(run_tf[runs], self.m)
+        values = queries.weights[number[runs]] * impact(run_tf[runs].astype(np.int64), self.m)
         at = np.repeat(runs, run_size)
         places, values, number = postings[at], np.repeat(values, run_size[runs]), np.repeat(number[runs], run_size[runs])
         # Terms in use become rows of a small table; row 0 stays empty for the others.
@@ -262,24 +278,12 @@ class Chunk:
             yield self.docs[low:top], np.stack([table[lines[lines > 0]].sum(axis=0) for lines in (line_of[queries.flat[queries.starts[i] : queries.ends[i]]] for i in wanted)])
 
 
-def _opened(record: pa.RecordBatch, queries: Queries) -> list[Chunk]:
-    column = lambda c: record.column(record.schema.get_field_index(c))
-    borders, numbers, max_tf = _heads(record, queries)
-    out = []
-    for k in range(record.num_rows):
-        part = slice(borders[k], borders[k + 1])
-        m = column("m")[k].as_py()
-        view = lambda c, kind: np.frombuffer(column(c)[k].as_buffer(), kind)  # noqa: B023, E731
-        row = (view("run_term", np.int32), view("run_tf", np.int64), view("run_size", np.int32), view("postings", np.int32))
-        out.append(Chunk(m, view("docs", np.int64), numbers[part], row, queries.bounds(numbers[part], max_tf[part], m)))
-    return out
-
-
-def _heads(record: pa.RecordBatch, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(borders of the chunks, number of each of their terms, largest tf of each term)."""
-    terms, max_tf = (record.column(record.schema.get_field_index(c)) for c in ("terms", "max_tf"))
-    offsets = terms.offsets.to_numpy()
-    return offsets - offsets[0], queries.found(terms.flatten()), max_tf.flatten().to_numpy()
+def _heads(record: pa.RecordBatch, queries: Queries) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, number, df and largest tf of each term that an item has) of the chunks."""
+    for k, blob in enumerate(record.column(record.schema.get_field_index("heads"))):
+        raw, df, max_tf = _unsealed(blob.as_py(), _HEADS)
+        numbers = queries.found(_tokens(raw, np.array([0, len(raw)], np.int64))[0])
+        yield k, numbers, df, max_tf
 
 
 class Best:
@@ -319,14 +323,18 @@ def visited(records: Iterable[pa.RecordBatch], queries: Queries, floors: np.ndar
     """(the best documents, chunk and item pairs scored, pairs in all) of the chunks of a task."""
     best, scored, pairs = Best(floors, k), 0, 0
     for record in records:
-        chunks = _opened(record, queries)
-        pairs += len(chunks) * len(queries.items)
-        for chunk in sorted(chunks, key=lambda c: -int(c.bounds.max())):
-            wanted = np.flatnonzero((chunk.bounds >= best.floors) & (chunk.bounds > 0))
+        m = record.column(record.schema.get_field_index("m")).to_pylist()
+        bounds = {row: queries.bounds(numbers, max_tf, m[row]) for row, numbers, _df, max_tf in _heads(record, queries)}
+        pairs += len(bounds) * len(queries.items)
+        for row in sorted(bounds, key=lambda r: -int(bounds[r].max())):
+            wanted = np.flatnonzero((bounds[row] >= best.floors) & (bounds[row] > 0))
             scored += len(wanted)
             if len(wanted):
-                for docs, scores in chunk.scores(queries, wanted):
-                    best.add(wanted, docs, scores)
+                # Opened again, since the terms of all chunks of a batch would not stay small.
+                (_row, numbers, _df, _max_tf), = _heads(record.slice(row, 1), queries)
+                docs, *rest = _unsealed(record.column(record.schema.get_field_index("body"))[row].as_py(), _BODY)
+                for held, scores in Chunk(m[row], docs, numbers, rest).scores(queries, wanted):
+                    best.add(wanted, held, scores)
     return best, scored, pairs
 
 
@@ -343,12 +351,12 @@ def _weighed(index: Index, queries: Queries) -> Queries:
     def run(records) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(queries.terms) + 1, dtype=np.int64)
         for record in records:
-            column = lambda c: record.column(record.schema.get_field_index(c)).flatten()  # noqa: B023, E731
-            np.add.at(df, queries.found(column("terms")), column("df").to_numpy())
+            for _row, numbers, counts, _max_tf in _heads(record, queries):
+                np.add.at(df, numbers, counts)
         held = np.flatnonzero(df[:-1])
         yield _emit((held, df[held]), schema)
 
-    sums = common.map_arrow(index.chunks.select("terms", "df"), run, schema).groupBy("number").agg(F.sum("df").alias("df"))
+    sums = common.map_arrow(index.chunks.select("heads"), run, schema).groupBy("number").agg(F.sum("df").alias("df"))
     for row in sums.collect():
         queries.weights[row["number"]] = index.corpus.weight(row["df"])
     return queries
@@ -362,12 +370,11 @@ def _floors(index: Index, queries: Queries, k: int, first_visits: int) -> np.nda
         names: list[str] = []
         bounds: list[np.ndarray] = []
         for record in records:
-            borders, numbers, max_tf = _heads(record, queries)
-            for j, (m, chunk, size) in enumerate(zip(*(record.column(record.schema.get_field_index(c)).to_pylist() for c in ("m", "chunk", "size")))):
-                if size >= k:
-                    part = slice(borders[j], borders[j + 1])
-                    names.append(chunk)
-                    bounds.append(queries.bounds(numbers[part], max_tf[part], m))
+            m, chunk, size = (record.column(record.schema.get_field_index(c)).to_pylist() for c in ("m", "chunk", "size"))
+            large = [i for i, n in enumerate(size) if n >= k]
+            for row, numbers, _df, max_tf in _heads(record.take(pa.array(large, pa.int64())), queries):
+                names.append(chunk[large[row]])
+                bounds.append(queries.bounds(numbers, max_tf, m[large[row]]))
             if len(bounds) > 4 * first_visits + 64:
                 names, bounds = _highest(names, bounds, first_visits)
         table = np.stack(bounds) if bounds else np.zeros((0, len(queries.items)), np.int64)
@@ -375,7 +382,7 @@ def _floors(index: Index, queries: Queries, k: int, first_visits: int) -> np.nda
         item = np.tile(np.arange(len(queries.items)), len(top))
         yield _emit((item, np.array(names, dtype=object)[top.ravel()], table[top.ravel(), item]), schema)
 
-    heads = index.chunks.select("m", "chunk", "terms", "max_tf", (F.octet_length("docs") / 8).cast("int").alias("size"))
+    heads = index.chunks.select("m", "chunk", "size", "heads")
     order = Window.partitionBy("item").orderBy(F.desc("bound"), "chunk")
     highest = common.map_arrow(heads, run, schema).where("bound > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first_visits)
     # At most items x first_visits names.
