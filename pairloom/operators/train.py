@@ -3,15 +3,17 @@
 A step reads the old table, sums the updates of all active triplets of the batch per token and
 writes the new table. With one triplet per batch it is the sequential update rule.
 
-While the table is small enough to broadcast, a step is one narrow pass: every task embeds its
+A single step over a table small enough to broadcast is one narrow pass: every task embeds its
 triplets, and hands on their losses and one summed update per token it touched. Only those sums are
 shuffled. A larger table takes the relational way, a shuffled join of token rows with the table.
+Training over many steps keeps the table dealt by token id on the executors.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from ..session import materialize, scratch_path, ship_package
+from ..session import scratch_path, ship_package, written
 from .negatives import draw_rejecting, index_pool
 from .ordering import hash_index
 from .pairs import pool_of_pairs
@@ -33,6 +36,12 @@ ROLES = ("anchor", "positive", "negative")
 # Files a batch is spread over when it is written.
 BATCH_FILES = 64
 PAIR_KEYS = ["pkey"]
+# Triplets computed together where the table stays dealt; triplets ordered at a time in the sequential rule.
+PART_TRIPLETS = 256
+# A batch of so many rows is one list; of larger ones blocks of so many bytes meet, and so many scores are held at a time.
+LIST_ROWS, BLOCK_BYTES, _SCORE_CELLS = 256, 8 << 20, 1 << 21
+SEQUENCE_ROWS = 20_000
+_STEP = "tid bigint, loss double, token_id bigint, delta array<double>"
 
 
 @dataclass(frozen=True)
@@ -42,6 +51,8 @@ class TrainOptions:
     margin: float = 0.2
     batch_size: int = 100_000
     seed: int = 42
+    # One triplet after the other, as far as the result goes.
+    sequential: bool = False
 
 
 def tokenize(triplets: DataFrame, config: ModelConfig) -> DataFrame:
@@ -102,9 +113,7 @@ def run_step(
     if fits_broadcast(config):
         shared = tokenized.sparkSession.sparkContext.broadcast(table_matrix(table, config))
         both = keep(_narrow_pass(tokenized, shared, config, learning_rate, margin))
-        sums = both.where(F.col("token_id").isNotNull()).select("token_id", array_to_vector("delta").alias("_v"))
-        updates = sums.groupBy("token_id").agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("delta"))
-        return Step(both.where(F.col("tid").isNotNull()).select("tid", "loss"), updates, shared)
+        return Step(both.where(F.col("tid").isNotNull()).select("tid", "loss"), _summed(both), shared)
     vectors = keep(triplet_vectors(tokenized, table, config, margin))
     return Step(losses_of(tokenized, vectors), gradients_of(tokenized, vectors, learning_rate))
 
@@ -123,26 +132,128 @@ def _narrow_pass(
         total, touched = np.zeros_like(matrix), np.zeros(len(matrix), dtype=bool)
         for batch in batches:
             roles = [RoleTokens.of(batch.column(i)) for i in (1, 2, 3)]
-            losses = np.zeros(batch.num_rows)
-            start = 0
-            while start < batch.num_rows:
-                stop = min(r.stop_after(start) for r in roles)
-                parts = [r.rows(start, stop) for r in roles]
-                a, p, n = [mean_rows(matrix, ids, edges) for ids, edges in parts]
-                if normalize:
-                    a, p, n = unit_rows(a), unit_rows(p), unit_rows(n)
-                filled = np.all([np.diff(edges) > 0 for _ids, edges in parts], axis=0)
-                loss = np.where(filled, margin - (a * p).sum(axis=1) + (a * n).sum(axis=1), 0.0)
-                losses[start:stop] = np.maximum(loss, 0.0)
-                for (ids, edges), gradient in zip(parts, (n - p, -a, a)):
-                    _spread_updates(total, touched, ids, edges, gradient, loss > 0, learning_rate)
-                start = stop
+            losses = _learn(matrix, roles, normalize, learning_rate, margin, total, touched)
             yield _step_rows(batch.column(0), pa.array(losses), None, None)
         used = np.flatnonzero(touched)
         if len(used):
             yield _step_rows(None, None, pa.array(used), list_array(total[used]))
 
-    return tokenized.select(*columns).mapInArrow(run, "tid bigint, loss double, token_id bigint, delta array<double>")
+    return tokenized.select(*columns).mapInArrow(run, _STEP)
+
+
+def _learn(matrix, roles: list[RoleTokens], normalize: bool, learning_rate: float, margin: float, total, touched) -> np.ndarray:
+    """Losses of some triplets; their updates are added to ``total`` and the rows they reach marked in ``touched``."""
+    rows = len(roles[0].edges) - 1
+    losses = np.zeros(rows)
+    start = 0
+    while start < rows:
+        stop = min(r.stop_after(start) for r in roles)
+        parts = [r.rows(start, stop) for r in roles]
+        a, p, n = [mean_rows(matrix, ids, edges) for ids, edges in parts]
+        if normalize:
+            a, p, n = unit_rows(a), unit_rows(p), unit_rows(n)
+        filled = np.all([np.diff(edges) > 0 for _ids, edges in parts], axis=0)
+        loss = np.where(filled, margin - (a * p).sum(axis=1) + (a * n).sum(axis=1), 0.0)
+        losses[start:stop] = np.maximum(loss, 0.0)
+        for (ids, edges), gradient in zip(parts, (n - p, -a, a)):
+            _spread_updates(total, touched, ids, edges, gradient, loss > 0, learning_rate)
+        start = stop
+    return losses
+
+
+# --- a table that stays dealt by token -------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class DealtTable:
+    """A token table in buckets of token ids. Its files lie in the scratch folder; the session's catalog holds only their description."""
+
+    rows: DataFrame
+    name: str
+
+    def forget(self) -> None:
+        self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def dealt_table(table: DataFrame, buckets: int) -> DealtTable:
+    """The table written so that joins by token id that many partitions wide need not move it."""
+    spark = table.sparkSession
+    path = scratch_path(spark, "table")
+    name = os.path.basename(path).replace("-", "_")
+    table.select("token_id", "vec").repartition(buckets, "token_id").write.bucketBy(buckets, "token_id").sortBy("token_id").option("path", path).saveAsTable(name)
+    return DealtTable(spark.table(name), name)
+
+
+def dealt_step(tokenized: DataFrame, table: DataFrame, config: ModelConfig, learning_rate: float, margin: float, keep: Callable = lambda df: df) -> Step:
+    """One forward and backward pass that neither broadcasts the table nor brings it to the driver.
+
+    Triplets go in parts of bounded size. A part asks for the rows of its distinct tokens where the table lies, computes with those alone and sends back
+    one summed update per token. What moves is rows that are asked for and updates.
+    """
+    spark = tokenized.sparkSession
+    ship_package(spark)
+    normalize, dim = config.normalize, config.embedding_dim
+    ids = [f"{r}_ids" for r in ROLES]
+    parts = max(1, -(-tokenized.count() // PART_TRIPLETS))
+    placed = tokenized.select("tid", *ids).withColumn("part", F.pmod(F.xxhash64("tid"), F.lit(parts)).cast("int"))
+    asked = placed.select(F.col("part").alias("asker"), F.explode(F.array_distinct(F.concat(*ids).cast("array<bigint>"))).alias("token_id")).distinct()
+    pulled = table.hint("merge").join(asked, "token_id").select("asker", "token_id", "vec")
+
+    def run(triplets: pa.Table, rows: pa.Table) -> pa.Table:
+        triplets, rows = triplets.combine_chunks(), rows.combine_chunks()
+        known = rows.column("token_id").to_numpy()
+        order = np.argsort(known)
+        known = known[order]
+        matrix = _flat(rows.column("vec")).reshape(-1, dim)[order]
+        roles = [RoleTokens.of(_one(triplets.column(c))) for c in ids]
+        roles = [RoleTokens(np.searchsorted(known, r.ids), r.edges) for r in roles]
+        total, touched = np.zeros_like(matrix), np.zeros(len(matrix), dtype=bool)
+        losses = _learn(matrix, roles, normalize, learning_rate, margin, total, touched)
+        used = np.flatnonzero(touched)
+        found = [_step_rows(_one(triplets.column("tid")), pa.array(losses), None, None), _step_rows(None, None, pa.array(known[used]), list_array(total[used]))]
+        return pa.Table.from_batches(found)
+
+    both = keep(placed.groupBy("part").cogroup(pulled.groupBy("asker")).applyInArrow(run, _STEP))
+    return Step(both.where(F.col("tid").isNotNull()).select("tid", "loss"), _summed(both))
+
+
+def _summed(both: DataFrame) -> DataFrame:
+    sums = both.where(F.col("token_id").isNotNull()).select("token_id", array_to_vector("delta").alias("_v"))
+    return sums.groupBy("token_id").agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("delta"))
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    """A combined column's only chunk."""
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return _one(column).flatten().to_numpy(zero_copy_only=False)
+
+
+def conflict_levels(tokenized: DataFrame) -> DataFrame:
+    """``tokenized`` with a ``level``: triplets of one level share no token, and one that shares a token with an earlier triplet has a higher level.
+
+    Steps by level, all triplets of a level at once, therefore see and leave every row as one triplet after the other does. The rows, a bounded
+    batch, are ordered by ``tid`` in one task; only ids go there.
+    """
+    ids = [f"{r}_ids" for r in ROLES]
+    schema = tokenized.select("tid").schema.add("level", T.LongType())
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("tid").combine_chunks()
+        roles = [RoleTokens.of(_one(rows.column(c))) for c in ids]
+        last: dict[int, int] = {}
+        levels = []
+        for i in range(rows.num_rows):
+            used = {t for r in roles for t in r.ids[r.edges[i] : r.edges[i + 1]].tolist()}
+            level = 1 + max((last.get(t, 0) for t in used), default=0)
+            last.update(dict.fromkeys(used, level))
+            levels.append(level)
+        return pa.table({"tid": rows.column("tid"), "level": pa.array(levels, pa.int64())})
+
+    found = tokenized.select(F.lit(0).alias("_batch"), "tid", *ids).groupBy("_batch").applyInArrow(lambda rows: run(rows.drop_columns(["_batch"])), schema)
+    return tokenized.join(found, "tid")
 
 
 @dataclass(frozen=True)
@@ -275,37 +386,69 @@ def train_epochs(
 ) -> tuple[DataFrame, DataFrame]:
     """Train on keyed pairs over all epochs; returns the final table and one summary row per epoch.
 
-    An epoch's tokenised triplets are written in a folder per batch and a step reads its own folder only. Every
-    step keeps its pass and the new vocab x dim table reliably, so the pass runs once, lineage stays one step deep and a lost
-    executor costs one step. Losses are appended to a table, so plans do not grow with the batches.
+    The table lies in buckets of token ids from step to step: a step sends requests to it and updates back, and neither the driver nor a broadcast ever
+    holds it. An epoch's tokenised triplets are written in a folder per batch and a step reads its own folder only. Every step writes its pass and the new
+    table as Parquet, so lineage stays one step deep and a lost executor costs one step. Losses are appended to a table, so plans do not grow with the batches.
+
+    With ``sequential`` the result is that of one triplet after the other: a batch, then at most ``SEQUENCE_ROWS`` triplets, is taken in levels that share no token.
     """
-    keyed_pairs = materialize(pairs)
+    spark = pairs.sparkSession
+    keyed_pairs = written(pairs, "pairs")
     total = keyed_pairs.count()
-    pool = materialize(index_pool(pool_of_pairs(keyed_pairs), options.seed))
+    pool = written(index_pool(pool_of_pairs(keyed_pairs), options.seed), "pool")
     if pool.count() < 2:
         raise ValueError("fewer than two texts to draw negatives from")
-    spark = pairs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = min(options.batch_size, SEQUENCE_ROWS) if options.sequential else options.batch_size
     losses_path = scratch_path(spark, "losses")
+    dealt = dealt_table(table, buckets)
     for epoch in range(1, options.epochs + 1):
-        triplets = tokenize(epoch_triplets(keyed_pairs, pool, options, epoch), config)
+        triplets = tokenize(epoch_triplets(keyed_pairs, pool, replace(options, batch_size=size), epoch), config)
         path = scratch_path(spark, "triplets")
         triplets.repartition("batch", F.pmod("tid", F.lit(BATCH_FILES))).write.partitionBy("batch").parquet(path)
         schema = triplets.drop("batch").schema
-        for batch in range(max(1, -(-total // options.batch_size))):
-            part = spark.read.schema(schema).parquet(f"{path}/batch={batch}")
-            step = run_step(part, table, config, options.learning_rate, options.margin, materialize)
-            step.losses.select(F.lit(epoch).cast("bigint").alias("epoch"), "tid", "loss").write.mode("append").parquet(losses_path)
-            table = materialize(apply_gradients(table, step.updates))
-            step.release()
+        for batch in range(max(1, -(-total // size))):
+            for part in _steps_of(spark.read.schema(schema).parquet(f"{path}/batch={batch}"), options.sequential):
+                step = dealt_step(part, dealt.rows, config, options.learning_rate, options.margin, lambda df: written(df, "step"))
+                step.losses.select(F.lit(epoch).cast("bigint").alias("epoch"), "tid", "loss").write.mode("append").parquet(losses_path)
+                old, dealt = dealt, dealt_table(apply_gradients(dealt.rows.hint("merge"), step.updates), buckets)
+                old.forget()
     history = epoch_summary(spark.read.schema("epoch bigint, tid bigint, loss double").parquet(losses_path), ("epoch",))
-    return table, history
+    final = written(dealt.rows, "trained")
+    dealt.forget()
+    return final, history
+
+
+def _steps_of(batch: DataFrame, sequential: bool) -> Iterator[DataFrame]:
+    """The batch, or its levels of triplets without a common token, in order."""
+    if not sequential:
+        yield batch
+        return
+    path = scratch_path(batch.sparkSession, "levels")
+    conflict_levels(batch).write.partitionBy("level").parquet(path)
+    last = batch.sparkSession.read.parquet(path).agg(F.max("level")).first()[0]
+    for level in range(1, (last or 0) + 1):
+        yield batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/level={level}")
 
 
-def inbatch_rank_loss(batched: DataFrame, scale: float = 20.0) -> DataFrame:
-    """Softmax loss of every anchor against all positives of its batch, mean per batch.
+def inbatch_rank_loss(batched: DataFrame, scale: float = 20.0, most_rows: int | None = None, list_rows: int = LIST_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Softmax loss of every anchor against all positives of its batch, mean per batch; ``batched`` has (batch, a, p).
 
-    ``batched`` has (batch, a, p) with bounded batches, so each batch is one short list.
+    ``most_rows`` is a known bound of the batches; without it they are written once and counted. Batches of up to ``list_rows`` rows are one short list each. Of larger ones blocks of anchors meet blocks of positives, and each meeting gives an
+    anchor the largest score and the sum of exponentials relative to it, which are merged over the blocks: memory is that of two blocks whatever the batch.
     """
+    if most_rows is not None and most_rows <= list_rows:
+        return _listed_loss(batched, scale)
+    batched = written(batched, "batched")
+    sizes = batched.groupBy("batch").agg(F.count("*").alias("_rows"), F.max(F.size("a")).alias("_dim"))
+    large = written(sizes.where(F.col("_rows") > list_rows), "batches")
+    if large.isEmpty():
+        return _listed_loss(batched, scale)
+    small = _listed_loss(batched.join(large, "batch", "left_anti"), scale)
+    return small.unionByName(_blocked_loss(batched, large, scale, block_bytes))
+
+
+def _listed_loss(batched: DataFrame, scale: float) -> DataFrame:
     rows = batched.groupBy("batch").agg(F.collect_list(F.struct("a", "p")).alias("rows"))
     positives = F.transform("rows", lambda r: r["p"])
     logits = lambda r: F.transform(positives, lambda p: V.dot(r["a"], p) * scale)
@@ -321,6 +464,44 @@ def inbatch_rank_loss(batched: DataFrame, scale: float = 20.0) -> DataFrame:
     )
 
 
+def _blocked_loss(batched: DataFrame, large: DataFrame, scale: float, block_bytes: int) -> DataFrame:
+    """Loss of the batches in ``large(batch, _rows, _dim)``."""
+    spark = batched.sparkSession
+    ship_package(spark)
+    # Numbered once and written, so that a row keeps its block when it is read again.
+    rows = written(batched.join(large, "batch").withColumn("_id", F.monotonically_increasing_id()), "rows")
+    blocks = F.ceil(F.col("_rows") * F.col("_dim") * 8 / block_bytes).cast("int")
+    placed = rows.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_id"), "_blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    own = (V.dot(F.col("a"), F.col("p")) * scale).alias("own")
+    left = placed.select("batch", F.col("_block").alias("i"), every.alias("j"), "_id", "a", own)
+    right = placed.select("batch", every.alias("i"), F.col("_block").alias("j"), "p")
+    schema = T.StructType([batched.schema["batch"], *[T.StructField(n, T.DoubleType()) for n in ("own", "top", "total")], T.StructField("_id", T.LongType())])
+
+    def run(anchors: pa.Table, positives: pa.Table) -> pa.Table:
+        anchors, positives = anchors.combine_chunks(), positives.combine_chunks()
+        if not anchors.num_rows or not positives.num_rows:
+            return anchors.select(["batch", "own"]).append_column("top", anchors.column("own")).append_column("total", anchors.column("own")).append_column("_id", anchors.column("_id")).slice(0, 0)
+        a = _flat(anchors.column("a")).reshape(anchors.num_rows, -1)
+        p = _flat(positives.column("p")).reshape(positives.num_rows, -1)
+        top, total = np.empty(len(a)), np.empty(len(a))
+        step = max(1, _SCORE_CELLS // len(p))
+        for start in range(0, len(a), step):
+            part = slice(start, start + step)
+            scores = a[part] @ p.T * scale
+            top[part] = scores.max(axis=1)
+            total[part] = np.exp(scores - top[part, None]).sum(axis=1)
+        return anchors.select(["batch", "own"]).append_column("top", pa.array(top)).append_column("total", pa.array(total)).append_column("_id", anchors.column("_id"))
+
+    on = ["batch", "i", "j"]
+    met = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, schema)
+    # One entry per block of positives.
+    merged = met.groupBy("batch", "_id").agg(F.first("own").alias("own"), F.max("top").alias("top"), F.collect_list(F.struct("top", "total")).alias("parts"))
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["total"] * F.exp(x["top"] - F.col("top")))
+    losses = merged.select("batch", (F.log(total) + F.col("top") - F.col("own")).alias("loss"))
+    return losses.groupBy("batch").agg(F.count("*").alias("size"), F.avg("loss").alias("loss"))
+
+
 def loss_batches(pairs: DataFrame, seed: int, keys: list[str], batch_size: int) -> DataFrame:
     """Shuffled batches of at most ``batch_size`` rows."""
     ordered = hash_index(pairs, seed, "batch", keys, "position")
