@@ -53,13 +53,13 @@ def ends_open(line: bytes, opened: bool, separator: bytes = b",") -> bool:
             return False
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def range_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, start, line): the lines of each range in order, without the line end."""
     text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
 
 
-def _ranges(records: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, bool, list[bytes]]]:
+def stretches(records: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, bool, list[bytes]]]:
     """(values of ``columns``, whether the range begins here, lines): stretches of equal values."""
     before = None
     for record in records:
@@ -73,7 +73,7 @@ def _ranges(records: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
                 before, low = key, i
 
 
-def _arrow(rows: list, schema: str) -> pa.RecordBatch:
+def arrow_rows(rows: list, schema: str) -> pa.RecordBatch:
     kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_n, k) in zip(zip(*rows), fields)], names=[n for n, _k in fields])
@@ -88,7 +88,7 @@ def range_ends(spark: SparkSession, path: str, head_bytes: int = HEAD_BYTES) ->
 
     def run(records) -> Iterator[pa.RecordBatch]:
         found: list[list] = []
-        for (file, start), fresh, lines in _ranges(records, ("file", "start")):
+        for (file, start), fresh, lines in stretches(records, ("file", "start")):
             if fresh:
                 found.append([file, start, 0, False, True, True, []])
                 size = 0
@@ -108,10 +108,10 @@ def range_ends(spark: SparkSession, path: str, head_bytes: int = HEAD_BYTES) ->
                 row[5] = in_head and opened
             row[3], row[4] = closed, opened
         if found:
-            yield _arrow([[*r[:6], None if r[6] is None else b"\n".join(r[6])] for r in found], _SUMMARY)
+            yield arrow_rows([[*r[:6], None if r[6] is None else b"\n".join(r[6])] for r in found], _SUMMARY)
 
     ship_package(spark)
-    return _lines(spark, path).mapInArrow(run, _SUMMARY)
+    return range_lines(spark, path).mapInArrow(run, _SUMMARY)
 
 
 def range_starts(ends: DataFrame) -> DataFrame:
@@ -137,19 +137,19 @@ def _long_heads(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
 
     def run(records) -> Iterator[pa.RecordBatch]:
         key, held, open_ = None, [], False
-        for own, fresh, lines in _ranges(records, ("file", "start")):
+        for own, fresh, lines in stretches(records, ("file", "start")):
             if fresh:
                 if key is not None:
-                    yield _arrow([(*key, b"\n".join(held))], "file string, start bigint, head binary")
+                    yield arrow_rows([(*key, b"\n".join(held))], "file string, start bigint, head binary")
                 key, held, open_ = own, [], True
             for line in lines:
                 if open_:
                     held.append(line)
                     open_ = ends_open(line, True) if b'"' in line else True
         if key is not None:
-            yield _arrow([(*key, b"\n".join(held))], "file string, start bigint, head binary")
+            yield arrow_rows([(*key, b"\n".join(held))], "file string, start bigint, head binary")
 
-    return _placed(_lines(spark, path), ranges.select("file", "start"), 0).mapInArrow(run, "file string, start bigint, head binary")
+    return _placed(range_lines(spark, path), ranges.select("file", "start"), 0).mapInArrow(run, "file string, start bigint, head binary")
 
 
 def _placed(lines: DataFrame, ranges: DataFrame, text_bytes: int) -> DataFrame:
@@ -193,7 +193,7 @@ def csv_records(spark: SparkSession, path: str, head_bytes: int = HEAD_BYTES) ->
         out: list[tuple] = []
         size = 0
         held, open_, head, seq, left = [], False, False, 0, 0
-        for (file, start, lines_left, opened, through, rest), fresh, lines in _ranges(records, ("file", "start", "lines", "opened", "through", "rest")):
+        for (file, start, lines_left, opened, through, rest), fresh, lines in stretches(records, ("file", "start", "lines", "opened", "through", "rest")):
             if through:
                 continue
             if fresh:
@@ -214,13 +214,13 @@ def csv_records(spark: SparkSession, path: str, head_bytes: int = HEAD_BYTES) ->
                         seq, size = seq + 1, size + len(record) + 64
                     held, head = [], False
                     if size > _BATCH_BYTES:
-                        yield _arrow(out, _RECORD)
+                        yield arrow_rows(out, _RECORD)
                         out, size = [], 0
         if left:
             raise RuntimeError("the input was cut into other ranges than before; the session's settings or the files changed")
         if out:
-            yield _arrow(out, _RECORD)
+            yield arrow_rows(out, _RECORD)
 
     ship_package(spark)
-    found = _placed(_lines(spark, path), ranges, texts).mapInArrow(run, _RECORD)
+    found = _placed(range_lines(spark, path), ranges, texts).mapInArrow(run, _RECORD)
     return found.select("file", "start", "seq", F.make_valid_utf8(F.col("record").cast("string")).alias("record"))

@@ -116,3 +116,34 @@ def test_retrieval_quality_on_a_tiny_corpus_wraps_around(spark):
     got = jobs.retrieval_quality(docs, "id", "body", query_count=32, window=10, stride=10).first()
     assert got["eval_count"] == 10 and got["top1_accuracy"] == 1.0
     assert got["separation"] == pytest.approx(got["mean_positive_similarity"] - got["mean_negative_similarity"])
+
+
+def test_a_broken_run_goes_on_at_the_first_unfinished_stage(spark, tmp_path, monkeypatch):
+    config = table.ModelConfig(vocab_size=64, embedding_dim=8, max_seq_len=16)
+    prepare, options = jobs.PrepareOptions(max_eval_triplets=5, seed=1), train.TrainOptions(epochs=2, batch_size=8)
+    run = lambda out, **more: tuple(jobs.pipeline_job(spark, labeled(spark), PAIRS, str(tmp_path / out), config, prepare, more.pop("options", options), **more).first())
+    whole = run("whole")
+
+    def broken(*args, **kwargs):
+        # Leaves half an output behind.
+        files.write_report(spark.range(1), f"{args[3]}/model/token_embeddings")
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "train_job", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            run("again")
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "prepare_job", broken)
+        assert run("again") == pytest.approx(whole, abs=1e-9)
+        assert [d.path for d in jobs.stages.finished(spark, str(tmp_path / "again"), "train")] == [f"{tmp_path}/again/train-2"]
+        patch.setattr(jobs, "train_job", broken)
+        assert run("again") == run("again", skip_train=True) == pytest.approx(whole, abs=1e-9)
+        with pytest.raises(RuntimeError, match="lost"):
+            run("again", options=train.TrainOptions(epochs=1))
+
+
+def test_other_content_is_another_source(spark):
+    one, two = spark.createDataFrame([("a", 1), ("b", None)], "x string, y int"), spark.createDataFrame([("b", None), ("a", 1)], "x string, y int")
+    key = jobs.stages.content_key
+    assert key(one) == key(two) != key(one.unionByName(two)) and key(one.limit(0)) != key(one)
