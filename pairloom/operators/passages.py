@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import window_starts, words
@@ -46,19 +46,29 @@ def count_windows(
 def leading_passages(
     df: DataFrame, key: str, text: str, needed: int, window: int = WINDOW, stride: int = STRIDE, max_windows: int | None = None
 ) -> tuple[DataFrame, int]:
-    """Numbered passages of the first texts, at least ``needed`` of them or all there are.
+    """The first ``needed`` passages in (key, window) order, numbered from 0, or all there are, and how many that is.
 
-    Window counts alone decide which texts are first: of the keys with a window the ``needed`` smallest are taken, once, and
-    only their texts are cut. The returned count is the corpus size if it is below ``needed``.
+    The keys alone say which texts come first; only texts up to a bound are read, which the key's statistics cut down to their files, and the
+    bound moves on in growing steps while their passages are too few. What is returned is at most ``needed`` rows, held by the driver.
     """
-    sizes = count_windows(df, key, text, window, stride, max_windows).where(F.col("n_windows") > 0)
-    first = materialize(sizes.orderBy(key).limit(max(needed, 1)))
-    bound = first.agg(F.max(key).alias("last")).first()["last"]
-    head = df.select(key, text).where(F.col(key) <= bound) if bound is not None else df.select(key, text).limit(0)
-    offsets = prefix_offsets(first, key, "n_windows", "first_id")
-    rows = sliding_passages(head, text, window, stride, max_windows).join(F.broadcast(offsets.select(key, "first_id")), key)
-    numbered = materialize(rows.select((F.col("first_id") + F.col("window")).alias("passage_id"), key, "window", "passage"))
-    return numbered, first.agg(F.sum("n_windows")).first()[0] or 0
+    keyed = df.select(key, text).where(F.col(key).isNotNull())
+    order = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    texts = max(needed, 1)
+    while True:
+        first = keyed.select(key).orderBy(key).limit(texts).agg(F.max(key).alias("last"), F.count("*").alias("n")).first()
+        head = keyed.where(F.col(key) <= F.lit(first["last"])) if first["n"] else keyed.limit(0)
+        # Texts that are too short give no row; the running sum is over bounded many.
+        sized = _with_starts(head, text, window, stride, max_windows).select(key, "_tokens", "_starts", F.size("_starts").cast("bigint").alias("_n")).where("_n > 0")
+        placed = sized.withColumn("_first", F.coalesce(F.sum("_n").over(order), F.lit(0))).where(F.col("_first") < needed)
+        rows = placed.select(key, "_tokens", "_first", F.posexplode("_starts").alias("_w", "_start"))
+        numbered = rows.select(
+            (F.col("_first") + F.col("_w")).alias("passage_id"), key, F.col("_w").cast("bigint").alias("window"),
+            F.array_join(F.slice("_tokens", F.col("_start") + 1, window), " ").alias("passage"),
+        ).where(F.col("passage_id") < needed)
+        found = numbered.toArrow()
+        if found.num_rows >= needed or first["n"] < texts:
+            return df.sparkSession.createDataFrame(found, numbered.schema), found.num_rows
+        texts *= 4
 
 
 def number_windows(

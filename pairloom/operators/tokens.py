@@ -7,6 +7,7 @@ over, so encoding it as a dictionary first makes the per-token cost an integer l
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,20 @@ import pyarrow.compute as pc
 from ..functions.text import ODD_SPACES
 
 _ODD_CLASS = f"[{ODD_SPACES}]"
+# Bytes that begin whitespace beyond ASCII; where none stands no text needs the pattern.
+_ODD_LEAD = np.zeros(256, dtype=bool)
+_ODD_LEAD[[c.encode()[0] for c in ODD_SPACES if c > "\x7f"]] = True
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *[ord(c) for c in ODD_SPACES if c <= "\x7f"]]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+# md5's first words, its turns by round and its additive words.
+_MD5_BEGIN = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_MD5_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_MD5_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+# A text of so many bytes and its length mark fill one block; so many texts stay in the processor cache.
+_ONE_BLOCK = 55
+_MD5_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -38,24 +53,97 @@ class TokenBatch:
 
 def split_tokens(texts: pa.Array, lower: bool = False) -> TokenBatch:
     """Non-empty tokens between Unicode whitespace; ``lower`` folds ASCII capitals."""
-    filled = pc.fill_null(texts, "")
-    lists = pc.split_pattern(pc.replace_substring_regex(pc.ascii_lower(filled) if lower else filled, _ODD_CLASS, " "), " ")
-    coded = lists.flatten().dictionary_encode()
-    codes = coded.indices.to_numpy()
-    edges = lists.offsets.to_numpy().astype(np.int64)
-    edges = edges - edges[0]
-    empty = pc.index(coded.dictionary, "").as_py()
-    if empty >= 0:
-        keep = codes != empty
-        edges = np.concatenate([[0], np.cumsum(keep)])[edges]
-        codes = codes[keep]
-    return TokenBatch(coded.dictionary, codes, edges)
+    column = pc.fill_null(texts, "").cast(pa.large_string())
+    raw, edges = _text_bytes(column)
+    if _ODD_LEAD[raw[raw >= 0x80]].any():
+        raw, edges = _text_bytes(pc.replace_substring_regex(column, _ODD_CLASS, " "))
+    inside = ~_SPACE[raw]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    # Texts lie side by side; a token ends with its text.
+    borders = edges[1:-1][(edges[1:-1] > 0) & (edges[1:-1] < len(raw))]
+    opens[borders] = inside[borders]
+    closes[borders - 1] = inside[borders - 1]
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    spelled = raw[inside]
+    spelled = _LOWER[spelled] if lower else spelled
+    # 32-bit places hash faster and hold any batch that Spark sends.
+    wide = len(spelled) >= 1 << 31
+    kind, array = (np.int64, pa.LargeStringArray) if wide else (np.int32, pa.StringArray)
+    places = np.zeros(len(starts) + 1, dtype=kind)
+    np.cumsum(ends - starts, out=places[1:])
+    coded = array.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(spelled)).dictionary_encode()
+    return TokenBatch(coded.dictionary.cast(pa.string()), coded.indices.to_numpy(), np.searchsorted(starts, edges))
+
+
+def _text_bytes(column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes of all texts, where each begins and the last ends)."""
+    if len(column) == 0:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _valid, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[edges[0] : edges[-1]], edges - edges[0]
 
 
 def hash60(tokens: pa.Array) -> np.ndarray:
     """First 15 hex digits of the md5 of each token as a number."""
-    digests = b"".join([hashlib.md5(t).digest()[:8] for t in tokens.cast(pa.binary()).to_pylist()])
-    return (np.frombuffer(digests, dtype=">u8") >> np.uint64(4)).astype(np.int64)
+    raw, edges = _text_bytes(tokens.cast(pa.large_string()))
+    lengths = np.diff(edges)
+    out = np.zeros(len(lengths), dtype=np.uint64)
+    short = np.flatnonzero(lengths <= _ONE_BLOCK)
+    for start in range(0, len(short), _MD5_ROWS):
+        mine = short[start : start + _MD5_ROWS]
+        out[mine] = _md5_heads(raw, edges[mine], lengths[mine])
+    for i in np.flatnonzero(lengths > _ONE_BLOCK):
+        out[i] = int.from_bytes(hashlib.md5(raw[edges[i] : edges[i + 1]].tobytes()).digest()[:8], "big")
+    return (out >> np.uint64(4)).astype(np.int64)
+
+
+def _md5_heads(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """First eight digest bytes of texts that fill one block each, all rows of a round at once (RFC 1321)."""
+    rows = len(starts)
+    block = np.zeros((rows, 64), dtype=np.uint8)
+    row = np.repeat(np.arange(rows), lengths)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    block[row, within] = raw[starts[row] + within]
+    block[np.arange(rows), lengths] = 0x80
+    block[:, 56:58] = (lengths * 8).astype("<u2").view(np.uint8).reshape(rows, 2)
+    message = np.ascontiguousarray(block.view("<u4").T)
+    begin = [np.uint32(x) for x in _MD5_BEGIN]
+    a, b, c, d = (np.full(rows, x) for x in begin)
+    mixed, turned = np.empty(rows, np.uint32), np.empty(rows, np.uint32)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=mixed)
+            np.bitwise_and(mixed, b, out=mixed)
+            np.bitwise_xor(mixed, d, out=mixed)
+            word = i
+        elif i < 32:
+            np.bitwise_xor(b, c, out=mixed)
+            np.bitwise_and(mixed, d, out=mixed)
+            np.bitwise_xor(mixed, c, out=mixed)
+            word = (5 * i + 1) % 16
+        elif i < 48:
+            np.bitwise_xor(b, c, out=mixed)
+            np.bitwise_xor(mixed, d, out=mixed)
+            word = (3 * i + 5) % 16
+        else:
+            np.bitwise_or(b, np.invert(d, out=mixed), out=mixed)
+            np.bitwise_xor(mixed, c, out=mixed)
+            word = (7 * i) % 16
+        np.add(mixed, a, out=mixed)
+        np.add(mixed, message[word], out=mixed)
+        np.add(mixed, _MD5_SINES[i], out=mixed)
+        turn = _MD5_TURNS[i // 16][i % 4]
+        np.right_shift(mixed, np.uint32(32 - turn), out=turned)
+        np.left_shift(mixed, np.uint32(turn), out=mixed)
+        np.bitwise_or(mixed, turned, out=mixed)
+        # The oldest word's place takes the new one.
+        a, b, c, d = d, np.add(b, mixed, out=a), b, c
+    first, second = (a + begin[0]).byteswap(), (b + begin[1]).byteswap()
+    return first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
 
 
 def list_array(matrix: np.ndarray) -> pa.Array:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from ..operators.table import ModelConfig, embed_batches, embed_table, fits_broa
 from ..operators.train import PAIR_KEYS, ROLES, TrainOptions, train_epochs, with_pair_key
 from ..session import materialize
 from ..sources import files, models
+from . import stages
 from .profiles import DUPLICATES, LABELED, Profile
 
 @dataclass(frozen=True)
@@ -188,15 +189,46 @@ def pipeline_job(
     train: TrainOptions,
     skip_train: bool = False,
     model_path: str | None = None,
+    source_key: str | None = None,
 ) -> DataFrame:
-    """Prepare, then train and evaluate, or with ``skip_train`` evaluate the saved model."""
-    prepare_job(spark, source, profile, f"{out}/data", prepare)
-    if not skip_train:
-        return train_job(
-            spark, f"{out}/data/train_pairs", f"{out}/data/eval_triplets", out, config, train, prepare.max_train_pairs
-        ).select("metrics.*")
-    table, loaded = models.load_model(spark, model_path or f"{out}/model")
-    return evaluate_model(files.read_triplets(spark, f"{out}/data/eval_triplets"), table, loaded)
+    """Prepare, train and evaluate; the row of triplet metrics.
+
+    Each stage leaves a manifest below ``out`` (see ``stages``), so a run that broke off goes on at its first unfinished stage, and one with other
+    options repeats only what depends on them. ``source_key`` names the source's content; without it the rows are read once more for a digest.
+    With ``skip_train`` the training stage counts as done: its model is the one at ``model_path``, by default the last one trained below ``out``.
+    """
+    key = source_key or stages.content_key(source)
+    shown = {"profile": asdict(profile), "prepare": asdict(prepare)}
+    counts = ("positive_pairs", "negative_pool_size", "train_pairs", "eval_triplets")
+
+    def prepared(path: str) -> dict:
+        row = prepare_job(spark, source, profile, path, prepare).first()
+        return {c: row[c] for c in counts}
+
+    data = stages.stage(spark, out, "data", [key], shown, f"{out}/data", prepared)
+    triplets = files.read_triplets(spark, f"{data.path}/eval_triplets")
+    if skip_train:
+        known = [d.path for d in stages.finished(spark, out, "train")]
+        where = model_path or (f"{known[-1]}/model" if known else f"{out}/model")
+        model = stages.Done(f"given|{where}", where.removesuffix("/model"), {})
+    else:
+        options = {"config": asdict(config), "train": asdict(train), "max_train_pairs": prepare.max_train_pairs}
+
+        def trained(path: str) -> dict:
+            train_job(spark, f"{data.path}/train_pairs", f"{data.path}/eval_triplets", path, config, train, prepare.max_train_pairs)
+            return {}
+
+        model = stages.stage(spark, out, "train", [data.key], options, out, trained)
+        where = f"{model.path}/model"
+
+    def evaluated(path: str) -> dict:
+        table, loaded = models.load_model(spark, where)
+        found = evaluate_model(triplets, table, loaded)
+        found.write.parquet(path)
+        return {"columns": found.columns}
+
+    done = stages.stage(spark, out, "evaluation", [data.key, model.key], {}, f"{out}/evaluation", evaluated)
+    return spark.read.parquet(done.path).select(*done.report["columns"])
 
 
 def benchmark_report(
@@ -224,9 +256,9 @@ def retrieval_quality(
 ) -> DataFrame:
     """How well queries built from the first passages find their own passage in the whole corpus.
 
-    Passages are ordered by (key, window). The corpus is scanned once, narrowly: passages are cut,
+    Passages are ordered by (key, window). The corpus is cut into words once, narrowly: passages are made,
     hashed and scored in the task that reads them, and only each task's best row per query is
-    shuffled. Queries and offset negatives come from the first texts alone; the corpus size matters
+    shuffled. Queries and offset negatives come from the first texts alone, read up to a bound of the key; the corpus size matters
     only where the offset wraps around, which is where those first texts are the whole corpus.
     """
     spread_docs = spread(docs.select(key, text))
@@ -234,11 +266,9 @@ def retrieval_quality(
     numbered, available = passages.leading_passages(docs, key, text, needed, window, stride, max_windows)
     eval_count = min(query_count, available)
     wrap = available if available < needed else needed + 1
-    queries = materialize(
-        numbered.where(F.col("passage_id") < eval_count).select(
-            F.col("passage_id").alias("query_id"), key, "window",
-            F.col("passage"), T.query_from_passage(F.col("passage"), spaced=True).alias("query"),
-        )
+    queries = numbered.where(F.col("passage_id") < eval_count).select(
+        F.col("passage_id").alias("query_id"), key, "window",
+        F.col("passage"), T.query_from_passage(F.col("passage"), spaced=True).alias("query"),
     )
     corpus = passages.sliding_passages(spread_docs, text, window, stride, max_windows)
     coding = retrieve.hashed_encoding(dim)

@@ -276,8 +276,11 @@ def prepared() -> str:
           concat_ws('|', (SELECT count(*) FROM ev), {Q.MIN_CHARS}, {Q.MIN_WORDS}, {SEED})"""
 
 
-def mini_batches(epochs: int = 2, steps: int = 6) -> str:
-    """Every step of every epoch in a chain; ``steps`` covers the pairs of the tables this is checked on."""
+STEPS = 6
+
+
+def chain(epochs: int = 2, steps: int = STEPS) -> tuple[list[str], int]:
+    """CTEs of every step of every epoch, and how many; ``steps`` covers the pairs of the tables this is checked on."""
     parts, k = [], 0
     for epoch in range(1, epochs + 1):
         parts.append(epoch_triplets(epoch, f"epoch{epoch}"))
@@ -285,6 +288,11 @@ def mini_batches(epochs: int = 2, steps: int = 6) -> str:
             k += 1
             parts.append(f"trip{k} AS MATERIALIZED (SELECT * FROM epoch{epoch} WHERE tid // {Q.BATCH_ROWS} = {batch})")
             parts += [forward(k), gradients(k), stepped(k)]
+    return parts, k
+
+
+def mini_batches(steps: int = STEPS) -> str:
+    parts, k = chain(steps=steps)
     lost = " UNION ALL ".join(f"SELECT {1 + (n - 1) // steps}::BIGINT AS epoch, loss FROM loss{n}" for n in range(1, k + 1))
     return f"""WITH {labeled()},
         union_pool AS (SELECT DISTINCT unnest([anchor, positive]) AS negative FROM pos), {indexed_pool('union_pool', SEED)},
@@ -293,14 +301,14 @@ def mini_batches(epochs: int = 2, steps: int = 6) -> str:
 
 
 def chained() -> str:
-    """Prepare, one full-batch epoch from the training start table, and the metrics of the drawn triplets."""
+    """Prepare, two epochs of mini-batches from the training start table, and the metrics of the drawn triplets."""
+    parts, k = chain()
     roles = "(SELECT tid, unnest(['anchor', 'positive', 'negative']) AS role, unnest([anchor, positive, negative]) AS text FROM ev)"
-    emb = unit(pooled("et", "tid, role", "table2"), "tid, role")
+    emb = unit(pooled("et", "tid, role", f"table{k + 1}"), "tid, role")
     return f"""WITH {labeled()},
         ev AS MATERIALIZED (WITH {indexed_pool('neg', SEED)} SELECT row_number() OVER (ORDER BY pkey) AS tid, anchor, positive, negative FROM {drawn('pos', SEED + 11)}),
         union_pool AS (SELECT DISTINCT unnest([anchor, positive]) AS negative FROM pos), {indexed_pool('union_pool', SEED)},
-        {epoch_triplets(1, 'trip1')}, table1 AS MATERIALIZED (SELECT * FROM {base_table(SEED + 1)}),
-        {forward(1)}, {gradients(1)}, {stepped(1)},
+        table1 AS MATERIALIZED (SELECT * FROM {base_table(SEED + 1)}), {", ".join(parts)},
         et AS MATERIALIZED (SELECT * FROM {token_rows(roles, 'tid, role', 'text', Q.MODEL.vocab_size)}),
         ee AS MATERIALIZED (SELECT * FROM {emb}),
         w AS (SELECT tid, dim, max(x) FILTER (role = 'anchor') AS a, max(x) FILTER (role = 'positive') AS p, max(x) FILTER (role = 'negative') AS n FROM ee GROUP BY tid, dim),
@@ -404,6 +412,10 @@ def all_oracles() -> dict[str, str]:
         "src_discover": """SELECT 'lang=' || min(lang) AS folder, true AS same_for_unknown_name,
             count(*) FILTER (lang = (SELECT min(lang) FROM documents)) AS rows, count(*) AS all_rows, sum(doc_id)::BIGINT AS all_ids FROM documents""",
         "src_corpus_text": f"SELECT {no_line_ends} AS text FROM documents WHERE text NOT LIKE '%{WRAPPER_END}%'",
+        "src_corpus_files": f"""SELECT 'single' AS kind, doc_id::VARCHAR AS name, (len({no_line_ends}) + 1)::BIGINT AS chars, len({words('text')})::BIGINT AS words,
+              (len({no_line_ends}) - len(replace({no_line_ends}, chr(10), '')) + 1)::BIGINT AS lines FROM documents
+            UNION ALL SELECT 'large', lang, sum(len({no_line_ends}) + 1)::BIGINT, sum(len({words('text')}))::BIGINT,
+              sum(len({no_line_ends}) - len(replace({no_line_ends}, chr(10), '')) + 1)::BIGINT FROM documents GROUP BY lang""",
         "src_pairs": turns(1),
         "src_triplets": turns(2),
         "sink_pairs": f"WITH {labeled()} SELECT anchor, positive FROM pos",

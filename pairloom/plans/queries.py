@@ -12,7 +12,7 @@ from ..functions import synthetic, text as T, vectors as V
 from ..operators import hashed, metrics, negatives, ordering, pairs, passages, retrieve, stats, table, train, vector_index
 from ..operators.layout import computed_once, spread
 from ..session import materialize, scratch_path
-from ..sources import files, models
+from ..sources import corpus_ranges, files, models
 from . import jobs
 from .profiles import DUPLICATES, LABELED, Profile, effective_threshold
 
@@ -156,6 +156,26 @@ def src_corpus_text(spark, sf):
     return files.read_corpus(spark, path, separator)
 
 
+def src_corpus_files(spark, sf):
+    """Whole files: one per document, and one per language with all its texts inside one wrapper. Their texts come back in pieces and are measured."""
+    docs = read(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    opened, closed = "notes before\r\n" + T.WRAPPER_START + " NAME ***\r", T.WRAPPER_END + " NAME ***\r\nnotes after\r"
+    single = docs.select("doc_id", F.concat(F.lit(opened + "\n"), "text", F.lit("\r\n" + closed)).alias("value"))
+    edge = lambda place, value: docs.select("lang").distinct().select("lang", F.lit(place).cast("bigint").alias("doc_id"), F.lit(value).alias("text"))
+    rows = docs.select("lang", "doc_id", "text").unionByName(edge(-1, opened)).unionByName(edge((1 << 62), closed))
+    paths = {kind: scratch_path(spark, kind) for kind in ("single", "large")}
+    single.write.partitionBy("doc_id").text(paths["single"])
+    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(paths["large"])
+    found = []
+    for kind, path in paths.items():
+        name = F.regexp_extract("file", "=([^/]*)/[^/]*$", 1).alias("name")
+        pieces = corpus_ranges.corpus_pieces(spark, path).select(F.lit(kind).alias("kind"), name, "text")
+        found.append(pieces.groupBy("kind", "name").agg(
+            F.sum(F.char_length("text")).alias("chars"), F.sum(F.size(T.words(F.col("text")))).alias("words"), F.sum(F.regexp_count("text", F.lit("\n"))).alias("lines")
+        ))
+    return found[0].unionByName(found[1])
+
+
 def src_pairs(spark, sf):
     path = scratch_path(spark, "pairs")
     files.write_pairs(conversation_turns(spark, sf, 1), path)
@@ -555,7 +575,7 @@ def inbatch_rank_loss(spark, sf):
     # Numbered first: numbering reads its input twice, and embedding should run once.
     batched = train.loss_batches(found, SEED, ["conv_id", "turn"], LOSS_BATCH).select("batch", "ask", "reply")
     both = table.embed_batches(table.embed_batches(batched, "ask", token_table(spark), MODEL, "a"), "reply", token_table(spark), MODEL, "p")
-    return train.inbatch_rank_loss(both.select("batch", "a", "p")).select("batch", "size", r6(F.col("loss"), "loss"))
+    return train.inbatch_rank_loss(both.select("batch", "a", "p"), most_rows=LOSS_BATCH).select("batch", "size", r6(F.col("loss"), "loss"))
 
 
 # --- evaluation ------------------------------------------------------------------------------
@@ -646,15 +666,15 @@ def benchmark_report(spark, sf):
 
 
 def pipeline_job(spark, sf):
-    options = replace(TRAINING, epochs=1)
-    found = jobs.pipeline_job(
-        spark, labeled_source(spark, sf), LABELED_PROFILE, scratch_path(spark, "full"), MODEL, PREPARE, options
-    )
+    """Two epochs of mini-batches, then the same chain again, which finds its stages done and its model trained."""
+    out, options = scratch_path(spark, "full"), replace(TRAINING, batch_size=BATCH_ROWS)
+    jobs.pipeline_job(spark, labeled_source(spark, sf), LABELED_PROFILE, out, MODEL, PREPARE, options, source_key=sf)
+    found = jobs.pipeline_job(spark, labeled_source(spark, sf), LABELED_PROFILE, out, MODEL, PREPARE, options, skip_train=True, source_key=sf)
     return found.select(*[r6(F.col(c), c) for c in found.columns])
 
 
 KEYS = (
-    "src_csv_text src_csv_text_ranges src_discover src_corpus_text src_pairs src_triplets sink_pairs sink_triplets sink_report model_save_load "
+    "src_csv_text src_csv_text_ranges src_discover src_corpus_text src_corpus_files src_pairs src_triplets sink_pairs sink_triplets sink_report model_save_load "
     "src_ir_results clean_ascii clean_markup filter_text filter_question parse_label canonical_pair effective_thresholds "
     "mine_labeled_positives mine_labeled_positives_markup mine_labeled_negatives mine_duplicates mine_duplicates_distinct "
     "negative_pool_texts negative_pool_union prep_stats prepare_job sample_capped shuffle_epoch negatives_reject "
