@@ -1,21 +1,26 @@
 """License notices by conditional compression.
 
-Blocks of text around cue words are compressed alone and with each template as a zstandard raw dictionary: the more of a template a
-block repeats, the more bytes the dictionary saves. The templates are ranked by the share of their own compressed size that is
-saved, and the best are confirmed by the words themselves: the template must align with the block with few words different; words once taken count for no other template.
-
-Defined cases: null and empty texts and texts without a cue give no row; repeated rows give their rows each time; equal savings are
-ranked by template name.
+Words that a notice cannot do without, taken from the templates given, say where to look: a notice may differ from its template in few words, so of one more than that
+many of the template's words at least one stands in it. Around these the words of a text make blocks, and long blocks are cut to pieces of bounded words that overlap by more
+than a notice. Each piece is compressed alone and with the template as a zstandard raw dictionary, with the same parameters: the more of the template it repeats, the more
+bytes the dictionary saves. All candidates of a text are ranked by the share of the template's own compressed size that is saved, and confirmed in that order by the words
+themselves: the template must align with the piece with few words different; words once taken count for no other notice. Savings rank and nothing more: no candidate
+is dropped for saving little, so the length of the text around a notice does not matter.
+
+Defined cases: null and empty texts and texts without such words give no row; repeated rows give their rows each time; equal savings are
+ranked by template name, then place. A template without words is refused.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -54,9 +59,11 @@ TEMPLATES = {
         "and/or other materials provided with the distribution."
     ),
 }
-CUE = re.compile(r"licen[cs]|copyright|redistribut|permission is|free software|warrant|spdx", re.IGNORECASE)
-REACH = 600
-LEAST_SHARE, MOST_CHANGED = 0.12, 0.15
+MOST_CHANGED = 0.15
+# A piece is so many times as long as the longest notice of its template; the next begins where a notice could still be cut.
+PIECE_NOTICES = 4
+# The same on both sides, whatever the size of a piece.
+_CODING = zstandard.ZstdCompressionParameters(window_log=17, chain_log=12, hash_log=12, search_log=4, min_match=4, strategy=zstandard.STRATEGY_LAZY)
 _WORD = re.compile(r"[\w.+-]*\w")
 
 
@@ -67,27 +74,78 @@ class Template:
     coder: zstandard.ZstdCompressor
     alone: int
 
+    @property
+    def limit(self) -> int:
+        """Words that may differ."""
+        return int(MOST_CHANGED * len(self.words))
+
+    @property
+    def span(self) -> int:
+        """Words that a notice and its surroundings in an alignment take at most."""
+        return len(self.words) + 2 * max(3, self.limit)
+
+    def cues(self) -> list[str]:
+        """Words of which at least one stands in every notice: one place of the template more than may differ, long words first."""
+        times = Counter(self.words)
+        out, places = [], 0
+        for word in sorted(times, key=lambda w: (-len(w), w)):
+            out.append(word)
+            places += times[word]
+            if places > self.limit:
+                break
+        return out
+
+
+@dataclass
+class Templates:
+    """Compiled templates, and the automaton of their cues: a cue's value is the numbers of its templates."""
+
+    templates: list[Template]
+    automaton: ahocorasick.Automaton
+
+    def cue_places(self, text: str) -> dict[int, list[int]]:
+        """Template number to the places in the lowered text where one of its cues may begin."""
+        found: dict[int, list[int]] = {}
+        for end, (size, numbers) in self.automaton.iter(text):
+            for n in numbers:
+                found.setdefault(n, []).append(end + 1 - size)
+        return found
+
 
-def compile_templates(templates: dict[str, str]) -> list[Template]:
-    plain, out = zstandard.ZstdCompressor(level=9), []
+def _plain_coder() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(compression_params=_CODING)
+
+
+def compile_templates(templates: dict[str, str]) -> Templates:
+    plain, out, numbers = _plain_coder(), [], {}
     for name, text in sorted(templates.items()):
         words = [w.lower() for w in _WORD.findall(text)]
+        if not words:
+            raise ValueError(f"template {name!r} has no words")
         raw = " ".join(words).encode()
         shared = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append(Template(name, words, zstandard.ZstdCompressor(level=9, dict_data=shared), len(plain.compress(raw))))
-    return out
-
-
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) around the cues, near ones joined; whole texts are searched."""
-    out: list[list[int]] = []
-    for cue in CUE.finditer(text):
-        low, top = max(0, cue.start() - REACH), min(len(text), cue.end() + REACH)
-        if out and low <= out[-1][1]:
-            out[-1][1] = top
+        out.append(Template(name, words, zstandard.ZstdCompressor(compression_params=_CODING, dict_data=shared), len(plain.compress(raw))))
+        for cue in out[-1].cues():
+            numbers.setdefault(cue, []).append(len(out) - 1)
+    automaton = ahocorasick.Automaton()
+    for cue, those in numbers.items():
+        automaton.add_word(cue, (len(cue), those))
+    if out:
+        automaton.make_automaton()
+    return Templates(out, automaton)
+
+
+def pieces(cues: list[int], template: Template, count: int) -> list[tuple[int, int]]:
+    """(first, last) words to look at: all that lie near enough to a cue, cut to bounded lengths that overlap by a notice."""
+    blocks: list[list[int]] = []
+    for at in sorted(cues):
+        low, top = max(0, at - template.span), min(count, at + template.span + 1)
+        if blocks and low <= blocks[-1][1]:
+            blocks[-1][1] = max(top, blocks[-1][1])
         else:
-            out.append([low, top])
-    return [(a, b) for a, b in out]
+            blocks.append([low, top])
+    most, step = PIECE_NOTICES * template.span, (PIECE_NOTICES - 1) * template.span
+    return [(a, min(a + most, top)) for low, top in blocks for a in range(low, max(low + 1, top - template.span), step)]
 
 
 def runs(template: list[str], words: list[str], least: int) -> list[tuple[int, int, int]]:
@@ -129,25 +187,35 @@ def aligned(template: list[str], words: list[str]) -> tuple[int, int, int] | Non
     return None
 
 
-def notices(text: str | None, templates: list[Template]) -> list[tuple[str, int, float, int, int, int]]:
-    """(license, bytes saved, share saved, words changed, start, stop) of the confirmed templates of each block."""
-    if not text:
+def notices(text: str | None, compiled: Templates) -> list[tuple[str, int, float, int, int, int]]:
+    """(license, bytes saved, share saved, words changed, start, stop) of the confirmed notices of a text."""
+    if not text or not compiled.templates:
         return []
-    plain, out = zstandard.ZstdCompressor(level=9), []
-    for low, top in blocks(text):
-        found = [(m.group().lower(), low + m.start(), low + m.end()) for m in _WORD.finditer(text[low:top])]
-        words = [w for w, _a, _b in found]
-        raw = " ".join(words).encode()
-        alone = len(plain.compress(raw))
-        ranked = sorted(((alone - len(t.coder.compress(raw))) / t.alone, t.name, t) for t in templates)[::-1]
-        for share, name, template in ranked:
-            if share < LEAST_SHARE:
-                continue
-            while (place := aligned(template.words, words)) is not None:
-                changed, first, last = place
-                out.append((name, round(share * template.alone), float(share), changed, found[first][1], found[last - 1][2]))
-                # A block may hold a notice again; words that are taken match nothing more.
-                words[first:last] = [""] * (last - first)
+    lowered = text.lower()
+    # Few characters become two in lower case; then places in the lowered text say nothing, and words are looked up one by one.
+    cues = compiled.cue_places(lowered) if len(lowered) == len(text) else None
+    if cues == {}:
+        return []
+    found = [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    words, starts = [w for w, _a, _b in found], [a for _w, a, _b in found]
+    plain, ranked, sizes = _plain_coder(), [], {}
+    for n, template in enumerate(compiled.templates):
+        wanted = set(template.cues())
+        # A cue inside a longer word is none.
+        at = range(len(words)) if cues is None else {bisect_right(starts, p) - 1 for p in cues.get(n, ())}
+        for low, top in pieces([i for i in at if i >= 0 and words[i] in wanted], template, len(words)):
+            raw = " ".join(words[low:top]).encode()
+            if (low, top) not in sizes:
+                sizes[low, top] = len(plain.compress(raw))
+            saved = sizes[low, top] - len(template.coder.compress(raw))
+            ranked.append((-saved / template.alone, template.name, low, top, saved, template))
+    out = []
+    for share, name, low, top, saved, template in sorted(ranked, key=lambda r: r[:4]):
+        # A piece may hold a notice again; words that are taken match nothing more.
+        while (place := aligned(template.words, words[low:top])) is not None:
+            changed, first, last = place
+            out.append((name, saved, float(-share), changed, found[low + first][1], found[low + last - 1][2]))
+            words[low + first : low + last] = [""] * (last - first)
     return out
 
 

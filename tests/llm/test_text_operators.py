@@ -170,13 +170,65 @@ def test_licenses_are_found_by_their_words(spark):
 @pytest.mark.parametrize("name", ["MIT", "Apache-2.0 header", "GPL-3.0 header"])
 def test_a_changed_notice_is_found_behind_a_fragment(name):
     compiled = licenses.compile_templates(licenses.TEMPLATES)
-    words = next(t.words for t in compiled if t.name == name)
+    words = next(t.words for t in compiled.templates if t.name == name)
     notice = [f"other{k}" if k % 9 == 4 else w for k, w in enumerate(words)]
     text = " ".join([*words[:20], *["calm"] * 30, *notice, *["calm"] * 30, *words[-20:]])
     found = [n for n in licenses.notices(text, compiled) if n[0] == name]
     assert [(n[3], text[n[4] : n[5]]) for n in found] == [(sum(a != b for a, b in zip(words, notice)), " ".join(notice))]
 
 
+def planted(template, rng, share):
+    """Words of a notice with some of them, never the first or last, replaced."""
+    words = list(template.words)
+    for k in rng.choice(np.arange(1, len(words) - 1), int(share * len(words)), replace=False) if len(words) > 3 else []:
+        words[k] = f"other{k}"
+    return words
+
+
+@pytest.mark.parametrize("around", [0, 20, 300, 1000, 3000, 20_000])
+def test_no_notice_is_lost_in_long_texts(around):
+    compiled = licenses.compile_templates(licenses.TEMPLATES)
+    rng = np.random.default_rng(around)
+    for template in compiled.templates:
+        notice = planted(template, rng, 0.1)
+        # A cue word every 60 words makes one block of the whole text.
+        filler = [f"w{rng.integers(400)}" if k % 60 else "license" for k in range(2 * around)]
+        text = " ".join([*filler[:around], *notice, *filler[around:]])
+        found = [n for n in licenses.notices(text, compiled) if n[0] == template.name]
+        assert [text[n[4] : n[5]] for n in found] == [" ".join(notice)], (template.name, around)
+
+
+def test_notices_are_those_of_every_template_at_every_place():
+    """Replaced words only, so a place can be judged by comparing word for word."""
+    compiled = licenses.compile_templates({"a": "one two three four five six seven", "b": "alpha beta gamma", "c": " ".join(f"t{k}" for k in range(40))})
+    rng = np.random.default_rng(6)
+    for round_ in range(30):
+        words = [str(rng.choice(["x", "y", "one", "two", "beta", "t3", "t9"])) for _ in range(200)]
+        for at in rng.choice(np.arange(0, 150, 50), 2, replace=False):
+            template = compiled.templates[rng.integers(3)]
+            words[at : at + len(template.words)] = planted(template, rng, 0.1)
+        want = {
+            (t.name, i) for t in compiled.templates for i in range(len(words) - len(t.words) + 1)
+            if sum(x != y for x, y in zip(t.words, words[i:])) <= t.limit
+        }
+        text = " ".join(words)
+        got = {(n[0], len(text[: n[4]].split())) for n in licenses.notices(text, compiled)}
+        # A notice may be found a word later or earlier where its own first or last word is among those that differ.
+        assert {n for n, _i in got} == {n for n, _i in want} and all(any(n == m and abs(i - j) <= 6 for m, j in got) for n, i in want), round_
+
+
+def test_ties_are_ranked_by_name_and_other_cases_hold(spark):
+    same = {"zeta": "a notice of equal words", "beta": "a notice of equal words"}
+    assert [n[0] for n in licenses.notices("x A notice of equal words y", licenses.compile_templates(same))] == ["beta"]
+    own = {"own": "All rights reserved by the publisher", "turkish": "\u0130zmir lisans metni burada"}
+    rows = [(1, "So: all rights RESERVED by the publisher."), (1, "So: all rights RESERVED by the publisher."), (2, "\u0130zmir lisans metni burada"), (3, "\u0130 all rights reserved by the publisher")]
+    got = licenses.scan(frame(spark, rows), own).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "own"), (1, "own"), (2, "turkish"), (3, "own")]
+    assert licenses.scan(frame(spark, rows), {}).count() == 0
+    with pytest.raises(ValueError):
+        licenses.compile_templates({"none": " ?! "})
+
+
 def test_network_gradient_equals_differences():
     net = toxicity.train(["good day to you all", "bad awful day"] * 4, [0, 1] * 4, 0.5, epochs=1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
