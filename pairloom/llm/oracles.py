@@ -123,7 +123,7 @@ def _op1() -> str:
     from . import url_filter as u
 
     fits = []
-    for verdict, rule in sorted(u.RULES, key=lambda r: (-len(r[1]), r[1])):
+    for verdict, rule in u.ranked_rules(u.RULES):
         domain, _, rest = rule.partition("/")
         fits.append((f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '/{rest}')", rule, verdict))
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
@@ -135,7 +135,7 @@ WITH p AS MATERIALIZED (
   SELECT page_id, {fold(f"coalesce(regexp_extract(url, {url}, 1, 's'), '')")} AS host, coalesce(regexp_extract(url, {url}, 2, 's'), '') AS path, html FROM pages),
 j AS MATERIALIZED (SELECT page_id, host, path, {case(1)} AS rule, {case(2)} AS by_rule FROM p),
 h AS MATERIALIZED (SELECT host, count(*) AS n, count(*) FILTER (by_rule = 'allow') AS allowed, count(*) FILTER (by_rule = 'block') AS blocked FROM j GROUP BY host),
-l AS (SELECT host AS src, {fold("unnest(list_distinct(regexp_extract_all(html, '" + link + "', 1)))")} AS dst FROM p),
+l AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{link}', 1), lambda x: {fold("x")}))) AS dst FROM p),
 l2 AS (SELECT src, dst, count(*) AS w FROM l WHERE src <> '' AND src <> dst GROUP BY src, dst),
 t AS (SELECT c.src, c.dst, 1 AS w FROM (SELECT host AS src, regexp_extract(host, '^[^.]+\\.(.+)$', 1) AS dst FROM h WHERE host <> '') c JOIN h ON h.host = c.dst WHERE h.host <> ''),
 e AS (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT * FROM l2 UNION ALL SELECT * FROM t UNION ALL SELECT dst, src, w FROM t) GROUP BY src, dst),

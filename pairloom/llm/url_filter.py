@@ -8,7 +8,8 @@ Only DataFrame functions are used. Masses are whole numbers below 2^53 held as d
 and every run, and the SQL, gives the same bits. Nothing is collected; each few rounds the masses are written.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; null or empty html has
-no links; repeated pages count each time; without seeds all masses are zero and the method allows.
+no links; a page that names a host in several spellings or places counts once; repeated pages count each time; of rules of equal length that fit, the one
+whose string is smaller counts; without seeds all masses are zero and the method allows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 ROUNDS, DAMPING, TOTAL_MASS = 20, 0.85, 4.0e15
 _WRITE_EVERY = 5
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s>:]+)"""
+# A link's host is read like a page's: up to a path, query or fragment, with its port and user part if it has any.
+LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,13 +37,18 @@ def path_of(url: Column) -> Column:
 
 
 def best_rule(host: Column, path: Column, rules=RULES) -> Column:
-    """Struct (size, rule, verdict) of the longest rule that fits, or null."""
+    """Struct (rule, verdict) of the first rule that fits in the order of ``ranked_rules``, or null."""
     fits = []
-    for verdict, rule in rules:
+    for verdict, rule in ranked_rules(rules):
         domain, _, rest = rule.partition("/")
         on = ((host == domain) | host.endswith("." + domain)) & path.startswith("/" + rest)
-        fits.append(F.when(on, F.struct(F.lit(len(rule)).alias("size"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
-    return F.greatest(*fits, F.lit(None).cast("struct<size:int,rule:string,verdict:string>"))
+        fits.append(F.when(on, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
+    return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>"))
+
+
+def ranked_rules(rules) -> list[tuple[str, str]]:
+    """(verdict, rule), the longest first; equally long ones in the order of their strings, a rule with both verdicts allows."""
+    return sorted(rules, key=lambda r: (-len(r[1]), r[1], r[0]))
 
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -53,8 +60,9 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """(src, dst, w): pages of src that link to dst, plus one for a host and its parent domain, both ways."""
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("link"))
-    linked = links.groupBy("src", F.translate("link", _UPPER, _LOWER).alias("dst")).agg(F.count("*").alias("w")).where("src <> '' and src <> dst")
+    hosts_of = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: F.translate(x, _UPPER, _LOWER)))
+    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(hosts_of).alias("dst"))
+    linked = links.groupBy("src", "dst").agg(F.count("*").alias("w")).where("src <> '' and src <> dst")
     child = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("dst")).where("src <> ''")
     tied = child.join(hosts.select(F.col("host").alias("dst")).where("host <> ''"), "dst").select("src", "dst", F.lit(1).cast("bigint").alias("w"))
     both = linked.unionByName(tied).unionByName(tied.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))

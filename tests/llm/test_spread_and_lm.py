@@ -40,6 +40,22 @@ def test_distrust_flows_back_to_those_who_link_to_blocked_hosts(spark):
     assert url_filter.verdicts(pages.limit(0)).count() == 0
 
 
+def test_links_keep_ports_and_users_and_count_a_host_once_a_page(spark):
+    html = '<a href="//a.com:8080/x"> <a href="http://A.com:8080/y"> <a href="//u:p@b.com/"> <img src=https://c.io?z> <a href="//c.io">'
+    urls = ["http://x.io/", "http://a.com:8080/", "http://u:p@b.com/q", "http://c.io/"]
+    pages = spark.createDataFrame([(i, u, html if i == 0 else None) for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    hosts = url_filter.judged(pages).select("host").distinct()
+    got = {(r.src, r.dst): r.w for r in url_filter.host_edges(pages, hosts).collect()}
+    assert got == {("x.io", "a.com:8080"): 1.0, ("x.io", "u:p@b.com"): 1.0, ("x.io", "c.io"): 1.0}
+
+
+def test_rules_of_equal_length_are_ordered_by_their_string(spark):
+    rules = (("block", "x.com/"), ("allow", "com/a/"), ("block", "com/a/"), ("block", "a/"))
+    pages = spark.createDataFrame([(1, "http://x.com/a/"), (2, "http://x.com/b"), (3, "http://y.com/a/"), (4, "http://a/b")], "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.by_rule) for r in url_filter.judged(pages, rules).collect()}
+    assert got == {1: ("com/a/", "allow"), 2: ("x.com/", "block"), 3: ("com/a/", "allow"), 4: ("a/", "block")}
+
+
 def plain_model(texts, order=5):
     """Direct modified Kneser-Ney over bytes, one dictionary per order."""
     counts = {order: Counter()}
