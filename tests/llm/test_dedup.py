@@ -142,4 +142,45 @@ def test_factors_name_their_source(spark):
     rng = np.random.default_rng(9)
     a, b = prose(rng, 20), prose(rng, 15)
     got = substring_dedup.duplicate_spans(frame(spark, [a, b, f"x {b} y y {a}"])).where("doc_id = 2").first().factors
-    assert [tuple(f) for f in got] == [(1, 15, 1), (18, 20, 0)]
+    assert [tuple(f) for f in got] == [(1, 15, 1, 0), (18, 20, 0, 0)]
+
+
+def parse_plain(rows, window=13):
+    """Factors of each document, taken left to right along the first places of its windows."""
+    words = {i: WORD.findall(t or "") for i, t in rows}
+    first = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - window + 1):
+            first.setdefault(tuple(words[i][k : k + window]), (i, k))
+    out = {}
+    for i, own in words.items():
+        place = [first[tuple(own[k : k + window])] for k in range(len(own) - window + 1)]
+        out[i], k, end = [], 0, 0
+        while k < len(place):
+            if place[k][0] >= i:
+                k += 1
+                continue
+            size = 1
+            while k + size < len(place) and place[k + size] == (place[k][0], place[k][1] + size):
+                size += 1
+            taken = max(0, end - k)
+            out[i].append((k + taken, size - 1 + window - taken, place[k][0], place[k][1] + taken))
+            k, end = k + size, k + size - 1 + window
+    return words, out
+
+
+@pytest.mark.parametrize("blocks", [3_000_000, 200])
+def test_factors_are_a_greedy_parse_and_copies_word_for_word(spark, blocks):
+    rng = np.random.default_rng(14)
+    shared = [prose(rng, n) for n in (13, 16, 40, 90)]
+    rows = [(int(i), " ".join([prose(rng, int(rng.integers(0, 9))), shared[rng.integers(4)], shared[rng.integers(4)], prose(rng, 3), shared[rng.integers(4)]])) for i in rng.permutation(70)]
+    long = rows[5][1].split() * 2000
+    rows += [(200, " ".join(long)), (201, "b " * 40), (202, "x " + "b " * 30), (203, shared[2][: len(shared[2]) // 2] + " z " + shared[3])]
+    words, want = parse_plain(rows)
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in substring_dedup.duplicate_spans(frame(spark, rows).repartition(5), block_windows=blocks).collect()}
+    assert got == want and sum(map(len, want.values())) > 100
+    for i, parsed in got.items():
+        end = 0
+        for start, size, source, there in parsed:
+            assert source < i and start >= end and words[i][start : start + size] == words[source][there : there + size]
+            end = start + size
