@@ -27,6 +27,10 @@ from . import common
 ORDER = 5
 QUANTILE = 0.99
 SHARD_BYTES = 32 << 20
+# Texts whose questions to one shard meet in one task; a frequent context's questions are split so.
+PART_BYTES = 64 << 30
+# A shard is a set of two-byte contexts; more shards than these hold nothing.
+CONTEXTS = 1 << 16
 SCALE = 10_000
 _PAD = 10
 
@@ -212,6 +216,8 @@ def summed(shards: int):
     """Cogroup function: bits per byte of each document of a batch from the answers of all shards."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            raise RuntimeError("a batch was read in two different ways; write the input table first")
         out = []
         answers = {k: logs for k, logs in zip(right.column("shard").to_pylist(), right.column("logs").to_pylist())}
         for blob in left.column("packed").to_pylist():
@@ -233,12 +239,16 @@ def summed(shards: int):
     return run
 
 
-def scored(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, lang, trusted, bits): bits per byte of every document under the model of the trusted ones."""
+def scored(docs: DataFrame, trusted: DataFrame, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, lang, trusted, bits): bits per byte of every document under the model of the trusted ones.
+
+    The batches' questions to a shard are dealt to parts by batch, each of which meets a copy of the shard's model.
+    """
     ids = trusted.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     source = common.small_join(columns, ids, ["doc_id"], ids.count(), 16).withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    shards = min(4096, common.parts_for(common.text_bytes(columns), SHARD_BYTES))
+    size = common.text_bytes(columns)
+    shards, parts = min(CONTEXTS, common.parts_for(size, shard_bytes)), max(1, -(-size // part_bytes))
     counts = common.map_arrow(source.where("trusted").select("text"), counted(shards), "shard int, keys binary, counts binary")
     model = common.written(
         counts.groupBy("shard").applyInArrow(merged, "shard int, keys binary, counts binary, seen array<array<bigint>>, pairs array<bigint>, before array<bigint>"), "lm-shards"
@@ -249,7 +259,9 @@ def scored(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     pairs = model.select(F.inline(F.arrays_zip("pairs", "before"))).groupBy("pairs").agg(F.sum("before").alias("n")).collect()
     table = lowest(np.array([r.pairs for r in pairs], np.int64), np.array([r.n for r in pairs], np.int64))
     asked = common.map_arrow(source.select("doc_id", "text"), asked_grams(shards), "shard int, batch binary, keys binary")
-    answers = asked.groupBy("shard").cogroup(model.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(answered(table, cuts), "batch binary, shard int, logs binary")
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(parts)).cast("int")).groupBy("shard", "part")
+    copies = model.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "keys", "counts").groupBy("shard", "part")
+    answers = dealt.cogroup(copies).applyInArrow(answered(table, cuts), "batch binary, shard int, logs binary")
     blobs = common.map_arrow(source, held, "batch binary, packed binary")
     return blobs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(summed(shards), "doc_id bigint, lang string, trusted boolean, bits double")
 

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pairloom.llm import oracles, quality_lm, queries, url_filter
+from pairloom.llm import quality_lm, queries, url_filter
 from tests.check_oracles import compare, connect
 from tests.llm.helpers import SCHEMA, fold, frame, prose, with_clashes
 
@@ -100,6 +100,18 @@ def test_perplexity_equals_a_plain_model(spark):
     assert all(a == b or abs(a - b) < 1e-4 for (_, a), (_, b) in zip(found, sorted(want, key=str)))
 
 
+def test_questions_split_by_batch_give_the_same_scores(spark, tmp_path):
+    """All texts share most contexts, so one shard gets nearly all questions."""
+    rng = np.random.default_rng(5)
+    docs = frame(spark, [(i, "the then " * 5 + prose(rng, 20, 30) if i % 3 else "the the the the") for i in range(60)])
+    docs.repartition(8).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    trusted = spark.createDataFrame([(i,) for i in range(30)], "doc_id bigint")
+    whole = {r.doc_id: r.bits for r in quality_lm.scored(docs, trusted).collect()}
+    for settings in ({"part_bytes": 500}, {"part_bytes": 3000, "shard_bytes": 100}):
+        assert {r.doc_id: r.bits for r in quality_lm.scored(docs, trusted, **settings).collect()} == pytest.approx(whole, abs=1e-6)
+
+
 def test_limits_are_quantiles_of_trusted_text(spark):
     rows = [("en", True, b / 100) for b in range(1, 101)] + [("fr", False, 9.0), (None, True, 2.0), ("en", False, 7.0), ("en", True, None)]
     got = {(r.every, r.lang): r.limit for r in quality_lm.thresholds(spark.createDataFrame(rows, "lang string, trusted boolean, bits double"), 0.9).collect()}
@@ -117,7 +129,7 @@ def test_judged_rows(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", list(oracles.SQL))
+@pytest.mark.parametrize("name", list(queries.all_oracles()))
 def test_query_equals_sql(spark, name):
     got = queries.all_queries()[name](spark, SF).toPandas()
-    assert compare(got, connect(SF).execute(oracles.SQL[name]).df()) is None
+    assert compare(got, connect(SF).execute(queries.all_oracles()[name]).df()) is None
