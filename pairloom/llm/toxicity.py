@@ -2,8 +2,8 @@
 
 The same layer is used twice. Over characters it turns the spelling of each distinct word into a vector; over words it
 reads, for every window of 32 words (a new one each 24 words, the whole text covered), that vector next to a word
-embedding. Attention pools the states of a window, a logistic unit scores it, and a document's score is the
-softmax-weighted mean of its windows' logits, so one bad window decides.
+embedding. Attention pools the states of a window, a logistic unit scores it, and a document's score comes from the
+softmax-weighted mean of its windows' logits: bad windows weigh more than clean ones, but a very long text of clean windows can outvote one.
 
 Training is numpy on the driver over a sample whose size is fixed by ``SAMPLE_TOXIC``, ``SAMPLE_CLEAN`` and
 ``SAMPLE_CHARS``; scoring is one narrow pass over all rows and whole texts.
