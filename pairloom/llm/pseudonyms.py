@@ -3,7 +3,8 @@
 What a pattern finds is validated (check digits, calendar, ranges) and then permuted inside its own format by a keyed Feistel
 network over exactly the values of that format: a card number becomes another valid card number of the same length, a
 date another date written the same way. A permutation gives equal values equal pseudonyms in all documents and
-different values different ones, and the holder of the key can undo it. Separators and the text around stay.
+different values different ones, and the holder of the key can undo it. Separators and the text around stay. The spellings of a mail address in capitals and
+small letters get one pseudonym, each in its own spelling. Phone numbers are those with a country code; national forms are left alone.
 
 Defined cases: null stays null and counts nothing; text without a valid value stays as it is; of overlapping
 finds the leftmost counts; what looks like a value but fails its validation is left alone. Where the longest find fails, its shorter
@@ -41,7 +42,7 @@ _PATTERNS = {
 _FINDER = re.compile("|".join(f"(?P<{k}>{_PATTERNS[k]})" for k in KINDS))
 _ALONE = {k: re.compile(_PATTERNS[k]) for k in ("iban", "phone", "card")}
 _BORDER = re.compile(r"(?<=\w)[ .-]")
-_HINT = re.compile(r"[0-9@]")
+_HINT = re.compile(r"[0-9@]|[a-f]{32}|[A-F]{32}")
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _DIGITS, _LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 
@@ -133,7 +134,7 @@ class Pseudonyms:
 
     def email(self, text: str) -> str | None:
         local, _, domain = text.partition("@")
-        return self._mixed(local.lower(), "email") + "@" + domain
+        return self._mixed(local, "email") + "@" + domain
 
     def iban(self, text: str) -> str | None:
         plain = text.replace(" ", "")
@@ -191,9 +192,15 @@ class Pseudonyms:
         return _fill(text, body + luhn_digit(body))
 
     def secret(self, text: str) -> str | None:
-        value = self.feistel.permute(int(text, 16), 16 ** len(text), f"secret{len(text)}", self.undo)
-        new = f"{value:x}".zfill(len(text))
-        return new.upper() if text.isupper() else new
+        if text.isdigit():
+            return self._number(text, "secret")
+        value = int(text, 16)
+        while True:
+            # Walked on until it has a letter again, as a string of digits alone is another format.
+            value = self.feistel.permute(value, 16 ** len(text), f"secret{len(text)}", self.undo)
+            new = f"{value:x}".zfill(len(text))
+            if not new.isdigit():
+                return new.upper() if text.isupper() else new
 
     def _of(self, kind: str, text: str) -> str | None:
         at = (kind, text)

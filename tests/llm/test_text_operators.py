@@ -149,6 +149,20 @@ def test_pseudonym_rows(spark):
     assert pseudonyms.report(docs.limit(0), b"k").count() == 0
 
 
+def test_spellings_of_mail_and_secrets_keep_their_format_and_are_undone():
+    made, undo = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", undo=True)
+    a, b = made.replace("Jo.Smith+X1@Example.com")[0], made.replace("jo.smith+x1@Example.com")[0]
+    assert a != b and a.lower() == b.lower() and [c.isupper() for c in a] == [c.isupper() for c in "Jo.Smith+X1@Example.com"]
+    rng = np.random.default_rng(1)
+    texts = ["Jo.Smith+X1@Example.com", "ALL.CAPS@x.org", "9" * 32, "0123456789" * 4, "deadbeef" * 4, "DEADBEEF" * 8, "0" * 31 + "a"]
+    texts += ["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(50)]
+    seen = {}
+    for text in texts:
+        new = made.replace(text)[0]
+        assert undo.replace(new)[0] == text and new != text and seen.setdefault(new, text) == text
+        assert new.isdigit() == text.isdigit() and new.isupper() == text.isupper() and len(new) == len(text)
+
+
 def test_licenses_are_found_by_their_words(spark):
     rng = np.random.default_rng(2)
     rows = []
