@@ -17,20 +17,17 @@ import pyarrow.compute as pc
 from ..functions.text import ODD_SPACES
 
 _ODD_CLASS = f"[{ODD_SPACES}]"
-# Bytes that begin whitespace beyond ASCII; where none stands no text needs the pattern.
-_ODD_LEAD = np.zeros(256, dtype=bool)
-_ODD_LEAD[[c.encode()[0] for c in ODD_SPACES if c > "\x7f"]] = True
+# Bytes that begin whitespace other than the plain space; where none stands texts split at spaces.
+_ODD_LEADS = sorted({c.encode()[:1] for c in ODD_SPACES})
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *[ord(c) for c in ODD_SPACES if c <= "\x7f"]]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
 # md5's first words, its turns by round and its additive words.
 _MD5_BEGIN = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 _MD5_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
 _MD5_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
 # A text of so many bytes and its length mark fill one block; so many texts stay in the processor cache.
 _ONE_BLOCK = 55
-_MD5_ROWS = 4096
+_MD5_ROWS = 16_384
 
 
 @dataclass(frozen=True)
@@ -54,26 +51,37 @@ class TokenBatch:
 def split_tokens(texts: pa.Array, lower: bool = False) -> TokenBatch:
     """Non-empty tokens between Unicode whitespace; ``lower`` folds ASCII capitals."""
     column = pc.fill_null(texts, "").cast(pa.large_string())
+    column = pc.ascii_lower(column) if lower else column
     raw, edges = _text_bytes(column)
-    if _ODD_LEAD[raw[raw >= 0x80]].any():
-        raw, edges = _text_bytes(pc.replace_substring_regex(column, _ODD_CLASS, " "))
+    content = raw.tobytes()
+    if any(content.find(lead) >= 0 for lead in _ODD_LEADS):
+        column = pc.replace_substring_regex(column, _ODD_CLASS, " ") if raw.max() >= 0x80 else column
+        return _split_bytes(*_text_bytes(column))
+    lists = pc.split_pattern(column, " ")
+    coded = lists.flatten().dictionary_encode()
+    codes, edges = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    edges = edges - edges[0]
+    empty = pc.index(coded.dictionary, pa.scalar("", pa.large_string())).as_py()
+    if empty >= 0:
+        keep = codes != empty
+        codes, edges = codes[keep], np.concatenate([[0], np.cumsum(keep)])[edges]
+    return TokenBatch(coded.dictionary.cast(pa.string()), codes, edges)
+
+
+def _split_bytes(raw: np.ndarray, edges: np.ndarray) -> TokenBatch:
+    """Tokens between ASCII whitespace of texts that lie side by side."""
     inside = ~_SPACE[raw]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
-    # Texts lie side by side; a token ends with its text.
+    # A token ends with its text.
     borders = edges[1:-1][(edges[1:-1] > 0) & (edges[1:-1] < len(raw))]
     opens[borders] = inside[borders]
     closes[borders - 1] = inside[borders - 1]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    spelled = raw[inside]
-    spelled = _LOWER[spelled] if lower else spelled
-    # 32-bit places hash faster and hold any batch that Spark sends.
-    wide = len(spelled) >= 1 << 31
-    kind, array = (np.int64, pa.LargeStringArray) if wide else (np.int32, pa.StringArray)
-    places = np.zeros(len(starts) + 1, dtype=kind)
+    places = np.zeros(len(starts) + 1, dtype=np.int64)
     np.cumsum(ends - starts, out=places[1:])
-    coded = array.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(spelled)).dictionary_encode()
+    coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(raw[inside])).dictionary_encode()
     return TokenBatch(coded.dictionary.cast(pa.string()), coded.indices.to_numpy(), np.searchsorted(starts, edges))
 
 
@@ -105,9 +113,14 @@ def _md5_heads(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     """First eight digest bytes of texts that fill one block each, all rows of a round at once (RFC 1321)."""
     rows = len(starts)
     block = np.zeros((rows, 64), dtype=np.uint8)
-    row = np.repeat(np.arange(rows), lengths)
-    within = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    block[row, within] = raw[starts[row] + within]
+    if int(lengths.sum()) == int(starts[-1] + lengths[-1] - starts[0]):
+        # Texts that lie side by side, as in nearly all vocabularies.
+        at = np.arange(int(lengths.sum())) + np.repeat(np.arange(rows) * 64 - (starts - starts[0]), lengths)
+        block.reshape(-1)[at] = raw[starts[0] : starts[0] + len(at)]
+    else:
+        row = np.repeat(np.arange(rows), lengths)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        block[row, within] = raw[starts[row] + within]
     block[np.arange(rows), lengths] = 0x80
     block[:, 56:58] = (lengths * 8).astype("<u2").view(np.uint8).reshape(rows, 2)
     message = np.ascontiguousarray(block.view("<u4").T)
