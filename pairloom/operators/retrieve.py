@@ -127,10 +127,6 @@ def _block(table: pa.Table, keys: Sequence[str], payload: str, coding: Encoding)
     return [table.column(c).to_numpy().astype(np.int64) for c in keys], matrix
 
 
-def _parts(rows: int, coding: Encoding) -> int:
-    return max(1, -(-rows * coding.dim * 8 // HELD_BLOCK_BYTES))
-
-
 def payload_matrix(table: pa.Table, payload: str, coding: Encoding) -> np.ndarray:
     """The rows of a bounded table as points."""
     column = table.column(payload).combine_chunks()
@@ -187,11 +183,14 @@ def top_k(
     held, stream = held.select(*held_keys, payload), stream.select(*stream_keys, payload)
     spark = queries.sparkSession
     ship_package(spark)
-    if _parts(held.count(), coding) > 1:
+    # One block and one row more tell whether the side is larger than a block.
+    most = max(1, HELD_BLOCK_BYTES // (coding.dim * 8))
+    rows = held.limit(most + 1).toArrow().combine_chunks()
+    if rows.num_rows > most:
         from . import vector_index
 
         return vector_index.search(vector_index.build(corpus, corpus_keys, payload, coding), queries, query_key, k, skip_self)
-    block = _block(held.toArrow().combine_chunks(), held_keys, payload, coding)
+    block = _block(rows, held_keys, payload, coding)
     scan = _scan(spark.sparkContext.broadcast(block), coding, k, hold == "queries", skip_self, names)
     schema = _found_schema(names)
     found = stream.mapInArrow(scan, schema) if len(block[1]) else spark.createDataFrame([], schema)
