@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .tokens import hash60, list_array, split_tokens, unit_rows
+from .tokens import hash60, list_array, split_tokens, text_slices, unit_rows
 
 DEFAULT_DIM = 512
 # Rows turned into a matrix at a time: 256 x 512 doubles stay in the processor cache.
@@ -60,7 +60,7 @@ def hash_embed(df: DataFrame, text: str, dim: int = DEFAULT_DIM, name: str = "em
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in text_slices(b, [place])):
             start = 0
             for weights in hashed_weights(batch.column(place), dim):
                 part = batch.slice(start, len(weights))

@@ -19,13 +19,14 @@ from ..functions.hashing import unit_draw
 from ..functions.text import NOT_WHITE
 from ..session import ship_package
 from .layout import BROADCAST_LIMIT_BYTES, broadcast_within
-from .tokens import TokenBatch, hash60, list_array, split_tokens, unit_rows
+from .tokens import TokenBatch, hash60, list_array, split_tokens, text_slices, unit_rows
 
 PAD_ID = 0
 UNKNOWN_ID = 1
 INIT_SCALE = 0.05
 # Up to this many dimensions a sum per dimension stays within generated code.
 _PLAIN_SUM_DIMS = 64
+_COUNTS = T.ArrayType(T.StructType([T.StructField("token_id", T.IntegerType()), T.StructField("count", T.IntegerType())]))
 # Token rows gathered at a time in batch scoring: 4,096 x 512 doubles are 16 MB.
 SLICE_TOKENS = 4096
 
@@ -57,19 +58,25 @@ def batch_ids(texts: pa.Array, config: ModelConfig) -> TokenBatch:
     return TokenBatch(batch.vocabulary, ids[batch.codes], batch.edges)
 
 
-def with_ids(df: DataFrame, columns: dict[str, str], config: ModelConfig) -> DataFrame:
-    """Append an array of token ids per text column; ``columns`` maps new names to texts."""
+def with_ids(df: DataFrame, columns: dict[str, str], config: ModelConfig, keep: Sequence[str] | None = None) -> DataFrame:
+    """Append an array of token ids per text column; ``columns`` maps new names to texts.
+
+    ``keep`` names the columns that come back, all by default: a text nobody reads again need not travel.
+    """
     ship_package(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in columns]])
+    kept = df.columns if keep is None else list(keep)
+    # Only what is kept, and the texts, goes to Python.
+    df = df.select(*kept, *[c for c in dict.fromkeys(columns.values()) if c not in kept])
+    schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in columns]])
     places = [df.columns.index(c) for c in columns.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in text_slices(b, places)):
             added = []
             for place in places:
                 found = batch_ids(batch.column(place), config)
                 added.append(pa.ListArray.from_arrays(pa.array(found.edges.astype(np.int32)), pa.array(found.codes)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
 
@@ -77,7 +84,7 @@ def with_ids(df: DataFrame, columns: dict[str, str], config: ModelConfig) -> Dat
 def token_ids(df: DataFrame, text: str, config: ModelConfig) -> DataFrame:
     """One row per token position with its id."""
     others = [c for c in df.columns if c != text]
-    exploded = with_ids(df, {"_ids": text}, config).select(*others, F.posexplode("_ids").alias("position", "token_id"))
+    exploded = with_ids(df, {"_ids": text}, config, others).select(*others, F.posexplode("_ids").alias("position", "token_id"))
     return exploded.withColumn("token_id", F.col("token_id").cast("bigint"))
 
 
@@ -89,14 +96,37 @@ def count_ids(placed: DataFrame, keys: Sequence[str], ids: str) -> DataFrame:
 
 
 def token_counts(df: DataFrame, keys: Sequence[str], text: str, config: ModelConfig) -> DataFrame:
-    """(keys, length, token_id, count) rows.
+    """(keys, length, token_id, count) rows; a token stands once per text.
 
-    Texts become id arrays where they are read and are then placed by their first key, which must
-    spread the rows. Token rows are counted, joined and pooled where they arise: what moves is one
-    compact array per text and never a row per token.
+    Texts become arrays of their distinct ids, counted where they are read, and are then placed by their first key, which must
+    spread the rows. What moves is one compact array per text and never a row per token, and no table of all tokens of a
+    partition is kept to count them.
     """
-    placed = with_ids(df.select(*keys, text), {"_ids": text}, config).select(*keys, "_ids")
-    return count_ids(placed.repartition(keys[0]), keys, "_ids")
+    ship_package(df.sparkSession)
+    kept = df.select(*keys, text)
+    schema = T.StructType([*[kept.schema[c] for c in keys], T.StructField("length", T.IntegerType()), T.StructField("_counts", _COUNTS)])
+    place = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in text_slices(b, [place])):
+            found = batch_ids(batch.column(place), config)
+            lengths = np.diff(found.edges)
+            row, ids, times = _counted(found.codes, lengths, config.vocab_size)
+            edges = np.searchsorted(row, np.arange(len(lengths) + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(ids), pa.array(times)], names=["token_id", "count"])
+            columns = [*batch.columns[:place], pa.array(lengths.astype(np.int32)), pa.ListArray.from_arrays(pa.array(edges), pairs)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+
+    placed = kept.mapInArrow(run, schema).repartition(keys[0])
+    tokens = placed.select(*keys, "length", F.explode("_counts").alias("_c"))
+    return tokens.select(*keys, "length", F.col("_c.token_id").cast("bigint").alias("token_id"), F.col("_c.count").cast("bigint").alias("count"))
+
+
+def _counted(ids: np.ndarray, lengths: np.ndarray, vocab_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, times) of the distinct ids of each row, rows in order."""
+    row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+    used, times = np.unique(row * vocab_size + ids, return_counts=True)
+    return used // vocab_size, (used % vocab_size).astype(np.int32), times.astype(np.int32)
 
 
 def init_token_table(spark: SparkSession, config: ModelConfig, seed: int) -> DataFrame:
@@ -148,6 +178,13 @@ def masked_mean_pool(df: DataFrame, keys: Sequence[str], mask: str, dim: int, co
     """
     use = F.when(F.col(mask) > 0, F.col(count).cast("double") if count else F.lit(1.0)).otherwise(0.0)
     live = df.withColumn("_live", use)
+    if dim <= _PLAIN_SUM_DIMS:
+        # Plain sums stay in generated code and in one small row per key; an aggregate of vectors sorts and spills a row per token.
+        used = lambda i: F.when(F.col("_live") > 0, F.col("vec")[i] * F.col("_live")).otherwise(0.0)
+        found = live.groupBy(*keys).agg(F.sum("_live").alias("_n"), *[F.sum(used(i)).alias(f"_s{i}") for i in range(dim)])
+        sums = F.array(*[F.col(f"_s{i}") for i in range(dim)])
+        mean = F.when(F.col("_n") > 0, V.scale(sums, 1.0 / F.col("_n"))).otherwise(sums)
+        return found.select(*keys, mean.alias("embedding"))
     weighted = V.scale(F.col("vec"), F.col("_live")) if count else F.col("vec")
     sums = live.select(*keys, "_live", array_to_vector(F.when(F.col("_live") > 0, weighted).otherwise(V.zeros(dim))).alias("_v"))
     total = vector_to_array(Summarizer.sum(F.col("_v")))
@@ -219,7 +256,7 @@ def embed_batches(df: DataFrame, text: str, table: DataFrame, config: ModelConfi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value
-        for batch in batches:
+        for batch in (s for b in batches for s in text_slices(b, [place])):
             found = batch_ids(batch.column(place), config)
             edges, start = found.edges, 0
             while start < len(edges) - 1:

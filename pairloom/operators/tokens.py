@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,8 @@ _MD5_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
 # A text of so many bytes and its length mark fill one block; so many texts stay in the processor cache.
 _ONE_BLOCK = 55
 _MD5_ROWS = 16_384
+# Texts split at a time; their tokens take several times as much.
+SLICE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -48,6 +51,21 @@ class TokenBatch:
         return TokenBatch(self.vocabulary, self.codes[place < limit], edges)
 
 
+def text_slices(batch: pa.RecordBatch, places: list[int], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts in these columns come to about ``most`` bytes; at least one row each, and one slice of an empty batch."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for place in places:
+        sizes += pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    start = 0
+    while True:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+        if start >= batch.num_rows:
+            return
+
+
 def split_tokens(texts: pa.Array, lower: bool = False) -> TokenBatch:
     """Non-empty tokens between Unicode whitespace; ``lower`` folds ASCII capitals."""
     column = pc.fill_null(texts, "").cast(pa.large_string())
