@@ -6,7 +6,7 @@ writes the new table. With one triplet per batch it is the sequential update rul
 A single step over a table small enough to broadcast is one narrow pass: every task embeds its
 triplets, and hands on their losses and one summed update per token it touched. Only those sums are
 shuffled. A larger table takes the relational way, a shuffled join of token rows with the table.
-Training over many steps keeps the table dealt by token id on the executors.
+Training over many steps sends a small table along with each step's job and keeps a larger one dealt by token id on the executors.
 """
 
 from __future__ import annotations
@@ -33,14 +33,18 @@ from .table import SLICE_TOKENS, ModelConfig, count_ids, fits_broadcast, mean_ro
 from .tokens import list_array, unit_rows
 
 ROLES = ("anchor", "positive", "negative")
-# Files a batch is spread over when it is written.
-BATCH_FILES = 64
+# Triplets of a batch that lie in one file, and the most files a batch is spread over when it is written.
+FILE_TRIPLETS, BATCH_FILES = 1024, 64
+# A table up to this size goes to each step with the job and comes back as sums; beyond it the table stays dealt.
+HELD_TABLE_BYTES = 1 << 20
 PAIR_KEYS = ["pkey"]
 # Triplets computed together where the table stays dealt; triplets ordered at a time in the sequential rule.
 PART_TRIPLETS = 256
 # A batch of so many rows is one list; of larger ones blocks of so many bytes meet, and so many scores are held at a time.
 LIST_ROWS, BLOCK_BYTES, _SCORE_CELLS = 256, 8 << 20, 1 << 21
 SEQUENCE_ROWS = 20_000
+# In place of a token id: the row holds counts.
+_COUNTS_ROW = -1
 _STEP = "tid bigint, loss double, token_id bigint, delta array<double>"
 
 
@@ -57,7 +61,7 @@ class TrainOptions:
 
 def tokenize(triplets: DataFrame, config: ModelConfig) -> DataFrame:
     """Replace the three texts by their token ids, which a step then reads twice."""
-    return with_ids(triplets, {f"{r}_ids": r for r in ROLES}, config).drop(*ROLES)
+    return with_ids(triplets, {f"{r}_ids": r for r in ROLES}, config, [c for c in triplets.columns if c not in ROLES])
 
 
 def _role_tokens(tokenized: DataFrame) -> DataFrame:
@@ -161,6 +165,43 @@ def _learn(matrix, roles: list[RoleTokens], normalize: bool, learning_rate: floa
     return losses
 
 
+# --- a small table that goes along with each step --------------------------------------------
+
+
+def held_step(tokenized: DataFrame, matrix: np.ndarray, config: ModelConfig, learning_rate: float, margin: float, one_by_one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, active steps and their loss, summed updates) of one pass over a table that is a few rows beside its triplets: one job.
+
+    A task hands back its counts and one row per token it touched. With ``one_by_one`` (batches of few files) the driver adds up the tasks' rows,
+    otherwise they are summed by token first, so what the driver gets is bounded by the table.
+    """
+    spark = tokenized.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(matrix)
+    normalize = config.normalize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = shared.value
+        total, touched, counts = np.zeros_like(matrix), np.zeros(len(matrix), dtype=bool), np.zeros(3)
+        for batch in batches:
+            losses = _learn(matrix, [RoleTokens.of(batch.column(i)) for i in range(3)], normalize, learning_rate, margin, total, touched)
+            counts += len(losses), (losses > 0).sum(), losses.sum()
+        used = np.flatnonzero(touched)
+        yield pa.RecordBatch.from_arrays([pa.array([_COUNTS_ROW]), list_array(counts[None, :])], names=["token_id", "delta"])
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used), list_array(total[used])], names=["token_id", "delta"])
+
+    found = tokenized.select(*[f"{r}_ids" for r in ROLES]).mapInArrow(run, "token_id bigint, delta array<double>")
+    rows = (found if one_by_one else _vector_sums(found)).toArrow()
+    shared.destroy()
+    counts, updates = np.zeros(3), np.zeros_like(matrix)
+    for token, delta in zip(rows.column("token_id").to_pylist(), rows.column("delta").to_pylist()):
+        if token == _COUNTS_ROW:
+            counts += delta
+        else:
+            updates[token] += delta
+    return counts, updates
+
+
 # --- a table that stays dealt by token -------------------------------------------------------
 
 
@@ -218,7 +259,11 @@ def dealt_step(tokenized: DataFrame, table: DataFrame, config: ModelConfig, lear
 
 
 def _summed(both: DataFrame) -> DataFrame:
-    sums = both.where(F.col("token_id").isNotNull()).select("token_id", array_to_vector("delta").alias("_v"))
+    return _vector_sums(both.where(F.col("token_id").isNotNull()))
+
+
+def _vector_sums(rows: DataFrame) -> DataFrame:
+    sums = rows.select("token_id", array_to_vector("delta").alias("_v"))
     return sums.groupBy("token_id").agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("delta"))
 
 
@@ -386,9 +431,10 @@ def train_epochs(
 ) -> tuple[DataFrame, DataFrame]:
     """Train on keyed pairs over all epochs; returns the final table and one summary row per epoch.
 
-    The table lies in buckets of token ids from step to step: a step sends requests to it and updates back, and neither the driver nor a broadcast ever
-    holds it. An epoch's tokenised triplets are written in a folder per batch and a step reads its own folder only. Every step writes its pass and the new
-    table as Parquet, so lineage stays one step deep and a lost executor costs one step. Losses are appended to a table, so plans do not grow with the batches.
+    An epoch's tokenised triplets are written in a folder per batch and a step reads its own folder only. A table within ``HELD_TABLE_BYTES``, less than
+    a batch of texts, goes along with each step's job (``held_step``). A larger one lies in buckets of token ids from step to step: a step sends requests to it and
+    updates back, and neither the driver nor a broadcast ever holds it; every step writes its pass and the new table as Parquet, so lineage stays one step
+    deep and a lost executor costs one step. Either way plans do not grow with the batches.
 
     With ``sequential`` the result is that of one triplet after the other: a batch, then at most ``SEQUENCE_ROWS`` triplets, is taken in levels that share no token.
     """
@@ -398,21 +444,47 @@ def train_epochs(
     pool = written(index_pool(pool_of_pairs(keyed_pairs), options.seed), "pool")
     if pool.count() < 2:
         raise ValueError("fewer than two texts to draw negatives from")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = min(options.batch_size, SEQUENCE_ROWS) if options.sequential else options.batch_size
+
+    def steps() -> Iterator[tuple[int, DataFrame]]:
+        files = min(BATCH_FILES, -(-size // FILE_TRIPLETS))
+        for epoch in range(1, options.epochs + 1):
+            triplets = tokenize(epoch_triplets(keyed_pairs, pool, replace(options, batch_size=size), epoch), config)
+            path = scratch_path(spark, "triplets")
+            triplets.repartition("batch", F.pmod("tid", F.lit(files))).write.partitionBy("batch").parquet(path)
+            schema = triplets.drop("batch").schema
+            for batch in range(max(1, -(-total // size))):
+                for part in _steps_of(spark.read.schema(schema).parquet(f"{path}/batch={batch}"), options.sequential):
+                    yield epoch, part
+
+    small = config.vocab_size * config.embedding_dim * 8 <= HELD_TABLE_BYTES
+    return (_train_held if small else _train_dealt)(steps(), table, config, options, size <= 8 * FILE_TRIPLETS)
+
+
+def _train_held(steps: Iterator[tuple[int, DataFrame]], table: DataFrame, config: ModelConfig, options: TrainOptions, one_by_one: bool) -> tuple[DataFrame, DataFrame]:
+    spark = table.sparkSession
+    matrix = table_matrix(table, config)
+    counts: dict[int, np.ndarray] = {}
+    for epoch, part in steps:
+        found, updates = held_step(part, matrix, config, options.learning_rate, options.margin, one_by_one)
+        counts[epoch] = counts.get(epoch, 0) + found
+        matrix = matrix - updates
+    rows = [(epoch, int(n), int(active), float(loss / active) if active else 0.0) for epoch, (n, active, loss) in counts.items() if n]
+    history = spark.createDataFrame(rows, "epoch bigint, steps bigint, active_steps bigint, mean_active_loss double")
+    new = spark.createDataFrame(pa.table({"token_id": pa.array(np.arange(len(matrix))), "vec": list_array(matrix)}))
+    return written(new.join(table.select("token_id"), "token_id", "left_semi"), "trained"), history
+
+
+def _train_dealt(steps: Iterator[tuple[int, DataFrame]], table: DataFrame, config: ModelConfig, options: TrainOptions, _one_by_one: bool) -> tuple[DataFrame, DataFrame]:
+    spark = table.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     losses_path = scratch_path(spark, "losses")
     dealt = dealt_table(table, buckets)
-    for epoch in range(1, options.epochs + 1):
-        triplets = tokenize(epoch_triplets(keyed_pairs, pool, replace(options, batch_size=size), epoch), config)
-        path = scratch_path(spark, "triplets")
-        triplets.repartition("batch", F.pmod("tid", F.lit(BATCH_FILES))).write.partitionBy("batch").parquet(path)
-        schema = triplets.drop("batch").schema
-        for batch in range(max(1, -(-total // size))):
-            for part in _steps_of(spark.read.schema(schema).parquet(f"{path}/batch={batch}"), options.sequential):
-                step = dealt_step(part, dealt.rows, config, options.learning_rate, options.margin, lambda df: written(df, "step"))
-                step.losses.select(F.lit(epoch).cast("bigint").alias("epoch"), "tid", "loss").write.mode("append").parquet(losses_path)
-                old, dealt = dealt, dealt_table(apply_gradients(dealt.rows.hint("merge"), step.updates), buckets)
-                old.forget()
+    for epoch, part in steps:
+        step = dealt_step(part, dealt.rows, config, options.learning_rate, options.margin, lambda df: written(df, "step"))
+        step.losses.select(F.lit(epoch).cast("bigint").alias("epoch"), "tid", "loss").write.mode("append").parquet(losses_path)
+        old, dealt = dealt, dealt_table(apply_gradients(dealt.rows.hint("merge"), step.updates), buckets)
+        old.forget()
     history = epoch_summary(spark.read.schema("epoch bigint, tid bigint, loss double").parquet(losses_path), ("epoch",))
     final = written(dealt.rows, "trained")
     dealt.forget()

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pairloom.operators import table, tokens
+from pairloom.operators import table, tokens, train
 
 CONFIG = table.ModelConfig(vocab_size=50, embedding_dim=3, max_seq_len=None)
 
@@ -61,3 +61,43 @@ def test_masked_means_of_few_dimensions_are_plain_sums(spark, dim):
             mine = [(r[2] if count else 1, np.array(r[3])) for r in rows if r[0] == key and r[1]]
             want = sum(w * v for w, v in mine) / sum(w for w, _ in mine) if mine else np.zeros(dim)
             assert got[key] == pytest.approx(want.tolist(), abs=1e-12)
+
+
+def test_texts_that_nobody_reads_again_do_not_come_back(spark):
+    df = spark.createDataFrame([(1, "a b", "c", "d")], "tid long, anchor string, positive string, negative string")
+    assert train.tokenize(df, CONFIG).columns == ["tid", "anchor_ids", "positive_ids", "negative_ids"]
+    mapped = next(line for line in plan(train.tokenize(df, CONFIG)).splitlines() if "MapInArrow" in line)
+    assert "string" not in mapped and mapped.count("_ids") >= 3 and "], [tid" not in mapped
+
+
+def test_training_with_a_table_that_goes_along_is_training_with_a_dealt_one(spark, monkeypatch):
+    pairs = train.with_pair_key(spark.createDataFrame([(f"a{i} b{i % 3}", f"c{i} a{i % 5}") for i in range(20)], "anchor string, positive string"))
+    options = train.TrainOptions(epochs=2, learning_rate=0.3, margin=0.5, seed=5, batch_size=7)
+    start = table.init_token_table(spark, CONFIG, 9)
+    ends = []
+    for limit, files in ((0, 1024), (1 << 20, 1024), (1 << 20, 0.5)):
+        monkeypatch.setattr(train, "HELD_TABLE_BYTES", limit)
+        monkeypatch.setattr(train, "FILE_TRIPLETS", files)
+        if files < 1:
+            # Sums by token before the driver gets them, several files a batch.
+            monkeypatch.setattr(train, "BATCH_FILES", 3)
+        final, history = train.train_epochs(pairs, start, CONFIG, options)
+        ends.append((table.table_matrix(final, CONFIG), [tuple(r) for r in history.orderBy("epoch").collect()], final.schema, final.count()))
+    for weights, rows, schema, count in ends[1:]:
+        assert weights == pytest.approx(ends[0][0], abs=1e-12) and count == ends[0][3] == 50
+        assert [r[:3] for r in rows] == [r[:3] for r in ends[0][1]] and [r[3] for r in rows] == pytest.approx([r[3] for r in ends[0][1]], abs=1e-12)
+        assert schema.simpleString() == ends[0][2].simpleString()
+
+
+def test_a_step_of_a_small_batch_is_one_job(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"a{i} b", f"c{i}", "d") for i in range(64)], "tid long, anchor string, positive string, negative string")
+    path = str(tmp_path / "batch")
+    train.tokenize(rows, CONFIG).coalesce(1).write.parquet(path)
+    batch = spark.read.schema(train.tokenize(rows, CONFIG).schema).parquet(path)
+    matrix = table.table_matrix(table.init_token_table(spark, CONFIG, 1), CONFIG)
+    context = spark.sparkContext
+    context.setJobGroup("one-step", "a step")
+    counts, updates = train.held_step(batch, matrix, CONFIG, 0.3, 0.5, True)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("one-step")) == 1
+    assert counts[0] == 64 and np.abs(updates).sum() > 0
