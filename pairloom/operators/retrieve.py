@@ -24,6 +24,8 @@ from .tokens import unit_rows
 
 HELD_BLOCK_BYTES = 64 << 20
 _DENSE_SLICE = 1024
+# Queries scored together against the clusters that any of them wants.
+_QUERY_SLICE = 256
 # Scores held at a time in a task: 2M doubles are 16 MB.
 _SCORE_CELLS = 1 << 21
 
@@ -36,6 +38,9 @@ class Encoding:
     encode: Callable[[pa.Array], Iterator[np.ndarray]]
     accepts: Callable[[Column], Column]
     score: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    # What is done to scores that may be among the best; it keeps their order and moves none by more than ``slack``.
+    finish: Callable[[np.ndarray], np.ndarray] = lambda scores: scores
+    slack: Callable[[np.ndarray], np.ndarray] = lambda scores: 0.0 * scores
     # What makes a score the dot product of two rows, up to rounding.
     scaled: Callable[[np.ndarray], np.ndarray] = lambda matrix: matrix
 
@@ -55,7 +60,7 @@ def dense_encoding(dim: int, places: int = 12) -> Encoding:
     def accepts(payload: Column) -> Column:
         return payload.isNotNull() & (F.size(payload) == dim) & ~F.exists(payload, lambda x: x.isNull())
 
-    return Encoding(dim, encode, accepts, lambda left, right: np.round(left @ right.T, places))
+    return Encoding(dim, encode, accepts, lambda left, right: left @ right.T, lambda x: np.round(x, places), lambda x: 10.0**-places * (1 + np.abs(x)))
 
 
 def hashed_encoding(dim: int = DEFAULT_DIM) -> Encoding:
@@ -66,7 +71,7 @@ def hashed_encoding(dim: int = DEFAULT_DIM) -> Encoding:
         dots = left @ right.T
         return np.divide(dots, np.sqrt(sizes), out=np.zeros_like(dots), where=sizes > 0)
 
-    return Encoding(dim, lambda column: hashed_weights(column, dim), lambda payload: payload.isNotNull(), score, unit_rows)
+    return Encoding(dim, lambda column: hashed_weights(column, dim), lambda payload: payload.isNotNull(), score, scaled=unit_rows)
 
 
 class _Best:
@@ -76,8 +81,9 @@ class _Best:
     is sorted only when it has grown well beyond the kept rows.
     """
 
-    def __init__(self, queries: int, k: int) -> None:
-        self.k = k
+    def __init__(self, queries: int, k: int, coding: Encoding) -> None:
+        self.k, self.coding = k, coding
+        # Not above any unfinished score that belongs to the k best.
         self.floor = np.full(queries, -np.inf)
         self.parts: list[list[np.ndarray]] = []
         self.waiting = 0
@@ -87,10 +93,20 @@ class _Best:
         """Score matrix of the queries from ``first`` on against rows with these keys."""
         k, width = self.k, scores.shape[1]
         floor = self.floor[first : first + len(scores)]
+        keep = scores >= floor[:, None]
         if width > k:
-            floor = np.maximum(floor, np.partition(scores, width - k, axis=1)[:, width - k])
-        row, col = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        self.parts.append([first + row, scores[row, col], *[c[col] for c in keys]])
+            # Only queries with more than k candidates here need a higher floor.
+            many = np.flatnonzero(np.count_nonzero(keep, axis=1) > k)
+            if len(many):
+                # Rows that all have to go are often all there are.
+                chosen = scores if len(many) == len(scores) else scores[many]
+                least = np.partition(chosen, width - k, axis=1)[:, width - k]
+                with np.errstate(invalid="ignore"):
+                    least = np.where(np.isneginf(least), least, least - self.coding.slack(least))
+                floor[many] = np.maximum(floor[many], least)
+                keep[many] = chosen >= floor[many, None]
+        row, col = np.nonzero(keep & (scores > -np.inf) if np.isneginf(floor).any() else keep)
+        self.parts.append([first + row, self.coding.finish(scores[row, col]), *[c[col] for c in keys]])
         self.waiting += len(row)
         if self.waiting > self.limit:
             self.prune()
@@ -105,7 +121,7 @@ class _Best:
         rank = np.arange(len(order)) - np.searchsorted(placed, placed)
         order, rank = order[rank < self.k], rank[rank < self.k]
         last = order[rank == self.k - 1]
-        self.floor[query[last]] = score[last]
+        self.floor[query[last]] = np.maximum(self.floor[query[last]], score[last] - self.coding.slack(score[last]))
         kept = [c[order] for c in (query, score, *keys)]
         self.parts, self.waiting = [kept], len(order)
         return kept
@@ -149,6 +165,45 @@ def best_rows(query_key: str, corpus_keys: Sequence[str], payload: str, coding:
     return run, schema
 
 
+def best_wanted_rows(query_key: str, corpus_keys: Sequence[str], payload: str, coding: Encoding, k: int, skip_self: bool):
+    """(cogroup function, its schema): the k best rows of the right group, not below the floor, for each query of the left one.
+
+    Left rows name the ``cells`` they want and their ``near`` one, by which queries are taken together; right rows have a ``cell``. A slice of queries is scored against the rows of all
+    cells that one of them wants.
+    """
+    names = [query_key, *corpus_keys, "score"]
+    schema = _found_schema(names)
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found = []
+        if asked.num_rows and rows.num_rows:
+            asked = asked.sort_by("near")
+            cell = rows.column("cell").to_numpy()
+            (ids,), points = _block(asked, [query_key], payload, coding)
+            keys, matrix = _block(rows, corpus_keys, payload, coding)
+            floors = asked.column("floor").fill_null(-np.inf).to_numpy()
+            for start in range(0, len(ids), _QUERY_SLICE):
+                part = slice(start, start + _QUERY_SLICE)
+                wanted = np.isin(cell, asked.column("cells")[part].combine_chunks().flatten().to_numpy())
+                # All rows are used as they lie.
+                mine, their = (matrix, keys) if wanted.all() else (matrix[wanted], [c[wanted] for c in keys])
+                best = _Best(len(ids[part]), k, coding)
+                best.floor[:] = np.where(np.isneginf(floors[part]), -np.inf, floors[part] - coding.slack(np.where(np.isneginf(floors[part]), 0, floors[part])))
+                step = max(1, _SCORE_CELLS // len(best.floor))
+                for first in range(0, len(mine), step):
+                    here = slice(first, first + step)
+                    scores = coding.score(points[part], mine[here])
+                    if skip_self:
+                        scores[ids[part][:, None] == their[0][here][None, :]] = -np.inf
+                    best.add(0, scores, [c[here] for c in their])
+                if kept := best.prune():
+                    query, score, *own = kept
+                    found.append(pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[part][query], *own, score)], names=names))
+        return pa.Table.from_batches(found) if found else pa.table({f.name: pa.array([], pa.float64() if f.name == "score" else pa.int64()) for f in schema.fields})
+
+    return run, schema
+
+
 def _found_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.LongType()) for n in names[:-1]] + [T.StructField("score", T.DoubleType())])
 
@@ -206,14 +261,14 @@ def _scan(shared, coding: Encoding, k: int, held_queries: bool, skip_self: bool,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block_keys, block = shared.value
-        best = _Best(len(block), k) if held_queries else None
+        best = _Best(len(block), k, coding) if held_queries else None
         for batch in batches:
             row_keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
             start = 0
             for matrix in coding.encode(batch.column(batch.num_columns - 1)):
                 here = [c[start : start + len(matrix)] for c in row_keys]
                 start += len(matrix)
-                local = best or _Best(len(matrix), k)
+                local = best or _Best(len(matrix), k, coding)
                 step = max(1, _SCORE_CELLS // len(matrix))
                 for first in range(0, len(block), step):
                     part = slice(first, first + step)

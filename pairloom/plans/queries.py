@@ -501,7 +501,8 @@ def _neighbours(spark, sf, k: int) -> DataFrame:
     rows = spread(read(spark, sf, "embeddings").select("vec_id", F.col("embedding")))
     dim = 64
     queries = rows.withColumnRenamed("vec_id", "query_id")
-    return retrieve.top_k(queries, "query_id", rows, ["vec_id"], "embedding", retrieve.dense_encoding(dim), k, skip_self=True)
+    # Both sides are as large. With the corpus held, a slice of queries has its answer where it is read and only that is kept and moved.
+    return retrieve.top_k(queries, "query_id", rows, ["vec_id"], "embedding", retrieve.dense_encoding(dim), k, hold="corpus", skip_self=True)
 
 
 def retrieve_top1(spark, sf):

@@ -7,8 +7,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from pairloom.operators import table, tokens, train
+from pairloom.operators import retrieve, table, tokens, train, vector_index
 
 CONFIG = table.ModelConfig(vocab_size=50, embedding_dim=3, max_seq_len=None)
 
@@ -101,3 +102,40 @@ def test_a_step_of_a_small_batch_is_one_job(spark, tmp_path):
     context.setLocalProperty("spark.jobGroup.id", None)
     assert len(context.statusTracker().getJobIdsForGroup("one-step")) == 1
     assert counts[0] == 64 and np.abs(updates).sum() > 0
+
+
+def test_the_index_sends_a_query_to_a_bundle_of_clusters_once(spark):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(400)], "id long, v array<double>")
+    coding = retrieve.dense_encoding(6)
+    index = vector_index.build(rows, ["id"], "v", coding, cells=40)
+    asked = rows.withColumnRenamed("id", "q")
+    sent = vector_index._floored_visits(index, asked, "q", 5, True)
+    cells = sent.select("q", F.explode("cells").alias("cell"))
+    # Clusters without structure: a query wants many, all of which lie in one bundle.
+    assert sent.count() == 400 and cells.count() > 3000 and cells.distinct().count() == cells.count()
+    key = lambda found: sorted((r["q"], r["rank"], r["id"], r["score"]) for r in found.collect())
+    assert key(vector_index.search(index, asked, "q", 5, True)) == key(retrieve.top_k(asked, "q", rows, ["id"], "v", coding, 5, skip_self=True))
+
+
+def test_large_clusters_have_bundles_of_their_own():
+    cells = vector_index.Cells(np.zeros((5, 1)), np.zeros(5), np.array([3, 90, 4, 2, 6]), np.array([1, 4, 1, 1, 1]))
+    first = cells.first_bundles(1, 8).tolist()
+    assert first == [0, 2, 0, 1, 1]
+
+
+def test_candidates_are_bounded_by_the_best_rows_seen():
+    coding = retrieve.dense_encoding(3)
+    rng = np.random.default_rng(5)
+    q, rows = rng.normal(size=(7, 3)), rng.normal(size=(4000, 3)).round(1)
+    best, taken = retrieve._Best(7, 4, coding), 0
+    for start in range(0, 4000, 500):
+        best.add(0, coding.score(q, rows[start : start + 500]), [np.arange(start, start + 500)])
+        taken = best.waiting
+    scores = np.round(q @ rows.T, 12)
+    query, score, key = best.prune()
+    for i in range(7):
+        want = sorted(range(4000), key=lambda j: (-scores[i, j], j))[:4]
+        assert key[query == i].tolist() == want and score[query == i].tolist() == scores[i, want].tolist()
+    # Later blocks add only what reaches the floor of the earlier ones; without it each would add four a query.
+    assert taken < 8 * 4 * 7
