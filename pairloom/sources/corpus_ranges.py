@@ -20,14 +20,14 @@ from .csv_ranges import arrow_rows, range_lines, stretches
 
 PIECE_BYTES = 1 << 20
 _PIECE = "file string, start bigint, part bigint, text string"
-_MARK = "file string, start bigint, bytes bigint, last bigint, chars bigint, first_part bigint, first_line_end bigint, end_part bigint, end_at bigint"
+_MARK = "file string, start bigint, length bigint, bytes bigint, last bigint, chars bigint, first_part bigint, first_line_end bigint, end_part bigint, end_at bigint"
 _FILE_ROW_BYTES = 300
 
 
-def _pieces(records: Iterable[pa.RecordBatch], piece_bytes: int) -> Iterator[tuple]:
-    """(file, start, part, text, bytes, whether the range begins) of each piece; line ends are line feeds, the last one included."""
+def _pieces(records: Iterable[pa.RecordBatch], piece_bytes: int, own: tuple[str, ...] = ("file", "start")) -> Iterator[tuple]:
+    """(values of ``own``, part, text, bytes, whether the range begins) of each piece; line ends are line feeds, the last one included."""
     part = 0
-    for (file, start), fresh, lines in stretches(records, ("file", "start")):
+    for key, fresh, lines in stretches(records, own):
         part = 0 if fresh else part
         held, size = [], 0
         for i, line in enumerate(lines, start=1):
@@ -35,28 +35,28 @@ def _pieces(records: Iterable[pa.RecordBatch], piece_bytes: int) -> Iterator[tup
             size += len(line) + 1
             if size >= piece_bytes or i == len(lines):
                 text = (b"\n".join(held) + b"\n").decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
-                yield file, start, part, text, size, fresh
+                yield *key, part, text, size, fresh
                 held, size, part, fresh = [], 0, part + 1, False
 
 
-def _marks(spark: SparkSession, path: str, piece_bytes: int) -> DataFrame:
+def _marks(lines: DataFrame, piece_bytes: int) -> DataFrame:
     """One row per range: its bytes, its last piece and that one's length, and the pieces and places of its first markers."""
 
     def run(records) -> Iterator[pa.RecordBatch]:
         found: list[list] = []
-        for file, start, part, text, size, fresh in _pieces(records, piece_bytes):
+        for file, start, length, part, text, size, fresh in _pieces(records, piece_bytes, ("file", "start", "length")):
             if fresh:
-                found.append([file, start, 0, 0, 0, None, None, None, None])
+                found.append([file, start, length, 0, 0, 0, None, None, None, None])
             row = found[-1]
-            row[2], row[3], row[4] = row[2] + size, part, len(text)
-            if row[5] is None and (at := text.find(WRAPPER_START)) >= 0:
-                row[5], row[6] = part, text.find("\n", at) + 1
-            if row[7] is None and (at := text.find(WRAPPER_END)) >= 0:
-                row[7], row[8] = part, at
+            row[3], row[4], row[5] = row[3] + size, part, len(text)
+            if row[6] is None and (at := text.find(WRAPPER_START)) >= 0:
+                row[6], row[7] = part, text.find("\n", at) + 1
+            if row[8] is None and (at := text.find(WRAPPER_END)) >= 0:
+                row[8], row[9] = part, at
         if found:
             yield arrow_rows(found, _MARK)
 
-    return range_lines(spark, path).mapInArrow(run, _MARK)
+    return lines.mapInArrow(run, _MARK)
 
 
 def corpus_pieces(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
@@ -66,14 +66,15 @@ def corpus_pieces(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES
     one line is never cut. Files without any line give no row.
     """
     ship_package(spark)
-    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("file"), "length")
+    # The files are listed once, which is most of the work where they are many and small.
+    lines = range_lines(spark, path, sized=True)
     place = lambda part, at: F.min(F.when(F.col(part).isNotNull(), F.struct("start", F.col(part).alias("part"), F.col(at).alias("at"))))
-    ranges = _marks(spark, path, piece_bytes).groupBy("file").agg(
-        F.sum("bytes").alias("bytes"), F.max(F.struct("start", F.col("last").alias("part"), "chars")).alias("tail"),
+    ranges = _marks(lines, piece_bytes).groupBy("file").agg(
+        F.max("length").alias("length"), F.sum("bytes").alias("bytes"), F.max(F.struct("start", F.col("last").alias("part"), "chars")).alias("tail"),
         place("first_part", "first_line_end").alias("first"), place("end_part", "end_at").alias("end"),
     )
     # Counted with a line end that the file does not have.
-    files = ranges.join(sizes, "file", "left").withColumn("unended", F.coalesce(F.col("bytes") > F.col("length"), F.lit(False)))
+    files = ranges.withColumn("unended", F.col("bytes") > F.col("length"))
     # A start marker whose line has no end cuts nothing.
     endless = F.col("unended") & (F.col("first") == F.struct("tail.start", "tail.part", F.col("tail.chars").alias("at")))
     marks = written(files.withColumn("first", F.when(~F.coalesce(endless, F.lit(False)), F.col("first"))).select("file", "unended", "tail", "first", "end"), "marks")
@@ -89,7 +90,7 @@ def corpus_pieces(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES
         if out:
             yield arrow_rows(out, _PIECE)
 
-    pieces = range_lines(spark, path).mapInArrow(run, _PIECE)
+    pieces = lines.drop("length").mapInArrow(run, _PIECE)
     both = pieces.join(broadcast_within(marks, marks.count(), _FILE_ROW_BYTES), "file")
     here = F.struct("start", "part")
     at = lambda mark: F.struct(f"{mark}.start", f"{mark}.part")

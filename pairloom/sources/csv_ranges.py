@@ -15,7 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ _RECORD = "file string, start bigint, seq bigint, record binary"
 _BATCH_BYTES = 4 << 20
 HEAD_BYTES = 64 << 10
 _RANGE_ROW_BYTES = 200
+# Tasks a core that list folders.
+_LISTING_TASKS = 4
 
 
 def ends_open(line: bytes, opened: bool, separator: bytes = b",") -> bool:
@@ -53,24 +57,43 @@ def ends_open(line: bytes, opened: bool, separator: bytes = b",") -> bool:
             return False
 
 
-def range_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, line): the lines of each range in order, without the line end."""
-    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+def range_lines(spark: SparkSession, path: str, sized: bool = False) -> DataFrame:
+    """(file, start, line): the lines of each range in order, without the line end; ``sized`` adds the ``length`` of the file in bytes."""
+    # The files are listed here. Of many small folders a task lists many, instead of one task a folder up to 10,000.
+    listing, tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism", _LISTING_TASKS * spark.sparkContext.defaultParallelism
+    before = spark.conf.get(listing)
+    spark.conf.set(listing, str(min(int(before), tasks)))
+    try:
+        text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    finally:
+        spark.conf.set(listing, before)
+    length = [F.col("_metadata.file_size").alias("length")] if sized else []
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), *length, F.col("value").cast("binary").alias("line"))
 
 
 def stretches(records: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, bool, list[bytes]]]:
     """(values of ``columns``, whether the range begins here, lines): stretches of equal values."""
     before = None
     for record in records:
-        keys = [record.column(record.schema.get_field_index(c)).to_pylist() for c in columns]
+        keys = [record.column(record.schema.get_field_index(c)) for c in columns]
         lines = record.column(record.schema.get_field_index("line")).to_pylist()
+        turns = np.zeros(max(0, len(lines) - 1), dtype=bool)
+        for k in keys:
+            turns |= _changes(k)
         low = 0
-        for i in range(1, len(lines) + 1):
-            if i == len(lines) or any(k[i] != k[low] for k in keys):
-                key = tuple(k[low] for k in keys)
-                yield key, key != before, lines[low:i]
-                before, low = key, i
+        for i in [*(np.flatnonzero(turns) + 1).tolist(), *([len(lines)] if lines else [])]:
+            key = tuple(k[low].as_py() for k in keys)
+            yield key, key != before, lines[low:i]
+            before, low = key, i
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it; nulls are equal."""
+    after, ahead = column.slice(1), column.slice(0, max(0, len(column) - 1))
+    differ = pc.fill_null(pc.not_equal(after, ahead), False).to_numpy(zero_copy_only=False)
+    if not column.null_count:
+        return differ
+    return differ | pc.xor(after.is_null(), ahead.is_null()).to_numpy(zero_copy_only=False)
 
 
 def arrow_rows(rows: list, schema: str) -> pa.RecordBatch:

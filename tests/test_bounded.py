@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import retrieve, table, tokens, train, vector_index
+from pairloom.sources import corpus_ranges, csv_ranges
 
 CONFIG = table.ModelConfig(vocab_size=50, embedding_dim=3, max_seq_len=None)
 
@@ -139,3 +140,28 @@ def test_candidates_are_bounded_by_the_best_rows_seen():
         assert key[query == i].tolist() == want and score[query == i].tolist() == scores[i, want].tolist()
     # Later blocks add only what reaches the floor of the earlier ones; without it each would add four a query.
     assert taken < 8 * 4 * 7
+
+
+def test_many_folders_are_listed_once_and_by_few_tasks(spark, tmp_path):
+    for i in range(150):
+        (tmp_path / f"d={i}").mkdir()
+        (tmp_path / f"d={i}" / "f").write_text(f"a {i}\nb")
+    context = spark.sparkContext
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    context.setJobGroup("listing", "folders")
+    found = corpus_ranges.corpus_pieces(spark, str(tmp_path)).collect()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["text"] for r in found) == sorted(f"a {i}\nb" for i in range(150))
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing")]
+    stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
+    # 150 folders used to be 150 tasks, three times.
+    assert stages and max(s.numTasks for s in stages if s) <= 32
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
+def test_stretches_of_equal_keys_with_nulls():
+    rest = pa.array([None, None, b"x", b"x", b"y", None], pa.binary())
+    batch = pa.RecordBatch.from_pydict({"file": ["a", "a", "a", "b", "b", "b"], "rest": rest, "line": pa.array([b"0", b"1", b"2", b"3", b"4", b"5"])})
+    found = list(csv_ranges.stretches([batch.slice(0, 0), batch, batch.slice(5)], ("file", "rest")))
+    assert found == [(("a", None), True, [b"0", b"1"]), (("a", b"x"), True, [b"2"]), (("b", b"x"), True, [b"3"]), (("b", b"y"), True, [b"4"]), (("b", None), True, [b"5"]), (("b", None), False, [b"5"])]
