@@ -261,23 +261,13 @@ def load(path: str = DEFAULT_MODEL) -> Machine:
     return Machine(ids, scores, spelled, byte_ids, spec.trainer_spec.model_type == 2, spec.normalizer_spec.add_dummy_prefix).compile()
 
 
-_BY_BROADCAST: dict[int, Machine] = {}
-
-
-def _machine(shared) -> Machine:
-    """One machine per Python worker and broadcast, so that its word cache outlives a task."""
-    if shared.value is not None and id(shared.value) not in _BY_BROADCAST:
-        _BY_BROADCAST.clear()
-        _BY_BROADCAST[id(shared.value)] = shared.value
-    return _BY_BROADCAST[id(shared.value)]
-
-
 def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, column: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model_path))
 
     def run(records):
-        machine = _machine(shared)
+        # A worker keeps a broadcast, and with it the word cache, for the tasks that name it and no longer.
+        machine = shared.value
         for batch in common.batches(records, target=1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             coded = [machine.encode_bytes(t) for t in texts]

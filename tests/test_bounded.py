@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.llm import pieces
 from pairloom.operators import retrieve, table, tokens, train, vector_index
 from pairloom.sources import corpus_ranges, csv_ranges
 
@@ -165,3 +166,7 @@ def test_stretches_of_equal_keys_with_nulls():
     batch = pa.RecordBatch.from_pydict({"file": ["a", "a", "a", "b", "b", "b"], "rest": rest, "line": pa.array([b"0", b"1", b"2", b"3", b"4", b"5"])})
     found = list(csv_ranges.stretches([batch.slice(0, 0), batch, batch.slice(5)], ("file", "rest")))
     assert found == [(("a", None), True, [b"0", b"1"]), (("a", b"x"), True, [b"2"]), (("b", b"x"), True, [b"3"]), (("b", b"y"), True, [b"4"]), (("b", None), True, [b"5"]), (("b", None), False, [b"5"])]
+
+
+def test_a_worker_keeps_no_machine_beyond_its_broadcast():
+    assert not [name for name, value in vars(pieces).items() if isinstance(value, dict) and not name.startswith("__")]
