@@ -164,12 +164,11 @@ def src_corpus_files(spark, sf):
     edge = lambda place, value: docs.select("lang").distinct().select("lang", F.lit(place).cast("bigint").alias("doc_id"), F.lit(value).alias("text"))
     rows = docs.select("lang", "doc_id", "text").unionByName(edge(-1, opened)).unionByName(edge((1 << 62), closed))
     paths = {kind: scratch_path(spark, kind) for kind in ("single", "large")}
-    # A file per document: tasks move their own files to their place, not the driver all of them one by one.
-    single.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("doc_id").text(paths["single"])
+    files.write_key_files(single, "doc_id", paths["single"])
     rows.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(paths["large"])
     found = []
     for kind, path in paths.items():
-        name = F.regexp_extract("file", "=([^/]*)/[^/]*$", 1).alias("name")
+        name = F.regexp_extract("file", "(?:doc_id|lang)=([^/]*?)(?:[.]txt|/[^/]*)$", 1).alias("name")
         pieces = corpus_ranges.corpus_pieces(spark, path).select(F.lit(kind).alias("kind"), name, "text")
         found.append(pieces.groupBy("kind", "name").agg(
             F.sum(F.char_length("text")).alias("chars"), F.sum(F.size(T.words(F.col("text")))).alias("words"), F.sum(F.regexp_count("text", F.lit("\n"))).alias("lines")

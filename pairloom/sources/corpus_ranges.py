@@ -1,6 +1,7 @@
 """Texts of whole files that may be larger than a task's memory, read by ranges.
 
-A range's lines become pieces of bounded size that end at line ends, so a marker, which stands in one line, is in one piece. A first pass notes where the first start
+A file that one task reads at once anyway, within a piece and a split, is one row that is cut where it is read. Of larger files
+a range's lines become pieces of bounded size that end at line ends, so a marker, which stands in one line, is in one piece. A first pass notes where the first start
 and the first end marker of each file stand, one small row per file; the second pass reads the pieces again and cuts them by these places. Line ends are
 line feeds, carriage returns or both; whether a file ends with one is told by its size.
 """
@@ -10,18 +11,22 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WRAPPER_END, WRAPPER_START
-from ..operators.layout import broadcast_within
+from ..functions.text import WRAPPER_END, WRAPPER_START, normalize_newlines, strip_wrapper
+from ..operators.layout import broadcast_within, computed_once
 from ..session import ship_package, written
-from .csv_ranges import arrow_rows, range_lines, stretches
+from .csv_ranges import arrow_rows, few_listing_tasks, range_lines, stretches
 
 PIECE_BYTES = 1 << 20
 _PIECE = "file string, start bigint, part bigint, text string"
 _MARK = "file string, start bigint, length bigint, bytes bigint, last bigint, chars bigint, first_part bigint, first_line_end bigint, end_part bigint, end_at bigint"
 _FILE_ROW_BYTES = 300
+# Names of files that only the reader of lines unpacks.
+_COMPRESSED = r"(?i)\.(deflate|gz|bz2|snappy|lz4|zst)$"
+# Of many small files a task reads so many bytes, where that leaves each core so many tasks.
+_TASK_BYTES, _CORE_TASKS = 16 << 20, 4
 
 
 def _pieces(records: Iterable[pa.RecordBatch], piece_bytes: int, own: tuple[str, ...] = ("file", "start")) -> Iterator[tuple]:
@@ -66,8 +71,8 @@ def corpus_pieces(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES
     one line is never cut. Files without any line give no row.
     """
     ship_package(spark)
-    # The files are listed once, which is most of the work where they are many and small.
-    lines = range_lines(spark, path, sized=True)
+    whole = min(piece_bytes, _split_bytes(spark))
+    lines = range_lines(spark, path, sized=True, where=~_read_whole(whole))
     place = lambda part, at: F.min(F.when(F.col(part).isNotNull(), F.struct("start", F.col(part).alias("part"), F.col(at).alias("at"))))
     ranges = _marks(lines, piece_bytes).groupBy("file").agg(
         F.max("length").alias("length"), F.sum("bytes").alias("bytes"), F.max(F.struct("start", F.col("last").alias("part"), "chars")).alias("tail"),
@@ -99,4 +104,29 @@ def corpus_pieces(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES
     high = F.when(F.col("end").isNotNull() & (here == at("end")), F.col("end.at")).otherwise(length).cast("int")
     inside = (F.col("first").isNull() | (here >= at("first"))) & (F.col("end").isNull() | (here <= at("end")))
     cut = both.where(inside).select("file", "start", "part", F.substring(F.col("text"), low + 1, F.greatest(high - low, F.lit(0))).alias("text"))
-    return cut.where("text <> ''")
+    return cut.where("text <> ''").unionByName(_whole_files(spark, path, whole))
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    """The most bytes of a file that one task reads."""
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+
+
+def _read_whole(most: int) -> Column:
+    """Whether a listed file is read whole; the listing decides, and no other file is opened for it."""
+    return (F.col("_metadata.file_size") <= most) & ~F.col("_metadata.file_name").rlike(_COMPRESSED)
+
+
+def _whole_files(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """(file, start, part, text) of the files of at most ``most`` bytes, one row each and read once."""
+    with few_listing_tasks(spark):
+        # The text reader copies the session's Hadoop settings for each file, which costs more than a small file.
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # A file counts as several megabytes when files are dealt out, so that a task would read a handful of small ones.
+    tasks = max(_CORE_TASKS * spark.sparkContext.defaultParallelism, int(str(found._jdf.queryExecution().analyzed().stats().sizeInBytes())) // _TASK_BYTES)
+    value = F.make_valid_utf8(F.col("content").cast("string")).alias("value")
+    read = found.where(_read_whole(most)).select(F.col("_metadata.file_path").alias("file"), value).coalesce(tasks)
+    # As the reader of lines does, without a byte order mark.
+    plain = F.when(F.col("value").startswith("\ufeff"), F.expr("substring(value, 2)")).otherwise(F.col("value"))
+    texts = computed_once(computed_once(read, value=normalize_newlines(plain)), text=strip_wrapper(F.col("value")))
+    return texts.where("text <> ''").select("file", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("part"), "text")

@@ -14,11 +14,12 @@ doubled; whatever follows up to the separator, and quotes inside unquoted fields
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.layout import BROADCAST_LIMIT_BYTES
@@ -57,16 +58,23 @@ def ends_open(line: bytes, opened: bool, separator: bytes = b",") -> bool:
             return False
 
 
-def range_lines(spark: SparkSession, path: str, sized: bool = False) -> DataFrame:
-    """(file, start, line): the lines of each range in order, without the line end; ``sized`` adds the ``length`` of the file in bytes."""
-    # The files are listed here. Of many small folders a task lists many, instead of one task a folder up to 10,000.
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """While files are listed: of many small folders a task lists many, instead of one task a folder up to 10,000."""
     listing, tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism", _LISTING_TASKS * spark.sparkContext.defaultParallelism
     before = spark.conf.get(listing)
     spark.conf.set(listing, str(min(int(before), tasks)))
     try:
-        text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+        yield
     finally:
         spark.conf.set(listing, before)
+
+
+def range_lines(spark: SparkSession, path: str, sized: bool = False, where: Column | None = None) -> DataFrame:
+    """(file, start, line): the lines of each range in order, without the line end; ``sized`` adds the ``length`` of the file in bytes, ``where`` chooses files by ``_metadata``."""
+    with few_listing_tasks(spark):
+        text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    text = text if where is None else text.where(where)
     length = [F.col("_metadata.file_size").alias("length")] if sized else []
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), *length, F.col("value").cast("binary").alias("line"))
 

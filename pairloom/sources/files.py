@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_newlines, strip_wrapper
+from ..session import ship_package
 from . import csv_ranges
 
+# Files of ``write_key_files`` in one folder.
+FOLDER_FILES = 1000
 # One result record per task file; only the first test split entry is used.
 _SCORES = "main_score double, ndcg_at_10 double, map_at_10 double, recall_at_10 double, mrr_at_10 double"
 IR_SCHEMA = (
@@ -111,6 +119,59 @@ def read_corpus(spark: SparkSession, path: str, record_sep: str | None = None) -
     return lines.select(strip_wrapper(normalize_newlines(F.col("value"))).alias("text"))
 
 
+def write_key_files(df: DataFrame, key: str, path: str) -> None:
+    """One text file for each value of ``key`` that a task holds, with its rows of that value as lines; the last ``key=...`` of a file's path names the value.
+
+    Hadoop's local file system starts processes for each file it creates, some 35 ms of a core, which counts where a value has few rows. There
+    tasks write their files themselves, in order of the key, ``key=....txt`` in folders of ``FOLDER_FILES``, each under a hidden name first. On other file systems
+    it is Spark's partitioned table, a folder a value.
+    """
+    spark = df.sparkSession
+    root = _local_path(spark, path)
+    value = next(c for c in df.columns if c != key)
+    if root is None:
+        df.write.partitionBy(key).text(path)
+        return
+    ship_package(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        written, last, out, hidden, final = 0, None, None, "", ""
+        for batch in batches:
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if out is None or own != last:
+                    if out is not None:
+                        out.close()
+                        os.replace(hidden, final)
+                    folder, name = os.path.join(root, f"part-{task.partitionId():05d}-{written // FOLDER_FILES:05d}"), f"{key}={_path_name(own)}.txt"
+                    os.makedirs(folder, exist_ok=True)
+                    hidden, final = os.path.join(folder, f".{name}.{task.taskAttemptId()}"), os.path.join(folder, name)
+                    out, last, written = open(hidden, "wb"), own, written + 1
+                out.write((text or "").encode() + b"\n")
+        if out is not None:
+            out.close()
+            os.replace(hidden, final)
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["files"])
+
+    os.makedirs(root)
+    rows = df.select(F.nullif(F.col(key).cast("string"), F.lit("")).alias("own"), F.col(value).alias("value")).sortWithinPartitions("own")
+    rows.mapInArrow(run, "files bigint").agg(F.sum("files")).collect()
+
+
+def _local_path(spark: SparkSession, path: str) -> str | None:
+    """The path on the local file system, which a scratch folder there shares with all executors; None on another one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.makeQualified(at).toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
+def _path_name(value: str | None) -> str:
+    """As Spark writes a partition value in a path."""
+    if value is None:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
 def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     keep = F.lit(True)
     for c in columns:
