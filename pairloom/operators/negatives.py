@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw60
@@ -16,6 +16,11 @@ def index_pool(pool: DataFrame, seed: int, column: str = "negative") -> DataFram
     return hash_index(pool.select(column).distinct(), seed, "pool", [column], "pool_idx")
 
 
+def pool_hash(text: Column, seed: int) -> Column:
+    """The hash that orders a pool's texts."""
+    return draw60(seed, "pool", text)
+
+
 def _draw_index(size, seed: int, keys: Sequence[str], attempt):
     return F.pmod(draw60(seed, "draw", *[F.col(k) for k in keys], attempt), size)
 

@@ -38,10 +38,15 @@ def hash_index(df: DataFrame, seed: int, purpose: str, keys: Sequence[str], name
 
     ``keys`` must identify a row, so the hash spreads rows evenly and no bucket can be hot.
     """
-    hashed = _hashed(df, seed, purpose, keys)
+    return index_hashed(df.withColumn("_h", draw60(seed, purpose, *[F.col(k) for k in keys])), keys, name)
+
+
+def index_hashed(df: DataFrame, ties: Sequence[str], name: str = "idx") -> DataFrame:
+    """``hash_index`` of rows that bring their hash along as ``_h``; ``ties`` order rows of one hash."""
+    hashed = df.withColumn("_b", F.shiftright("_h", HASH_BITS - _HASH_BUCKET_BITS))
     sizes = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_b", _running("_n", "_b").alias("_before"))
-    within = Window.partitionBy("_b").orderBy("_h", *keys)
+    within = Window.partitionBy("_b").orderBy("_h", *ties)
     return (
         hashed.join(F.broadcast(offsets), "_b")
         .withColumn(name, F.col("_before") + F.row_number().over(within) - 1)

@@ -6,7 +6,7 @@ writes the new table. With one triplet per batch it is the sequential update rul
 A single step over a table small enough to broadcast is one narrow pass: every task embeds its
 triplets, and hands on their losses and one summed update per token it touched. Only those sums are
 shuffled. A larger table takes the relational way, a shuffled join of token rows with the table.
-Training over many steps sends a small table along with each step's job and keeps a larger one dealt by token id on the executors.
+Training over many steps sends a small table along with each job and keeps a larger one dealt by token id on the executors.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from ..session import scratch_path, ship_package, written
-from .negatives import draw_rejecting, index_pool
-from .ordering import hash_index
+from ..session import dropped_shuffles, forget, scratch_path, scratch_tables, ship_package, written
+from .negatives import draw_rejecting, index_pool, pool_hash
+from .ordering import hash_index, index_hashed
 from .pairs import pool_of_pairs
 from .table import SLICE_TOKENS, ModelConfig, count_ids, fits_broadcast, mean_rows, pooled, table_matrix, with_ids
 from .tokens import list_array, unit_rows
@@ -35,6 +35,10 @@ from .tokens import list_array, unit_rows
 ROLES = ("anchor", "positive", "negative")
 # Triplets of a batch that lie in one file, and the most files a batch is spread over when it is written.
 FILE_TRIPLETS, BATCH_FILES = 1024, 64
+# Triplets of consecutive batches of at most FILE_TRIPLETS that one job takes.
+RUN_TRIPLETS = 4096
+# Token counts of a batch, rows x vocabulary, that are held whole.
+_COUNT_CELLS = 1 << 20
 # A table up to this size goes to each step with the job and comes back as sums; beyond it the table stays dealt.
 HELD_TABLE_BYTES = 1 << 20
 PAIR_KEYS = ["pkey"]
@@ -165,6 +169,25 @@ def _learn(matrix, roles: list[RoleTokens], normalize: bool, learning_rate: floa
     return losses
 
 
+def _learn_counted(matrix, roles: list[RoleTokens], normalize: bool, learning_rate: float, margin: float, total, touched) -> np.ndarray:
+    """``_learn`` of few rows over a small table: tokens are counted once, vectors and updates are products with the counts."""
+    rows, vocab = len(roles[0].edges) - 1, len(matrix)
+    shares = []
+    for role in roles:
+        lengths = np.diff(role.edges)
+        cells = np.repeat(np.arange(rows) * vocab, lengths) + role.ids
+        shares.append(np.bincount(cells, minlength=rows * vocab).reshape(rows, vocab) / np.maximum(lengths, 1)[:, None])
+    a, p, n = [unit_rows(share @ matrix) if normalize else share @ matrix for share in shares]
+    filled = np.all([np.diff(r.edges) > 0 for r in roles], axis=0)
+    losses = np.maximum(np.where(filled, margin - (a * p).sum(axis=1) + (a * n).sum(axis=1), 0.0), 0.0)
+    active = losses > 0
+    for share, gradient in zip(shares, (n - p, -a, a)):
+        share = share[active]
+        total += learning_rate * (share.T @ gradient[active])
+        touched |= share.any(axis=0)
+    return losses
+
+
 # --- a small table that goes along with each step --------------------------------------------
 
 
@@ -202,6 +225,57 @@ def held_step(tokenized: DataFrame, matrix: np.ndarray, config: ModelConfig, lea
     return counts, updates
 
 
+def held_run(tokenized: DataFrame, matrix: np.ndarray, config: ModelConfig, learning_rate: float, margin: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, active steps and their loss, the matrix after them) of a run of batches of ``size`` triplets each: one job.
+
+    A small batch is one task's work and the next one waits for it, so one task takes a run of them, bounded in triplets, one after the other. It hands back its counts
+    and the rows of the tokens it touched.
+    """
+    spark = tokenized.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(matrix)
+    normalize = config.normalize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = shared.value.copy()
+        total, touched, changed, counts, step = np.zeros_like(matrix), np.zeros(len(matrix), dtype=bool), np.zeros(len(matrix), dtype=bool), np.zeros(3), None
+
+        def end_step() -> None:
+            used = np.flatnonzero(touched)
+            matrix[used] -= total[used]
+            total[used], touched[used], changed[used] = 0.0, False, True
+
+        for batch in batches:
+            own = batch.column(0).to_numpy() // size
+            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for low, high in zip(edges[:-1], edges[1:]):
+                if low == high:
+                    continue
+                if own[low] != step:
+                    end_step()
+                    step = own[low]
+                roles = [RoleTokens.of(batch.column(i).slice(low, high - low)) for i in (1, 2, 3)]
+                learn = _learn_counted if (high - low) * len(matrix) <= _COUNT_CELLS else _learn
+                losses = learn(matrix, roles, normalize, learning_rate, margin, total, touched)
+                counts += len(losses), (losses > 0).sum(), losses.sum()
+        end_step()
+        used = np.flatnonzero(changed)
+        yield pa.RecordBatch.from_arrays([pa.array([_COUNTS_ROW]), list_array(counts[None, :])], names=["token_id", "delta"])
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used), list_array(matrix[used])], names=["token_id", "delta"])
+
+    ordered = tokenized.select("tid", *[f"{r}_ids" for r in ROLES]).coalesce(1).sortWithinPartitions("tid")
+    rows = ordered.mapInArrow(run, "token_id bigint, delta array<double>").toArrow()
+    shared.destroy()
+    counts, new = np.zeros(3), matrix.copy()
+    for token, row in zip(rows.column("token_id").to_pylist(), rows.column("delta").to_pylist()):
+        if token == _COUNTS_ROW:
+            counts += row
+        else:
+            new[token] = row
+    return counts, new
+
+
 # --- a table that stays dealt by token -------------------------------------------------------
 
 
@@ -427,55 +501,98 @@ def epoch_summary(losses: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def train_epochs(
-    pairs: DataFrame, table: DataFrame, config: ModelConfig, options: TrainOptions
+    pairs: DataFrame, table: DataFrame, config: ModelConfig, options: TrainOptions, kept: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Train on keyed pairs over all epochs; returns the final table and one summary row per epoch.
 
-    An epoch's tokenised triplets are written in a folder per batch and a step reads its own folder only. A table within ``HELD_TABLE_BYTES``, less than
-    a batch of texts, goes along with each step's job (``held_step``). A larger one lies in buckets of token ids from step to step: a step sends requests to it and
-    updates back, and neither the driver nor a broadcast ever holds it; every step writes its pass and the new table as Parquet, so lineage stays one step
-    deep and a lost executor costs one step. Either way plans do not grow with the batches.
+    Each distinct text is tokenised once. Pairs and drawn negatives are places in the pool, so orders and draws move small rows; an epoch's triplets get their token ids
+    last. They are written in a folder per run of batches, which is deleted when the epoch is over. A table within ``HELD_TABLE_BYTES``, less than
+    a batch of texts, goes along with each job: one for each run of small batches (``held_run``) or for each large batch (``held_step``). A larger one lies in buckets of
+    token ids from step to step: a step sends requests to it and updates back, and neither the driver nor a broadcast ever holds it; every step writes its pass and
+    the new table as Parquet, so lineage stays one step deep and a lost executor costs one step. Either way plans do not grow with the batches.
 
     With ``sequential`` the result is that of one triplet after the other: a batch, then at most ``SEQUENCE_ROWS`` triplets, is taken in levels that share no token.
+    ``kept`` says that the pairs are a written table, which is read twice.
     """
-    spark = pairs.sparkSession
-    keyed_pairs = written(pairs, "pairs")
-    total = keyed_pairs.count()
-    pool = written(index_pool(pool_of_pairs(keyed_pairs), options.seed), "pool")
-    if pool.count() < 2:
-        raise ValueError("fewer than two texts to draw negatives from")
     size = min(options.batch_size, SEQUENCE_ROWS) if options.sequential else options.batch_size
+    small = config.vocab_size * config.embedding_dim * 8 <= HELD_TABLE_BYTES
+    in_runs = small and not options.sequential and size <= FILE_TRIPLETS
+    with scratch_tables(pairs.sparkSession) as keep:
+        pool, placed = _placed_pairs(pairs if kept else keep(pairs, "pairs"), config, options.seed, keep)
+        steps = _epoch_steps(placed, pool, replace(options, batch_size=size), max(1, RUN_TRIPLETS // size) if in_runs else 1)
+        if not small:
+            return _train_dealt(steps, table, config, options)
+        rate, margin = options.learning_rate, options.margin
+        if in_runs:
+            return _train_held(steps, table, lambda part, matrix: held_run(part, matrix, config, rate, margin, size), config)
 
-    def steps() -> Iterator[tuple[int, DataFrame]]:
-        files = min(BATCH_FILES, -(-size // FILE_TRIPLETS))
-        for epoch in range(1, options.epochs + 1):
-            triplets = tokenize(epoch_triplets(keyed_pairs, pool, replace(options, batch_size=size), epoch), config)
-            path = scratch_path(spark, "triplets")
-            triplets.repartition("batch", F.pmod("tid", F.lit(files))).write.partitionBy("batch").parquet(path)
-            schema = triplets.drop("batch").schema
-            for batch in range(max(1, -(-total // size))):
-                for part in _steps_of(spark.read.schema(schema).parquet(f"{path}/batch={batch}"), options.sequential):
-                    yield epoch, part
+        def step(part: DataFrame, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found, updates = held_step(part, matrix, config, rate, margin, size <= 8 * FILE_TRIPLETS)
+            return found, matrix - updates
+
+        return _train_held(steps, table, step, config)
 
-    small = config.vocab_size * config.embedding_dim * 8 <= HELD_TABLE_BYTES
-    return (_train_held if small else _train_dealt)(steps(), table, config, options, size <= 8 * FILE_TRIPLETS)
 
+def _placed_pairs(pairs: DataFrame, config: ModelConfig, seed: int, keep: Callable) -> tuple[DataFrame, DataFrame]:
+    """The pool (pool_idx, text_id, ids) of the pairs' distinct texts in the order of ``index_pool``, and the pairs (pkey, anchor, positive) as places in it.
 
-def _train_held(steps: Iterator[tuple[int, DataFrame]], table: DataFrame, config: ModelConfig, options: TrainOptions, one_by_one: bool) -> tuple[DataFrame, DataFrame]:
+    A text is known by its digest, ``text_id``; of a hash that two texts share, the beginnings of the texts decide.
+    """
+    text = F.col("negative")
+    named = pool_of_pairs(pairs).select("negative", F.sha2(text, 256).alias("text_id"), F.substring(text, 1, 32).alias("head"), pool_hash(text, seed).alias("_h"))
+    tokens = keep(with_ids(named, {"ids": "negative"}, config, ["text_id", "head", "_h"]), "texts")
+    # The order of a text's tokens counts no more, and sorted ids are short when packed.
+    pool = keep(index_hashed(tokens.withColumn("ids", F.sort_array("ids")), ["head", "text_id"], "pool_idx").drop("head"), "pool")
+    if pool.count() < 2:
+        raise ValueError("fewer than two texts to draw negatives from")
+    sides = pairs.select(*PAIR_KEYS, *[F.sha2(c, 256).alias(f"_{c}") for c in ("anchor", "positive")])
+    for c in ("anchor", "positive"):
+        sides = sides.join(pool.select(F.col("text_id").alias(f"_{c}"), F.col("pool_idx").alias(c)), f"_{c}", "left")
+    return pool, keep(sides.select(*PAIR_KEYS, "anchor", "positive"), "places")
+
+
+def _epoch_steps(placed: DataFrame, pool: DataFrame, options: TrainOptions, run: int) -> Iterator[tuple[int, DataFrame]]:
+    """(epoch, tokenised triplets of ``run`` batches, or of a level of one batch) in the order of training."""
+    spark, size = placed.sparkSession, options.batch_size
+    files = min(BATCH_FILES, -(-size // FILE_TRIPLETS))
+    # A null text is drawn, and then is no negative.
+    drawable = pool.select("pool_idx", F.when(F.col("text_id").isNotNull(), F.col("pool_idx")).alias("negative"))
+    ids = pool.select(F.col("pool_idx").alias("place"), "ids")
+    nothing = F.array().cast("array<int>")
+    for epoch in range(1, options.epochs + 1):
+        triplets = epoch_triplets(placed, drawable, options, epoch)
+        texts = F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("place")) for r in ROLES]))
+        own = [F.floor(F.col("batch") / run).cast("bigint").alias("run"), F.pmod("tid", F.lit(files)).alias("file")]
+        asked = triplets.select("tid", *own, texts).join(ids, "place", "left").repartition("run", "file")
+        whole = asked.groupBy("run", "file", "tid").agg(
+            *[F.coalesce(F.max_by("ids", F.when(F.col("role") == r, 1)), nothing).alias(f"{r}_ids") for r in ROLES]
+        ).drop("file")
+        path = scratch_path(spark, "triplets")
+        with dropped_shuffles(spark):
+            whole.write.partitionBy("run").parquet(path)
+        written_runs = spark.read.schema(whole.schema).parquet(path).select("run").distinct().collect()
+        for number in sorted(r["run"] for r in written_runs):
+            part = spark.read.schema(whole.drop("run").schema).parquet(f"{path}/run={number}")
+            for step in _steps_of(part, options.sequential):
+                yield epoch, step
+        forget(spark, path)
+
+
+def _train_held(steps: Iterator[tuple[int, DataFrame]], table: DataFrame, step: Callable, config: ModelConfig) -> tuple[DataFrame, DataFrame]:
+    """``step(part, matrix)`` gives the counts of the part and the next matrix."""
     spark = table.sparkSession
     matrix = table_matrix(table, config)
     counts: dict[int, np.ndarray] = {}
     for epoch, part in steps:
-        found, updates = held_step(part, matrix, config, options.learning_rate, options.margin, one_by_one)
+        found, matrix = step(part, matrix)
         counts[epoch] = counts.get(epoch, 0) + found
-        matrix = matrix - updates
     rows = [(epoch, int(n), int(active), float(loss / active) if active else 0.0) for epoch, (n, active, loss) in counts.items() if n]
     history = spark.createDataFrame(rows, "epoch bigint, steps bigint, active_steps bigint, mean_active_loss double")
     new = spark.createDataFrame(pa.table({"token_id": pa.array(np.arange(len(matrix))), "vec": list_array(matrix)}))
     return written(new.join(table.select("token_id"), "token_id", "left_semi"), "trained"), history
 
 
-def _train_dealt(steps: Iterator[tuple[int, DataFrame]], table: DataFrame, config: ModelConfig, options: TrainOptions, _one_by_one: bool) -> tuple[DataFrame, DataFrame]:
+def _train_dealt(steps: Iterator[tuple[int, DataFrame]], table: DataFrame, config: ModelConfig, options: TrainOptions) -> tuple[DataFrame, DataFrame]:
     spark = table.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     losses_path = scratch_path(spark, "losses")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import pieces
 from pairloom.operators import retrieve, table, tokens, train, vector_index
+from pairloom.session import scratch_tables
 from pairloom.sources import corpus_ranges, csv_ranges
 
 CONFIG = table.ModelConfig(vocab_size=50, embedding_dim=3, max_seq_len=None)
@@ -106,6 +107,51 @@ def test_a_step_of_a_small_batch_is_one_job(spark, tmp_path):
     assert counts[0] == 64 and np.abs(updates).sum() > 0
 
 
+def test_a_run_of_small_batches_is_one_job(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    text = lambda most: " ".join(f"w{i}" for i in rng.integers(0, 60, rng.integers(0, most)))
+    rows = spark.createDataFrame([(int(i), text(9), text(30), text(9)) for i in rng.permutation(90)], "tid long, anchor string, positive string, negative string")
+    part = train.tokenize(rows, CONFIG)
+    part.repartition(3).write.parquet(str(tmp_path / "run"))
+    part = spark.read.schema(part.schema).parquet(str(tmp_path / "run"))
+    start = table.table_matrix(table.init_token_table(spark, CONFIG, 1), CONFIG)
+    matrix, counts = start, np.zeros(3)
+    for low in range(0, 90, 7):
+        found, updates = train.held_step(part.where((F.col("tid") >= low) & (F.col("tid") < low + 7)), matrix, CONFIG, 0.3, 0.5, True)
+        matrix, counts = matrix - updates, counts + found
+    context, rows_each = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_each)
+    # Batches of training, here of 7, run over those of Arrow; the plain way where counts are not held.
+    for records, cells in ((10_000, 1 << 20), (5, 1 << 20), (4, 1)):
+        spark.conf.set(rows_each, str(records))
+        monkeypatch.setattr(train, "_COUNT_CELLS", cells)
+        context.setJobGroup(f"run-{records}", "a run")
+        got, new = train.held_run(part, start, CONFIG, 0.3, 0.5, 7)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set(rows_each, before)
+        assert len(context.statusTracker().getJobIdsForGroup(f"run-{records}")) == 1
+        assert new == pytest.approx(matrix, abs=1e-12) and got == pytest.approx(counts, abs=1e-9)
+    assert counts[0] == 90 and np.abs(matrix - start).sum() > 0
+
+
+def test_pairs_find_their_texts_in_the_pool(spark):
+    rows = [("a b", "c"), ("c", "a b"), (None, "d e"), ("d e", ""), ("f a a", "c"), ("f a a", "c")]
+    pairs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "anchor string, positive string, copy long")
+    keyed = train.with_pair_key(pairs)
+    with scratch_tables(spark) as keep:
+        pool, placed = train._placed_pairs(keyed, CONFIG, 5, keep)
+        pool, placed = pool.collect(), {r["pkey"]: (r["anchor"], r["positive"]) for r in placed.collect()}
+    want = train.index_pool(train.pool_of_pairs(keyed), 5)
+    tokenized = train.with_ids(want, {"ids": "negative"}, CONFIG).collect()
+    assert {r["pool_idx"]: sorted(r["ids"]) for r in pool} == {r["pool_idx"]: sorted(r["ids"]) for r in tokenized}
+    place = {r["negative"]: r["pool_idx"] for r in tokenized if r["negative"] is not None}
+    assert placed == {r["pkey"]: (place.get(r["anchor"]), place[r["positive"]]) for r in keyed.collect()}
+    options = train.TrainOptions(epochs=1, seed=5, batch_size=2)
+    drawn = train.epoch_triplets(keyed, want, options, 1).count()
+    _final, history = train.train_epochs(keyed, table.init_token_table(spark, CONFIG, 1), CONFIG, options)
+    assert history.first()["steps"] == drawn
+
+
 def test_the_index_sends_a_query_to_a_bundle_of_clusters_once(spark):
     rng = np.random.default_rng(8)
     rows = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(400)], "id long, v array<double>")
