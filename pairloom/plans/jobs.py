@@ -15,7 +15,7 @@ from ..operators.metrics import score_triplets, triplet_metrics
 from ..operators.ordering import sample_capped
 from ..operators.table import ModelConfig, embed_batches, embed_table, fits_broadcast, init_token_table
 from ..operators.train import PAIR_KEYS, ROLES, TrainOptions, train_epochs, with_pair_key
-from ..session import materialize
+from ..session import dropped_shuffles, forget, scratch_tables
 from ..sources import files, models
 from . import stages
 from .profiles import DUPLICATES, LABELED, Profile
@@ -96,32 +96,37 @@ def prepare_job(
     The source is read and cleaned once; everything else works on the grouped texts it leaves.
     """
     min_chars, min_words = profile.thresholds(options.min_chars, options.min_words, options.variant)
-    mined = mine(spread(source), profile, min_chars, min_words, options.variant, materialize)
-    positives, pool = mined.positives, mined.pool
-    if positives.isEmpty():
-        raise ValueError("the source has no positive pair left after cleaning")
-    if pool.isEmpty():
-        raise ValueError("the source leaves no text to draw negatives from")
-    train = materialize(sample_capped(positives, options.max_train_pairs, options.seed, "train", PAIR_KEYS))
-    triplets = materialize(eval_triplets(train, pool, options))
-    if triplets.isEmpty():
-        raise ValueError("every evaluation pair uses up the negative pool")
-    files.write_pairs(train, f"{out}/train_pairs")
-    files.write_triplets(triplets, f"{out}/eval_triplets")
-    fixed = {
-        "profile": profile.name,
-        "profile_kind": profile.kind,
-        "dataset_ref": "local_csv",
-        "source_csv": source_name,
-        "max_train_pairs": options.max_train_pairs,
-        "max_eval_triplets": options.max_eval_triplets,
-        "min_chars": min_chars,
-        "min_words": min_words,
-        "seed": options.seed,
-    }
-    frames = {"positive_pairs": positives, "negative_pool_size": pool, "train_pairs": train, "eval_triplets": triplets}
-    row = counts_row(spark, fixed, mined, frames)
-    files.write_report(row, f"{out}/metadata")
+    with scratch_tables(spark) as keep:
+        mined = mine(spread(source), profile, min_chars, min_words, options.variant, lambda df: keep(df, "groups"))
+        positives, pool = mined.positives, mined.pool
+        if positives.isEmpty():
+            raise ValueError("the source has no positive pair left after cleaning")
+        if pool.isEmpty():
+            raise ValueError("the source leaves no text to draw negatives from")
+        train = sample_capped(positives, options.max_train_pairs, options.seed, "train", PAIR_KEYS)
+        # All pairs are read from the groups again, a sample is drawn once.
+        train = keep(train, "train") if options.max_train_pairs > 0 else train
+        with dropped_shuffles(spark):
+            files.write_triplets(eval_triplets(train, pool, options), f"{out}/eval_triplets")
+        triplets = spark.read.parquet(f"{out}/eval_triplets")
+        if triplets.isEmpty():
+            forget(spark, f"{out}/eval_triplets")
+            raise ValueError("every evaluation pair uses up the negative pool")
+        files.write_pairs(train, f"{out}/train_pairs")
+        fixed = {
+            "profile": profile.name,
+            "profile_kind": profile.kind,
+            "dataset_ref": "local_csv",
+            "source_csv": source_name,
+            "max_train_pairs": options.max_train_pairs,
+            "max_eval_triplets": options.max_eval_triplets,
+            "min_chars": min_chars,
+            "min_words": min_words,
+            "seed": options.seed,
+        }
+        frames = {"positive_pairs": positives, "negative_pool_size": pool, "train_pairs": spark.read.parquet(f"{out}/train_pairs"), "eval_triplets": triplets}
+        row = counts_row(spark, fixed, mined, frames)
+        files.write_report(row, f"{out}/metadata")
     return files.read_report(spark, f"{out}/metadata", row.schema)
 
 
@@ -161,14 +166,16 @@ def train_job(
         raise ValueError(f"{triplets_path} holds no triplets")
     copies = found.groupBy("anchor", "positive").agg(F.count("*").alias("_n"))
     keyed = copies.select("anchor", "positive", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("copy"))
-    train = materialize(sample_capped(with_pair_key(keyed), max_train_pairs, options.seed, "train", PAIR_KEYS))
     start = init_token_table(spark, config, options.seed + 1)
-    table, history = train_epochs(train, start, config, options)
+    with scratch_tables(spark) as keep:
+        train = keep(sample_capped(with_pair_key(keyed), max_train_pairs, options.seed, "train", PAIR_KEYS), "train")
+        used = train.count()
+        table, history = train_epochs(train, start, config, options, kept=True)
     models.save_model(table, config, f"{out}/model")
     metrics = evaluate_model(triplets, table, config)
     report = metrics.select(
         F.lit("spark").alias("backend"),
-        train.select(F.count("*")).scalar().alias("train_pairs_used"),
+        F.lit(used).cast("bigint").alias("train_pairs_used"),
         triplets.select(F.count("*")).scalar().alias("eval_triplets"),
         *[F.lit(getattr(options, k)).alias(k) for k in ("epochs", "learning_rate", "margin", "seed")],
         *[F.lit(getattr(config, k)).alias(k) for k in ("vocab_size", "embedding_dim", "max_seq_len")],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import synthetic, text as T, vectors as V
 from ..operators import hashed, metrics, negatives, ordering, pairs, passages, retrieve, stats, table, train, vector_index
-from ..operators.layout import computed_once, spread
+from ..operators.layout import broadcast_within, computed_once, spread
 from ..session import materialize, scratch_path
 from ..sources import corpus_ranges, files, models
 from . import jobs
@@ -72,7 +72,9 @@ def labeled_source(spark: SparkSession, sf: str) -> DataFrame:
     """Each document with the next one, labelled by its quality."""
     docs = documents(spark, sf)
     labels = read(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("right"))
+    # Only texts behind a labelled document are moved.
+    asked = broadcast_within(labels.select("doc_id"), labels.count(), 64)
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("right")).join(asked, "doc_id", "left_semi")
     return docs.join(labels, "doc_id").join(after, "doc_id").select(F.col("text").alias("left"), "right", "label")
 
 
