@@ -5,10 +5,10 @@ import os
 
 import pytest
 
+from pairloom import session
 from pairloom.operators import table, train
 from pairloom.plans import jobs
 from pairloom.plans.profiles import DUPLICATES, LABELED, Profile
-from pairloom.session import scratch_root
 from pairloom.sources import files
 
 FILTERS = {"min_chars": 3, "min_words": 1}
@@ -102,14 +102,15 @@ def test_pipeline_job_and_reuse_of_its_model(spark, tmp_path):
     assert first["mean_margin"] == pytest.approx(first["mean_positive_similarity"] - first["mean_negative_similarity"])
 
 
-def test_a_finished_chain_leaves_no_scratch_tables(spark, tmp_path):
+def test_a_finished_chain_leaves_no_scratch_tables(spark, tmp_path, monkeypatch):
     config = table.ModelConfig(vocab_size=64, embedding_dim=8, max_seq_len=16)
     prepare, options = jobs.PrepareOptions(seed=1), train.TrainOptions(epochs=2, batch_size=4)
-    root, key = scratch_root(spark).removeprefix("file:"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before, setting = set(os.listdir(root)), spark.conf.get(key, None)
+    monkeypatch.setattr(session, "scratch_root", lambda _spark: str(tmp_path / "scratch"))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key, None)
     jobs.pipeline_job(spark, labeled(spark), PAIRS, str(tmp_path / "chain"), config, prepare, options, source_key="x")
-    # Pairs, pools, triplets and checkpoints used to stay.
-    assert [name.split("-")[0] for name in set(os.listdir(root)) - before] == ["trained"]
+    # Pairs, pools and triplets used to stay.
+    assert [name.split("-")[0] for name in os.listdir(tmp_path / "scratch")] == ["trained"]
     assert spark.conf.get(key, None) == setting
     used_up = spark.createDataFrame([("one text", "two text", "1"), ("third", "two text", "0")], labeled(spark).schema)
     with pytest.raises(ValueError, match="uses up the negative pool"):
